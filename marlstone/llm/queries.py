@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, toxicity
+from . import pieces, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_sentencepiece": pieces.op4_sentencepiece,
+    "op6_token_counts": pieces.op6_token_counts,
     "op8_quality_classifier": quality.op8_quality_classifier,
 }
 
