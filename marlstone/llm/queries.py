@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pieces, quality, simhash, toxicity
+from . import lines, oracles, pieces, quality, simhash, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": lines.op1_line_dedup,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_sentencepiece": pieces.op4_sentencepiece,
     "op6_token_counts": pieces.op6_token_counts,
     "op8_quality_classifier": quality.op8_quality_classifier,
+    "op9_substring_dedup": substrings.op9_substring_dedup,
     "op10_simhash": simhash.op10_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": oracles.LINE_DEDUP,
+    "op9_substring_dedup": oracles.SUBSTRING_DEDUP,
+}
