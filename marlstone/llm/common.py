@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 #: Bytes of text that the vectorised helpers look at together.
 SLICE_BYTES = 1 << 19
 
+#: Base of the rolling hashes: odd, so that it can be divided by.
+BASE = 0x9E3779B97F4A7C15
+
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -46,6 +49,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Most rows of a table that is sent to every executor (two numbers a row); larger ones are shuffled.
+BROADCAST_ROWS = 4_000_000
+
+
+def narrow_side(df: DataFrame) -> DataFrame:
+    """df, marked for broadcasting if a count shows that it is small; df has numbers only."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def is_held_out(doc_id) -> F.Column:
     """True where crc32 of the id as text leaves no remainder by 5; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 5 == 0
@@ -89,9 +101,6 @@ def _powers(base: int, n: int) -> np.ndarray:
 class _Tables:
     """Byte values and powers of the rolling hash; grown on demand, once per worker."""
 
-    BASE = 0x9E3779B97F4A7C15
-    INVERSE = pow(BASE, -1, 2**64)
-
     def __init__(self):
         self.byte = mix(np.arange(1, 257, dtype=_U) * _U(0xA0761D6478BD642F))
         self.power = self.back = np.empty(0, _U)
@@ -99,7 +108,7 @@ class _Tables:
     def upto(self, n: int):
         if len(self.power) < n:
             with np.errstate(over="ignore"):
-                self.power, self.back = _powers(self.BASE, n), _powers(self.INVERSE, n)
+                self.power, self.back = _powers(BASE, n), _powers(pow(BASE, -1, 2**64), n)
         return self.power[:n], self.back[:n]
 
 
