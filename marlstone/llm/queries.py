@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lines, oracles, pieces, quality, simhash, substrings, toxicity
+from . import decontaminate, lines, oracles, pieces, quality, simhash, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": lines.op1_line_dedup,
+    "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_sentencepiece": pieces.op4_sentencepiece,
     "op6_token_counts": pieces.op6_token_counts,
