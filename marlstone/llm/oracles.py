@@ -28,3 +28,25 @@ done AS (SELECT doc_id, count(*) AS n, count(*) FILTER (NOT keep) AS m, string_a
 SELECT w.doc_id, coalesce(n, 0) AS n_words, coalesce(m, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM w LEFT JOIN done USING (doc_id)
 """
+
+QUALITY_RULES = f"""
+WITH w AS (SELECT doc_id, source, coalesce(text, '') AS t, {_WORDS} AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i : i + 2], ' ') AS k FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 2)) AS i FROM w)),
+twin AS (SELECT doc_id, unnest([i, i + 1, i + 2]) AS i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM win) WHERE n > 1),
+rep AS (SELECT doc_id, count(DISTINCT i) AS n FROM twin GROUP BY doc_id),
+lines AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: trim(x, {_BLANK}) <> '') AS ls FROM w),
+c AS (SELECT w.doc_id, source, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
+        length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+        len(ls) - len(list_distinct(ls)) AS n_dup_lines, len(ls) AS n_lines, coalesce(rep.n, 0) AS n_repeat_words
+      FROM w JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+        n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines
+        OR word_chars < 2 * n_words OR word_chars > 15 * n_words AS failed FROM c),
+h AS (SELECT source, count(*) AS n, count(*) FILTER (failed) AS f FROM b GROUP BY source),
+p0 AS (SELECT least(greatest(sum(f) / sum(n), 1e-4), 1 - 1e-4) AS m, var_pop(f / n) AS v FROM h),
+p AS (SELECT m, least(greatest(m * (1 - m) / greatest(v, 1e-9) - 1, 1.0), 1000.0) AS k FROM p0),
+r AS (SELECT source, (f + m * k) / (n + k) AS rate FROM h, p)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND rate <= 0.5 AS kept, round(rate, 6) AS host_rate
+FROM b JOIN r ON b.source IS NOT DISTINCT FROM r.source
+"""

@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lines, oracles, pieces, quality, simhash, substrings, toxicity
+from . import decontaminate, lines, oracles, pieces, quality, rules, secrets, simhash, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": lines.op1_line_dedup,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_sentencepiece": pieces.op4_sentencepiece,
+    "op5_quality_rules": rules.op5_quality_rules,
     "op6_token_counts": pieces.op6_token_counts,
+    "op7_secret_scans": secrets.op7_secret_scans,
     "op8_quality_classifier": quality.op8_quality_classifier,
     "op9_substring_dedup": substrings.op9_substring_dedup,
     "op10_simhash": simhash.op10_simhash,
@@ -21,5 +23,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": oracles.LINE_DEDUP,
+    "op5_quality_rules": oracles.QUALITY_RULES,
     "op9_substring_dedup": oracles.SUBSTRING_DEDUP,
 }
