@@ -117,7 +117,7 @@ def _fit_weights(texts: pd.Series, toxic: np.ndarray, share: np.ndarray, ratio:
 def fit(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER_CLASS) -> Model:
     """Learn from the labelled rows that are not held out; only model parameters reach the driver."""
     known = labels.select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("__y")).where(F.col("__y").isin(0, 1))
-    train = docs.select("doc_id", "text").where(~common.is_held_out("doc_id")).join(known, F.col("doc_id") == F.col("__id")).select("doc_id", "text", F.col("__y").alias("toxic"))
+    train = docs.select("doc_id", "text").where(~common.is_held_out("doc_id")).join(common.narrow_side(known), F.col("doc_id") == F.col("__id")).select("doc_id", "text", F.col("__y").alias("toxic"))
     sums = train.select("text", "toxic").mapInArrow(_class_counts, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas()  # at most BUCKETS + 1 rows
     n = sums[sums.bucket == -1]
     n0, n1 = (int(n[c].sum()) for c in ("clean", "toxic"))
