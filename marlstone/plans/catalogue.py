@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import search
+
+QUERIES: dict = {**search.QUERIES}
+ORACLE_SQL: dict = {**search.ORACLE_SQL}
