@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import search
+from . import records, search
 
-QUERIES: dict = {**search.QUERIES}
-ORACLE_SQL: dict = {**search.ORACLE_SQL}
+QUERIES: dict = {**search.QUERIES, **records.QUERIES}
+ORACLE_SQL: dict = {**search.ORACLE_SQL, **records.ORACLE_SQL}
