@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import records, search
+from . import calendar, records, search, texts
 
-QUERIES: dict = {**search.QUERIES, **records.QUERIES}
-ORACLE_SQL: dict = {**search.ORACLE_SQL, **records.ORACLE_SQL}
+QUERIES: dict = {**search.QUERIES, **records.QUERIES, **calendar.QUERIES, **texts.QUERIES}
+ORACLE_SQL: dict = {**search.ORACLE_SQL, **records.ORACLE_SQL, **calendar.ORACLE_SQL, **texts.ORACLE_SQL}
