@@ -20,7 +20,7 @@ COURSE_SECTIONS = [
 
 def text_files(spark: SparkSession, folder: str) -> DataFrame:
     """path, text of each .txt file below a folder."""
-    whole = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(folder)
+    whole = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.txt")
     return whole.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
@@ -81,7 +81,7 @@ def default_term(ref: Column) -> Column:
 
 def rule_lines(spark: SparkSession, path: str) -> DataFrame:
     """path, category, required_credits, course: JSON rules flattened; a course is an object or a bare name."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.try_parse_json("value").alias("v"))
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.try_parse_json("value").alias("v"))
     categories = raw.select("path", F.explode(F.from_json(F.to_json(F.try_variant_get("v", "$.categories", "variant")), "map<string,string>")).alias("category", "body"))
     body = categories.select("path", "category", F.try_parse_json("body").alias("b"))
     listed = F.coalesce(F.try_variant_get("b", "$.courses", "array<variant>"), F.array(F.parse_json(F.lit("null"))))
