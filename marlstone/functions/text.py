@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import lexicon
@@ -133,8 +133,10 @@ def without_repeats(text: Column) -> Column:
     return _batched(drop_repeated_block, "string", pa.string())(text)
 
 
-def chunk_tokens(text: Column, size: int = 1536, overlap: int = 128) -> Column:
-    """Windows of white-space words: ``size`` long, each sharing ``overlap`` words with the one before."""
+def chunk_rows(rows: DataFrame, size: int = 1536, overlap: int = 128, text: str = "text") -> DataFrame:
+    """rows with ``__chunks``: windows of white-space words, ``size`` long, each sharing ``overlap`` words with the one before."""
+    # the words are a column of their own: inside a lambda they would be split again for each window
     words = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
-    starts = F.when(F.size(words) == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.greatest(F.size(words) - overlap, F.lit(1)), F.lit(size - overlap)))
-    return F.transform(starts, lambda s: F.array_join(F.slice(words, s, F.lit(size)), " "))
+    split = rows.withColumn("__words", words).withColumn("__n", F.size("__words"))
+    starts = F.when(F.col("__n") == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.greatest(F.col("__n") - overlap, F.lit(1)), F.lit(size - overlap)))
+    return split.withColumn("__chunks", F.transform(starts, lambda s: F.array_join(F.slice("__words", s, F.lit(size)), " "))).drop("__words", "__n")

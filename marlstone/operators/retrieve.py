@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -16,32 +17,50 @@ RRF = 60
 WEIGHTS = (0.5, 0.3, 0.2)  # vector, keyword, metadata
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """term, node_id, tf: one row per term of a chunk."""
-    return chunks.select("node_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("term", "node_id").agg(F.count("*").alias("tf"))
+@dataclass(frozen=True)
+class KeywordIndex:
+    """postings (term, node_id, tf, dl), terms (term, df, idf) and the mean document length."""
 
+    postings: DataFrame
+    terms: DataFrame
+    avgdl: float
 
-def doc_stats(chunks: DataFrame) -> DataFrame:
-    """node_id and dl, its number of tokens."""
-    return chunks.select("node_id", F.size(T.tokens(F.col("text"))).alias("dl"))
 
+def tokenised(chunks: DataFrame) -> DataFrame:
+    """node_id and tokens; on its own, so that a plan tokenises a text once however often it uses the tokens."""
+    return chunks.select("node_id", T.tokens(F.col("text")).alias("tokens"))
 
-def term_stats(posts: DataFrame, n_docs: int) -> DataFrame:
+
+def term_stats(words: DataFrame, n_docs: int) -> DataFrame:
     """term, df, idf; an idf below zero becomes EPSILON times the mean idf of all terms."""
-    df = posts.groupBy("term").agg(F.count("*").alias("df"))
+    df = words.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     raw = df.withColumn("raw", F.log(F.lit(n_docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))
+    # one row beside every term
     return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25(posts: DataFrame, docs: DataFrame, terms: DataFrame, query_terms: DataFrame) -> DataFrame:
+def postings(words: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """term, node_id, tf, dl of each term of a chunk, or only of some terms (those of the queries at hand)."""
+    kept = F.col("tokens") if only is None else F.filter("tokens", lambda t: t.isin(*only))
+    rows = words.select("node_id", F.size("tokens").alias("dl"), F.explode(kept).alias("term"))
+    return rows.groupBy("term", "node_id", "dl").agg(F.count("*").alias("tf"))
+
+
+def keyword_index(chunks: DataFrame, only: list[str] | None = None) -> KeywordIndex:
+    """With ``only``, the statistics still cover all terms: scores are those of the full index."""
+    words = tokenised(chunks)
+    n, avgdl = words.agg(F.count("*"), F.avg(F.size("tokens"))).first()
+    return KeywordIndex(postings(words, only), term_stats(words, n), avgdl or 1.0)
+
+
+def bm25(index: KeywordIndex, query_terms: DataFrame) -> DataFrame:
     """query_id, node_id, score > 0; query_terms: query_id, term (a repeated term counts again)."""
-    avgdl = docs.agg(F.avg("dl").alias("avgdl"))
     wanted = F.broadcast(query_terms.groupBy("query_id", "term").agg(F.count("*").alias("times")))  # as small as the queries
-    hits = posts.join(wanted, "term").join(terms.select("term", "idf"), "term").join(docs, "node_id").join(F.broadcast(avgdl))
+    known = F.broadcast(index.terms.join(wanted, "term").select("query_id", "term", "times", "idf"))
     tf = F.col("tf").cast("double")
-    part = F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hits.groupBy("query_id", "node_id").agg(F.sum(part).alias("score")).where("score > 0")
+    part = F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / index.avgdl))
+    return index.postings.join(known, "term").groupBy("query_id", "node_id").agg(F.sum(part).alias("score")).where("score > 0")
 
 
 def cosine(vectors: DataFrame, queries: list[tuple[int, list[float]]]) -> DataFrame:
@@ -97,6 +116,7 @@ def fuse(vector: DataFrame, keyword: DataFrame, metadata: DataFrame | None = Non
 
 def relative_threshold(scored: DataFrame, courses: int) -> DataFrame:
     """Keep scores near the best; if all are below -10, fall back to the metadata score (at most the top three)."""
+    scored = scored.persist()  # a request's short list; the maximum and the filter both read it
     ratio = 0.15 if courses > 1 else 0.40 if courses == 1 else 0.25
     top, meta = scored.agg(F.max("final_score"), F.max("metadata_score")).first()
     if top is None or top >= -10:
@@ -139,6 +159,7 @@ def coverage(scored: DataFrame) -> DataFrame:
 
 def covered_top(scored: DataFrame, top_n: int) -> DataFrame:
     """Coverage rows, then the best others up to max(top_n, covered + 5) rows."""
+    scored = scored.persist()  # a request's short list; the count and the union both read it
     sure = coverage(scored).withColumn("guaranteed", F.lit(True))
     room = max(top_n, sure.count() + 5)
     rest = scored.join(sure.select("node_id"), "node_id", "left_anti").withColumn("guaranteed", F.lit(False))

@@ -36,8 +36,8 @@ def _terms(spark, asked: dict):
 
 def _bm25(spark, sf_dir, asked: dict):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node_id"), "text")
-    posts, stats = R.postings(docs), R.doc_stats(docs)
-    return R.bm25(posts, stats, R.term_stats(posts, docs.count()), _terms(spark, asked))
+    index = R.keyword_index(docs, only=sorted({w for words in asked.values() for w in words}))
+    return R.bm25(index, _terms(spark, asked))
 
 
 def _values(asked: dict) -> str:

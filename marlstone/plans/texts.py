@@ -222,8 +222,8 @@ def spacing(spark, sf_dir):
 @query("WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS ws FROM documents), s AS (SELECT doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 16, 1), 112)) AS i FROM w WHERE len(ws) > 0) SELECT doc_id, i AS start, md5(array_to_string(ws[i : i + 127], ' ')) AS chunk FROM s")
 def token_chunks(spark, sf_dir):
     """Windows of 128 words that share 16."""
-    d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.posexplode(T.chunk_tokens(F.col("text"), 128, 16)).alias("n", "c")).select("doc_id", (F.col("n") * 112 + 1).cast("long").alias("start"), F.md5("c").alias("chunk"))
+    d = T.chunk_rows(table(spark, sf_dir, "documents"), 128, 16)
+    return d.select("doc_id", F.posexplode("__chunks").alias("n", "c")).select("doc_id", (F.col("n") * 112 + 1).cast("long").alias("start"), F.md5("c").alias("chunk"))
 
 
 @query()
