@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import decontaminate, secrets
+
 _BLANK = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -50,3 +52,60 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND rate <= 0.5 AS kept, round(rate, 6) AS host_rate
 FROM b JOIN r ON b.source IS NOT DISTINCT FROM r.source
 """
+
+
+def _portable(pattern: str) -> str:
+    """A case-insensitive pattern with its letters spelled out: engines differ in what else they fold."""
+    if not pattern.startswith("(?i)"):
+        return pattern
+    out, inside = "", False
+    for c in pattern.removeprefix("(?i)"):
+        inside = c == "[" or inside and c != "]"
+        out += f"[{c.upper()}{c.lower()}]" if c.isalpha() and not inside and out[-1:] != "\\" else c
+    return out.replace("[Xx]20", "x20")
+
+
+_RULES = ", ".join(f"({k}, '{r.kind}', {r.min_length})" for k, r in enumerate(secrets.RULES))
+_MATCHES = " UNION ALL ".join(
+    f"SELECT doc_id, {k} AS k, string_split_regex(t, '{p}') AS gaps, regexp_extract_all(t, '{p}', 0) AS whole, regexp_extract_all(t, '{p}', {r.group}) AS part FROM d"
+    for k, r in enumerate(secrets.RULES)
+    for p in [_portable(r.pattern).replace("'", "''")]
+)
+
+SECRET_SCANS = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+rule AS (SELECT * FROM (VALUES {_RULES}) v(k, kind, least)),
+m AS ({_MATCHES}),
+x AS (SELECT doc_id, k, unnest(generate_series(1, len(whole))) AS i, unnest(list_transform(gaps[1 : len(whole)], lambda g: length(g))) AS gap,
+        unnest(list_transform(whole, lambda g: length(g))) AS size, unnest(list_transform(part, lambda g: length(g))) AS part FROM m),
+s AS (SELECT doc_id, k, part, size, sum(gap + size) OVER (PARTITION BY doc_id, k ORDER BY i) AS e FROM x),
+f AS (SELECT doc_id, k, e - size AS b, kind || ':' || (e - size) || ':' || e AS span FROM s JOIN rule USING (k) WHERE part >= least)
+SELECT d.doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+       sha256(coalesce(string_agg(span, ',' ORDER BY b, k) FILTER (k < 3), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY b, k), '') AS spans
+FROM d LEFT JOIN f USING (doc_id) GROUP BY d.doc_id
+"""
+
+_UNITS = ", ".join(f"'{u}'" for u in decontaminate.UNITS)
+_EDGE = r"[^0-9A-Za-z\x{80}-\x{10FFFF}]+"
+
+DECONTAMINATION = f"""
+WITH texts AS (SELECT 'item' AS side, min(item_id) AS id, text FROM benchmark WHERE text IS NOT NULL GROUP BY text UNION ALL SELECT 'doc', doc_id, text FROM documents),
+word AS (SELECT side, id, unnest(ws) AS w, unnest(generate_series(1, len(ws))) AS p FROM (SELECT side, id, {_WORDS} AS ws FROM texts)),
+bare AS (SELECT *, regexp_replace(regexp_replace(w, '^{_EDGE}', ''), '{_EDGE}$', '') AS c FROM word),
+core AS (SELECT side, id, p, CASE WHEN c = '' THEN w ELSE c END AS c FROM bare),
+kind0 AS (SELECT side, id, p, translate(c, {_LOWER}) AS c, CASE WHEN regexp_matches(c, '^[0-9]') THEN 1 WHEN regexp_matches(c, '^[A-Z\\x{{C0}}-\\x{{DE}}]') THEN 3 ELSE 0 END AS k FROM core),
+kinds AS (SELECT side, id, p, c, CASE WHEN k = 0 AND lag(k) OVER (PARTITION BY side, id ORDER BY p) = 1 AND c IN ({_UNITS}) THEN 2 ELSE k END AS k FROM kind0),
+lists AS (SELECT side, id, list(CASE WHEN k = 0 THEN c ELSE chr(1) || k END ORDER BY p) AS toks, list(k ORDER BY p) AS ks, list(CASE WHEN k > 0 THEN k || c END ORDER BY p) AS slots FROM kinds GROUP BY side, id),
+sized AS (SELECT *, least(len(toks), {decontaminate.WINDOW}) AS size FROM lists WHERE side = 'item' UNION ALL
+          SELECT * FROM lists, (SELECT DISTINCT least(len(toks), {decontaminate.WINDOW}) AS size FROM lists WHERE side = 'item') WHERE side = 'doc'),
+places AS (SELECT *, unnest(generate_series(1, len(toks) - size + 1)) AS p FROM sized),
+win AS (SELECT side, id, p, size, array_to_string(toks[p : p + size - 1], ' ') AS h, list_filter(slots[p : p + size - 1], lambda x: x IS NOT NULL) AS slots
+        FROM places WHERE 2 * len(list_filter(ks[p : p + size - 1], lambda x: x = 0)) >= size),
+total AS (SELECT id, count(*) AS n FROM win WHERE side = 'item' GROUP BY id),
+hit AS (SELECT d.id AS doc_id, i.id AS item_id, d.p - i.p AS off, i.p, i.slots AS a, d.slots AS b FROM win d JOIN win i ON d.side = 'doc' AND i.side = 'item' AND d.size = i.size AND d.h = i.h),
+pair AS (SELECT DISTINCT doc_id, item_id, off, unnest(a) AS a, unnest(b) AS b FROM hit),
+fill AS (SELECT doc_id, item_id, off, count(*) = count(DISTINCT a) AND count(*) = count(DISTINCT b) AS steady, bool_and(a = b) AS alike FROM pair GROUP BY ALL),
+run AS (SELECT hit.*, coalesce(alike, true) AS alike FROM hit LEFT JOIN fill USING (doc_id, item_id, off) WHERE coalesce(steady, true)),
+found AS (SELECT doc_id, item_id, count(DISTINCT p) AS n_windows, bool_and(alike) AS verbatim FROM run GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_windows, round(n_windows / total.n, 6) AS share, verbatim FROM found JOIN total ON total.id = item_id WHERE n_windows / total.n >= {decontaminate.MIN_SHARE}
+"""

@@ -23,6 +23,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": oracles.LINE_DEDUP,
+    "op2_decontaminate": oracles.DECONTAMINATION,
     "op5_quality_rules": oracles.QUALITY_RULES,
+    "op7_secret_scans": oracles.SECRET_SCANS,
     "op9_substring_dedup": oracles.SUBSTRING_DEDUP,
 }
