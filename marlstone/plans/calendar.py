@@ -86,10 +86,10 @@ def holiday_expand(spark, sf_dir):
     return E.days_of(e).select(F.date_format("day", "yyyy-MM-dd").alias("day")).distinct()
 
 
-@query(f"WITH {_T}, core AS (SELECT min(start::DATE) - 3 AS lo, max(start::DATE) + 3 AS hi FROM e WHERE user_id = 7) SELECT event_id FROM e, core WHERE contains(title, '放假') AND start::DATE BETWEEN lo AND hi")
+@query(f"WITH {_T}, core AS (SELECT min(start::DATE) - 3 AS lo, max(start::DATE) + 3 AS hi FROM e WHERE contains(title, '校慶')) SELECT event_id FROM e, core WHERE contains(title, '放假') AND start::DATE BETWEEN lo AND hi")
 def holiday_proximity(spark, sf_dir):
     e = titled(spark, sf_dir)
-    return E.near_core(e.where(E.is_holiday(F.col("title"))), e.where("user_id = 7")).select("event_id")
+    return E.near_core(e.where(E.is_holiday(F.col("title"))), e.where(F.col("title").contains("校慶"))).select("event_id")
 
 
 @query(f"WITH {_T} SELECT CAST(min(start::DATE) AS VARCHAR) AS low, CAST(max(start::DATE) AS VARCHAR) AS high, count(*) AS n FROM e WHERE contains(title, '期中考')")
@@ -98,31 +98,31 @@ def core_date_bounds(spark, sf_dir):
     return titled(spark, sf_dir).where(F.col("title").contains("期中考")).agg(day(F.min).alias("low"), day(F.max).alias("high"), F.count("*").alias("n"))
 
 
-@query(f"""WITH {_T}, core AS (SELECT event_id, start FROM e WHERE contains(title, '國慶') ORDER BY start, event_id LIMIT 8), near AS (SELECT event_id, start FROM e WHERE contains(title, '補假') AND user_id < 20 AND event_id NOT IN (SELECT event_id FROM core))
+@query(f"""WITH {_T}, core AS (SELECT event_id, start FROM e WHERE contains(title, '國慶') ORDER BY start, event_id LIMIT 8), near AS (SELECT event_id, start FROM e WHERE contains(title, '補假') AND event_id NOT IN (SELECT event_id FROM core))
 SELECT event_id FROM core UNION ALL SELECT event_id FROM near""")
 def event_union(spark, sf_dir):
     e = titled(spark, sf_dir)
     core = e.where(F.col("title").contains("國慶")).orderBy("start", "event_id").limit(8).select("event_id")
-    near = e.where(F.col("title").contains("補假") & (F.col("user_id") < 20)).join(core, "event_id", "left_anti").select("event_id")
+    near = e.where(F.col("title").contains("補假")).join(core, "event_id", "left_anti").select("event_id")
     return core.unionByName(near)
 
 
-@query(f"""WITH {_T}, h AS (SELECT DISTINCT user_id AS id, start::DATE AS day FROM e WHERE contains(title, '放假') AND event_id % 17 = 0), g AS (SELECT *, day - lag(day) OVER (PARTITION BY id ORDER BY day) AS gap FROM h),
+@query(f"""WITH {_T}, h AS (SELECT DISTINCT user_id AS id, start::DATE AS day FROM e WHERE contains(title, '放假')), g AS (SELECT *, day - lag(day) OVER (PARTITION BY id ORDER BY day) AS gap FROM h),
 r AS (SELECT id, min(day) AS first, max(day) AS last, coalesce(max(gap), 0) <= 2 AS consecutive FROM g GROUP BY id),
 s AS (SELECT id, consecutive, CASE WHEN consecutive AND isodow(first) = 1 THEN first - 2 WHEN consecutive AND isodow(first) = 7 THEN first - 1 ELSE first END AS a, CASE WHEN consecutive AND isodow(last) = 5 THEN last + 2 WHEN consecutive AND isodow(last) = 6 THEN last + 1 ELSE last END AS b FROM r)
 SELECT id, consecutive, CAST(a AS VARCHAR) AS start, CAST(b AS VARCHAR) AS "end", b - a + 1 AS days FROM s""")
 def long_weekend(spark, sf_dir):
-    h = titled(spark, sf_dir).where(E.is_holiday(F.col("title")) & (F.col("event_id") % 17 == 0)).select(F.col("user_id").alias("id"), F.to_date("start").alias("day"))
+    h = titled(spark, sf_dir).where(E.is_holiday(F.col("title"))).select(F.col("user_id").alias("id"), F.to_date("start").alias("day"))
     text = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
     return E.long_weekends(h).select("id", "consecutive", text("start"), text("end"), F.col("days").cast("long").alias("days"))
 
 
-@query(f"""WITH {_T}, h AS (SELECT DISTINCT start::DATE AS day, 1 AS off FROM e WHERE contains(title, '國慶日放假') AND user_id < 8), t AS (SELECT user_id AS id, min(start::DATE) AS first FROM e GROUP BY user_id),
+@query(f"""WITH {_T}, h AS (SELECT DISTINCT start::DATE AS day, 1 AS off FROM e WHERE contains(title, '國慶日放假')), t AS (SELECT user_id AS id, min(start::DATE) AS first FROM e GROUP BY user_id),
 o AS (SELECT id, unnest(generate_series(first::TIMESTAMP, (first + 119)::TIMESTAMP, INTERVAL 7 DAY))::DATE AS day FROM t)
 SELECT id, count(*) AS n, count(off) AS n_excluded, coalesce(string_agg(CASE WHEN off = 1 THEN CAST(day AS VARCHAR) END, ',' ORDER BY day), '') AS exdates FROM o LEFT JOIN h USING (day) GROUP BY id""")
 def recurrence_exdates(spark, sf_dir):
     e = titled(spark, sf_dir)
-    holidays = e.where(F.col("title").contains("國慶日放假") & (F.col("user_id") < 8)).select(F.to_date("start").alias("day"))
+    holidays = e.where(F.col("title").contains("國慶日放假")).select(F.to_date("start").alias("day"))
     terms = e.groupBy(F.col("user_id").alias("id")).agg(F.min(F.to_date("start")).alias("first"))
     return E.recurrence(terms, holidays)
 
@@ -132,10 +132,9 @@ def duplicate_events(spark, sf_dir):
     return E.duplicates(events(spark, sf_dir), 3600).select("event_id", "user_id")
 
 
-@query(f"WITH {_E} SELECT event_id, count(*) OVER w AS n, round(sum(value) OVER w, 4) AS total FROM e WINDOW w AS (PARTITION BY user_id % 8 ORDER BY epoch_us(start) RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW)")
+@query(f"WITH {_E} SELECT event_id, count(*) OVER w AS n, round(sum(value) OVER w, 4) AS total FROM e WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(start) RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW)")
 def rate_window(spark, sf_dir):
-    e = events(spark, sf_dir).withColumn("worker", F.col("user_id") % 8)
-    return E.rate(e, 3_600_000_000, ["worker"]).select("event_id", "n", F.round("total", 4).alias("total"))
+    return E.rate(events(spark, sf_dir), 3_600_000_000, ["user_id"]).select("event_id", "n", F.round("total", 4).alias("total"))
 
 
 @query(f"WITH {_E} SELECT event_id, (epoch_us(start) - epoch_us(lag(start) OVER (PARTITION BY user_id ORDER BY start, event_id))) / 1000000.0 < 10 AS cooling FROM e")
@@ -151,10 +150,10 @@ def session_ttl(spark, sf_dir):
     return s.select("user_id", F.unix_micros("start").alias("started"), F.unix_micros("end").alias("ended"), "n")
 
 
-@query(f"WITH {_E} SELECT event_id, title FROM e WHERE contains(props, '1') AND user_id % 3 = 0 ORDER BY start, event_id LIMIT 30")
+@query(f"WITH {_E} SELECT event_id, title FROM e WHERE contains(props, '1') ORDER BY start, event_id LIMIT 30")
 def owned_events(spark, sf_dir):
     """Events with the owner's tag, earliest first."""
-    e = events(spark, sf_dir).where(F.col("props").contains("1") & (F.col("user_id") % 3 == 0))
+    e = events(spark, sf_dir).where(F.col("props").contains("1"))
     return e.orderBy("start", "event_id").limit(30).select("event_id", "title")
 
 
@@ -185,13 +184,13 @@ def interval_repair(spark, sf_dir):
     return e.select("event_id", F.unix_micros("fixed").alias("end"), moved.alias("moved"))
 
 
-@query(f"""WITH {_E}, first AS (SELECT event_id FROM e WHERE start BETWEEN TIMESTAMP '2025-06-01' AND TIMESTAMP '2025-06-02'), wide AS (SELECT event_id FROM e WHERE user_id = 5 AND start BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2024-06-28')
+@query(f"""WITH {_E}, first AS (SELECT event_id FROM e WHERE start BETWEEN TIMESTAMP '2025-06-01' AND TIMESTAMP '2025-06-02'), wide AS (SELECT event_id FROM e WHERE contains(title, 'click') AND start BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2024-06-28')
 SELECT event_id FROM first UNION ALL SELECT event_id FROM wide WHERE (SELECT count(*) FROM first) = 0""")
 def search_window_fallback(spark, sf_dir):
     """The wide window counts only if the narrow one is empty."""
     e = events(spark, sf_dir)
     first = e.where("start BETWEEN timestamp'2025-06-01' AND timestamp'2025-06-02'")
-    wide = e.where("user_id = 5 AND start BETWEEN timestamp'2024-01-01' AND timestamp'2024-06-28'")
+    wide = e.where("contains(title, 'click') AND start BETWEEN timestamp'2024-01-01' AND timestamp'2024-06-28'")
     return (wide if first.isEmpty() else first).select("event_id")
 
 

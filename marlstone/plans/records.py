@@ -40,10 +40,10 @@ def credit_audit(spark, sf_dir):
     return R.audit(R.own_required(transcript(spark, sf_dir), _rules(spark, sf_dir)))
 
 
-@query("SELECT coalesce(nullif(sum(p_size) FILTER (p_partkey % 4 IN (0, 1, 2)), 0), 65)::BIGINT AS compulsory, 49 AS elective, 16 AS \"general\", 130 AS total FROM part WHERE p_partkey < 20")
+@query("SELECT coalesce(nullif(sum(p_size) FILTER (p_partkey % 4 IN (0, 1, 2)), 0), 65)::BIGINT AS compulsory, 49 AS elective, 16 AS \"general\", 130 AS total FROM part")
 def requirement_totals(spark, sf_dir):
     names = F.array(*[F.lit(x) for x in ("共同必修", "院必修", "系必修", "其他")])
-    p = table(spark, sf_dir, "part").where("p_partkey < 20")
+    p = table(spark, sf_dir, "part")
     return R.requirements(p.select(F.get(names, (F.col("p_partkey") % 4).cast("int")).alias("category"), F.col("p_size").alias("credits")))
 
 
@@ -99,7 +99,7 @@ def slot_to_clock(spark, sf_dir):
 
 
 _ENRICH = """
-c AS (SELECT p_name AS c_name, p_brand AS c_teacher, p_size % 4 AS credits, CASE WHEN p_partkey % 2 = 0 THEN '選修' ELSE '' END AS type FROM part WHERE p_partkey % 5 = 0),
+c AS (SELECT p_name AS c_name, p_brand AS c_teacher, p_size % 4 AS credits, CASE WHEN p_partkey % 2 = 0 THEN '選修' ELSE '' END AS type FROM part WHERE p_size <= 10),
 r AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN p_name || ' II' ELSE p_name END AS name, p_brand AS teacher FROM part),
 x AS (SELECT *, 1 AS tier FROM r JOIN c ON name = c_name UNION ALL SELECT *, 2 FROM r JOIN c ON name <> c_name AND length(name) >= 3 AND length(c_name) >= 3 AND (contains(name, c_name) OR contains(c_name, name) OR (length(trim(regexp_replace(name, '[（(].*$', ''))) >= 3 AND trim(regexp_replace(name, '[（(].*$', '')) = trim(regexp_replace(c_name, '[（(].*$', '')))) WHERE name NOT IN (SELECT c_name FROM c)),
 b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY tier, (contains(teacher, c_teacher) OR contains(c_teacher, teacher)) DESC, c_name, c_teacher, credits, type) AS n FROM x)"""
@@ -110,25 +110,25 @@ def fuzzy_enrich_join(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     name = F.when(F.col("p_partkey") % 3 == 0, F.concat("p_name", F.lit(" II"))).otherwise(F.col("p_name"))
     records = p.select(F.col("p_partkey").alias("id"), name.alias("name"), F.col("p_brand").alias("teacher"))
-    catalogue = p.where("p_partkey % 5 = 0").select(F.col("p_name").alias("name"), F.col("p_brand").alias("teacher"), (F.col("p_size") % 4).alias("credits"), F.when(F.col("p_partkey") % 2 == 0, "選修").otherwise("").alias("type"))
+    catalogue = p.where("p_size <= 10").select(F.col("p_name").alias("name"), F.col("p_brand").alias("teacher"), (F.col("p_size") % 4).alias("credits"), F.when(F.col("p_partkey") % 2 == 0, "選修").otherwise("").alias("type"))
     return R.enrich(records, catalogue)
 
 
-@query("""WITH o AS (SELECT doc_id AS path, sha256(text) AS d FROM documents WHERE doc_id % 10 <> 1), n AS (SELECT doc_id AS path, sha256(CASE WHEN doc_id % 10 = 2 THEN text || '!' ELSE text END) AS d FROM documents WHERE doc_id % 10 <> 3)
+@query("""WITH o AS (SELECT doc_id AS path, sha256(text) AS d FROM documents WHERE lang <> 'fr'), n AS (SELECT doc_id AS path, sha256(CASE WHEN lang = 'es' THEN text || '!' ELSE text END) AS d FROM documents WHERE lang <> 'de')
 SELECT path, CASE WHEN o.d IS NULL THEN 'new' WHEN n.d IS NULL THEN 'deleted' WHEN o.d <> n.d THEN 'modified' ELSE 'unchanged' END AS status FROM o FULL OUTER JOIN n USING (path)""")
 def manifest_diff(spark, sf_dir):
-    """Two snapshots: one digit of the id is missing in each, one is changed."""
+    """Two snapshots: each lacks one language, and a third has changed."""
     d = table(spark, sf_dir, "documents")
-    last = F.col("doc_id") % 10
-    old = d.where(last != 1).select(F.col("doc_id").alias("path"), F.sha2("text", 256).alias("digest"))
-    new = d.where(last != 3).select(F.col("doc_id").alias("path"), F.sha2(F.when(last == 2, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("digest"))
+    lang = F.col("lang")
+    old = d.where(lang != "fr").select(F.col("doc_id").alias("path"), F.sha2("text", 256).alias("digest"))
+    new = d.where(lang != "de").select(F.col("doc_id").alias("path"), F.sha2(F.when(lang == "es", F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("digest"))
     return R.manifest_diff(old, new)
 
 
-@query("WITH t AS (SELECT doc_id, sha256('RETRIEVAL:64:' || text) AS key FROM documents), c AS (SELECT DISTINCT key FROM t WHERE doc_id % 3 = 0) SELECT doc_id, t.key IN (SELECT key FROM c) AS hit FROM t")
+@query("WITH t AS (SELECT doc_id, lang, sha256('RETRIEVAL:64:' || text) AS key FROM documents), c AS (SELECT DISTINCT key FROM t WHERE lang = 'en') SELECT doc_id, t.key IN (SELECT key FROM c) AS hit FROM t")
 def embed_cache_split(spark, sf_dir):
-    t = table(spark, sf_dir, "documents").select("doc_id", R.cache_key("RETRIEVAL", 64, F.col("text")).alias("key"))
-    return R.cache_split(t, t.where("doc_id % 3 = 0")).select("doc_id", "hit")
+    t = table(spark, sf_dir, "documents").select("doc_id", "lang", R.cache_key("RETRIEVAL", 64, F.col("text")).alias("key"))
+    return R.cache_split(t, t.where("lang = 'en'")).select("doc_id", "hit")
 
 
 @query("SELECT doc_id, sha256(text) AS digest, sha256('QUERY:3072:' || text) AS key FROM documents")
@@ -151,10 +151,12 @@ def audience_segment(spark, sf_dir):
     return u.where(F.col("dept").contains("A") & (F.col("grade") == "BUILDING") & F.array_contains("groups", "even")).select("user_id")
 
 
-@query(f"WITH {_USERS}, m AS (SELECT unnest(groups) AS name, user_id FROM u) SELECT name, count(*) AS n_members, min(user_id) AS first_member, md5(string_agg(user_id, ',' ORDER BY user_id)) AS members FROM m GROUP BY name")
+@query(f"WITH {_USERS}, m AS (SELECT unnest(groups) AS name, user_id FROM u) SELECT name, user_id, count(*) OVER (PARTITION BY name) AS n_members, min(user_id) OVER (PARTITION BY name) AS first_member FROM m")
 def group_members(spark, sf_dir):
+    """A row per member: a group may hold any share of the users, so its members are not gathered into one value."""
     m = _users(spark, sf_dir).select(F.explode("groups").alias("name"), "user_id")
-    return m.groupBy("name").agg(F.count("*").alias("n_members"), F.min("user_id").alias("first_member"), F.md5(F.array_join(F.array_sort(F.collect_list("user_id")).cast("array<string>"), ",")).alias("members"))
+    sizes = m.groupBy("name").agg(F.count("*").alias("n_members"), F.min("user_id").alias("first_member"))
+    return m.join(sizes, "name").select("name", "user_id", "n_members", "first_member")
 
 
 @query(f"WITH {_USERS} SELECT user_id, array_to_string(list_sort(list_distinct(list_append(groups, 'new'))), ',') AS joined, array_to_string(list_sort(list_filter(groups, lambda x: x <> 'even')), ',') AS left_, greatest(0, len(groups) - 2) AS clamped, upper(substr(sha256(groups[1]), 1, 6)) AS code FROM u")
@@ -165,11 +167,11 @@ def membership_ops(spark, sf_dir):
 
 
 @query("""SELECT coalesce(o.k, n.k) AS user_id, CASE WHEN n.k IS NOT NULL THEN n.s ELSE o.s END AS segment, coalesce(o.b, n.b) AS balance
-FROM (SELECT c_custkey AS k, c_mktsegment AS s, c_acctbal AS b FROM customer WHERE c_custkey % 5 <> 0) o FULL OUTER JOIN (SELECT c_custkey AS k, lower(c_mktsegment) AS s, 0.0::DOUBLE AS b FROM customer WHERE c_custkey % 3 = 0) n ON o.k = n.k""")
+FROM (SELECT c_custkey AS k, c_mktsegment AS s, c_acctbal AS b FROM customer WHERE c_acctbal >= 0) o FULL OUTER JOIN (SELECT c_custkey AS k, lower(c_mktsegment) AS s, 0.0::DOUBLE AS b FROM customer WHERE c_mktsegment <> 'BUILDING') n ON o.k = n.k""")
 def profile_merge(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
-    old = c.where("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("balance"))
-    new = c.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("user_id"), F.lower("c_mktsegment").alias("segment"), F.lit(0.0).alias("balance"))
+    old = c.where("c_acctbal >= 0").select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("balance"))
+    new = c.where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("user_id"), F.lower("c_mktsegment").alias("segment"), F.lit(0.0).alias("balance"))
     return R.merge_profiles(old, new, "user_id", ["segment"], ["balance"])
 
 
@@ -220,7 +222,7 @@ def required_roster(spark, sf_dir):
 _GE = "CASE WHEN contains(n, 'almond') THEN '社會' WHEN contains(n, '1') THEN '自然' ELSE '人文藝術' END"
 
 
-@query(f"""WITH d AS (SELECT p_name AS name, CASE p_size % 3 WHEN 0 THEN '人文' WHEN 1 THEN '社會' ELSE '自然' END AS domain, p_partkey FROM part WHERE p_partkey % 4 = 0),
+@query(f"""WITH d AS (SELECT p_name AS name, CASE p_size % 3 WHEN 0 THEN '人文' WHEN 1 THEN '社會' ELSE '自然' END AS domain, p_partkey FROM part WHERE p_size <= 12),
 e AS (SELECT name, arg_max(domain, p_partkey) AS domain FROM d GROUP BY name), r AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_name || '（甲）' ELSE p_name END AS n FROM part)
 SELECT p_partkey, coalesce(a.domain, b.domain, {_GE}) AS domain FROM r LEFT JOIN e a ON a.name = n LEFT JOIN e b ON b.name = trim(regexp_replace(n, '[（(][^）)]*[）)]', '', 'g'))""")
 def ge_domain_chain(spark, sf_dir):
@@ -229,7 +231,7 @@ def ge_domain_chain(spark, sf_dir):
 
     p = table(spark, sf_dir, "part")
     domain = F.when(F.col("p_size") % 3 == 0, "人文").when(F.col("p_size") % 3 == 1, "社會").otherwise("自然")
-    known = p.where("p_partkey % 4 = 0").groupBy(F.col("p_name").alias("name")).agg(F.max_by(domain, "p_partkey").alias("domain"))
+    known = p.where("p_size <= 12").groupBy(F.col("p_name").alias("name")).agg(F.max_by(domain, "p_partkey").alias("domain"))
     r = p.select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, F.concat("p_name", F.lit("（甲）"))).otherwise(F.col("p_name")).alias("n"))
     r = r.join(known.select(F.col("name").alias("n"), F.col("domain").alias("a")), "n", "left").withColumn("bare", strip_parens(F.col("n")))
     r = r.join(known.select(F.col("name").alias("bare"), F.col("domain").alias("b")), "bare", "left")
@@ -237,17 +239,16 @@ def ge_domain_chain(spark, sf_dir):
     return r.select("p_partkey", F.coalesce("a", "b", ladder).alias("domain"))
 
 
-@query("""WITH cand AS (SELECT s_suppkey AS student, l_partkey AS course, l_linenumber % 7 + 1 AS day, l_partkey % 13 + 1 AS period, l_quantity AS score FROM supplier JOIN lineitem ON l_suppkey = s_suppkey % 10 + 1 AND l_orderkey % 40 = s_suppkey % 40),
-busy AS (SELECT DISTINCT l_suppkey AS student, l_linenumber % 7 + 1 AS day, l_partkey % 13 + 1 AS period, 1 AS busy FROM lineitem WHERE l_returnflag = 'N' AND l_orderkey % 50 = 0),
+@query("""WITH cand AS (SELECT s_suppkey AS student, l_partkey AS course, l_linenumber % 7 + 1 AS day, l_partkey % 13 + 1 AS period, l_quantity AS score FROM supplier JOIN lineitem ON l_suppkey = s_suppkey WHERE l_returnflag = 'R'),
+busy AS (SELECT DISTINCT l_suppkey AS student, l_linenumber % 7 + 1 AS day, l_partkey % 13 + 1 AS period, 1 AS busy FROM lineitem WHERE l_returnflag = 'N'),
 passed AS (SELECT l_suppkey AS student, l_partkey AS course FROM lineitem WHERE l_returnflag = 'A'),
 r AS (SELECT student, course, max(coalesce(busy, 0)) AS clash, max(score) AS score FROM cand LEFT JOIN busy USING (student, day, period) WHERE NOT EXISTS (SELECT 1 FROM passed p WHERE p.student = cand.student AND p.course = cand.course) GROUP BY student, course)
 SELECT student, course, clash, score, row_number() OVER (PARTITION BY student ORDER BY clash, score DESC, course) AS rank FROM r""")
 def clash_aware_recommend(spark, sf_dir):
     s, l = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "lineitem")  # noqa: E741
     day, period = (F.col("l_linenumber") % 7 + 1).alias("day"), (F.col("l_partkey") % 13 + 1).alias("period")
-    on = (F.col("l_suppkey") == F.col("s_suppkey") % 10 + 1) & (F.col("l_orderkey") % 40 == F.col("s_suppkey") % 40)
-    candidates = s.join(l, on).select(F.col("s_suppkey").alias("student"), F.col("l_partkey").alias("course"), day, period, F.col("l_quantity").alias("score"))
-    busy = l.where("l_returnflag = 'N' AND l_orderkey % 50 = 0").select(F.col("l_suppkey").alias("student"), day, period)
+    candidates = s.join(l.where("l_returnflag = 'R'"), F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("s_suppkey").alias("student"), F.col("l_partkey").alias("course"), day, period, F.col("l_quantity").alias("score"))
+    busy = l.where("l_returnflag = 'N'").select(F.col("l_suppkey").alias("student"), day, period)
     passed = l.where("l_returnflag = 'A'").select(F.col("l_suppkey").alias("student"), F.col("l_partkey").alias("course"))
     return R.recommend(candidates, busy, passed)
 

@@ -240,8 +240,10 @@ _HYBRID = M.Filters({"dept_short": ["en"]})
 def hybrid_plan(spark, sf_dir, top_k: int = 30):
     """Vector and keyword lists fused with metadata scores, best first."""
     v, b = _two_lists(spark, sf_dir)
+    v, b = v.persist(), b.persist()  # two lists of 30 rows; the filter on the metadata and the fusion both read them
+    listed = F.broadcast(v.select("node_id").union(b.select("node_id")).distinct())
     meta = chunks(spark, sf_dir).select("node_id", (M.normal_score(_HYBRID) + M.soft_score(_HYBRID)).alias("metadata_score"))
-    return R.fuse(v, b, meta).orderBy(F.desc("final_score"), "node_id").limit(top_k)
+    return R.fuse(v, b, meta.join(listed, "node_id", "left_semi")).orderBy(F.desc("final_score"), "node_id").limit(top_k)
 
 
 @query(f"""WITH {_LISTS}, c AS ({CHUNKS_SQL}), m AS (SELECT node_id, CASE WHEN contains(dept_short, 'en') OR contains('en', dept_short) THEN 3.0::DOUBLE ELSE -100.0::DOUBLE END AS meta FROM c),
@@ -308,12 +310,14 @@ def teacher_courses(spark, sf_dir):
     return pairs.withColumn("n", n).where("n <= 25").drop("n")
 
 
-@query("""WITH l AS (SELECT source, doc_id, trim(unnest(string_split(text, chr(10)))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
+@query("""WITH c AS (SELECT source, doc_id, text FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 100),
+l AS (SELECT source, doc_id, trim(unnest(string_split(text, chr(10)))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM c),
 f AS (SELECT *, row_number() OVER (PARTITION BY source, line ORDER BY doc_id, pos) AS n FROM l WHERE line <> '')
 SELECT source, count(*) AS n_lines, md5(string_agg(line, chr(10) ORDER BY doc_id, pos)) AS dossier FROM f WHERE n = 1 GROUP BY source""")
 def professor_dossier(spark, sf_dir):
-    """Each teacher's chunks as one text in which a line occurs once."""
-    d = table(spark, sf_dir, "documents")
+    """Each teacher's first 100 chunks (the dossier's limit) as one text in which a line occurs once."""
+    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    d = table(spark, sf_dir, "documents").withColumn("n", n).where(F.col("n") <= 100)
     lines = d.select("source", "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("line", F.btrim("line")).where("line <> ''")
     once = lines.withColumn("n", F.row_number().over(Window.partitionBy("source", "line").orderBy("doc_id", "pos"))).where("n = 1")
     rows = F.array_sort(F.collect_list(F.struct("doc_id", "pos", "line")))
