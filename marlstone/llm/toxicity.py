@@ -1,15 +1,16 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-Features are the distinct character n-grams (3 to 5 code points, A-Z lower-cased,
+Features are the distinct character n-grams (3 to 6 code points, A-Z lower-cased,
 white space collapsed to one space, a space at either end) of the whole text,
 hashed into ``BUCKETS`` buckets.  ``fit``
 
 1. counts, over *all* labelled rows, in how many texts of each class a bucket
    occurs (summed per partition, then by bucket) and takes the smoothed
    log-ratio of the two class frequencies,
-2. fits logistic weights on presence x ratio over a bounded sample of labelled
-   rows: at most ``sample_per_class`` of each class, those of the smallest
-   hash of (doc_id, text), weighted back to the class sizes.
+2. keeps the buckets that tell the classes apart: those of enough texts (at most ``MIN_TEXTS``, fewer if a class
+   has few texts) whose ratio is at least ``MIN_RATIO`` either way; rare n-grams only serve to learn texts by heart,
+3. fits logistic weights, both classes weighing the same, on presence x ratio over a bounded sample of labelled
+   rows: at most ``sample_per_class`` of each class, those of the smallest hash of doc_id.
 
 ``score`` is map-only.  Defined results: a null or empty text scores as a text
 without n-grams (the intercept); labels that are null or whose doc_id is null or
@@ -30,13 +31,16 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BUCKET_BITS = 18
+BUCKET_BITS = 20
 BUCKETS = 1 << BUCKET_BITS
-ORDERS = (3, 4, 5)
+ORDERS = (3, 4, 5, 6)
 #: Bound of the sample that the logistic weights are fitted on, per class.
 SAMPLE_PER_CLASS = 1000
-SMOOTHING = 0.5
-PENALTY = 1e-5
+SMOOTHING = 1.0
+#: A feature needs so many texts, or a thirtieth of the smaller class if that is less, and so large a ratio.
+MIN_TEXTS = 10
+MIN_RATIO = 1.0
+PENALTY = 1e-4
 ROUNDS = 150
 
 _U = np.uint64
@@ -44,8 +48,9 @@ _U = np.uint64
 
 @dataclass(frozen=True)
 class Model:
-    """weight: per bucket, ratio times logistic weight; a text scores sigmoid(intercept + sum / sqrt(n))."""
+    """The buckets that are features, and the weight (ratio times logistic weight) of each; a text scores sigmoid(intercept + sum / sqrt(n))."""
 
+    buckets: np.ndarray
     weight: np.ndarray
     intercept: float
 
@@ -55,22 +60,34 @@ def _normal(text: str | None) -> np.ndarray:
     return np.frombuffer(b" ".join([b"", *raw.split(), b""]).decode("utf-8", "replace").encode("utf-32-le"), "<u4")
 
 
+def _occurrences(text: str | None) -> np.ndarray:
+    """Buckets of a text's n-grams, repeats included."""
+    points = _normal(text).astype(_U)
+    found = [common.rolling(points + _U(n), n, common.BASE) >> _U(64 - BUCKET_BITS) for n in ORDERS if len(points) >= n]
+    return np.concatenate(found).astype(np.int64) if found else np.empty(0, np.int64)
+
+
 def ngram_buckets(text: str | None, seen: np.ndarray) -> np.ndarray:
     """Distinct buckets of a text's n-grams.  seen: scratch of BUCKETS int64, any content."""
-    points = _normal(text).astype(_U)
-    found = []
-    for n in ORDERS:
-        if len(points) >= n:
-            h = common.rolling(points + _U(n), n, 0x9E3779B97F4A7C15)
-            found.append((h >> _U(64 - BUCKET_BITS)).astype(np.int64))
-    if not found:
-        return np.empty(0, np.int64)
-    ids = np.concatenate(found)
+    ids = _occurrences(text)
     at = np.arange(len(ids))
     seen[ids] = at  # of equal buckets the last stays
     return ids[seen[ids] == at]
 
 
+def _slots(buckets: np.ndarray) -> np.ndarray:
+    """Place of each bucket among the features, -1 for the others."""
+    slot = np.full(BUCKETS, -1, np.int32)
+    slot[buckets] = np.arange(len(buckets))
+    return slot
+
+
+def _features(text: str | None, slot: np.ndarray) -> np.ndarray:
+    """The features that a text holds, each once."""
+    at = slot[_occurrences(text)]
+    return np.unique(at[at >= 0])
+
+
 def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts, n = np.zeros((2, BUCKETS), np.int64), [0, 0]
     seen = np.zeros(BUCKETS, np.int64)
@@ -83,25 +100,19 @@ def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield pa.RecordBatch.from_pydict({"bucket": bucket, "clean": np.append(counts[0, hit], n[0]), "toxic": np.append(counts[1, hit], n[1])})
 
 
-def _fit_weights(texts: pd.Series, toxic: np.ndarray, share: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
-    """Accelerated gradient descent on the weighted, penalised logistic loss."""
-    seen = np.zeros(BUCKETS, np.int64)
-    rows = [ngram_buckets(t, seen).astype(np.int32) for t in texts]
+def _fit_weights(rows: list[np.ndarray], toxic: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
+    """Accelerated gradient descent on the penalised logistic loss, half of which is each class's."""
     size = np.array([len(r) for r in rows])
     ids = np.concatenate(rows)
-    there = np.zeros(BUCKETS, bool)
-    there[ids] = True
-    used = np.flatnonzero(there)
-    ids = (np.cumsum(there, dtype=np.int32) - 1)[ids]
     doc = np.repeat(np.arange(len(rows), dtype=np.int32), size)
     scale = 1 / np.sqrt(np.maximum(size, 1))
-    r = ratio[used]
-    w, b, vw, vb = np.zeros(len(used)), 0.0, np.zeros(len(used)), 0.0
-    mw, mb = vw.copy(), 0.0
+    share = np.where(toxic == 1, 0.5 / max(1, (toxic == 1).sum()), 0.5 / max(1, (toxic == 0).sum()))
+    w, b = np.zeros(len(ratio)), 0.0
+    mw, vw, mb, vb = w.copy(), w.copy(), 0.0, 0.0
     for t in range(1, ROUNDS + 1):
-        z = np.bincount(doc, (w * r)[ids], len(rows)) * scale + b
+        z = np.bincount(doc, (w * ratio)[ids], len(rows)) * scale + b
         slope = share * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - toxic)
-        gw = np.bincount(ids, (slope * scale)[doc], len(used)) * r + PENALTY * w
+        gw = np.bincount(ids, (slope * scale)[doc], len(ratio)) * ratio + PENALTY * w
         gb = slope.sum()
         mw, mb = 0.9 * mw + 0.1 * gw, 0.9 * mb + 0.1 * gb
         vw, vb = 0.99 * vw + 0.01 * gw**2, 0.99 * vb + 0.01 * gb**2
@@ -109,56 +120,72 @@ def _fit_weights(texts: pd.Series, toxic: np.ndarray, share: np.ndarray, ratio:
         fix = np.sqrt(1 - 0.99**t)
         w -= step * mw / (np.sqrt(vw) / fix + 1e-8)
         b -= step * mb / (np.sqrt(vb) / fix + 1e-8)
-    full = np.zeros(BUCKETS, np.float32)
-    full[used] = w * r
-    return full, float(b)
+    return w * ratio, float(b)
+
+
+def _tilted(sums: DataFrame, n0: int, n1: int) -> pd.DataFrame:
+    """bucket, ratio of the buckets that are features: at most BUCKETS rows."""
+    least = float(np.clip(min(n0, n1) / 30, 1, MIN_TEXTS))
+    rate = lambda c, n: F.log((F.col(c) + SMOOTHING) / (n + 2 * SMOOTHING))
+    rows = sums.where((F.col("bucket") >= 0) & (F.col("clean") + F.col("toxic") >= least)).select("bucket", (rate("toxic", n1) - rate("clean", n0)).alias("ratio"))
+    return rows.where(F.abs("ratio") >= MIN_RATIO).toPandas().sort_values("bucket")
+
+
+def _sample(docs: DataFrame, known: DataFrame, slot: np.ndarray, most: int) -> DataFrame:
+    """toxic, rank, features of at most ``most`` labelled rows of each class; texts are read for the rows picked only."""
+    rank = F.xxhash64(F.col("__id")).alias("rank")
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.rows_of(batches):
+            found = [_features(t, slot).astype("<i4").tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"toxic": batch.column("toxic"), "rank": batch.column("rank"), "features": pa.array(found, pa.binary())})
+
+    ids = docs.select(F.col("doc_id").alias("__id")).where(~common.is_held_out("__id"))
+    parts = []
+    for label in (0, 1):
+        labelled = common.narrow_side(known.where(F.col("__y") == label).select("__id").distinct())
+        picked = ids.join(labelled, "__id").select("__id", rank).orderBy("rank").limit(most).distinct()
+        rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("__id")).select("text", F.lit(label).alias("toxic"), "rank")
+        parts.append(rows.mapInArrow(held, "toxic int, rank long, features binary").orderBy("rank").limit(most))
+    return parts[0].unionAll(parts[1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER_CLASS) -> Model:
     """Learn from the labelled rows that are not held out; only model parameters reach the driver."""
     known = labels.select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("__y")).where(F.col("__y").isin(0, 1))
-    train = docs.select("doc_id", "text").where(~common.is_held_out("doc_id")).join(common.narrow_side(known), F.col("doc_id") == F.col("__id")).select("doc_id", "text", F.col("__y").alias("toxic"))
-    sums = train.select("text", "toxic").mapInArrow(_class_counts, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas()  # at most BUCKETS + 1 rows
-    n = sums[sums.bucket == -1]
-    n0, n1 = (int(n[c].sum()) for c in ("clean", "toxic"))
+    train = docs.select("doc_id", "text").where(~common.is_held_out("doc_id")).join(common.narrow_side(known), F.col("doc_id") == F.col("__id")).select("text", F.col("__y").alias("toxic"))
+    sums = common.materialize(train.mapInArrow(_class_counts, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "buckets")
+    n = sums.where("bucket = -1").first()
+    n0, n1 = (n.clean, n.toxic) if n else (0, 0)
+    none = np.empty(0)
     if not n0 or not n1:
-        return Model(np.zeros(BUCKETS, np.float32), float(np.log((n1 + 1) / (n0 + 1))))
-    counts = np.zeros((2, BUCKETS))
-    own = sums[sums.bucket >= 0]
-    counts[0, own.bucket], counts[1, own.bucket] = own.clean, own.toxic
-    ratio = np.log((counts[1] + SMOOTHING) / (n1 + 2 * SMOOTHING)) - np.log((counts[0] + SMOOTHING) / (n0 + 2 * SMOOTHING))
-    ratio[counts.sum(axis=0) == 0] = 0
-
-    rank = F.xxhash64("doc_id", "text")
-    share = {0: n0, 1: n1}
-    sample = None
-    for label in (0, 1):
-        part = train.where(F.col("toxic") == label).select("text", "toxic", rank.alias("rank")).orderBy("rank").limit(sample_per_class)
-        sample = part if sample is None else sample.unionAll(part)
+        return Model(none.astype(np.int64), none, float(np.log((n1 + 1) / (n0 + 1))))
+    tilted = _tilted(sums, n0, n1)
+    buckets, ratio = tilted["bucket"].to_numpy(np.int64), tilted["ratio"].to_numpy(float)
 
     def fitted(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["toxic", "rank"], kind="stable")
-        y = pdf.toxic.to_numpy()
-        each = np.array([share[0] / max(1, (y == 0).sum()), share[1] / max(1, (y == 1).sum())])[y] / (share[0] + share[1])
-        weight, intercept = _fit_weights(pdf.text, y, each, ratio)
+        weight, intercept = _fit_weights([np.frombuffer(f, "<i4") for f in pdf.features], pdf.toxic.to_numpy(), ratio)
         return pd.DataFrame({"weight": [weight.tobytes()], "intercept": [intercept]})
 
-    row = sample.groupBy().applyInPandas(fitted, "weight binary, intercept double").collect()[0]
-    return Model(np.frombuffer(row.weight, np.float32), row.intercept)
+    sample = _sample(docs, known, _slots(buckets), sample_per_class)
+    row = sample.groupBy().applyInPandas(fitted, "weight binary, intercept double").first()
+    return Model(buckets, np.frombuffer(row.weight, float), row.intercept)
 
 
 def score(text: Column, model: Model) -> Column:
     """Probability that the text is toxic, a double from 0 to 1 on each row."""
-    weight, intercept = model.weight, model.intercept
+    buckets, weight, intercept = model.buckets, model.weight, model.intercept
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        seen = np.zeros(BUCKETS, np.int64)
+        slot = _slots(buckets)
         for texts in batches:
-            z = np.empty(len(texts))
+            z = np.full(len(texts), intercept)
             for i, t in enumerate(texts):
-                ids = ngram_buckets(t, seen)
-                z[i] = intercept + (weight[ids].sum(dtype=np.float64) / np.sqrt(len(ids)) if len(ids) else 0.0)
+                held = _features(t, slot)
+                if len(held):
+                    z[i] += weight[held].sum() / np.sqrt(len(held))
             yield pd.Series(1 / (1 + np.exp(-np.clip(z, -700, 700))))
 
     return scored(text)
