@@ -70,6 +70,27 @@ def repaired_end(start: Column, end: Column, all_day: Column) -> Column:
     return F.when(end.isNull(), F.when(all_day, start + day).otherwise(start + two)).when(end <= start, F.when(all_day, start + day).otherwise(start + hour)).otherwise(end)
 
 
+def list_range(start: Column, end: Column, target: Column, now: Column) -> tuple[Column, Column]:
+    """The window that a calendar listing searches: from the start to the end, else to the day after the target, else 30 days;
+    the target's day if there is no start; the next 7 days if there is neither."""
+    days = lambda t, n: t + F.make_interval(days=F.lit(n))
+    after = days(target, 1)
+    to = F.coalesce(end, F.when(after > start, after), days(start, 30))
+    low = F.coalesce(start, target, now)
+    return low, F.when(start.isNotNull(), to).when(target.isNotNull(), days(target, 1)).otherwise(days(now, 7))
+
+
+#: What asks for all events of the calendar, and for the whole timetable, to be removed.
+CLEAR_WORDS = ("所有", "全部", "清空", "所有行程", "全部行程", "全部行事曆", "所有行事曆", "所有新增的行事曆", "全刪")
+TIMETABLE_WORDS = ("課表", "所有課", "全部課", "課程表", "我的課表", "課程", "所有課程")
+
+
+def removal_keyword(name: Column, intent: Column) -> Column:
+    """The title keyword of a removal: ``*`` for everything, the course prefix for the timetable, else the name itself."""
+    everything = name.isin(*CLEAR_WORDS) | ((name == "*") & intent.isin("custom_event", "course_schedule_event"))
+    return F.when(everything, "*").when((intent == "import_schedule") | name.isin(*TIMETABLE_WORDS), "[課程]").otherwise(name)
+
+
 def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
     return ~((a_start > b_end) | (a_end < b_start))
 

@@ -30,7 +30,7 @@ _COLUMNS = {
     "schedule": "case when d.doc_id % 11 = 0 then '' else concat('星期', substr('一二三四五', cast(d.doc_id % 5 + 1 as int), 1), '第', cast(d.doc_id % 10 + 1 as string), '節~第', cast(d.doc_id % 10 + 1 + d.doc_id % 3 as string), '節') end",
     "classroom": "concat('E', cast(100 + d.doc_id % 20 as string))",
     "ge_domain": "case d.doc_id % 4 when 0 then '人文' when 1 then '社會' when 2 then '自然' else '' end",
-    "info_type": "case when d.doc_id % 7 = 3 then 'professor_info' end",
+    "info_type": "case d.doc_id % 7 when 3 then 'professor_info' when 5 then 'dept_intro' when 6 then 'policy_rules' end",
     "credits": "case when d.doc_id % 13 = 0 then 'x' else concat(cast(d.doc_id % 4 as string), '.0') end",
 }
 

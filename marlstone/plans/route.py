@@ -81,6 +81,30 @@ def period_range(question: Column) -> Column:
     return F.concat(a, F.lit("-"), b)
 
 
+#: Spoken time of day to class periods, first hit wins.
+SPOKEN_PERIODS = {"早上": "第1節 第2節 第3節 第4節 上午", "上午": "第1節 第2節 第3節 第4節", "下午": "第5節 第6節 第7節 第8節 第9節", "晚上": "第10節 第11節 第12節 夜間"}
+
+
+def with_periods(question: Column) -> Column:
+    """The question with the class periods of the first time of day that it names."""
+    out = question
+    for spoken, formal in reversed(SPOKEN_PERIODS.items()):
+        out = F.when(question.contains(spoken), F.concat(question, F.lit(f" ({formal})"))).otherwise(out)
+    return out
+
+
+def schedule_topic(question: Column, courses: Column) -> Column:
+    """Which part of a timetable a question is about: free, day, credits, course (one of ``courses`` is named) or full."""
+    named = F.exists(courses, lambda c: (c != "") & question.contains(c))
+    return (
+        F.when(any_word(question, ["空堂", "有空", "沒課", "沒有課", "下課"]), "free")
+        .when(weekday(question).isNotNull() | F.lower(question).rlike("monday|tuesday|wednesday|thursday|friday|saturday|sunday"), "day")
+        .when(any_word(question, ["學分", "幾學分", "修了多少"]), "credits")
+        .when(named, "course")
+        .otherwise("full")
+    )
+
+
 def classroom(question: Column) -> Column:
     return _groups(question, CLASSROOM, 1)
 

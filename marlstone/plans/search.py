@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon
 from ..functions import text as T
+from ..operators import inject as I
 from ..operators import match as M
 from ..operators import retrieve as R
+from . import engine
 from .mapping import CHUNKS_SQL, chunks, query_vectors, table, vectors
+from .route import Route
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -322,3 +325,64 @@ def professor_dossier(spark, sf_dir):
     once = lines.withColumn("n", F.row_number().over(Window.partitionBy("source", "line").orderBy("doc_id", "pos"))).where("n = 1")
     rows = F.array_sort(F.collect_list(F.struct("doc_id", "pos", "line")))
     return once.groupBy("source").agg(F.count("*").alias("n_lines"), F.md5(F.array_join(F.transform(rows, lambda r: r["line"]), "\n")).alias("dossier"))
+
+
+_STRICT = M.Filters({"classroom": ["E110"], "academic_year": ["113"]})
+_STRICT_SQL = "section = 'basic_info' AND (contains(lower(classroom), 'e110') OR contains('e110', lower(classroom))) AND contains(classroom, 'E110') AND academic_year = '113'"
+
+
+@query(f"WITH c AS ({CHUNKS_SQL}) SELECT node_id, classroom FROM c WHERE {_STRICT_SQL}")
+def metadata_first(spark, sf_dir):
+    """Chunks that satisfy all strict filters, found without any search list."""
+    c = chunks(spark, sf_dir)
+    return c.join(I.by_metadata(c, _STRICT), "node_id", "left_semi").select("node_id", "classroom")
+
+
+_KINDS = ", ".join(f"'{k}'" for k in I.POLICY_KINDS)
+
+
+@query(f"""WITH c AS ({CHUNKS_SQL}) SELECT 'named' AS asked, node_id, 1.0::DOUBLE AS score, 10.0::DOUBLE AS metadata_score, 'intent_inject_exact' AS source FROM c WHERE info_type = 'professor_info' AND teacher IN ('src1') UNION ALL
+SELECT 'named', node_id, 0.5, 5.0, 'intent_inject' FROM c WHERE info_type = 'dept_intro' AND dept_short <> '' UNION ALL
+SELECT 'all', node_id, CASE WHEN info_type = 'professor_info' THEN 0.9 ELSE 0.5 END, 5.0, CASE WHEN info_type = 'professor_info' THEN 'intent_inject_all_profs' ELSE 'intent_inject' END FROM c WHERE info_type = 'professor_info' OR info_type = 'dept_intro' AND dept_short <> '' UNION ALL
+SELECT 'policy', node_id, 1.0, 10.0, 'intent_inject_policy' FROM c WHERE info_type IN ({_KINDS})""".replace("teacher IN ('src1')", f"(contains(teacher, 'src1') OR contains('src1', teacher) OR {_shared_sql('src1', 'teacher')})"))
+def intent_rows(spark, sf_dir):
+    """What a question about a professor, about professors and about rules always sees."""
+    c = chunks(spark, sf_dir)
+    asked = {"named": I.by_intent(c, "professor_info", ["src1教授"]), "all": I.by_intent(c, "professor_info"), "policy": I.by_intent(c, "policy_rules")}
+    parts = [rows.withColumn("asked", F.lit(name)) for name, rows in asked.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(f"""WITH c AS ({CHUNKS_SQL}), t AS (SELECT *, section IN ('basic_info', 'objectives') AND academic_year = '114' AND semester = '2' AS term, contains('fr', dept_short) OR contains(dept_short, 'fr') AS own FROM c),
+p AS (SELECT course_name, dept_short FROM (SELECT DISTINCT course_name, dept_short FROM t WHERE term AND NOT own) ORDER BY md5('7:' || course_name || dept_short), course_name || dept_short LIMIT 15)
+SELECT node_id, 10.0::DOUBLE AS metadata_score, 'full_curriculum_scan' AS source FROM t WHERE term AND own UNION ALL SELECT node_id, 15.0, 'full_curriculum_scan' FROM t WHERE own AND NOT term AND info_type IN ('career_info', 'dept_intro')
+UNION ALL SELECT node_id, 10.0, 'full_curriculum_scan' FROM t JOIN p USING (course_name, dept_short) WHERE term AND NOT own""")
+def curriculum_scan(spark, sf_dir):
+    return I.curriculum(chunks(spark, sf_dir), "fr", "114", "2")
+
+
+_TOP_LISTS = f"""{_COS}, {_bm25_sql(MULTI)},
+v1 AS (SELECT query_id, node_id, round(score, 6) AS score FROM cs WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, node_id) <= 30),
+v2 AS (SELECT node_id, max(score) AS score FROM v1 GROUP BY node_id),
+b1 AS (SELECT query_id, node_id, score FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) <= 30),
+b2 AS (SELECT node_id, max(score) AS score FROM b1 GROUP BY node_id),
+b AS (SELECT node_id, score, row_number() OVER (ORDER BY score DESC, node_id) AS rank FROM b2 QUALIFY rank <= 90)"""
+_SOFT_STRICT = "CASE WHEN contains(classroom, 'E110') THEN 5.0 ELSE -3.0 END + CASE WHEN academic_year = '113' THEN 2.0 ELSE -100.0 END"
+
+
+@query(f"""WITH {_TOP_LISTS}, c AS ({CHUNKS_SQL}),
+v3 AS (SELECT * FROM v2 UNION ALL SELECT node_id, 0.001 FROM c WHERE {_STRICT_SQL} AND node_id NOT IN (SELECT node_id FROM v2 UNION SELECT node_id FROM b)),
+v AS (SELECT *, row_number() OVER (ORDER BY score DESC, node_id) AS rank FROM v3),
+f AS (SELECT node_id, coalesce(b.score, 0) AS bm25, ({_SOFT_STRICT})::DOUBLE AS meta, {_FUSED} + 0.2 * coalesce(({_SOFT_STRICT})::DOUBLE, 0) AS final FROM v FULL OUTER JOIN b USING (node_id) LEFT JOIN c USING (node_id)),
+s AS (SELECT node_id, bm25, coalesce(meta, 0) AS meta FROM f ORDER BY final DESC, node_id LIMIT 30),
+x AS (SELECT node_id, 5.0::DOUBLE AS extra FROM c WHERE info_type = 'professor_info' OR info_type = 'dept_intro' AND dept_short <> ''),
+m AS (SELECT node_id, coalesce(bm25, 0) AS bm25, greatest(coalesce(meta, extra), coalesce(extra, meta)) AS meta FROM s FULL OUTER JOIN x USING (node_id)),
+r AS (SELECT c.*, 0.75 / (1 + exp(-bm25 / (1 + bm25))) + 0.25 * meta + CASE WHEN info_type = 'professor_info' THEN 0.5 ELSE 0 END AS score FROM c JOIN m USING (node_id)),
+o AS (SELECT * FROM r QUALIFY source_file = first_value(source_file) OVER (PARTITION BY course_name, section, teacher, academic_year, semester ORDER BY score DESC, node_id))
+SELECT node_id, round(score, 6) AS score FROM o WHERE score >= 0.25 * (SELECT max(score) FROM o) ORDER BY score DESC, node_id LIMIT 25""")
+def question_evidence(spark, sf_dir):
+    """A routed question from search to the rows that its answer rests on."""
+    terms = _terms(spark, MULTI)
+    index = engine.in_memory(chunks(spark, sf_dir), vectors(spark, sf_dir).select("node_id", "embedding"), sorted({w for words in MULTI.values() for w in words}))
+    rows = engine.evidence(index, Route("professor_info", _STRICT), terms, query_vectors(spark, sf_dir))
+    return rows.select("node_id", F.round("score", 6).alias("score"))

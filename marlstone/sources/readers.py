@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import lexicon
+
 UNKNOWN = "未知"
 #: Label of a course record to its column.
 COURSE_LABELS = {
@@ -126,3 +128,44 @@ def matching_news(rows: DataFrame, words: list[str], order: list[str]) -> DataFr
     hit = F.exists(F.array(*[F.lit(w.lower()) for w in words]), lambda w: F.lower("title").contains(w))
     hits = rows.where(hit).orderBy(*order).limit(15)
     return rows.orderBy(*order).limit(10) if hits.isEmpty() else hits
+
+
+def path_department(path: Column, division: Column) -> Column:
+    """Short name of the department whose longest keyword is in a path; that of its master's programme if the division says so."""
+    words = sorted(((w, key) for key, _, _, keywords in lexicon.DEPARTMENTS for w in keywords), key=lambda x: -len(x[0]))
+    found = F.coalesce(*[F.when(path.contains(w), F.lit(key)) for w, key in words], F.lit("未知系"))
+    masters = F.when(found.contains("系"), F.replace(found, F.lit("系"), F.lit("碩"))).otherwise(F.concat(found, F.lit("碩")))
+    return F.when(division.contains("研究所") | division.contains("碩士"), masters).otherwise(found)
+
+
+def folder_department(name: Column) -> Column:
+    """A department's name read off a folder that no keyword fits."""
+    named = F.regexp_extract(name, "([^系所]{2,}(?:系|所))", 1)
+    bare = F.regexp_replace(name, "(?:教授資訊|系所資訊|簡介|系所)$", "")
+    return F.when(named != "", named).when(bare.rlike("(?:系|所|中心)$"), bare).otherwise(F.concat(bare, F.lit("系")))
+
+
+#: Titles of navigation links.
+NAVIGATION = ("關於金大", "行政單位", "學術單位", "招生資訊", "教職員", "學生", "新生專區", "一般訪客", "校長遴選", "網站導覽", "校訊", "English", "首頁", "跳到主要")
+
+
+def announcements(pages: DataFrame, site: str, most: int = 15) -> DataFrame:
+    """page_id, n, title, url, unit, date of a page's announcements, ``most`` a page.
+
+    A page with a table of that class gives a row per table row (date, linked title, unit); any other page its links of
+    eight characters or more that are no navigation, each title once.
+    """
+    text = lambda html: F.trim(F.regexp_replace(F.regexp_replace(html, "<[^>]*>", ""), r"\s+", " "))
+    absolute = lambda url: F.when(url.startswith("http"), url).otherwise(F.concat(F.lit(site), url))
+    table = F.regexp_extract("html", r'(?is)<table[^>]*class="[^"]*\btable\b[^"]*"[^>]*>(.*?)</table>', 1)
+    rows = pages.select("page_id", F.posexplode(F.slice(F.regexp_extract_all(table, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1)), 1, most)).alias("n", "row"))
+    cells = rows.select("page_id", "n", F.regexp_extract_all("row", F.lit(r"(?is)<td[^>]*>(.*?)</td>"), F.lit(1)).alias("c")).where(F.size("c") >= 2)
+    link = r'(?is)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>'
+    cell = F.when(F.regexp_extract(F.col("c")[1], link, 2) != "", F.col("c")[1]).otherwise(F.col("c")[0])
+    wide = F.size("c") > 2
+    listed = cells.select("page_id", "n", text(F.regexp_extract(cell, link, 2)).alias("title"), F.regexp_extract(cell, link, 1).alias("url"), F.when(wide, text(F.get("c", F.lit(2)))).otherwise("").alias("unit"), F.when(wide, text(F.get("c", F.lit(0)))).otherwise("").alias("date"))
+    plain = page_links(pages.where(table == ""), least=8).where(~F.col("url").rlike("^(javascript:|#|$)") & ~F.exists(F.array(*[F.lit(w) for w in NAVIGATION]), lambda w: F.col("title").contains(w)))
+    first = plain.groupBy("page_id", "title").agg(F.min(F.struct("n", "url")).alias("f"))
+    rank = F.row_number().over(Window.partitionBy("page_id").orderBy("f.n"))
+    links = first.withColumn("r", rank).where(F.col("r") <= most).select("page_id", F.col("f.n").alias("n"), "title", F.col("f.url").alias("url"), F.lit("").alias("unit"), F.lit("").alias("date"))
+    return listed.where("title <> ''").unionByName(links).withColumn("url", absolute(F.col("url")))

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def publish(df: DataFrame, folder: str) -> str:
-    """Write a new version, then append its name to the log of versions: readers see the old or the new one whole."""
+def publish(df: DataFrame, folder: str, by: tuple[str, ...] = ()) -> str:
+    """Write a new version (in folders of the columns ``by``), then append its name to the log of versions: readers see the old or the new one whole."""
     version = uuid.uuid4().hex
-    df.write.parquet(f"{folder}/v-{version}")
+    df.write.partitionBy(*by).parquet(f"{folder}/v-{version}")
     log = df.sparkSession.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("at"))
     log.coalesce(1).write.mode("append").parquet(f"{folder}/_versions")
     return version
