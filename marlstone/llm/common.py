@@ -50,7 +50,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 #: Most rows of a table that is sent to every executor (two numbers a row); larger ones are shuffled.
-BROADCAST_ROWS = 4_000_000
+BROADCAST_ROWS = 1_000_000
 
 
 def narrow_side(df: DataFrame) -> DataFrame:
