@@ -55,12 +55,15 @@ def keyword_index(chunks: DataFrame, only: list[str] | None = None) -> KeywordIn
 
 
 def bm25(index: KeywordIndex, query_terms: DataFrame) -> DataFrame:
-    """query_id, node_id, score > 0; query_terms: query_id, term (a repeated term counts again)."""
+    """query_id, node_id, score > 0; query_terms: query_id, term (a repeated term counts again).
+
+    Scores are rounded: sums in another order are equal, so ties go by node_id however the rows are dealt.
+    """
     wanted = F.broadcast(query_terms.groupBy("query_id", "term").agg(F.count("*").alias("times")))  # as small as the queries
     known = F.broadcast(index.terms.join(wanted, "term").select("query_id", "term", "times", "idf"))
     tf = F.col("tf").cast("double")
     part = F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / index.avgdl))
-    return index.postings.join(known, "term").groupBy("query_id", "node_id").agg(F.sum(part).alias("score")).where("score > 0")
+    return index.postings.join(known, "term").groupBy("query_id", "node_id").agg(F.round(F.sum(part), 9).alias("score")).where("score > 0")
 
 
 def cosine(vectors: DataFrame, queries: list[tuple[int, list[float]]]) -> DataFrame:

@@ -56,7 +56,7 @@ st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
 raw AS (SELECT term, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM post, st GROUP BY term),
 idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
 q AS (SELECT query_id, term, count(*) AS times FROM (VALUES {_values(asked)}) v(query_id, term) GROUP BY ALL),
-bm AS (SELECT query_id, node_id, sum(times * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS score
+bm AS (SELECT query_id, node_id, round(sum(times * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 9) AS score
        FROM post JOIN q USING (term) JOIN idf USING (term) JOIN dl USING (node_id), st GROUP BY ALL HAVING score > 0)"""
 
 
@@ -367,7 +367,8 @@ v2 AS (SELECT node_id, max(score) AS score FROM v1 GROUP BY node_id),
 b1 AS (SELECT query_id, node_id, score FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) <= 30),
 b2 AS (SELECT node_id, max(score) AS score FROM b1 GROUP BY node_id),
 b AS (SELECT node_id, score, row_number() OVER (ORDER BY score DESC, node_id) AS rank FROM b2 QUALIFY rank <= 90)"""
-_SOFT_STRICT = "CASE WHEN contains(classroom, 'E110') THEN 5.0 ELSE -3.0 END + CASE WHEN academic_year = '113' THEN 2.0 ELSE -100.0 END"
+#: A vector without a chunk has no metadata score.
+_SOFT_STRICT = "CASE WHEN classroom IS NULL THEN 0.0 ELSE CASE WHEN contains(classroom, 'E110') THEN 5.0 ELSE -3.0 END + CASE WHEN academic_year = '113' THEN 2.0 ELSE -100.0 END END"
 
 
 @query(f"""WITH {_TOP_LISTS}, c AS ({CHUNKS_SQL}),
