@@ -60,12 +60,16 @@ def majority(hashes: np.ndarray) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, *keep: str) -> DataFrame:
-    """doc_id and fingerprint (long) of each row, and the long columns named in keep."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, *keep: str, distinct: bool = False) -> DataFrame:
+    """doc_id and fingerprint (long) of each row, and the long columns named in keep.
+
+    distinct: a repeated shingle votes once.  With single words that brings edited copies closer together.
+    """
+    votes = (lambda raw: np.unique(shingle_hashes(raw, shingle))) if distinct else (lambda raw: shingle_hashes(raw, shingle))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.rows_of(batches):
-            prints = [majority(shingle_hashes(raw, shingle)) for _, run in common.text_slices(batch.column("text")) for raw in run]
+            prints = [majority(votes(raw)) for _, run in common.text_slices(batch.column("text")) for raw in run]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "fingerprint": pa.array(prints, pa.int64())} | {k: batch.column(k) for k in keep})
 
     return docs.select(F.col("doc_id").cast("long"), "text", *keep).mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fingerprint", *keep)))
@@ -116,12 +120,12 @@ def near_duplicates(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return prints.join(rooted.join(ids, "root").select("fingerprint", "root", "component_id"), "fingerprint")
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, distinct: bool = False) -> DataFrame:
     """docs, all columns, less all rows of a component but one: that of the smallest doc_id (null last), then the smallest hash of the text.
 
     Repeated rows, equal in doc_id and text, are one document and stay or go together."""
     key = F.xxhash64("text")
-    prints = common.materialize(fingerprints(docs.select("doc_id", "text", key.alias("key")), shingle, "key"), "prints")
+    prints = common.materialize(fingerprints(docs.select("doc_id", "text", key.alias("key")), shingle, "key", distinct=distinct), "prints")
     found = near_duplicates(prints, radius).withColumn("null_id", F.col("doc_id").isNull())
     first = F.struct("null_id", "doc_id", "key")
     kept = found.groupBy("root").agg(F.min(first).alias("first")).select("first.doc_id", "first.key")

@@ -69,6 +69,19 @@ def test_simhash_against_brute_force(spark, tmp_path):
     assert sorted(map(tuple, out), key=repr) == sorted(expected, key=repr)
 
 
+def test_distinct_words_find_edited_copies(spark):
+    import random
+
+    rng = random.Random(7)
+    words = [f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{i}" for i in range(4000)]
+    texts = [" ".join(rng.sample(words, 400)) for _ in range(60)]
+    edited = [t.replace(t.split()[200], "edited") for t in texts]
+    df = frame(spark, [(i, t, None, None, None) for i, t in enumerate(texts + edited)])
+    kept = {r.doc_id for r in simhash.keep_one(df, shingle=1, distinct=True).collect()}
+    assert kept >= set(range(60)) and len(kept) < 105
+    assert simhash.keep_one(df).count() >= len(kept)
+
+
 def test_ball_links_random_prints(spark):
     import random
 
