@@ -31,6 +31,13 @@ from . import common
 SHINGLE = 3
 RADIUS = 2
 SEED = 42
+#: Of keep_one_similar: words a shingle, and the least share of shingles that two texts have in common.
+SIMILAR_SHINGLE = 5
+SIMILARITY = 0.8
+#: A band is this many min-hashes: texts similar to 0.8 share none of 16 bands of 3 once in 100,000 pairs.
+BANDS, BAND_HASHES = 16, 3
+#: Texts of a band that are all compared with each other; more are compared with the smallest of them.
+ALL_PAIRS = 16
 
 _U = np.uint64
 _LANES = _U(0x0001000100010001)
@@ -135,6 +142,85 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, dist
     return one.drop("__row_key")
 
 
+_SALT = common.mix(np.arange(1, BANDS * BAND_HASHES + 1, dtype=_U))[:, None]
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("node", pa.int64()), ("bands", pa.list_(pa.int64()))])
+
+
+def _similar_shingles(raw: bytes) -> np.ndarray:
+    return np.unique(shingle_hashes(raw, SIMILAR_SHINGLE))
+
+
+def _bands(shingles: np.ndarray) -> list[int]:
+    if not len(shingles):
+        return []
+    low = np.full(len(_SALT), ~_U(0))
+    for at in range(0, len(shingles), 4096):  # some MB at a time
+        low = np.minimum(low, common.mix(shingles[at : at + 4096] ^ _SALT).min(axis=1))
+    return common.rolling(low, BAND_HASHES, common.BASE)[::BAND_HASHES].view(np.int64).tolist()
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """doc_id, key (both of docs), node (hash of the set of shingles) and the hashes of the bands of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.rows_of(batches):
+            nodes, bands = [], []
+            for _, part in common.text_slices(batch.column("text")):
+                for raw in part:
+                    shingles = _similar_shingles(raw)
+                    nodes.append(_signed(xxhash.xxh64_intdigest(shingles.tobytes(), SEED)))
+                    bands.append(_bands(shingles))
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "key": batch.column("key"), "node": nodes, "bands": bands}, schema=_SKETCH)
+
+    return docs.mapInArrow(run, "doc_id long, key long, node long, bands array<long>")
+
+
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """node, shingles (distinct hashes) of rows (node, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.rows_of(batches):
+            sets = [_similar_shingles(raw).view(np.int64) for _, part in common.text_slices(batch.column("text")) for raw in part]
+            yield pa.RecordBatch.from_pydict({"node": batch.column("node"), "shingles": pa.array(sets, pa.list_(pa.int64()))})
+
+    return docs.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
+
+
+def similar_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(u, v): pairs of texts that share at least SIMILARITY of their shingles, from nodes (node, bands, first) and docs (doc_id, key, text).
+
+    Candidates share a band: all pairs of up to ALL_PAIRS texts, else each text and the smallest one.
+    """
+    bands = nodes.select("node", F.posexplode("bands").alias("band", "low"))
+    groups = bands.groupBy("band", "low").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1")
+    shared = common.materialize(bands.join(groups, ["band", "low"]), "bands")
+    star = shared.where(F.col("n") > ALL_PAIRS).select(F.col("head").alias("u"), F.col("node").alias("v"))
+    few = shared.where(F.col("n") <= ALL_PAIRS).groupBy("band", "low").agg(F.collect_set("node").alias("members"))
+    each = few.select(F.explode("members").alias("u"), "members").select("u", F.explode(F.filter("members", lambda m: m > F.col("u"))).alias("v"))
+    candidates = common.materialize(star.where("u != v").union(each).distinct(), "candidates")
+    ends = candidates.select(F.col("u").alias("node")).union(candidates.select(F.col("v").alias("node"))).distinct()
+    firsts = common.materialize(nodes.join(ends, "node").select("node", F.col("first.doc_id").alias("__doc_id"), F.col("first.key").alias("__key")), "ends")
+    texts = docs.join(common.narrow_side(firsts), docs["doc_id"].eqNullSafe(F.col("__doc_id")) & (docs["key"] == F.col("__key")))
+    sets = common.materialize(shingle_sets(texts).dropDuplicates(["node"]), "shingles")
+    side = lambda name: sets.select(F.col("node").alias(name), F.col("shingles").alias(f"{name}_set"))
+    both = F.size(F.array_intersect("u_set", "v_set"))
+    return candidates.join(side("u"), "u").join(side("v"), "v").where(both >= SIMILARITY * (F.size("u_set") + F.size("v_set") - both)).select("u", "v")
+
+
+def keep_one_similar(docs: DataFrame) -> DataFrame:
+    """docs, all columns, less all rows but one of each group of texts that are linked by similarity; which one is as in keep_one."""
+    key = F.xxhash64("text")
+    plain = docs.select(F.col("doc_id").cast("long"), key.alias("key"), "text")
+    rows = common.materialize(sketches(plain), "sketches")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "key")).alias("first")
+    nodes = common.materialize(rows.groupBy("node").agg(F.first("bands").alias("bands"), first), "nodes")
+    roots = components(similar_links(plain, nodes))
+    rooted = nodes.select(F.col("node").alias("own"), "first").join(roots, F.col("own") == F.col("node"), "left")
+    kept = rooted.groupBy(F.coalesce("root", "own").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__doc_id"), F.col("first.key").alias("__key"))
+    one = docs.withColumn("__row_key", key).join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("__doc_id")) & (F.col("__row_key") == F.col("__key")), "left_semi")
+    return one.drop("__row_key")
+
+
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
     prints = common.materialize(fingerprints(common.read(spark, sf_dir, "documents")), "prints")
     found = near_duplicates(prints)

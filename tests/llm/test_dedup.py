@@ -82,6 +82,27 @@ def test_distinct_words_find_edited_copies(spark):
     assert simhash.keep_one(df).count() >= len(kept)
 
 
+def test_pipeline_drops_edited_copies_that_are_similar(spark):
+    import random
+
+    import corpus_pipeline
+
+    rng = random.Random(7)
+    words = [f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{i}" for i in range(4000)]
+    texts = [" ".join(rng.sample(words, 400)) for _ in range(40)]
+    edited = [t.replace(t.split()[200], "edited") for t in texts]
+    shuffled = [" ".join(rng.sample(t.split(), 400)) for t in texts]  # the same words, no shingle in common
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts + edited + shuffled)] + [(500, None, None, None, None), (501, "", None, None, None), (None, " ", None, None, None)]
+    df = frame(spark, rows, extra=True)
+    out = corpus_pipeline.drop_near_duplicates(spark, df, "")
+    kept = [r.doc_id for r in out.collect()]
+    shingles = lambda t: {tuple(t.split()[i : i + 5]) for i in range(396)}
+    assert all(len(shingles(a) & shingles(b)) >= 0.8 * len(shingles(a) | shingles(b)) for a, b in zip(texts, edited))
+    assert out.columns == df.columns and len(kept) == len(set(kept))
+    assert set(kept) >= {*range(40), *range(80, 120), 500} and not set(kept) & {501, None} and not set(kept) & set(range(40, 80))
+    assert corpus_pipeline.drop_near_duplicates(spark, df.limit(0), "").count() == 0
+
+
 def test_ball_links_random_prints(spark):
     import random
 
