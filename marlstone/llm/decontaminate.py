@@ -5,10 +5,11 @@ begins with a digit is a number slot; a core of ``UNITS`` behind a number is a u
 a word whose core begins with a capital letter is a name slot; the rest are literal.  Windows of
 ``window`` template tokens with at least half of them literal are hashed and joined with those
 of the benchmark.  The windows of a document that match one item at one
-offset must fill its slots consistently: each benchmark value always by the
-same document value and the other way round.  A document leaks an item if windows
-with consistent slots cover at least ``min_share`` of the item's windows, so a copy is
-caught and so is the same question with other numbers or names.
+offset must fill its slots consistently: each benchmark value by the same document value,
+the one that most windows have (then the smallest), and two names never by one name, while
+numbers and units may fall together.  Windows that hold another filling do not count.
+A document leaks an item if the other windows cover at least ``min_share`` of the item's windows,
+so a copy is caught and so is the same question with other numbers or names.
 
 Documents look their hashes up in the sorted benchmark hashes, which are sent to executors only up to
 ``PROBE_WINDOWS``; for a larger benchmark all windows are shuffled to the join.
@@ -20,6 +21,7 @@ items of equal text count as the one of the smallest item_id; repeated rows of d
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -142,6 +144,30 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return rows.join(counted, "doc_id").select(F.col("doc_id").alias("item_id"), "hash", F.col("pos").alias("item_pos"), "size", F.col("slots").alias("item_slots"), "n_windows")
 
 
+_KEYS = ["doc_id", "key", "item_id", "n_windows"]
+_RUN = pa.schema([*[(k, pa.int64()) for k in _KEYS], ("at", pa.list_(pa.int32())), ("alike", pa.bool_())])
+
+
+def steady(windows: list[dict]) -> list[int]:
+    """Positions of a run's windows (item_pos, item_slots, slots) that fill the item's slots consistently."""
+    pairs = [list(zip(w["item_slots"], w["slots"])) for w in windows]
+    seen = defaultdict(Counter)
+    for own in pairs:
+        for item, found in set(own):
+            seen[item][found] += 1
+    value = {item: min(n, key=lambda x: (-n[x], x)) for item, n in seen.items()}
+    named = Counter(v for item, v in value.items() if item[0] == str(NAME))
+    fits = lambda item, found: value[item] == found and (item[0] != str(NAME) or named[found] == 1)
+    return [w["item_pos"] for w, own in zip(windows, pairs) if all(fits(*x) for x in own)]
+
+
+def _steady_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in common.rows_of(batches):
+        runs = batch.column("windows").to_pylist()
+        alike = [all(w["item_slots"] == w["slots"] for w in run) for run in runs]
+        yield pa.RecordBatch.from_pydict({k: batch.column(k) for k in _KEYS} | {"at": [steady(run) for run in runs], "alike": alike}, schema=_RUN)
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_share: float = MIN_SHARE) -> DataFrame:
     """doc_id, key (hash of the text), item_id, n_windows matched, share of the item's windows, verbatim (all slots filled alike)."""
     items = common.materialize(item_windows(benchmark, window), "items")
@@ -156,11 +182,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_share
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), "text")
     hits = rows.mapInArrow(_found(sorted(sizes), probe, 0), _HIT_DDL).drop("size")
     joined = hits.join(items.drop("size"), "hash").withColumn("offset", F.col("pos") - F.col("item_pos"))
-    runs = joined.groupBy("doc_id", "key", "item_id", "n_windows", "offset").agg(F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("item_slots", "slots")))).alias("filled"))
-    n_filled = F.size("filled")
-    steady = (F.size(F.array_distinct("filled.item_slots")) == n_filled) & (F.size(F.array_distinct("filled.slots")) == n_filled)
-    alike = F.forall("filled", lambda x: x["item_slots"].eqNullSafe(x["slots"]))
-    matched = runs.where(steady).withColumn("alike", alike).groupBy("doc_id", "key", "item_id", "n_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("matched"), F.min("alike").alias("verbatim"))
+    windows = joined.groupBy(*_KEYS, "offset").agg(F.collect_set(F.struct("item_pos", "item_slots", "slots")).alias("windows"))
+    runs = windows.select(*_KEYS, "windows").mapInArrow(_steady_runs, ", ".join(f"{k} long" for k in _KEYS) + ", at array<int>, alike boolean").where(F.size("at") > 0)
+    matched = runs.groupBy(*_KEYS).agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("matched"), F.min("alike").alias("verbatim"))
     share = F.col("matched") / F.col("n_windows")
     return matched.select("doc_id", "key", "item_id", F.col("matched").alias("n_windows"), share.alias("share"), "verbatim").where(F.col("share") >= min_share)
 

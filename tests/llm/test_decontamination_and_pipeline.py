@@ -24,6 +24,14 @@ def test_leaks(spark, monkeypatch, probe):
     assert sorted((r.doc_id, r.item_id, r.verbatim) for r in rows) == [(0, 1, True), (1, 1, False)]
 
 
+def test_a_slot_out_of_line_costs_its_windows_only(spark):
+    sums = "Anna picks 3 red apples and then 4 green apples from the old tree before lunch and sells 2 of them"
+    tale = "yesterday morning Mary went down to the market with a basket and a list of things that she had to buy and there Mary met the baker who sold bread and cake to all of them"
+    texts = [sums.replace("3", "5").replace("4", "5"), tale.replace("Mary met", "Maria met"), tale.replace("Mary", "Maria"), sums, tale.replace("went down to the market with a basket and a list of things that she had to", "should")]
+    rows = D.leaks(docs(spark, texts), bench(spark, [(1, sums), (2, tale)])).collect()
+    assert sorted((r.doc_id, r.item_id, r.verbatim, r.share == 1) for r in rows) == [(0, 1, False, True), (1, 2, False, False), (2, 2, False, True), (3, 1, True, True)]
+
+
 def test_short_items_and_repeated_rows(spark):
     d = docs(spark, ["x tiny item here y"])
     rows = D.leaks(d.union(d), bench(spark)).collect()
