@@ -4,18 +4,18 @@ A word's core is the word without ASCII punctuation at its ends, A-Z lower-cased
 begins with a digit is a number slot; a core of ``UNITS`` behind a number is a unit slot;
 a word whose core begins with a capital letter is a name slot; the rest are literal.  Windows of
 ``window`` template tokens with at least half of them literal are hashed and joined with those
-of the benchmark.  The windows of a document that match one item at one
+of the benchmark; where the window of either side has fewer, the cores themselves are joined.  The windows of a document that match one item at one
 offset must fill its slots consistently: each benchmark value by the same document value,
 the one that most windows have (then the smallest), and two names never by one name, while
 numbers and units may fall together.  Windows that hold another filling do not count.
 A document leaks an item if the other windows cover at least ``min_share`` of the item's windows,
-so a copy is caught and so is the same question with other numbers or names.
+so a copy is caught and so is the same question with other numbers or names; the share is that of the
+literal windows found by templates or, where that is too small, that of all windows found either way.
 
 Documents look their hashes up in the sorted benchmark hashes, which are sent to executors only up to
 ``PROBE_WINDOWS``; for a larger benchmark all windows are shuffled to the join.
 
-Defined results: null or empty texts leak nothing; null or wordless items are ignored, and so are items none of
-whose windows is literal enough; an item of fewer words than the window is one window;
+Defined results: null or empty texts leak nothing; null or wordless items are ignored; an item of fewer words than the window is one window;
 items of equal text count as the one of the smallest item_id; repeated rows of documents each leak.
 """
 
@@ -46,6 +46,10 @@ _CORE = _DIGIT | _UPPER | ((_BYTE >= 97) & (_BYTE <= 122)) | (_BYTE >= 128)
 _LOWER = np.where(_UPPER, _BYTE + 32, _BYTE).astype(np.uint8)
 LITERAL, NUMBER, UNIT, NAME = range(4)
 _SLOT = common.mix(np.arange(1, 5, dtype=_U))
+#: Ways that a window is found: by its template; by its words, if the document's is not literal enough; by its words, if the item's is not.
+TEMPLATE, DOC_WORDS, ITEM_WORDS = range(3)
+_WAY = common.mix(np.arange(5, 8, dtype=_U))
+_WAY[TEMPLATE] = 0
 
 
 class Templates:
@@ -71,16 +75,21 @@ class Templates:
         near = np.flatnonzero(behind & (kind == LITERAL))
         kind[near[np.isin(h[near], _unit_hashes())]] = UNIT
         self.kind = kind
-        self.token = np.where(kind == LITERAL, h, _SLOT[kind])
+        self.word, self.token = h, np.where(kind == LITERAL, h, _SLOT[kind])
 
-    def windows(self, size: int, lone: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """First word and hash of each window with enough literal words; lone: only of texts of just that many words."""
+    def windows(self, size: int, lone: bool = False, item: bool = False, rare: bool = True) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """Way, first words and hashes of the windows found that way; lone: only of texts of just that many words; rare: some window of the items is not literal enough."""
         at = self.words.windows(size)
         if lone:
             at = at[self.words.count[self.words.doc[at]] == size]
         literal = np.concatenate(([0], np.cumsum(self.kind == LITERAL)))
-        at = at[2 * (literal[at + size] - literal[at]) >= size]
-        return at, common.rolling(self.token, size, common.BASE)[at] + _U(size)
+        enough = 2 * (literal[at + size] - literal[at]) >= size
+        words = {DOC_WORDS: at if item else at[~enough], ITEM_WORDS: at[~enough] if item else at if rare else at[:0]}
+        out = [(TEMPLATE, at[enough], common.rolling(self.token, size, common.BASE)[at[enough]] + _U(size))]
+        if any(map(len, words.values())):
+            h = common.rolling(self.word, size, common.BASE) + _U(size)
+            out += [(way, k, h[k] ^ _WAY[way]) for way, k in words.items()]
+        return out
 
     def slots(self, at: int, size: int) -> list[str]:
         found = at + np.flatnonzero(self.kind[at : at + size] != LITERAL)
@@ -98,10 +107,10 @@ def _unit_hashes() -> np.ndarray:
     return _units
 
 
-_HIT = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("hash", pa.int64()), ("pos", pa.int32()), ("size", pa.int32()), ("slots", pa.list_(pa.string()))])
+_HIT = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("hash", pa.int64()), ("way", pa.int32()), ("pos", pa.int32()), ("size", pa.int32()), ("slots", pa.list_(pa.string()))])
 
 
-def _found(sizes: list[int], probe, lone: int):
+def _found(sizes: list[int], probe, lone: int, item: bool = False, rare: bool = True):
     """Windows of rows (doc_id, key, text) whose hash is in probe (None: all); lone: shorter texts give one window of all their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,37 +124,39 @@ def _found(sizes: list[int], probe, lone: int):
                 t = Templates(texts)
                 out: dict[str, list] = {name: [] for name in _HIT.names}
                 for size in sizes:
-                    at, h = t.windows(size, lone=size < lone)
-                    if known is not None:
-                        ok = door[h >> _U(44)]
-                        at, h = at[ok], h[ok]
-                        ok = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
-                        at, h = at[ok], h[ok]
-                    doc = t.words.doc[at]
-                    out["doc_id"] += ids.take(pa.array(row + doc)).to_pylist()
-                    out["key"] += keys.take(pa.array(row + doc)).to_pylist()
-                    out["hash"] += h.view(np.int64).tolist()
-                    out["pos"] += (at - t.words.first[doc]).tolist()
-                    out["size"] += [size] * len(at)
-                    out["slots"] += [t.slots(k, size) for k in at.tolist()]
+                    for way, at, h in t.windows(size, size < lone, item, rare):
+                        if known is not None:
+                            ok = door[h >> _U(44)]
+                            at, h = at[ok], h[ok]
+                            ok = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+                            at, h = at[ok], h[ok]
+                        doc = t.words.doc[at]
+                        out["doc_id"] += ids.take(pa.array(row + doc)).to_pylist()
+                        out["key"] += keys.take(pa.array(row + doc)).to_pylist()
+                        out["hash"] += h.view(np.int64).tolist()
+                        out["way"] += [way] * len(at)
+                        out["pos"] += (at - t.words.first[doc]).tolist()
+                        out["size"] += [size] * len(at)
+                        # equal words fill every slot alike
+                        out["slots"] += [t.slots(k, size) if way == TEMPLATE else [] for k in at.tolist()]
                 yield pa.RecordBatch.from_pydict(out, schema=_HIT)
 
     return run
 
 
-_HIT_DDL = "doc_id long, key long, hash long, pos int, size int, slots array<string>"
+_HIT_DDL = "doc_id long, key long, hash long, way int, pos int, size int, slots array<string>"
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """item_id, hash, item_pos, item_slots, n_windows of each benchmark window."""
+    """item_id, hash, way, item_pos, item_slots of each benchmark window; n_windows literal enough and n_all of the item."""
     items = benchmark.groupBy("text").agg(F.min(F.col("item_id").cast("long")).alias("doc_id")).select("doc_id", F.lit(0).cast("long").alias("key"), "text")
-    rows = items.mapInArrow(_found(list(range(1, window + 1)), None, window), _HIT_DDL)
-    counted = rows.groupBy("doc_id").agg(F.count_distinct("pos").alias("n_windows"))
-    return rows.join(counted, "doc_id").select(F.col("doc_id").alias("item_id"), "hash", F.col("pos").alias("item_pos"), "size", F.col("slots").alias("item_slots"), "n_windows")
+    rows = items.mapInArrow(_found(list(range(1, window + 1)), None, window, item=True), _HIT_DDL)
+    counted = rows.groupBy("doc_id").agg(F.count_if(F.col("way") == TEMPLATE).alias("n_windows"), F.count_distinct("pos").alias("n_all"))
+    return rows.join(counted, "doc_id").select(F.col("doc_id").alias("item_id"), "hash", "way", F.col("pos").alias("item_pos"), "size", F.col("slots").alias("item_slots"), "n_windows", "n_all")
 
 
-_KEYS = ["doc_id", "key", "item_id", "n_windows"]
-_RUN = pa.schema([*[(k, pa.int64()) for k in _KEYS], ("at", pa.list_(pa.int32())), ("alike", pa.bool_())])
+_KEYS = ["doc_id", "key", "item_id", "n_windows", "n_all"]
+_RUN = pa.schema([*[(k, pa.int64()) for k in _KEYS], ("at", pa.list_(pa.int32())), ("words_at", pa.list_(pa.int32())), ("alike", pa.bool_())])
 
 
 def steady(windows: list[dict]) -> list[int]:
@@ -164,14 +175,16 @@ def steady(windows: list[dict]) -> list[int]:
 def _steady_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in common.rows_of(batches):
         runs = batch.column("windows").to_pylist()
+        found = [[[w for w in run if (w["way"] == TEMPLATE) == by] for by in (True, False)] for run in runs]
         alike = [all(w["item_slots"] == w["slots"] for w in run) for run in runs]
-        yield pa.RecordBatch.from_pydict({k: batch.column(k) for k in _KEYS} | {"at": [steady(run) for run in runs], "alike": alike}, schema=_RUN)
+        columns = {"at": [steady(a) for a, _ in found], "words_at": [[w["item_pos"] for w in b] for _, b in found], "alike": alike}
+        yield pa.RecordBatch.from_pydict({k: batch.column(k) for k in _KEYS} | columns, schema=_RUN)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_share: float = MIN_SHARE) -> DataFrame:
     """doc_id, key (hash of the text), item_id, n_windows matched, share of the item's windows, verbatim (all slots filled alike)."""
     items = common.materialize(item_windows(benchmark, window), "items")
-    n, sizes = items.agg(F.count_distinct("hash").alias("n"), F.collect_set("size").alias("sizes")).first()
+    n, sizes, rare = items.agg(F.count_distinct("hash").alias("n"), F.collect_set("size").alias("sizes"), F.coalesce(F.max(F.col("way") == ITEM_WORDS), F.lit(False)).alias("rare")).first()
     if not n:
         sizes, n = [window], 0
     probe = None
@@ -180,13 +193,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_share
         probe = docs.sparkSession.sparkContext.broadcast(np.sort(known) if len(known) else np.zeros(1, _U))
     # any document may hold a short item, so every size is searched everywhere
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), "text")
-    hits = rows.mapInArrow(_found(sorted(sizes), probe, 0), _HIT_DDL).drop("size")
+    hits = rows.mapInArrow(_found(sorted(sizes), probe, 0, rare=rare), _HIT_DDL).drop("size", "way")
     joined = hits.join(items.drop("size"), "hash").withColumn("offset", F.col("pos") - F.col("item_pos"))
-    windows = joined.groupBy(*_KEYS, "offset").agg(F.collect_set(F.struct("item_pos", "item_slots", "slots")).alias("windows"))
-    runs = windows.select(*_KEYS, "windows").mapInArrow(_steady_runs, ", ".join(f"{k} long" for k in _KEYS) + ", at array<int>, alike boolean").where(F.size("at") > 0)
-    matched = runs.groupBy(*_KEYS).agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("matched"), F.min("alike").alias("verbatim"))
-    share = F.col("matched") / F.col("n_windows")
-    return matched.select("doc_id", "key", "item_id", F.col("matched").alias("n_windows"), share.alias("share"), "verbatim").where(F.col("share") >= min_share)
+    windows = joined.groupBy(*_KEYS, "offset").agg(F.collect_set(F.struct("way", "item_pos", "item_slots", "slots")).alias("windows"))
+    ddl = ", ".join(f"{k} long" for k in _KEYS) + ", at array<int>, words_at array<int>, alike boolean"
+    runs = windows.select(*_KEYS, "windows").mapInArrow(_steady_runs, ddl).where(F.size("at") + F.size("words_at") > 0)
+    # by templates only the runs that hold some count, as does whether these are verbatim
+    gathered = runs.groupBy(*_KEYS).agg(F.flatten(F.collect_list("at")).alias("at"), F.flatten(F.collect_list("words_at")).alias("words_at"), F.min(F.when(F.size("at") > 0, F.col("alike"))).alias("steady_alike"), F.min("alike").alias("alike"))
+    by_template, by_any = F.size(F.array_distinct("at")).cast("long"), F.size(F.array_union("at", "words_at")).cast("long")
+    literal = F.coalesce(by_template / F.nullif("n_windows", F.lit(0)), F.lit(0.0))
+    pick = lambda a, b: F.when(literal >= min_share, a).otherwise(b)
+    share = pick(literal, by_any / F.col("n_all"))
+    found = gathered.select("doc_id", "key", "item_id", pick(by_template, by_any).alias("n_windows"), share.alias("share"), pick(F.col("steady_alike"), F.col("alike")).alias("verbatim"))
+    return found.where(F.col("share") >= min_share)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_share: float = MIN_SHARE) -> DataFrame:

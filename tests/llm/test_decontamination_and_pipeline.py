@@ -24,6 +24,16 @@ def test_leaks(spark, monkeypatch, probe):
     assert sorted((r.doc_id, r.item_id, r.verbatim) for r in rows) == [(0, 1, True), (1, 1, False)]
 
 
+@pytest.mark.parametrize("probe", [D.PROBE_WINDOWS, -1])
+def test_copies_in_few_literal_words(spark, monkeypatch, probe):
+    monkeypatch.setattr(D, "PROBE_WINDOWS", probe)
+    table = "Year 1990 1991 1992 1993 Rome 14 15 16 17 Oslo 3 4 5 6 Lima 19 20 21 22"
+    hill = ITEMS[6][1]
+    texts = ["so A B C D E F G H I J K L it is", "a b c d e f g h i j k l", hill.upper(), hill.title(), "see " + table, table.replace("1", "7"), "Intro words here", "A C B E D G F I H K J L"]
+    rows = D.leaks(docs(spark, texts), bench(spark, [*ITEMS, (8, table)])).collect()
+    assert sorted((r.doc_id, r.item_id, r.verbatim, r.share) for r in rows) == [(0, 6, True, 1), (1, 6, True, 1), (2, 7, True, 1), (3, 7, True, 1), (4, 8, True, 1)]
+
+
 def test_a_slot_out_of_line_costs_its_windows_only(spark):
     sums = "Anna picks 3 red apples and then 4 green apples from the old tree before lunch and sells 2 of them"
     tale = "yesterday morning Mary went down to the market with a basket and a list of things that she had to buy and there Mary met the baker who sold bread and cake to all of them"
