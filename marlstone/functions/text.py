@@ -13,7 +13,11 @@ from . import lexicon
 
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters and digits; runs of Han characters are cut into overlapping pairs."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    runs = lambda pattern: F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))
+    pairs = lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda at: r.substr(at, F.lit(2)))
+    cut = lambda r: F.when(r.rlike(r"^\p{IsHan}") & (F.length(r) > 2), pairs(r)).otherwise(F.array(r))
+    split = runs(r"[\p{L}\p{N}&&\p{IsHan}]+|[\p{L}\p{N}&&[^\p{IsHan}]]+")
+    return F.when(text.rlike(r"\p{IsHan}"), F.flatten(F.transform(split, cut))).otherwise(runs(r"[\p{L}\p{N}]+"))
 
 
 def query_tokens(text: Column) -> Column:
