@@ -211,7 +211,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_share
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_share: float = MIN_SHARE) -> DataFrame:
     """The rows of docs, all columns, that leak no item."""
     found = leaks(docs.select("doc_id", "text"), benchmark, window, min_share).select(F.col("doc_id").alias("__doc_id"), F.col("key").alias("__key")).distinct()
-    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(F.col("__doc_id")) & (F.xxhash64(docs["text"]) == F.col("__key")), "left_anti")
+    found = common.narrow_side(common.materialize(found, "leaks"))
+    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["__doc_id"]) & (F.xxhash64(docs["text"]) == found["__key"]), "left_anti")
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:

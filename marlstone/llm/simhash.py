@@ -10,9 +10,19 @@ loses no connection and needs no pairs within a group.  Links are made distinct
 verified, and components are found by alternating star contractions whose
 rounds are written to the shared folder.
 
-Defined results: null or empty texts have fingerprint zero; rows with equal doc_id are
-separate rows; a null doc_id gets a component like any row, but is never a
-component's id unless all its ids are null.
+``keep_one_similar`` keeps one text of each group of texts that share ``SIMILARITY`` of their 5-word
+shingles.  Texts with the same set of shingles are one node.  Each node gets ``SEEDS`` fingerprints of ``BITS`` bits
+over its distinct words (an edit changes few of those); ball hashing brings nodes that are within the radius
+under any seed to a common value, and every link is verified on the sets of shingles.  Fingerprints that share a value
+are compared in pairs up to ``ALL_PAIRS`` of them, else each with ``REPS`` of them, others for each value; of a
+fingerprint that many nodes have ``REPS`` nodes stand for it.  So the work is linear in the nodes
+however many copies there are, and a connection within a crowd is missed only if no value of any seed shows it.
+
+Defined results: null or empty texts have fingerprint zero and one (empty) set of shingles; a text of fewer words than a
+shingle is one shingle; rows with equal doc_id are separate rows, but rows equal in doc_id and text stay or go
+together; a null doc_id gets a component like any row, but is never a component's id unless all its ids are null;
+texts of any length count whole; empty tables give no rows; keep_one and keep_one_similar return the
+columns of docs, whatever they are called.
 """
 
 from __future__ import annotations
@@ -23,7 +33,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -34,10 +44,10 @@ SEED = 42
 #: Of keep_one_similar: words a shingle, and the least share of shingles that two texts have in common.
 SIMILAR_SHINGLE = 5
 SIMILARITY = 0.8
-#: A band is this many min-hashes: texts similar to 0.8 share none of 16 bands of 3 once in 100,000 pairs.
-BANDS, BAND_HASHES = 16, 3
-#: Texts of a band that are all compared with each other; more are compared with the smallest of them.
-ALL_PAIRS = 16
+#: Bits of its fingerprints (packed with the seed and the place of a flipped bit in 63) and how many a text has.
+BITS, SEEDS = 48, 6
+#: Fingerprints at a value that are all compared with each other; fingerprints, or nodes of one, that stand for larger crowds.
+ALL_PAIRS, REPS = 8, 2
 
 _U = np.uint64
 _LANES = _U(0x0001000100010001)
@@ -92,7 +102,8 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         raise ValueError("radius must be 2 or 4: with an odd one, sharing a value does not prove a link")
     masks = [_signed(sum(1 << b for b in bits)) for n in range(radius // 2 + 1) for bits in combinations(range(64), n)]
     ball = F.explode(F.transform(F.lit(masks), lambda m: F.col("fingerprint").bitwiseXOR(m)))
-    shared = distinct.select("fingerprint", ball.alias("value")).groupBy("value").agg(F.collect_set("fingerprint").alias("members")).where(F.size("members") > 1)
+    spread = distinct.repartition(2 * distinct.sparkSession.sparkContext.defaultParallelism, "fingerprint")  # as they come, few small files may hold them all
+    shared = spread.select("fingerprint", ball.alias("value")).groupBy("value").agg(F.collect_set("fingerprint").alias("members")).where(F.size("members") > 1)
     pairs = shared.select(F.array_min("members").alias("v"), F.explode("members").alias("u")).where("u != v").distinct()
     return pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius)
 
@@ -131,94 +142,185 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, dist
     """docs, all columns, less all rows of a component but one: that of the smallest doc_id (null last), then the smallest hash of the text.
 
     Repeated rows, equal in doc_id and text, are one document and stay or go together."""
-    key = F.xxhash64("text")
-    prints = common.materialize(fingerprints(docs.select("doc_id", "text", key.alias("key")), shingle, "key", distinct=distinct), "prints")
+    prints = common.materialize(fingerprints(docs.select("doc_id", "text", F.xxhash64("text").alias("key")), shingle, "key", distinct=distinct), "prints")
     found = near_duplicates(prints, radius).withColumn("null_id", F.col("doc_id").isNull())
-    first = F.struct("null_id", "doc_id", "key")
-    kept = found.groupBy("root").agg(F.min(first).alias("first")).select("first.doc_id", "first.key")
-    kept = kept.select(F.col("doc_id").alias("__doc_id"), F.col("key").alias("__key"))
-    rows = docs.withColumn("__row_key", key)
-    one = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("__row_key") == F.col("__key")), "left_semi")
-    return one.drop("__row_key")
-
-
-_SALT = common.mix(np.arange(1, BANDS * BAND_HASHES + 1, dtype=_U))[:, None]
-_SKETCH = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("node", pa.int64()), ("bands", pa.list_(pa.int64()))])
-
-
-def _similar_shingles(raw: bytes) -> np.ndarray:
-    return np.unique(shingle_hashes(raw, SIMILAR_SHINGLE))
+    kept = found.groupBy("root").agg(F.min(F.struct("null_id", "doc_id", "key")).alias("first"))
+    gone = found.join(kept, "root").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))))
+    return _without(docs, gone.select(F.col("doc_id").alias("__doc_id"), F.col("key").alias("__key")).distinct())
+
+
+def set_of(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of each text, sorted by text and hash."""
+    order = np.lexsort((h, doc))
+    h, doc = h[order], doc[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    return h[new], doc[new]
+
+
+def shingle_sets(words: common.PackedWords, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct shingles of each text, and the text of each."""
+    h = words.hashes()
+    found, docs = [], []
+    for k in range(1, size + 1):
+        at = words.windows(size) if k == size else words.first[words.count == k]
+        found.append(common.rolling(h, k, common.BASE)[at])
+        docs.append(words.doc[at])
+    return set_of(np.concatenate(found), np.concatenate(docs))
+
+
+def word_prints(words: common.PackedWords, bits: int = BITS, seeds: int = SEEDS) -> np.ndarray:
+    """A row of fingerprints per text: the majority votes of its distinct words under each seed."""
+    h, doc = set_of(words.hashes(), words.doc)
+    n = np.bincount(doc, minlength=len(words.texts))
+    first = np.cumsum(n) - n
+    out = np.zeros((len(n), seeds), _U)
+    # a lane of 16 bits holds a count up to 65535, so longer texts are summed in parts
+    start = np.concatenate([np.arange(a, a + m, 65535) for a, m in zip(first.tolist(), n.tolist(), strict=True)]).astype(np.int64)
+    if not len(start):
+        return out
+    owner = doc[start]
+    for k, salt in enumerate(common.mix(np.arange(1, seeds + 1, dtype=_U))):
+        vote = common.mix(h ^ salt)
+        for shift in range(16):
+            total = np.add.reduceat((vote >> _U(shift)) & _LANES, start)
+            for lane in range(0, bits, 16):
+                count = np.bincount(owner, (total >> _U(lane)) & _U(0xFFFF), len(n))
+                out[:, k] |= (2 * count > n).astype(_U) << _U(shift + lane)
+    return out
 
 
-def _bands(shingles: np.ndarray) -> list[int]:
-    if not len(shingles):
-        return []
-    low = np.full(len(_SALT), ~_U(0))
-    for at in range(0, len(shingles), 4096):  # some MB at a time
-        low = np.minimum(low, common.mix(shingles[at : at + 4096] ^ _SALT).min(axis=1))
-    return common.rolling(low, BAND_HASHES, common.BASE)[::BAND_HASHES].view(np.int64).tolist()
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("prints", pa.list_(pa.int64()))])
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, key (both of docs), node (hash of the set of shingles) and the hashes of the bands of each row."""
+    """doc_id, key (both of docs), node (hash of the set of shingles), its size and the fingerprints (seed above BITS bits) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeds = np.arange(SEEDS, dtype=_U) << _U(BITS)
         for batch in common.rows_of(batches):
-            nodes, bands = [], []
+            nodes, sizes, prints = [], [], []
             for _, part in common.text_slices(batch.column("text")):
-                for raw in part:
-                    shingles = _similar_shingles(raw)
-                    nodes.append(_signed(xxhash.xxh64_intdigest(shingles.tobytes(), SEED)))
-                    bands.append(_bands(shingles))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "key": batch.column("key"), "node": nodes, "bands": bands}, schema=_SKETCH)
+                words = common.PackedWords([raw.lower() for raw in part])
+                h, doc = shingle_sets(words, SIMILAR_SHINGLE)
+                n = np.bincount(doc, minlength=len(part))
+                nodes += [_signed(xxhash.xxh64_intdigest(x.tobytes(), SEED)) for x in np.split(h, np.cumsum(n)[:-1])]
+                sizes += n.tolist()
+                prints += (word_prints(words) | seeds).astype(np.int64).tolist()
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "key": batch.column("key"), "node": nodes, "size": sizes, "prints": prints}, schema=_SKETCH)
 
-    return docs.mapInArrow(run, "doc_id long, key long, node long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, key long, node long, size long, prints array<long>")
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """node, shingles (distinct hashes) of rows (node, text)."""
+def sets(docs: DataFrame) -> DataFrame:
+    """node and shingles (32 bits of each distinct hash) of rows (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.rows_of(batches):
-            sets = [_similar_shingles(raw).view(np.int64) for _, part in common.text_slices(batch.column("text")) for raw in part]
-            yield pa.RecordBatch.from_pydict({"node": batch.column("node"), "shingles": pa.array(sets, pa.list_(pa.int64()))})
+            for row, part in common.text_slices(batch.column("text")):
+                h, doc = shingle_sets(common.PackedWords([raw.lower() for raw in part]), SIMILAR_SHINGLE)
+                ends = np.cumsum(np.bincount(doc, minlength=len(part)))
+                held = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array((h >> _U(32)).astype(np.uint32).view(np.int32)))
+                yield pa.RecordBatch.from_pydict({"node": batch.column("node").slice(row, len(part)), "shingles": held})
+
+    return docs.select("node", "text").mapInArrow(run, "node long, shingles array<int>")
+
+
+def meeting_pairs(value: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of the prints at each value (values sorted): all of them, or of a crowd each with the REPS that come first by lot."""
+    start = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
+    size = np.diff(np.append(start, len(value)))
+    lot = common.mix(prints.view(_U) ^ common.mix(value.view(_U)))
+    order = np.lexsort((lot, value))
+    place = np.arange(len(value)) - np.repeat(start, size)
+    most = np.where(size <= ALL_PAIRS, size, REPS)
+    pairs = []
+    for k in range(1, int(most.max(initial=1))):  # each print with the k-th before it, or with the k-th of the crowd
+        few = np.flatnonzero((place >= k) & np.repeat(size <= ALL_PAIRS, size))
+        pairs.append((order[few], order[few - k]))
+    for k in range(REPS):
+        crowd = np.flatnonzero((place > k) & np.repeat(size > ALL_PAIRS, size))
+        pairs.append((order[crowd], order[np.repeat(start, size)[crowd] + k]))
+    u, v = (prints[np.concatenate(x)] for x in zip(*pairs, strict=True))
+    return np.minimum(u, v), np.maximum(u, v)
+
+
+def collisions(prints: DataFrame) -> DataFrame:
+    """(p, q), p < q: pairs of distinct prints (seed above BITS bits) that have a value within a bit of either in common."""
+    masks = [0, *(1 << b for b in range(BITS))]
+    ball = F.explode(F.array(*[F.shiftleft(F.col("print").bitwiseXOR(F.lit(m)), 6).bitwiseOR(F.lit(k)) for k, m in enumerate(masks)]))
+    # as they come, few small files may hold all of them
+    spread = prints.repartition(2 * prints.sparkSession.sparkContext.defaultParallelism, "print").select(ball.alias("packed"))
+    dealt = spread.repartition(F.shiftright("packed", 6)).sortWithinPartitions("packed")
+    flip = np.array(masks, np.int64)
+
+    def met(rows: np.ndarray) -> pa.RecordBatch:
+        value = rows >> 6
+        same = np.append(False, value[1:] == value[:-1])
+        held = same | np.append(same[1:], False)
+        value = value[held]
+        u, v = meeting_pairs(value, value ^ flip[rows[held] & 63])
+        return pa.RecordBatch.from_pydict({"p": u, "q": v})
 
-    return docs.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = np.empty(0, np.int64)  # rows of the open value: at most one per mask
+        for batch in common.rows_of(batches):
+            rows = np.concatenate([rest, batch.column("packed").to_numpy()])
+            last = np.searchsorted(rows >> 6, rows[-1] >> 6)
+            rest = rows[last:]
+            yield met(rows[:last])
+        yield met(rest)
+
+    return dealt.mapInArrow(run, "p long, q long").distinct()
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """(u, v), u < v: pairs of nodes (node, size, prints) with a fingerprint, or two within the radius, under some seed, whose sizes allow for the similarity."""
+    own = F.struct("node", "size")
+    prints = nodes.select(own.alias("a"), F.explode("prints").alias("print"))
+    numbered = prints.select("print", "a", F.xxhash64("print", "a.node").alias("lot"))
+    first = Window.partitionBy("print").orderBy("lot", "a.node")
+    reps = common.materialize(numbered.withColumn("k", F.row_number().over(first)).where(F.col("k") <= REPS).groupBy("print").agg(F.collect_list("a").alias("reps")), "reps")
+    near = collisions(reps.select("print"))
+    side = lambda name: reps.select(F.col("print").alias(name), F.col("reps").alias(f"{name}_reps"))
+    across = near.join(side("p"), "p").join(side("q"), "q").select(F.explode("p_reps").alias("a"), "q_reps").select("a", F.explode("q_reps").alias("b"))
+    within = prints.join(reps.where(F.size("reps") > 1), "print").select("a", F.explode("reps").alias("b"))
+    fit = F.least("a.size", "b.size") >= SIMILARITY * F.greatest("a.size", "b.size")
+    met = across.unionByName(within).where(fit & (F.col("a.node") != F.col("b.node")))
+    return met.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
 
 
 def similar_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(u, v): pairs of texts that share at least SIMILARITY of their shingles, from nodes (node, bands, first) and docs (doc_id, key, text).
-
-    Candidates share a band: all pairs of up to ALL_PAIRS texts, else each text and the smallest one.
-    """
-    bands = nodes.select("node", F.posexplode("bands").alias("band", "low"))
-    groups = bands.groupBy("band", "low").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1")
-    shared = common.materialize(bands.join(groups, ["band", "low"]), "bands")
-    star = shared.where(F.col("n") > ALL_PAIRS).select(F.col("head").alias("u"), F.col("node").alias("v"))
-    few = shared.where(F.col("n") <= ALL_PAIRS).groupBy("band", "low").agg(F.collect_set("node").alias("members"))
-    each = few.select(F.explode("members").alias("u"), "members").select("u", F.explode(F.filter("members", lambda m: m > F.col("u"))).alias("v"))
-    candidates = common.materialize(star.where("u != v").union(each).distinct(), "candidates")
-    ends = candidates.select(F.col("u").alias("node")).union(candidates.select(F.col("v").alias("node"))).distinct()
+    """(u, v): candidates that share enough of their shingles, from nodes (node, size, prints, first) and docs (doc_id, key, text); 32 bits of each shingle's hash are compared."""
+    pairs = common.materialize(candidates(nodes), "pairs")
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     firsts = common.materialize(nodes.join(ends, "node").select("node", F.col("first.doc_id").alias("__doc_id"), F.col("first.key").alias("__key")), "ends")
-    texts = docs.join(common.narrow_side(firsts), docs["doc_id"].eqNullSafe(F.col("__doc_id")) & (docs["key"] == F.col("__key")))
-    sets = common.materialize(shingle_sets(texts).dropDuplicates(["node"]), "shingles")
-    side = lambda name: sets.select(F.col("node").alias(name), F.col("shingles").alias(f"{name}_set"))
+    few = common.narrow_side(firsts)
+    texts = docs.join(few, docs["doc_id"].eqNullSafe(few["__doc_id"]) & (docs["key"] == few["__key"]))
+    shingles = common.materialize(sets(texts).dropDuplicates(["node"]), "shingles")
+    side = lambda name: shingles.select(F.col("node").alias(name), F.col("shingles").alias(f"{name}_set"))
     both = F.size(F.array_intersect("u_set", "v_set"))
-    return candidates.join(side("u"), "u").join(side("v"), "v").where(both >= SIMILARITY * (F.size("u_set") + F.size("v_set") - both)).select("u", "v")
+    return pairs.join(side("u"), "u").join(side("v"), "v").where(both >= SIMILARITY * (F.size("u_set") + F.size("v_set") - both)).select("u", "v")
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs less the rows that gone (__doc_id, __key) names by id and hash of the text."""
+    gone = common.narrow_side(gone)
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["__doc_id"]) & (F.xxhash64(docs["text"]) == gone["__key"]), "left_anti")
 
 
 def keep_one_similar(docs: DataFrame) -> DataFrame:
     """docs, all columns, less all rows but one of each group of texts that are linked by similarity; which one is as in keep_one."""
-    key = F.xxhash64("text")
-    plain = docs.select(F.col("doc_id").cast("long"), key.alias("key"), "text")
+    plain = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), "text")
     rows = common.materialize(sketches(plain), "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "key")).alias("first")
-    nodes = common.materialize(rows.groupBy("node").agg(F.first("bands").alias("bands"), first), "nodes")
+    nodes = common.materialize(rows.groupBy("node").agg(F.first("size").alias("size"), F.first("prints").alias("prints"), first), "nodes")
     roots = components(similar_links(plain, nodes))
-    rooted = nodes.select(F.col("node").alias("own"), "first").join(roots, F.col("own") == F.col("node"), "left")
-    kept = rooted.groupBy(F.coalesce("root", "own").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__doc_id"), F.col("first.key").alias("__key"))
-    one = docs.withColumn("__row_key", key).join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("__doc_id")) & (F.col("__row_key") == F.col("__key")), "left_semi")
-    return one.drop("__row_key")
+    rooted = nodes.select(F.col("node").alias("own"), "first").join(roots, F.col("own") == F.col("node"), "left").select("own", "first", F.coalesce("root", "own").alias("root"))
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    found = rows.join(rooted.select("own", "root").join(kept, "root"), F.col("node") == F.col("own"))
+    gone = found.where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))))
+    return _without(docs, common.materialize(gone.select(F.col("doc_id").alias("__doc_id"), F.col("key").alias("__key")).distinct(), "gone"))
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:

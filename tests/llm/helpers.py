@@ -100,6 +100,32 @@ def components(prints: list[int], radius=2) -> list[int]:
     return [find(a) for a in range(len(prints))]
 
 
+def similar_groups(texts: list, size=5, least=0.8) -> list[int]:
+    """Index of the first text of each one's group: texts linked by sharing so much of their distinct shingles."""
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set())
+    holders = collections.defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s or {None}:
+            holders[x].append(i)
+    root = list(range(len(texts)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for a, s in enumerate(sets):
+        common = collections.Counter(b for x in s or {None} for b in holders[x] if b < a)
+        for b, n in common.items():
+            if not s or n >= least * (len(s) + len(sets[b]) - n):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return [find(a) for a in range(len(texts))]
+
+
 def rule_counts(text) -> tuple:
     t = text or ""
     w = [x for x in re.split(r"[\x20\x09-\x0D]+", t) if x]

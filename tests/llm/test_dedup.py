@@ -1,5 +1,6 @@
+import numpy as np
 import pytest
-from helpers import components, corpus, drop_lines, drop_windows, fingerprint, frame, same
+from helpers import components, corpus, drop_lines, drop_windows, fingerprint, frame, same, similar_groups
 from pyspark.sql import functions as F
 
 from marlstone.llm import lines, simhash, substrings
@@ -103,6 +104,59 @@ def test_pipeline_drops_edited_copies_that_are_similar(spark):
     assert corpus_pipeline.drop_near_duplicates(spark, df.limit(0), "").count() == 0
 
 
+def edits(rng, words, n):
+    out = list(words)
+    for at in rng.sample(range(len(out)), n):
+        out[at] = f"edit{rng.random()}"
+    return " ".join(out)
+
+
+@pytest.mark.parametrize("crowd", [1, simhash.ALL_PAIRS])
+def test_similar_groups_against_brute_force(spark, monkeypatch, crowd):
+    import random
+
+    monkeypatch.setattr(simhash, "ALL_PAIRS", crowd)
+    rng = random.Random(11)
+    words = [f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{i}" for i in range(3000)]
+    hot = rng.sample(words, 150)
+    texts = [edits(rng, hot, rng.randint(0, 5)) for _ in range(120)]  # a large group, many pairs of which are not similar
+    for _ in range(40):
+        base = rng.sample(words, rng.randint(60, 300))
+        texts += [" ".join(base), " ".join(base), edits(rng, base, rng.randint(1, 6)), " ".join(reversed(base))]
+    texts += [None, "", " ", "one", "one two", "ONE two", texts[0].upper(), " ".join(rng.choices(words, k=90_000))]
+    texts.append(texts[-1] + " end")
+    df = frame(spark, [(i, t, None, None, None) for i, t in enumerate(texts)], extra=True)
+    out = simhash.keep_one_similar(df.selectExpr("*", "1 AS node", "2 AS __key", "3 AS __row_key"))
+    kept, expected = {r.doc_id for r in out.collect()}, set(similar_groups(texts))
+    assert out.columns == [*df.columns, "node", "__key", "__row_key"]
+    assert kept >= expected and len(kept - expected) <= 0.05 * (len(texts) - len(expected))
+
+
+def test_meeting_pairs():
+    value = np.array([1, 1, 1, 2, 2] + [3] * 20, np.int64)
+    prints = np.array([10, 11, 12, 13, 14, *range(20, 40)], np.int64)
+    u, v = simhash.meeting_pairs(value, prints)
+    got = set(zip(u.tolist(), v.tolist()))
+    assert {(10, 11), (10, 12), (11, 12), (13, 14)} == {x for x in got if x[0] < 20} and len(got) == 4 + 19 + 18
+    assert {x for p in got for x in p} == set(prints.tolist())
+    assert len(simhash.meeting_pairs(value[:0], prints[:0])[0]) == 0
+
+
+def test_word_prints_of_long_texts():
+    from marlstone.llm import common
+
+    texts = [b"", b"a b c a", b" ".join(b"%d" % i for i in range(200_000))]
+    words = common.PackedWords(texts)
+    prints = simhash.word_prints(words, 48, 2)
+    assert not prints[0].any()
+    for row, text in enumerate(texts):
+        alone = common.PackedWords([text])
+        h = sorted(set(alone.hashes().tolist()))
+        for k, salt in enumerate(common.mix(np.arange(1, 3, dtype=simhash._U))):
+            vote = common.mix(np.array(h, simhash._U) ^ salt)
+            assert prints[row, k] == sum(1 << b for b in range(48) if 2 * int(((vote >> simhash._U(b)) & simhash._U(1)).sum()) > len(h))
+
+
 def test_ball_links_random_prints(spark):
     import random
 
