@@ -6,15 +6,17 @@ them, and what remains is one bit per cell: hit at least twice.  The width follo
 number of words up to ``MAX_BITS`` cells a row, so the broadcast is at most ``2 * 2**MAX_BITS / 8``
 bytes (64 MB); a fuller sketch lets more single windows through but loses none.
 
-Pass 2 deals documents into chunks of some MB.  A chunk sends each distinct window that the sketch
-thinks repeated once, with its smallest doc_id, to the bucket of its hash (96 bits
-are compared).  A bucket tells a chunk the windows that start in a smaller doc_id
-elsewhere: all of them go.  The others go if the chunk itself has them in a smaller doc_id.
-A window in a third of all documents thus costs one entry per chunk.
+Pass 2 deals documents into chunks of some MB, many of which may share a partition.  A chunk sends each distinct
+window that the sketch thinks repeated once, with its smallest doc_id; Spark deals these rows by hash and sorts them by
+hash and doc_id, so a task streams them and holds one row of the open window, however many chunks have it.  It tells
+each chunk the windows (96 bits of hash) that start in a smaller doc_id elsewhere: all of them go.  The others go if the
+chunk itself has them in a smaller doc_id.  A window in a third of all documents thus costs one row per chunk.
 
-Defined results: null or empty texts have no words; fewer words than the window lose
+Defined results: null or empty texts have no words and come back empty; fewer words than the window lose
 nothing; rows with equal doc_id are one document's parts for the comparison, so they do not
-remove each other's words; a null doc_id counts as larger than all others.
+remove each other's words; rows equal in doc_id and text share a chunk, so that many thousands of one row make it large; a null
+doc_id counts as larger than all others; a text of any length is one document of one chunk and is worked on whole; an empty table gives no
+rows; other columns, whatever their names, come along.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -33,7 +36,7 @@ WINDOW = 13
 #: log2 of the cells of a sketch row: at most, and of the blocks that a row is merged in.
 MAX_BITS = 28
 BLOCK_BITS = 9
-#: Windows that a task gathers before it sends their cells; bytes of text in a chunk.
+#: Windows that a task gathers before it sends their cells or answers; bytes of text in a chunk.
 FLUSH = 2_000_000
 CHUNK_BYTES = 6 << 20
 NULL_ID = np.iinfo(np.int64).max
@@ -158,7 +161,7 @@ def _ids(column: pa.ChunkedArray) -> np.ndarray:
 
 def _candidates(table: pa.Table, twice: np.ndarray, window: int):
     """Of each slice of a chunk: its words, the slice's first row, and of its suspicious windows the first word, hashes and doc_id."""
-    ids = _ids(table.column("doc_id"))
+    ids = _ids(table.column("__id"))
     texts = table.column("text").combine_chunks()
     for row, run in common.text_slices(texts):
         words = common.PackedWords(run)
@@ -176,73 +179,92 @@ def _first_of(h: np.ndarray, more: np.ndarray, ids: np.ndarray) -> tuple[np.ndar
     return order, new
 
 
+_SENT = "h long, more int, id long, chunk int"
+_ANSWER = pa.schema([("chunk", pa.int32()), ("payload", pa.binary())])
+
+
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of _SENT in order of hash and id to (chunk, payload): the windows of each chunk that start in a smaller id elsewhere."""
+    h0 = more0 = id0 = None
+    gathered, n = [], 0
+
+    def sent() -> pa.RecordBatch:
+        chunk, h, more = (np.concatenate(c) for c in zip(*gathered, strict=True))
+        order = np.argsort(chunk, kind="stable")
+        at = np.append(np.flatnonzero(np.append(True, np.diff(chunk[order]) != 0)), len(order))
+        payload = [pack(h[own], more[own]) for own in (order[a:b] for a, b in zip(at[:-1], at[1:], strict=True))]
+        return pa.RecordBatch.from_pydict({"chunk": chunk[order][at[:-1]], "payload": payload}, schema=_ANSWER)
+
+    for batch in common.rows_of(batches):
+        h, more, ids, chunk = (batch.column(c).to_numpy() for c in ("h", "more", "id", "chunk"))
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (more[1:] != more[:-1])
+        new[0] = (h[0], more[0]) != (h0, more0)
+        if new[0]:
+            id0 = ids[0]
+        least = np.where(new, ids, id0)[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]
+        h0, more0, id0 = h[-1], more[-1], least[-1]
+        gone = ids > least
+        gathered.append((chunk[gone], h[gone], more[gone]))
+        n += int(gone.sum())
+        if n >= FLUSH:
+            yield sent()
+            gathered, n = [], 0
+    if n:
+        yield sent()
+
+
 def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_text of each row."""
+    """docs, all columns, with the text's kept words joined by one space; ``__n_words`` before and ``__n_removed`` besides."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(docs.sparkSession.sparkContext.defaultParallelism, int(size // CHUNK_BYTES) + 1)
-    bucket_bits = min(16, max(4, chunks.bit_length()))
     twice = docs.sparkSession.sparkContext.broadcast(sketch(docs, window))
+    columns = docs.columns
 
     def sent(table: pa.Table) -> pa.Table:
         parts = [x[3:] for x in _candidates(table, twice.value, window)]
         h, more, ids = (np.concatenate(c) for c in zip(*parts, strict=True))
         order, new = _first_of(h, more, ids)
         pick = order[new]
-        h, more, ids = h[pick], more[pick], ids[pick]
-        at = np.searchsorted(h, np.arange(1 << bucket_bits, dtype=_U) << _U(64 - bucket_bits))
-        ends = np.append(at[1:], len(h))
-        full = np.flatnonzero(at < ends)
-        chunk = table.column("chunk")[0].as_py()
-        payload = [pack(np.diff(h[a:b], prepend=_U(0)), more[a:b], ids[a:b]) for a, b in zip(at[full], ends[full], strict=True)]
-        return pa.table({"bucket": pa.array(full, pa.int32()), "chunk": pa.array([chunk] * len(full), pa.int32()), "payload": pa.array(payload, pa.binary())})
-
-    def answered(table: pa.Table) -> pa.Table:
-        chunk = table.column("chunk").to_numpy()
-        parts = [unpack(p, _U, np.uint32, np.int64) for p in table.column("payload").to_pylist()]
-        h = np.concatenate([np.cumsum(p[0], dtype=_U) for p in parts])
-        more, ids = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
-        owner = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-        order, new = _first_of(h, more, ids)
-        least = ids[order][new][np.cumsum(new) - 1]
-        gone = order[ids[order] > least]  # in order of the hash
-        gone = gone[np.argsort(owner[gone], kind="stable")]
-        at = np.searchsorted(owner[gone], np.arange(len(parts) + 1))
-        full = np.flatnonzero(at[:-1] < at[1:])
-        payload = [pack(np.diff(h[gone[at[k] : at[k + 1]]], prepend=_U(0))) for k in full]
-        return pa.table({"chunk": pa.array(chunk[full], pa.int32()), "payload": pa.array(payload, pa.binary())})
+        chunk = np.full(len(pick), table.column("__chunk")[0].as_py(), np.int32)
+        return pa.table({"h": h[pick].view(np.int64), "more": more[pick].view(np.int32), "id": ids[pick], "chunk": chunk})
 
     def removed(table: pa.Table, answers: pa.Table) -> pa.Table:
         n_words = np.zeros(table.num_rows, np.int64)
         n_removed = np.zeros(table.num_rows, np.int64)
         kept: list[bytes] = []
-        if not table.num_rows:
-            return pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "kept_text": pa.array([], pa.string())})
-        everywhere = np.sort(np.concatenate([np.empty(0, _U), *(np.cumsum(unpack(p, _U)[0], dtype=_U) for p in answers.column("payload").to_pylist())]))
-        slices = list(_candidates(table, twice.value, window))
-        h, more, ids = (np.concatenate(c) for c in zip(*(s[3:] for s in slices), strict=True))
-        order, new = _first_of(h, more, ids)
-        gone = np.zeros(len(h), bool)
-        gone[order] = ids[order] > ids[order][new][np.cumsum(new) - 1] if len(h) else False
-        if len(everywhere):
-            gone |= everywhere[np.minimum(np.searchsorted(everywhere, h), len(everywhere) - 1)] == h
-        begin = 0
-        for words, row, at, *_ in slices:
-            starts = at[gone[begin : begin + len(at)]]
-            begin += len(at)
-            step = np.zeros(len(words.doc) + 1, np.int64)
-            step[starts] += 1
-            step[starts + window] -= 1
-            keep = np.cumsum(step[:-1]) == 0
-            n_words[row : row + len(words.count)] = words.count
-            n_removed[row : row + len(words.count)] = np.bincount(words.doc[~keep], minlength=len(words.count))
-            kept += words.joined(keep)
-        return pa.table({"doc_id": table.column("doc_id"), "n_words": n_words, "n_removed": n_removed, "kept_text": pa.array(kept, pa.binary()).cast(pa.string())})
-
-    rows = docs.select(F.col("doc_id").cast("long"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk")).repartition(chunks, "chunk")
-    answers = rows.groupBy("chunk").applyInArrow(sent, "bucket int, chunk int, payload binary").groupBy("bucket").applyInArrow(answered, "chunk int, payload binary")
-    return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(removed, "doc_id long, n_words long, n_removed long, kept_text string")
+        if table.num_rows:
+            parts = [unpack(p, _U, np.uint32) for p in answers.column("payload").to_pylist()]
+            slices = list(_candidates(table, twice.value, window))
+            h, more, ids = (np.concatenate(c) for c in zip(*(s[3:] for s in slices), strict=True))
+            # what starts in a smaller id elsewhere counts as one more row of this chunk, before all others
+            told = [np.concatenate([x, *c]) for x, c in zip((h, more), zip(*parts, strict=True) if parts else ((), ()))]
+            order, new = _first_of(*told, np.append(ids, np.full(len(told[0]) - len(ids), np.iinfo(np.int64).min)))
+            ids = np.append(ids, np.full(len(told[0]) - len(ids), np.iinfo(np.int64).min))
+            gone = np.zeros(len(ids), bool)
+            gone[order] = ids[order] > ids[order][new][np.cumsum(new) - 1] if len(ids) else False
+            begin = 0
+            for words, row, at, *_ in slices:
+                starts = at[gone[begin : begin + len(at)]]
+                begin += len(at)
+                step = np.zeros(len(words.doc) + 1, np.int64)
+                step[starts] += 1
+                step[starts + window] -= 1
+                keep = np.cumsum(step[:-1]) == 0
+                n_words[row : row + len(words.count)] = words.count
+                n_removed[row : row + len(words.count)] = np.bincount(words.doc[~keep], minlength=len(words.count))
+                kept += words.joined(keep)
+        out = {c: table.column(c) for c in columns} | {"text": pa.array(kept, pa.binary()).cast(pa.string())}
+        return pa.table(out | {"__n_words": n_words, "__n_removed": n_removed})
+
+    chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")
+    rows = docs.select("*", F.col("doc_id").cast("long").alias("__id"), chunk.alias("__chunk")).repartition("__chunk")
+    dealt = rows.groupBy("__chunk").applyInArrow(sent, _SENT).repartition("h").sortWithinPartitions("h", "more", "id")
+    answers = dealt.mapInArrow(_answers, "chunk int, payload binary").withColumnRenamed("chunk", "__chunk")
+    schema = T.StructType([*docs.select(*columns).schema.fields, T.StructField("__n_words", T.LongType()), T.StructField("__n_removed", T.LongType())])
+    return rows.groupBy("__chunk").cogroup(answers.groupBy("__chunk")).applyInArrow(removed, schema)
 
 
 def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    found = dedup(common.read(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+    found = dedup(common.read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.col("__n_words").alias("n_words"), F.col("__n_removed").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))

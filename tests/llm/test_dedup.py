@@ -49,6 +49,20 @@ def test_sketch_misses_no_repeat_at_any_width(spark, monkeypatch, tmp_path):
     same(substrings.op9_substring_dedup(spark, write(spark, tmp_path, frame(spark))), drop_windows(corpus()))
 
 
+def test_windows_of_many_chunks_on_few_partitions(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(substrings, "CHUNK_BYTES", 40)  # more than a thousand chunks on five partitions
+    monkeypatch.setattr(substrings, "FLUSH", 50)
+    rows = corpus() + [(1000 + i, corpus()[16][1], None, None, None) for i in range(40)]
+    same(substrings.op9_substring_dedup(spark, write(spark, tmp_path, frame(spark, rows))), drop_windows(rows))
+
+
+def test_windows_keep_other_columns(spark):
+    df = frame(spark, extra=True).selectExpr("*", "2 AS more", "3 AS id", "timestamp'2024-01-01' AS at", "array('a') AS many")
+    out = substrings.dedup(df)
+    assert out.columns == [*df.columns, "__n_words", "__n_removed"]
+    assert sorted((r.doc_id, r.id, r.many) for r in out.collect() if r.doc_id) == sorted((r.doc_id, r.id, r.many) for r in df.collect() if r.doc_id)
+
+
 def test_packing():
     import numpy as np
 
