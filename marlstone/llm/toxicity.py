@@ -13,9 +13,10 @@ hashed into ``BUCKETS`` buckets.  ``fit``
    rows: at most ``sample_per_class`` of each class, those of the smallest hash of doc_id.
 
 ``score`` is map-only.  Defined results: a null or empty text scores as a text
-without n-grams (the intercept); labels that are null or whose doc_id is null or
-absent teach nothing; a doc_id labelled twice counts twice; without a row of
-either class every score is the smoothed share of toxic labels.
+without n-grams (the intercept), a text of any length by all of its n-grams; labels that are null or whose doc_id is null or
+absent teach nothing; a doc_id labelled twice, or with several rows, counts as often in the ratios; without a row of
+either class every score is the smoothed share of toxic labels; a score equal to the threshold is toxic; an empty table gives
+no rows; ``drop_toxic`` returns the columns of docs, whatever they are called.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -140,14 +141,12 @@ def _sample(docs: DataFrame, known: DataFrame, slot: np.ndarray, most: int) -> D
             found = [_features(t, slot).astype("<i4").tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({"toxic": batch.column("toxic"), "rank": batch.column("rank"), "features": pa.array(found, pa.binary())})
 
-    ids = docs.select(F.col("doc_id").alias("__id")).where(~common.is_held_out("__id"))
-    parts = []
-    for label in (0, 1):
-        labelled = common.narrow_side(known.where(F.col("__y") == label).select("__id").distinct())
-        picked = ids.join(labelled, "__id").select("__id", rank).orderBy("rank").limit(most).distinct()
-        rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("__id")).select("text", F.lit(label).alias("toxic"), "rank")
-        parts.append(rows.mapInArrow(held, "toxic int, rank long, features binary").orderBy("rank").limit(most))
-    return parts[0].unionAll(parts[1])
+    ids = docs.select(F.col("doc_id").alias("__id")).where(~common.is_held_out("__id")).join(common.narrow_side(known.distinct()), "__id").select("__id", "__y", rank)
+    picked = [ids.where(F.col("__y") == label).orderBy("rank").limit(most).distinct() for label in (0, 1)]
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked[0].unionAll(picked[1])), F.col("doc_id") == F.col("__id")).select("text", F.col("__y").alias("toxic"), "rank")
+    found = rows.mapInArrow(held, "toxic int, rank long, features binary")
+    # a doc_id of many rows can bring more than were picked
+    return found.withColumn("n", F.row_number().over(Window.partitionBy("toxic").orderBy("rank"))).where(F.col("n") <= most).drop("n")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER_CLASS) -> Model:

@@ -62,6 +62,114 @@ def test_toxic_documents_go(spark, folder):
     assert len(ids & bad) < 0.1 * len(bad) and {9001, 9002, None} <= ids
 
 
+def training(rows, column):
+    """(text, label) of the labelled rows that are not held out; a doc_id may come twice."""
+    truth = {x[0]: x[column] for x in labelled()[1]}
+    return [(r[0], r[1], truth[r[0]]) for r in rows if r[0] in truth and zlib.crc32(str(r[0]).encode()) % 5]
+
+
+def repeated(rows):
+    return rows + rows[5:9] + [(9001, None, None, None, None), (9002, "", None, None, None), (9003, "the vilescum " * 30_000, None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def doubled(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("doubled"))
+    docs, labels = labelled()
+    frame(spark, repeated(docs), extra=True).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels, LABELS).write.parquet(f"{path}/labels.parquet")
+    return path
+
+
+def test_toxicity_against_a_plain_model(spark, doubled, monkeypatch):
+    """Log-ratios by dictionary and dense gradient descent give every score."""
+    T = toxicity
+    rows = repeated(labelled()[0])
+    bucket = {}
+
+    def grams(text):
+        t = " ".join(["", *(text or "").lower().split(), ""])
+        found = {t[i : i + n] for n in T.ORDERS for i in range(len(t) - n + 1)}
+        for g in found - bucket.keys():
+            (bucket[g],) = common.rolling(np.array([ord(c) for c in g], np.uint64) + np.uint64(len(g)), len(g), common.BASE) >> np.uint64(64 - T.BUCKET_BITS)
+        return {int(bucket[g]) for g in found}
+
+    train = [(d, grams(t), y) for d, t, y in training(rows, 2)]
+    n = [sum(y == k for *_, y in train) for k in (0, 1)]
+    count = {}
+    for _, g, y in train:
+        for b in g:
+            count.setdefault(b, [0, 0])[y] += 1
+    ratio = {b: np.log((c[1] + 1) / (n[1] + 2)) - np.log((c[0] + 1) / (n[0] + 2)) for b, c in count.items() if sum(c) >= min(max(min(n) / 30, 1), T.MIN_TEXTS)}
+    features = sorted(b for b, r in ratio.items() if abs(r) >= T.MIN_RATIO)
+    r = np.array([ratio[b] for b in features])
+    dense = lambda g: np.array([b in g for b in features], float) / np.sqrt(max(1, sum(b in g for b in features)))
+    x, y = np.array([dense(g) for _, g, _ in train]) * r, np.array([y for *_, y in train])
+    share = np.where(y == 1, 0.5 / n[1], 0.5 / n[0])
+    w, m, v = (np.zeros(len(features) + 1) for _ in range(3))
+    for t in range(1, T.ROUNDS + 1):
+        slope = share * (1 / (1 + np.exp(-(x @ w[:-1] + w[-1]))) - y)
+        g = np.append(x.T @ slope + T.PENALTY * w[:-1], slope.sum())
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g**2
+        w = w - 0.1 * m / (1 - 0.9**t) / (np.sqrt(v) / np.sqrt(1 - 0.99**t) + 1e-8)
+    expected = sorted((d, 1 / (1 + np.exp(-(dense(grams(t)) * r @ w[:-1] + w[-1])))) for d, t, *_ in rows)
+    got = sorted((x.doc_id, x.score) for x in T.op3_toxicity(spark, doubled).collect())
+    assert [d for d, _ in got] == [d for d, _ in expected]
+    assert np.allclose([s for _, s in got], [s for _, s in expected], atol=1e-6)
+    few = T.fit(common.read(spark, doubled, "documents"), common.read(spark, doubled, "labels"), sample_per_class=20)
+    assert len(few.buckets) == len(features)  # the sample bounds the weights' rows, not the counts
+
+
+def plain_statistics(text):
+    """One text's numbers, without arrays."""
+    t = text or ""
+    words, lines = t.split(), [x for x in t.split("\n") if x.strip()]
+    size = [len(w.encode()) for w in words]
+    n = max(1, len(words))
+    mean = sum(size) / n
+    spread = max(0, sum(s * s for s in size) / n - mean**2) ** 0.5
+    held = [c for c in t.encode() if chr(c) in "#*$%&|<>!?.,;:" or chr(c).isalnum() or c >= 128]
+    shares = [sum(chr(c) in some for c in held) / max(1, len(held)) for some in ("#*$%&|<>", "!?", ".,;:", "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")]
+    same = sum(a == b for a, b in zip(words, words[1:])) / n
+    return [np.log1p(len(words)), min(mean, 30), min(spread, 30), *shares, same, min(len(set(words)) / n**0.8, 2), np.log1p(len(words) / max(1, len(lines))), (len(lines) - len(set(lines))) / max(1, len(lines))]
+
+
+def test_quality_against_a_plain_model(spark, doubled):
+    """Full matrices, one row at a time, and pooling as in the textbook give every score."""
+    Q = quality
+    rows = repeated(labelled()[0])
+    fold = {r.doc_id: r.f for r in spark.createDataFrame([(r[0],) for r in rows], "doc_id long").selectExpr("doc_id", f"pmod(xxhash64(doc_id), {Q.FOLDS}) AS f").collect()}
+    train = training(rows, 1)
+    x, y = np.array([plain_statistics(t) for _, t, _ in train]), np.array([y for *_, y in train])
+    center, spread = x.mean(axis=0), x.std(axis=0) + 1e-3
+    rng = np.random.default_rng(Q.SEED)
+    turn, phase = rng.normal(size=(12, Q.FEATURES)) / Q.WIDTH, rng.uniform(0, 2 * np.pi, Q.FEATURES)
+    lift = lambda s: np.hstack([np.cos(np.clip((s - center) / spread, -6, 6) @ turn + phase) * np.sqrt(2 / Q.FEATURES), np.ones((len(s), 1))])
+    f, weight = lift(x), np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
+    eye = np.append(np.full(Q.FEATURES, Q.RIDGE), 1e-9)
+
+    def ridge(at):
+        return np.linalg.solve(f[at].T @ np.diag(weight[at]) @ f[at] + np.diag(eye * at.sum()), f[at].T @ (weight[at] * y[at]))
+
+    own = np.array([fold[d] for d, *_ in train])
+    bins = lambda raw: np.clip((raw + 1) / 3 * Q.BINS, 0, Q.BINS - 1).astype(int)
+    held = np.array([bins(f[i : i + 1] @ ridge(own != own[i]))[0] for i in range(len(y))])
+    level = []  # of the bins that have rows
+    for b in sorted(set(held)):
+        level.append([y[held == b].mean(), (held == b).sum(), [b]])
+        while len(level) > 1 and level[-2][0] >= level[-1][0]:
+            hit, n, own_bins = level.pop()
+            level[-1] = [(level[-1][0] * level[-1][1] + hit * n) / (level[-1][1] + n), level[-1][1] + n, level[-1][2] + own_bins]
+    value = {b: h for h, _, bs in level for b in bs}
+    at = bins(lift(np.array([plain_statistics(t) for _, t, *_ in rows])) @ ridge(np.ones(len(y), bool)))
+    known = sorted(value)
+    step = [value[max((b for b in known if b <= k), default=known[0])] for k in at]
+    expected = sorted((r[0], np.clip(s * (1 - 1e-6) + 1e-6 * k / Q.BINS, 0, 1)) for r, s, k in zip(rows, step, at))
+    got = sorted((r.doc_id, r.score) for r in Q.op8_quality_classifier(spark, doubled).collect())
+    assert [d for d, _ in got] == [d for d, _ in expected]
+    assert np.mean(np.isclose([s for _, s in got], [s for _, s in expected], atol=1e-6)) > 0.99  # a raw score at a bin's edge may round either way
+
+
 @pytest.mark.parametrize("labels", [[], [(1, 1, 0)], [(1, None, None)]])
 def test_too_few_labels(spark, tmp_path, labels):
     frame(spark).write.parquet(f"{tmp_path}/documents.parquet")
