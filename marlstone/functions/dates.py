@@ -12,22 +12,17 @@ from pyspark.sql import functions as F
 
 from . import lexicon
 
-_NUMBER = "[" + "".join(lexicon.HAN_DIGITS) + r"]+|\d+"
+_HAN_NUMBER = {ord(c): str(n) for c, n in lexicon.HAN_DIGITS.items() if n < 10} | {ord("拾"): "十"}
 
 
 def han_number(text: str) -> int:
-    """A Han or Arabic number up to 99; a run of digits without a ten is read digit by digit."""
-    text = text.strip()
-    if text.isdecimal():
-        return int(text)
-    tens, ten, ones = re.sub("拾", "十", text).partition("十")
-    digit = lexicon.HAN_DIGITS
-    if ten:
-        return (digit.get(tens, 1) if tens else 1) * 10 + digit.get(ones, 0)
-    value = 0
-    for c in text:
-        value = value * 10 + digit[c] if c in digit else value
-    return value
+    """A Han or Arabic number up to 99; a run of digits without a ten is read digit by digit.
+
+    Around a ten, a digit that is left out is a one in front and a zero behind.
+    """
+    places = text.strip().translate(_HAN_NUMBER).partition("十")
+    written = f"{places[0] or 1}{places[2] or 0}" if places[1] else places[0]
+    return int(re.sub(r"\D", "", written) or 0)
 
 
 def relative_day(text: Column, ref: Column) -> Column:
@@ -95,48 +90,91 @@ def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column) ->
     return ~((a_start > b_end) | (a_end < b_start))
 
 
+#: Halves of the day, by what they do to an hour.
+BEFORE_NOON = ("上午", "早上", "早", "凌晨")
+AFTER_NOON = ("下午", "晚上", "晚", "夜間")
+
+#: Letter of a word's kind and the words: the first kind that fits is taken, so longer words stand first.
+_WORDS = {
+    "r": "|".join(w for w, _ in lexicon.RELATIVE_DAYS),
+    "w": "下\\s*(?:週|禮拜|星期)\\s*[" + lexicon.WEEKDAYS + "天]",
+    "a": "|".join(BEFORE_NOON),
+    "p": "|".join(AFTER_NOON),
+    "n": "[" + "".join(lexicon.HAN_DIGITS) + "]+|[0-9]+",
+    "q": "禮拜", "m": "月", "d": "[日號]", "t": "天", "b": "[後后]", "s": "/", "k": "第", "j": "節", "o": "點", "f": "分", "h": "半", "u": "[到至~-]",
+}
+_WORD = re.compile("|".join(f"(?P<{kind}>{words})" for kind, words in _WORDS.items()))
+#: Phrases over the letters of neighbouring words; at one place the first that fits is taken.
+_PHRASES = {
+    "relative": "r", "after": "n[td]b", "week": "w", "day": "nm(?!n[td]b)nd?|nsn|n(?:d)", "clock": "[ap]?non?f?h?(?:u[ap]?non?f?h?)?", "period": "knj", "weekday": "q",
+}
+_PHRASE = re.compile("|".join(f"(?P<{name}>{kinds})" for name, kinds in _PHRASES.items()))
+
+
+def _words(text: str) -> tuple[str, list[re.Match]]:
+    """A letter per word, a space where other text stands between two, and the words (None for the others)."""
+    kinds, words, at = "", [], 0
+    for word in _WORD.finditer(text):
+        if text[at : word.start()].strip():
+            kinds += " "
+            words.append(None)
+        kinds += word.lastgroup
+        words.append(word)
+        at = word.end()
+    return kinds, words
+
+
+def _clock(words: list[re.Match]) -> str:
+    """Times in 24 hours.  Of a range, the half of the day holds for both ends; without one at the end, an end before the start is after noon."""
+    out, half, start = "", "", None
+    for before, word in zip([None, *words], words):
+        kind, said, behind = word.lastgroup, word.group(), before.lastgroup if before else ""
+        if kind in "ap":
+            half = kind
+        elif kind == "n" and behind == "o":
+            out += f"{han_number(said)}分"
+        elif kind == "n":
+            hour = han_number(said)
+            hour += 12 * (half == "p" and hour < 12) - 12 * (half == "a" and hour == 12)
+            if start is not None and start < 12 and hour < start and behind == "u":
+                hour += 12
+            start = hour
+            out += str(hour)
+        elif kind in "ouh":
+            out += said
+    return out
+
+
 def normalise_text(text: str | None, ref: dt.date) -> str | None:
-    """Han dates, weekdays, clock times and class periods of a text in digits; relative days as ISO dates."""
+    """Han dates, weekdays, clock times and class periods of a text in digits; days counted from ref as ISO dates.
+
+    Only one relative-day word is replaced: the first one of the kind that stands first in the lexicon.
+    """
     if not text:
         return text
-    for word, days in lexicon.RELATIVE_DAYS:
-        if word in text:
-            text = text.replace(word, (ref + dt.timedelta(days)).isoformat(), 1)
-            break
-    n = lambda m, k: str(han_number(m[k]))
-    text = re.sub(rf"({_NUMBER})\s*[天日]\s*[後后]", lambda m: (ref + dt.timedelta(han_number(m[1]))).isoformat(), text)
-
-    def next_week(m):
-        day = min(6, (lexicon.WEEKDAYS + "天").index(m[1]))
-        return (ref + dt.timedelta((day - ref.weekday()) % 7 + 7)).isoformat()
-
-    text = re.sub(r"下\s*(?:週|禮拜|星期)\s*([一二三四五六日天])", next_week, text)
-    text = re.sub(rf"({_NUMBER})\s*月\s*({_NUMBER})\s*([日號])?", lambda m: f"{n(m, 1)}月{n(m, 2)}{m[3] or ''}", text)
-    text = re.sub(rf"({_NUMBER})\s*/\s*({_NUMBER})", lambda m: f"{n(m, 1)}/{n(m, 2)}", text)
-    text = re.sub(rf"({_NUMBER})\s*([日號])", lambda m: n(m, 1) + m[2], text)
-    half_day = "上午|早上|早|凌晨|下午|晚上|晚|夜間"
-    clock = rf"({half_day})?\s*({_NUMBER})\s*點\s*(?:({_NUMBER})\s*分?)?\s*(半)?"
-
-    def hour(value: str, part: str) -> int:
-        h = han_number(value)
-        if part in ("下午", "晚上", "晚", "夜間") and h < 12:
-            return h + 12
-        return 0 if part in ("上午", "早上", "早", "凌晨") and h == 12 else h
-
-    def time_range(m):
-        part = m[1] or ""
-        first = hour(m[2], part)
-        out = f"{first}點" + (f"{n(m, 3)}分" if m[3] else "") + (m[4] or "")
-        if m[5]:
-            last = hour(m[7], m[6] or part)
-            if first < 12 and last < first and not m[6]:
-                last += 12
-            out += f"{m[5]}{last}點" + (f"{n(m, 8)}分" if m[8] else "") + (m[9] or "")
-        return out
-
-    text = re.sub(rf"{clock}(?:\s*([到至~\-])\s*{clock})?", time_range, text)
-    text = re.sub(rf"第\s*({_NUMBER})\s*節", lambda m: f"第{n(m, 1)}節", text)
-    return text.replace("禮拜", "星期")
+    kinds, words = _words(text)
+    chosen = next((m for w, _ in lexicon.RELATIVE_DAYS for m in words if m and m.group() == w), None)
+    day = lambda n: (ref + dt.timedelta(n)).isoformat()
+    digits = lambda found: "".join(str(han_number(m.group())) if m.lastgroup == "n" else m.group() for m in found)
+    out, at = [], 0
+    for phrase in _PHRASE.finditer(kinds):
+        found = words[phrase.start() : phrase.end()]
+        name = phrase.lastgroup
+        if name == "relative":
+            said = found[0].group()
+            written = day(dict(lexicon.RELATIVE_DAYS)[said]) if found[0] is chosen else said
+        elif name == "after":
+            written = day(han_number(found[0].group()))
+        elif name == "week":
+            weekday = min(6, (lexicon.WEEKDAYS + "天").index(found[0].group()[-1]))
+            written = day((weekday - ref.weekday()) % 7 + 7)
+        elif name == "weekday":
+            written = "星期"
+        else:
+            written = _clock(found) if name == "clock" else digits(found)
+        out += [text[at : found[0].start()], written]
+        at = found[-1].end()
+    return "".join([*out, text[at:]])
 
 
 def normalised(text: Column, ref: dt.date) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
+from ..functions import lexicon
 from ..functions import text as T
 from ..sources import readers as S
 from . import route as R
@@ -206,11 +207,26 @@ def news_filter(spark, sf_dir):
     return S.matching_news(rows, ["7", "XYZ"], ["n"])
 
 
-@query("SELECT c_custkey, '2024-01-02 3月16號 第5節到第7節 20點到21點星期三' AS said FROM customer")
+_NUMERALS = "一 二 三 四 五 六 七 八 九 十 十一 十二 十三 十四 十五 十六 十七 十八 十九 二十 二十一 二十二 二十三 二十四 二十五 二十六 二十七 二十八 二十九 三十 三十一".split()
+_DAYS = ["今天", "明天", "後天", "大後天"]
+
+
+@query(f"""WITH o AS (SELECT o_orderkey, o_orderdate::DATE AS d, 1 + o_orderkey % 12 AS h, 1 + o_orderkey % 31 AS m, 1 + o_orderkey % 9 AS k, o_orderkey % 4 AS r, o_orderkey % 7 AS w FROM orders)
+SELECT o_orderkey, strftime(DATE '2024-01-01' + r::INT, '%Y-%m-%d') || '，' || month(d) || '月' || day(d) || '號，' || month(d) || '/' || day(d) || '，' ||
+       CASE WHEN r < 2 THEN CASE h WHEN 12 THEN 0 ELSE h END ELSE CASE h WHEN 12 THEN 12 ELSE h + 12 END END || '點' || m || '分，第' || k || '節到第' || (k + 4) || '節，' ||
+       strftime(DATE '2024-01-01' + (7 + w)::INT, '%Y-%m-%d') || '，' || strftime(DATE '2024-01-01' + m::INT, '%Y-%m-%d') || '，星期' || substr('{lexicon.WEEKDAYS}', (w + 1)::INT, 1) AS said FROM o""")
 def normalise_dates(spark, sf_dir):
-    """The reference day is 2024-01-01."""
-    c = table(spark, sf_dir, "customer")
-    return c.select("c_custkey", D.normalised(F.lit("明天 三月十六號 第五節到第七節 下午八點到九點 禮拜三"), dt.date(2024, 1, 1)).alias("said"))
+    """What orders' dates and keys say in Han numerals, in digits; the reference day is 2024-01-01, a Monday."""
+    pick = lambda words, n: F.get(F.array(*[F.lit(w) for w in words]), n.cast("int"))
+    key, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    number = lambda n: pick(_NUMERALS, n - 1)
+    weekday = F.get(F.split(F.lit(",".join(lexicon.WEEKDAYS)), ","), (key % 7).cast("int"))
+    said = F.concat(
+        pick(_DAYS, key % 4), F.lit("，"), number(F.month(day)), F.lit("月"), number(F.day(day)), F.lit("號，"), number(F.month(day)), F.lit("/"), F.day(day).cast("string"), F.lit("，"),
+        F.when(key % 4 < 2, "早上").otherwise("晚上"), number(1 + key % 12), F.lit("點"), number(1 + key % 31), F.lit("分，第"), number(1 + key % 9), F.lit("節到第"), (5 + key % 9).cast("string"), F.lit("節，下週"), weekday,
+        F.lit("，"), number(1 + key % 31), F.lit("天後，禮拜"), weekday,
+    )
+    return table(spark, sf_dir, "orders").select("o_orderkey", D.normalised(said, dt.date(2024, 1, 1)).alias("said"))
 
 
 @query("SELECT p_partkey, '用 ' || p_brand || ' 學 Python3 很好 `a中b`' AS spaced FROM part")
