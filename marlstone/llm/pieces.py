@@ -1,16 +1,16 @@
 """Encoding, decoding and counting of SentencePiece unigram pieces.
 
-The pieces and scores of a SentencePiece model file are read with the public
+The pieces, scores and settings of a SentencePiece model file are read with the public
 ``sentencepiece`` library; segmentation is done here.  A text becomes
-``U+2581 + text`` with every space as U+2581 (the model's identity normaliser with a
-dummy prefix).  The encoding is the sequence of pieces with the largest score
+``U+2581 + text`` (if the model has a dummy prefix) with every space as U+2581.  The encoding is the sequence of pieces with the largest score
 sum, where each piece costs ``TIE`` more, so that the fewest pieces win among equal
 sums; then the longest last piece wins, and so on backwards.  A code point that
-no piece covers costs ``lowest score - 10`` (and half a TIE) and becomes its UTF-8 byte
-pieces (the unknown id where the model has none), so decoding restores every text.
+no piece covers, and a U+2581 of the text itself, costs ``lowest score - 10`` (and half a TIE) and becomes its UTF-8 byte
+pieces (the unknown id where the model has none), so with byte pieces decoding restores every text.
 
-No piece has U+2581 behind another character, so the best segmentation of a text is
-the concatenation of those of its *pre-tokens*, cut before every run of U+2581.
+``load`` refuses models that need more than that: another normaliser than the identity, removal of extra white
+space, spaces that are not escaped, user-defined pieces, or pieces with a U+2581 behind another character.  Without such
+pieces the best segmentation of a text is the concatenation of those of its *pre-tokens*, cut before every run of U+2581.
 
 ``encode`` runs an Aho-Corasick automaton of the pieces over a pre-token once;
 the matches that end at a position come along the output links and relax the
@@ -19,8 +19,9 @@ a trie node once, whichever pre-tokens share the prefix, and stores the number
 of pieces at the terminal node.  Both keep results of earlier pre-tokens in tables of
 bounded size, per task.
 
-Defined results: null encodes as an empty text; the empty text gives no pieces;
-lone surrogates can't occur in a Spark string.  Decoding null or unknown ids skips them.
+Defined results: null encodes as an empty text; the empty text gives no pieces; texts of any length are encoded whole;
+repeated rows each give a row; an empty table gives no rows; columns of docs with a name of the results
+are replaced by them, all others stay; lone surrogates can't occur in a Spark string.  Decoding null or unknown ids skips them.
 """
 
 from __future__ import annotations
@@ -38,12 +39,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
 #: Where the vocabulary files of this installation are; every entry point takes another path.
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 META = "▁"
+#: Stands for a U+2581 of the text: a lone surrogate, which no Spark string and no piece holds.
+OWN_META = "\ud800"
 #: Most pre-tokens kept by an encoder, most nodes kept by a counting trie, longest pre-token kept.
 CACHE = 400_000
 NODES = 600_000
@@ -62,6 +66,47 @@ class Vocabulary:
     byte_ids: tuple[int, ...]
     fallback: float
     texts: tuple[bytes, ...]
+    dummy_prefix: bool = True
+
+
+def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a protocol buffer message, in order."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        n = shift = 0
+        while True:
+            byte = raw[at]
+            at += 1
+            n |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return n
+
+    while at < len(raw):
+        number, kind = divmod(varint(), 8)
+        if kind == 0:
+            yield number, varint()
+            continue
+        size = varint() if kind == 2 else 8 if kind == 1 else 4
+        yield number, raw[at : at + size]
+        at += size
+
+
+def dummy_prefix(model: bytes) -> bool:
+    """Whether the model puts a space before texts; raises ValueError for settings that ``encode`` would not honour."""
+    settings: dict = {}
+    for number, value in _fields(model):
+        if number == 3:  # normaliser: 2 its table, 3 dummy prefix, 4 remove extra white space, 5 escape white space
+            settings = dict(_fields(value))
+        elif number == 1 and dict(_fields(value)).get(3) == 4:
+            raise ValueError("user-defined pieces are not supported")
+    if settings.get(2):
+        raise ValueError(f"the normaliser {settings.get(1, b'').decode() or 'of the model'} is not supported: only the identity is")
+    if settings.get(4, 1) or not settings.get(5, 1):
+        raise ValueError("removal of extra white space and spaces that are not escaped are not supported")
+    return bool(settings.get(3, 1))
 
 
 @functools.lru_cache(maxsize=2)
@@ -80,14 +125,18 @@ def load(model_file: str = MODEL_FILE) -> Vocabulary:
         else:
             texts.append(piece.replace(META, " ").encode())
             if META in piece.lstrip(META):
-                continue  # would cross a pre-token's edge
+                raise ValueError(f"piece {piece!r} would cross the edge of a pre-token")
             scores[piece] = (sp.get_score(i) - TIE, i)
     lowest = min((s for s, _ in scores.values()), default=0.0)
-    return Vocabulary(pieces, scores, tuple(byte_ids.get(b, sp.unk_id()) for b in range(256)), lowest - 10 - TIE / 2, tuple(texts))
+    return Vocabulary(pieces, scores, tuple(byte_ids.get(b, sp.unk_id()) for b in range(256)), lowest - 10 - TIE / 2, tuple(texts), dummy_prefix(sp.serialized_model_proto()))
 
 
-def pre_tokens(text: str | None) -> list[str]:
-    return _PRE_TOKEN.findall(META + text.replace(" ", META)) if text else []
+def pre_tokens(text: str | None, prefix: bool = True) -> list[str]:
+    return _PRE_TOKEN.findall(META * prefix + text.replace(META, OWN_META).replace(" ", META)) if text else []
+
+
+def _bytes(char: str) -> bytes:
+    return (META if char == OWN_META else char).encode()
 
 
 class Encoder(dict):
@@ -125,7 +174,7 @@ class Encoder(dict):
         while n:
             length, _, i = last[n]
             if i < 0:
-                out += [self.byte_ids[b] for b in reversed(token[n - 1].encode())]
+                out += [self.byte_ids[b] for b in reversed(_bytes(token[n - 1]))]
             else:
                 out.append(i)
             n -= length
@@ -168,7 +217,7 @@ class CountingTrie(dict):
                 break
             branch = branch.get(chars[node])
             node = parents[node]
-        return top, self.ids[parent] + len(char.encode()) if origin < 0 else self.ids[origin] + 1
+        return top, self.ids[parent] + len(_bytes(char)) if origin < 0 else self.ids[origin] + 1
 
     def __missing__(self, token: str) -> int:
         if len(self.parent) + len(token) > NODES:
@@ -196,40 +245,48 @@ class CountingTrie(dict):
 def decode_ids(vocabulary: Vocabulary, ids) -> str:
     texts = vocabulary.texts
     raw = b"".join(texts[i] for i in ids if i is not None and 0 <= i < len(texts))
-    return raw[1:].decode("utf-8", "replace") if raw.startswith(b" ") else raw.decode("utf-8", "replace")
+    return raw[vocabulary.dummy_prefix and raw.startswith(b" ") :].decode("utf-8", "replace")
+
 
+def _kept(docs: DataFrame, keep: list[str] | None, *made: tuple[str, T.DataType]) -> tuple[DataFrame, list[str], T.StructType]:
+    """docs, the columns of it that stay (all, or those in keep), and the schema of those and the columns made."""
+    names = {name for name, _ in made}
+    stay = [c for c in (docs.columns if keep is None else keep) if c not in names]
+    fields = [docs.schema[c] for c in stay] + [T.StructField(*x) for x in made]
+    return docs.select(*dict.fromkeys([*stay, "text"])), stay, T.StructType(fields)
 
-def encode(docs: DataFrame, model_file: str = MODEL_FILE, keep_ids: bool = True) -> DataFrame:
-    """doc_id, n_tokens, token_ids (unless keep_ids is false), ids_sha256 (little-endian int32), round_trip: decoding gives the text back."""
+
+def encode(docs: DataFrame, model_file: str = MODEL_FILE, keep_ids: bool = True, keep: list[str] | None = None) -> DataFrame:
+    """docs (all columns, or those in keep) with n_tokens, token_ids (unless keep_ids is false), ids_sha256 (little-endian int32), round_trip: decoding gives the text back."""
+    ids = [("token_ids", T.ArrayType(T.IntegerType()))] if keep_ids else []
+    rows, stay, schema = _kept(docs, keep, ("n_tokens", T.LongType()), *ids, ("ids_sha256", T.StringType()), ("round_trip", T.BooleanType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = load(model_file)
         encoder = Encoder(vocabulary)
         for batch in common.rows_of(batches):
-            doc_ids, texts = batch.column("doc_id"), batch.column("text")
             start, size = 0, 0
-            lengths = [len(t or "") for t in texts.to_pylist()]
+            lengths = [len(t or "") for t in batch.column("text").to_pylist()]
             for row in range(len(lengths)):
                 size += lengths[row]
                 if size >= common.SLICE_BYTES or row == len(lengths) - 1:
-                    yield encoded(vocabulary, encoder, doc_ids.slice(start, row + 1 - start), texts.slice(start, row + 1 - start))
+                    yield encoded(vocabulary, encoder, batch.slice(start, row + 1 - start))
                     start, size = row + 1, 0
 
-    def encoded(vocabulary, encoder, doc_ids, texts) -> pa.RecordBatch:
+    def encoded(vocabulary, encoder, batch) -> pa.RecordBatch:
         rows, digests, same = [], [], []
-        for text in texts.to_pylist():
-            ids = np.fromiter(chain.from_iterable(map(encoder.__getitem__, pre_tokens(text))), np.int32)
+        for text in batch.column("text").to_pylist():
+            ids = np.fromiter(chain.from_iterable(map(encoder.__getitem__, pre_tokens(text, vocabulary.dummy_prefix))), np.int32)
             rows.append(ids)
             digests.append(hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest())
             same.append(decode_ids(vocabulary, ids.tolist()) == (text or ""))
         offsets = np.cumsum([0, *map(len, rows)]).astype(np.int32)
-        out = {"doc_id": doc_ids, "n_tokens": np.diff(offsets).astype(np.int64)}
+        out = {c: batch.column(c) for c in stay} | {"n_tokens": np.diff(offsets).astype(np.int64)}
         if keep_ids:
             out["token_ids"] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows)))
         return pa.RecordBatch.from_pydict(out | {"ids_sha256": digests, "round_trip": same})
 
-    ids = "token_ids array<int>, " if keep_ids else ""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, n_tokens long, {ids}ids_sha256 string, round_trip boolean")
+    return rows.mapInArrow(run, schema)
 
 
 def decode(ids: Column, model_file: str = MODEL_FILE) -> Column:
@@ -243,25 +300,28 @@ def decode(ids: Column, model_file: str = MODEL_FILE) -> Column:
     return decoded(ids)
 
 
-def count(docs: DataFrame, model_file: str = MODEL_FILE) -> DataFrame:
-    """doc_id, n_pretokens, n_tokens of each row: the number of ids that ``encode`` gives."""
+def count(docs: DataFrame, model_file: str = MODEL_FILE, keep: list[str] | None = None) -> DataFrame:
+    """docs (all columns, or those in keep) with n_pretokens and n_tokens: the number of ids that ``encode`` gives."""
+    rows, stay, schema = _kept(docs, keep, ("n_pretokens", T.LongType()), ("n_tokens", T.LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = CountingTrie(load(model_file))
+        vocabulary = load(model_file)
+        trie = CountingTrie(vocabulary)
         for batch in common.rows_of(batches):
             pre, total = [], []
             for text in batch.column("text").to_pylist():
-                tokens = pre_tokens(text)
+                tokens = pre_tokens(text, vocabulary.dummy_prefix)
                 pre.append(len(tokens))
                 total.append(sum(map(trie.__getitem__, tokens)))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_pretokens": pa.array(pre, pa.int64()), "n_tokens": pa.array(total, pa.int64())})
+            out = {c: batch.column(c) for c in stay} | {"n_pretokens": pa.array(pre, pa.int64()), "n_tokens": pa.array(total, pa.int64())}
+            yield pa.RecordBatch.from_pydict(out)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_pretokens long, n_tokens long")
+    return rows.mapInArrow(run, schema)
 
 
 def op4_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    return encode(common.read(spark, sf_dir, "documents"))
+    return encode(common.read(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
 def op6_token_counts(spark, sf_dir: str) -> DataFrame:
-    return count(common.read(spark, sf_dir, "documents"))
+    return count(common.read(spark, sf_dir, "documents"), keep=["doc_id"])
