@@ -15,8 +15,11 @@ literal windows found by templates or, where that is too small, that of all wind
 Documents look their hashes up in the sorted benchmark hashes, which are sent to executors only up to
 ``PROBE_WINDOWS``; for a larger benchmark all windows are shuffled to the join.
 
-Defined results: null or empty texts leak nothing; null or wordless items are ignored; an item of fewer words than the window is one window;
-items of equal text count as the one of the smallest item_id; repeated rows of documents each leak.
+Defined results: null or empty texts leak nothing; null or wordless items are ignored; an item of fewer words than the window is one
+window, but if it has too little text for a match to mean anything (``LONE_WORDS``, ``LONE_CHARS``: ``yes`` or ``in 1990``), it is
+not searched for and ``too_short`` lists it; items of equal text count as the one of the smallest item_id; rows equal in doc_id
+and text give one row of results and stay or go together; texts of any length are searched whole; empty tables leak nothing;
+``drop_leaks`` returns the columns of docs, whatever they are called.
 """
 
 from __future__ import annotations
@@ -35,6 +38,8 @@ WINDOW = 8
 MIN_SHARE = 0.5
 #: 8 bytes each: at most 32 MB are broadcast.
 PROBE_WINDOWS = 4_000_000
+#: An item of fewer words than the window needs so many words, and letters and digits in them; one of fewer words needs twice the letters.
+LONE_WORDS, LONE_CHARS = 3, 12
 #: The words that are units when they follow a number.
 UNITS = "kg g mg lb oz t km m cm mm mi ft in yd l ml gal s sec seconds min minutes h hr hours days weeks months years meters metres miles feet inches pounds dollars euros cents percent degrees liters litres grams kilograms kilometers kilometres".split()
 
@@ -77,11 +82,18 @@ class Templates:
         self.kind = kind
         self.word, self.token = h, np.where(kind == LITERAL, h, _SLOT[kind])
 
+    def telling(self, at: np.ndarray, size: int) -> np.ndarray:
+        """Whether the words from at on have text enough to be searched for alone."""
+        points = np.concatenate(([0], np.cumsum((self.words.buf & 0xC0) != 0x80)))
+        chars = np.concatenate(([0], np.cumsum(points[self.end] - points[self.start])))
+        return chars[at + size] - chars[at] >= LONE_CHARS * (1 if size >= LONE_WORDS else 2)
+
     def windows(self, size: int, lone: bool = False, item: bool = False, rare: bool = True) -> list[tuple[int, np.ndarray, np.ndarray]]:
         """Way, first words and hashes of the windows found that way; lone: only of texts of just that many words; rare: some window of the items is not literal enough."""
         at = self.words.windows(size)
         if lone:
             at = at[self.words.count[self.words.doc[at]] == size]
+            at = at[self.telling(at, size)]
         literal = np.concatenate(([0], np.cumsum(self.kind == LITERAL)))
         enough = 2 * (literal[at + size] - literal[at]) >= size
         words = {DOC_WORDS: at if item else at[~enough], ITEM_WORDS: at[~enough] if item else at if rare else at[:0]}
@@ -155,6 +167,12 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return rows.join(counted, "doc_id").select(F.col("doc_id").alias("item_id"), "hash", "way", F.col("pos").alias("item_pos"), "size", F.col("slots").alias("item_slots"), "n_windows", "n_all")
 
 
+def too_short(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """item_id and text of the items that are not searched for: null, without words, or of too little text."""
+    searched = item_windows(benchmark, window).select("item_id").distinct().join(benchmark.select(F.col("item_id").cast("long"), "text"), "item_id").select("text")
+    return benchmark.select("item_id", "text").join(searched, "text", "left_anti").select("item_id", "text")
+
+
 _KEYS = ["doc_id", "key", "item_id", "n_windows", "n_all"]
 _RUN = pa.schema([*[(k, pa.int64()) for k in _KEYS], ("at", pa.list_(pa.int32())), ("words_at", pa.list_(pa.int32())), ("alike", pa.bool_())])
 

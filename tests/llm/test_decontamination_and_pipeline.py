@@ -49,6 +49,21 @@ def test_short_items_and_repeated_rows(spark):
     assert D.drop_leaks(d.union(d), bench(spark)).count() == 0
 
 
+def test_an_answer_of_a_word_is_no_leak(spark):
+    items = [(1, "yes"), (2, "in 1990"), (3, "tiny item here"), (4, None), (5, "a b c d"), (6, "這是一個關於台灣最高的山究竟是哪一座而且有多高的問題"), (7, "yes")]
+    texts = ["well yes it was", "in 1990 a b c d", "a tiny item here", "x 這是一個關於台灣最高的山究竟是哪一座而且有多高的問題 y"]
+    found = D.leaks(docs(spark, texts), bench(spark, items)).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(2, 3), (3, 6)]
+    assert sorted(r.item_id for r in D.too_short(bench(spark, items)).collect()) == [1, 2, 4, 5, 7]
+
+
+def test_clashing_columns_and_long_texts(spark):
+    long = "word " * 200_000 + ITEM
+    d = docs(spark, [long, None, ""]).selectExpr("*", "1 AS __doc_id", "2 AS __key", "3 AS hash", "4 AS item_id")
+    out = D.drop_leaks(d, bench(spark))
+    assert out.columns == d.columns and sorted(r.doc_id for r in out.collect()) == [1, 2]
+
+
 def test_slots():
     t = D.Templates([b"Anna ate 3,5 kg of kg plums, (42) -- 7"])
     assert t.kind.tolist() == [D.NAME, D.LITERAL, D.NUMBER, D.UNIT, D.LITERAL, D.LITERAL, D.LITERAL, D.NUMBER, D.LITERAL, D.NUMBER]
