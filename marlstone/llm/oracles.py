@@ -45,8 +45,8 @@ b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
         n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines
         OR word_chars < 2 * n_words OR word_chars > 15 * n_words AS failed FROM c),
 h AS (SELECT source, count(*) AS n, count(*) FILTER (failed) AS f FROM b GROUP BY source),
-p0 AS (SELECT least(greatest(sum(f) / sum(n), 1e-4), 1 - 1e-4) AS m, var_pop(f / n) AS v FROM h),
-p AS (SELECT m, least(greatest(m * (1 - m) / greatest(v, 1e-9) - 1, 1.0), 1000.0) AS k FROM p0),
+p0 AS (SELECT least(greatest(sum(f) / sum(n), 1e-4), 1 - 1e-4) AS m, var_pop(f / n) AS v, avg(1 / n) AS c FROM h),
+p AS (SELECT m, least(greatest(m * (1 - m) / greatest(v - m * (1 - m) * c, 1e-9) - 1, 1.0), 1000.0) AS k FROM p0),
 r AS (SELECT source, (f + m * k) / (n + k) AS rate FROM h, p)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND rate <= 0.5 AS kept, round(rate, 6) AS host_rate

@@ -1,7 +1,8 @@
 """Quality rules by host, in DataFrame functions only.
 
 Each whole text gets counts and a list of rules that it fails.  Failures are summed by host,
-a beta prior is fitted to the hosts' failure rates by moments, each host's rate is shrunk
+a beta prior is fitted to the hosts' failure rates by moments (their variance less what chance alone
+gives hosts of their sizes), each host's rate is shrunk
 toward the prior's mean, and hosts whose shrunk rate exceeds ``max_rate`` are rejected.
 The verdict is joined back: a document is kept if its own base rules hold and its host is not rejected.
 
@@ -9,7 +10,9 @@ Words are maximal runs outside ``[\\x20\\x09-\\x0D]``.  ``n_repeat_words`` count
 words that lie in a window of three words whose word sequence occurs at least twice in the text.
 
 Defined results: a null or empty text has zero counts and fails (fewer than 50
-words); a null host is a host of its own; equal rows are separate documents.
+words); a text of any length is counted whole; a null host is a host of its own; equal rows are separate documents; a host whose
+rate equals ``max_rate`` stays; an empty table gives no rows; of docs only doc_id, text and the host are used, so no other
+column's name can clash.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: A host is rejected if its shrunk share of failing documents is above this.
 MAX_RATE = 0.5
+#: Least and most documents that the prior counts as: with few hosts, or hosts that differ by chance only, the moments give none or any number.
+LEAST_WEIGHT, MOST_WEIGHT = 1.0, 1000.0
 _BLANK = " \t\n\x0b\x0c\r"
 
 
@@ -81,9 +86,10 @@ def host_rates(judged: DataFrame) -> DataFrame:
     """host, n_docs, n_failed, rate shrunk toward the mean of a beta prior; judged: host, failed."""
     hosts = judged.groupBy("host").agg(F.count("*").alias("n_docs"), F.count_if("failed").alias("n_failed"))
     each = F.col("n_failed") / F.col("n_docs")
-    mean, spread = hosts.agg((F.sum("n_failed") / F.sum("n_docs")), F.var_pop(each)).first()
+    mean, spread, chance = hosts.agg((F.sum("n_failed") / F.sum("n_docs")), F.var_pop(each), F.avg(1 / F.col("n_docs"))).first()
     mean = min(max(mean or 0.0, 1e-4), 1 - 1e-4)
-    weight = min(max(mean * (1 - mean) / max(spread or 0.0, 1e-9) - 1, 1.0), 1000.0)
+    spread = (spread or 0.0) - mean * (1 - mean) * (chance or 0.0)
+    weight = min(max(mean * (1 - mean) / max(spread, 1e-9) - 1, LEAST_WEIGHT), MOST_WEIGHT)
     return hosts.withColumn("rate", (F.col("n_failed") + mean * weight) / (F.col("n_docs") + weight))
 
 
