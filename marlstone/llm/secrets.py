@@ -7,8 +7,9 @@ counted per document and alternative give the candidates, which the regular expr
 verifies.  A rule without mandatory trigrams scans every document.
 
 Matches are leftmost and do not overlap within a rule; spans are code points, the end is
-exclusive.  Defined results: null or empty texts have no spans; equal rows are
-separate documents; of rules that match at one start the one listed first goes first.
+exclusive.  Defined results: null or empty texts have no spans; texts of any length are scanned whole; equal rows are
+separate documents; of rules that match at one start the one listed first goes first; an empty table gives no rows;
+of docs only doc_id and text are used, so no other column's name can clash.
 """
 
 from __future__ import annotations
@@ -20,7 +21,13 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_parser = re._parser
+from . import common
+
+
+def parsed(pattern: str):
+    """The parts of a pattern, (operation, argument) each, as Python's own parser has them: it has no public interface, so all use of it is here."""
+    return re._parser.parse(pattern)
+
 
 #: Alternatives that a query may have; beyond it a part of the expression is left out (a weaker, still sound query).
 MOST_ALTERNATIVES = 64
@@ -92,9 +99,9 @@ def _part(op, arg) -> tuple[set[str] | None, Query]:
     return None, ANY  # classes, optional parts, anything else: no demand
 
 
-def _sequence(parsed) -> tuple[set[str] | None, Query]:
+def _sequence(parts) -> tuple[set[str] | None, Query]:
     open_strings, query, exact = {""}, ANY, True
-    for op, arg in parsed:
+    for op, arg in parts:
         strings, own = _part(op, arg)
         if strings is not None and len(strings) * len(open_strings) <= MOST_ALTERNATIVES:
             open_strings = {a + b for a in open_strings for b in strings}
@@ -109,16 +116,16 @@ def _sequence(parsed) -> tuple[set[str] | None, Query]:
 
 def trigram_query(pattern: str) -> Query:
     """Alternatives, any of which every match of the pattern satisfies; ANY if it demands nothing."""
-    strings, query = _sequence(_parser.parse(pattern))
+    strings, query = _sequence(parsed(pattern))
     query = query if strings is None else _of_strings(strings)
     least = [a for a in query if not any(b < a for b in query)]  # what demands more than another adds nothing
     return ANY if frozenset() in least else least
 
 
 def query_table(spark: SparkSession, rules: tuple[Rule, ...]) -> DataFrame:
-    """kind, alternative, needed (its size), trigram: as many rows as the rules' patterns make."""
-    rows = [(r.kind, k, len(alternative), t) for r in rules for k, alternative in enumerate(trigram_query(r.pattern)) for t in sorted(alternative)]
-    return spark.createDataFrame(rows, "kind string, alternative int, needed int, trigram string")
+    """rule (its place), alternative, needed (its size), trigram: as many rows as the rules' patterns make."""
+    rows = [(at, k, len(alternative), t) for at, r in enumerate(rules) for k, alternative in enumerate(trigram_query(r.pattern)) for t in sorted(alternative)]
+    return spark.createDataFrame(rows, "rule int, alternative int, needed int, trigram string")
 
 
 def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
@@ -129,13 +136,13 @@ def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """key, kinds: the rules with mandatory trigrams whose query a document satisfies."""
+    """key, rules (a bit each): the rules with mandatory trigrams whose query a document satisfies."""
     table = query_table(docs.sparkSession, rules)
     trigrams = sorted({t for r in rules for a in trigram_query(r.pattern) for t in a})
     # the query table is as small as the rules; a document is in a posting list once
     hits = postings(docs, trigrams).join(F.broadcast(table), "trigram")
-    met = hits.groupBy("key", "kind", "alternative", "needed").agg(F.count_distinct("trigram").alias("n")).where("n = needed")
-    return met.groupBy("key").agg(F.collect_set("kind").alias("kinds"))
+    met = hits.groupBy("key", "rule", "alternative", "needed").agg(F.count_distinct("trigram").alias("n")).where("n = needed")
+    return met.groupBy("key").agg(F.bit_or(F.expr("shiftleft(1L, rule)")).alias("rules"))
 
 
 def _spans(rule: Rule, at: int) -> Column:
@@ -160,7 +167,8 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id and spans, an array of (start, kind, end) with kind the rule's place in rules, sorted."""
     key = F.xxhash64("doc_id", "text")  # equal keys share candidates, which the patterns verify
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("__text"), key.alias("__key"))
-    found = candidates(docs.select(key.alias("key"), "text"), rules).withColumnRenamed("key", "__of")
+    # few documents are candidates: their keys are sent to the texts, not the texts to a join
+    found = common.narrow_side(common.materialize(candidates(docs.select(key.alias("key"), "text"), rules).withColumnRenamed("key", "__of"), "candidates"))
     joined = rows.join(found, rows["__key"] == F.col("__of"), "left")
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     each = []
@@ -168,7 +176,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         if trigram_query(rule.pattern) == ANY:
             gate = F.col("__text").rlike(rule.pattern)  # full scan
         else:
-            gate = F.coalesce(F.array_contains("kinds", rule.kind), F.lit(False))
+            gate = F.coalesce(F.col("rules").bitwiseAND(1 << at) != 0, F.lit(False))
         each.append(F.when(gate, _spans(rule, at)).otherwise(none))
     return joined.select("doc_id", F.array_sort(F.concat(*each)).alias("spans"))
 
