@@ -11,9 +11,10 @@ line spreads over as many partitions as it needs.  A task streams its rows and h
 the rows of a few documents at most; only for a hash at the edge of its range does it
 send a summary, two rows a task, which settle the few rows that neighbours decide.
 
-Defined results: null or empty texts are one empty line; a null doc_id counts as smaller than
+Defined results: null or empty texts are one empty line; a text of any length is split whole; a null doc_id counts as smaller than
 all others, and all rows of one doc_id are one document; rows equal in doc_id and
-text get the same bitmap.
+text get the same bitmap; an empty table gives no rows; ``dedup`` returns the columns of docs, whatever they are called,
+and two of its own behind them.
 """
 
 from __future__ import annotations
@@ -108,13 +109,14 @@ def _streamed(min_docs: int):
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc (doc_id, null as the smallest), key (hash of the text) and pos of each line that goes."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64("text").alias("key"), "text")
-    hashes = rows.mapInArrow(_line_hashes(min_chars), _ROWS)
+    # written once: dealing by range reads them twice
+    hashes = common.materialize(rows.mapInArrow(_line_hashes(min_chars), _ROWS), "hashes")
     # no count given: the session's number of shuffle partitions, which adaptive execution may merge
     dealt = hashes.repartitionByRange("h1", "h2", "doc").sortWithinPartitions("h1", "h2", "doc", "pos")
     found = common.materialize(dealt.mapInArrow(_streamed(min_docs), _FOUND), "lines")
     whole = found.where(F.col("kind") == SUMMARY).groupBy("h1", "h2").agg(F.sum("n_docs").alias("docs"), F.max("doc").alias("last"))
     # at most two summaries a task of the range partitioning
-    edges = found.where(F.col("kind") == EDGE).join(F.broadcast(whole), ["h1", "h2"]).where((F.col("docs") >= min_docs) & (F.col("doc") < F.col("last")))
+    edges = found.where(F.col("kind") == EDGE).join(common.narrow_side(whole), ["h1", "h2"]).where((F.col("docs") >= min_docs) & (F.col("doc") < F.col("last")))
     return found.where(F.col("kind") == DROP).select("doc", "key", "pos").unionByName(edges.select("doc", "key", "pos"))
 
 
@@ -157,12 +159,12 @@ def kept_text(text: Column, keep: Column) -> Column:
 def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs, all columns, with the text's kept lines; ``__n_lines`` before and ``__n_dropped`` besides."""
     maps = keep_bitmaps(docs, min_chars, min_docs).select(F.col("doc").alias("__doc"), F.col("key").alias("__key"), F.col("n_dropped").alias("__n_dropped"), F.col("keep").alias("__keep"))
-    match = (F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)) == F.col("__doc")) & (F.xxhash64(docs["text"]) == F.col("__key"))
+    match = (F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)) == maps["__doc"]) & (F.xxhash64(docs["text"]) == maps["__key"])
     text = F.coalesce(docs["text"], F.lit(""))
     joined = docs.join(maps, match, "left")
     n_lines = (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
-    columns = [kept_text(docs["text"], F.col("__keep")).alias("text") if c == "text" else docs[c] for c in docs.columns]
-    return joined.select(*columns, n_lines.alias("__n_lines"), F.coalesce("__n_dropped", F.lit(0).cast("long")).alias("__n_dropped"))
+    columns = [kept_text(docs["text"], maps["__keep"]).alias("text") if c == "text" else docs[c] for c in docs.columns]
+    return joined.select(*columns, n_lines.alias("__n_lines"), F.coalesce(maps["__n_dropped"], F.lit(0).cast("long")).alias("__n_dropped"))
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
