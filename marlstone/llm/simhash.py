@@ -293,7 +293,7 @@ def candidates(nodes: DataFrame) -> DataFrame:
 def similar_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(u, v): candidates that share enough of their shingles, from nodes (node, size, prints, first) and docs (doc_id, key, text); 32 bits of each shingle's hash are compared."""
     pairs = common.materialize(candidates(nodes), "pairs")
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    ends = pairs.select(F.col("u").alias("node")).distinct().union(pairs.select("v").distinct()).distinct()
     firsts = common.materialize(nodes.join(ends, "node").select("node", F.col("first.doc_id").alias("__doc_id"), F.col("first.key").alias("__key")), "ends")
     few = common.narrow_side(firsts)
     texts = docs.join(few, docs["doc_id"].eqNullSafe(few["__doc_id"]) & (docs["key"] == few["__key"]))
