@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from itertools import chain
 
@@ -63,11 +64,18 @@ def weekday(question: Column) -> Column:
     return out
 
 
+GRADES = "一二三四五"
+
+
 def grade(question: Column) -> Column:
+    """A spoken year of study, or one behind the short name of a department that the question names (資工三)."""
     out = F.when(question.rlike("大一|一年級"), "一")
-    for g in "二三四五":
-        out = out.when(question.rlike("大五|五年級" if g == "五" else f"大{g}|{g}年級"), g)
-    return out.when(question.rlike("碩一|研一"), "碩一").when(question.rlike("碩二|研二"), "碩二")
+    for g in GRADES[1:]:
+        out = out.when(question.rlike(f"大{g}|{g}年級"), g)
+    spoken = out.when(question.rlike("碩一|研一"), "碩一").when(question.rlike("碩二|研二"), "碩二")
+    behind = lambda name: F.coalesce(*[F.when(question.contains(F.concat(name, F.lit(g))), g) for g in GRADES])
+    named = F.transform(departments(question), lambda d: behind(F.regexp_replace(d, "[系碩]", "")))
+    return F.coalesce(spoken, F.get(F.array_compact(named), F.lit(0)))
 
 
 def class_group(question: Column) -> Column:
@@ -175,6 +183,33 @@ def departments(question: Column) -> Column:
     return F.when(sports, F.array(F.lit("日大學體育"))).when(question.contains("通識"), F.array(F.lit("通識中心"))).otherwise(named)
 
 
+#: What is asked about, by who asks for its teachers or courses, and the words that are searched instead.
+SUBJECTS = {
+    ("英文", "英語", "英"): "應英系 英文老師 大一英文 英文課 應用英語學系",
+    ("體育", "運動"): "體育課 體育老師 體育室 推薦",
+    ("通識",): "通識課 通識老師 通識中心 推薦",
+    ("資工", "資訊工程", "csie"): "資工系 資工老師 資訊工程學系 資工",
+    ("電機", "電機工程", "ee"): "電機系 電機老師 電機工程學系 電機",
+    ("企管", "企業管理", "ba"): "企管系 企管老師 企業管理學系 企管",
+    ("工管", "工業工程"): "工管系 工管老師 工業工程與管理學系 工管",
+    ("觀光", "觀光管理"): "觀光系 觀光老師 觀光管理學系 觀光",
+}
+SUBJECT_DEPARTMENTS = (
+    "資工", "電機", "電子", "土木", "食品", "企管", "觀光", "運休", "工管", "資管", "國際", "建築", "海邊", "應英", "華語", "都景", "護理", "長照", "社工", "機械", "化工", "網媒",
+)
+
+
+def opinion_query(question: Column) -> Column:
+    """Search words for a question that ends in teacher, professor or course: those of its subject, else of the department, person or course before it."""
+    said = F.trim(question)
+    subject = F.trim(F.regexp_extract(said, "^(.+?)(?:教授|老師|課)$", 1))
+    known = _map(subject, {name: words for names, words in SUBJECTS.items() for name in names})
+    bare = F.replace(subject, F.lit("系"), F.lit(""))
+    words = lambda name, *ends: F.concat_ws(" ", *[F.concat(name, F.lit(e)) for e in ends])
+    other = F.when(any_word(subject, SUBJECT_DEPARTMENTS), words(bare, "系", "老師", "課")).when(F.length(subject) <= 4, words(subject, " 老師 評價", " 教授")).otherwise(words(subject, " 老師", " 課"))
+    return F.when(subject == "", said).otherwise(F.coalesce(known, other))
+
+
 def search_queries(question: Column, rewritten: Column, most: int = 4) -> Column:
     """The question first, then its rewritings, each once."""
     return F.slice(F.array_distinct(F.concat(F.array(question), rewritten)), 1, most)
@@ -228,6 +263,59 @@ def plan_filters(by_rules: dict[str, list[str]], by_model: dict[str, list[str] |
     return Filters(wanted, first_query)
 
 
+#: Words that bind a question to a time, so that the current term holds; words of course names; years of study in digits.
+TIME_WORDS = ("星期", "禮拜", "週", "周", "今天", "明天", "空堂", "幾點", "下午", "上午", "節", "堂")
+COURSE_NAME_WORDS = ("系統", "概論", "原理", "實驗", "微處理器", "程式設計", "微算機")
+YEARS_OF_STUDY = {"1": "一", "2": "二", "3": "三", "4": "四", "5": "五"}
+ABOUT_COURSES = ("course_info", "schedule")
+
+
+def repaired(model: dict[str, list[str] | None], courses: frozenset[str] = frozenset(), teachers: frozenset[str] = frozenset()) -> dict[str, list[str] | None]:
+    """A model's filters with courses that it took for teachers among the courses, teachers without titles, and none that hold a digit."""
+    said = model.get("teacher")
+    if said is None:
+        return dict(model)
+    moved = [t for t in said if t not in teachers and (t in courses or any(w in t for w in COURSE_NAME_WORDS))]
+    bare = [re.sub("(?:老師|教授)$", "", t).strip() for t in said if t not in moved]
+    out = {k: v for k, v in model.items() if k != "teacher"}
+    if people := [t for t in bare if t and not re.search(r"\d", t)]:
+        out["teacher"] = people
+    if moved:
+        out["course_name_keyword"] = list(dict.fromkeys([*(out.get("course_name_keyword") or []), *moved]))
+    return out
+
+
+def decide(
+    question: str, rule_type: str, by_rules: dict[str, list[str]], model: dict | None = None, *,
+    term: tuple[str, str] | None = None, profile: dict[str, str] | None = None, courses: frozenset[str] = frozenset(), teachers: frozenset[str] = frozenset(), most: int = 5,
+) -> Route:
+    """The route of one question from its rules and what a model said of it (query_type, filters, search_queries, is_chitchat, is_career_planning); None if the model failed.
+
+    Of questions about courses, those bound to a time get the current term even where the model refused one; the others lose the year of study.
+    Who names no teacher, room, course or department asks about their own department and, if bound to a time, year.
+    """
+    if model is None:
+        return Route(rule_type, Filters(by_rules, question), 0.3, (question,))
+    kind, career = model.get("query_type") or rule_type, bool(model.get("is_career_planning"))
+    said = repaired(model.get("filters") or {}, courses, teachers)
+    merged = {**by_rules, **said}
+    timed = any(w in question for w in TIME_WORDS) or bool(merged.get("day_of_week") or merged.get("time_period"))
+    about = kind in ABOUT_COURSES
+    bound = about and timed and not career
+    if bound:
+        said = {k: v for k, v in said.items() if v is not None or k not in ("academic_year", "semester")}
+    wanted = dict(plan_filters(by_rules, said, career=career, term=term if bound else None, first_query=question).wanted)
+    if about and not timed and not career:
+        wanted.pop("grade", None)
+    if about and profile and not {"teacher", "classroom", "course_name_keyword", "dept_short"} & wanted.keys():
+        if own := profile.get("department"):
+            wanted["dept_short"] = [own]
+        if bound and "grade" not in wanted and (year := str(profile.get("grade") or "")):
+            wanted["grade"] = [YEARS_OF_STUDY.get(year, year)]
+    queries = tuple(dict.fromkeys([question, *(model.get("search_queries") or [])]))[:most]
+    return Route(kind, Filters(wanted, question), 0.9 if wanted else 0.7, queries, bool(model.get("is_chitchat")), career)
+
+
 #: What handles a question, by its type; a general one without filters is chitchat.
 HANDLERS = {"personal_schedule": "schedule", "personal_transcript": "transcript", "academic_calendar": "calendar_search", "calendar_action": "calendar"}
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -93,6 +94,90 @@ def rule_lines(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("path", "category", "required_credits", F.when(credits.isNotNull(), F.concat(name, F.lit("（"), credits.cast("string"), F.lit("學分）"))).otherwise(name).alias("course"))
 
 
+def course_text(course: Column) -> Column:
+    """A course of the rules as text, from its JSON: an object with name, credits, hours, year, semester, note, or a bare name."""
+    get = lambda key: F.get_json_object(course, f"$.{key}")
+    with_ = lambda key, before, behind: F.coalesce(F.concat(F.lit(before), get(key), F.lit(behind)), F.lit(""))
+    when = F.concat_ws(", ", F.concat(F.lit("大"), get("year")), F.concat(F.lit("第"), get("semester"), F.lit("學期")))
+    text = F.concat(F.coalesce(get("name"), F.lit("未命名課程")), F.lit(" ("), F.coalesce(get("credits"), F.lit("?")), F.lit("學分"), with_("hours", " (", "小時)"), F.lit(")"), F.when(when != "", F.concat(F.lit(" ["), when, F.lit("]"))).otherwise(""), with_("note", " (備註: ", ")"))
+    return F.when(course.startswith("{"), text).otherwise(course)
+
+
+_CATEGORY = "required_credits int, note string, domains map<string,struct<min_credits:int>>, max_from_other_dept int, courses array<string>, tracks map<string,struct<courses:array<string>>>"
+
+
+def rule_texts(files: DataFrame) -> DataFrame:
+    """files (path, json) to path, info_type, category, department and the text of all the rules; files that are no JSON object give no row."""
+    schema = "_description string, department string, total_required int, categories map<string,string>, graduation_conditions array<string>"
+    rules = files.select("path", F.from_json("json", schema).alias("r"), F.get_json_object("json", "$").alias("whole")).where(F.col("whole").startswith("{"))
+    desc, dept = F.coalesce("r._description", F.lit("系統規章")), F.coalesce("r.department", F.lit("全校"))
+    said = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    number = lambda c: F.coalesce(c, F.lit(0))
+    none = F.array().cast("array<string>")
+
+    def category(entry: Column) -> Column:
+        name, c = entry["key"], F.from_json(entry["value"], _CATEGORY)
+        head = F.concat(said("## ", name, " (", number(c["required_credits"]), " 學分)"), F.when(F.coalesce(c["note"], F.lit("")) != "", said(" - ", c["note"])).otherwise(""))
+        domains = F.transform(F.map_entries(c["domains"]), lambda d: said("- ", d["key"], "領域：至少 ", number(d["value"]["min_credits"]), " 學分"))
+        other = F.when(c["max_from_other_dept"].isNotNull(), F.array(said("- 【注意】可承認外系(所)學分上限：", c["max_from_other_dept"], " 學分")))
+        courses = F.transform(c["courses"], lambda x: said("- ", course_text(x)))
+        tracks = F.flatten(F.transform(F.map_entries(c["tracks"]), lambda t: F.when(F.size(t["value"]["courses"]) > 0, F.array(said("### ", t["key"]), said("- 包含課程：", F.array_join(F.transform(t["value"]["courses"], course_text), ", "), "\n"))).otherwise(F.array(said("### ", t["key"])))))
+        return F.concat(F.array(head), *[F.coalesce(x, none) for x in (domains, other, courses, tracks)])
+
+    head = F.array(said("# ", desc), said("**適用系所**：", dept), said("**畢業學分門檻**：", number(F.col("r.total_required")), " 學分\n"))
+    body = F.coalesce(F.flatten(F.transform(F.map_entries("r.categories"), category)), none)
+    conditions = F.when(F.size("r.graduation_conditions") > 0, F.concat(F.array(F.lit("## 其他畢業條件")), F.transform("r.graduation_conditions", lambda x: said("- ", x)))).otherwise(none)
+    grad = is_graduation_file(F.regexp_extract("path", "[^/]*$", 0))
+    text = F.concat(said("[", dept, " ", desc, "]\n"), F.array_join(F.concat(head, body, conditions), "\n"))
+    return rules.select("path", F.when(grad, "graduation_rules").otherwise("policy_rules").alias("info_type"), F.when(grad, "畢業門檻與修業規定").otherwise("系統規章").alias("category"), dept.alias("department"), text.alias("text"))
+
+
+def is_graduation_file(name: Column) -> Column:
+    return F.lower(name).contains("graduation") | name.contains("畢業")
+
+
+def rule_file(short: Column, full: Column, names: list[str]) -> Column:
+    """The file, of a folder's names, with a department's graduation rules: one with its name, else any; the first by name."""
+    grad = F.filter(F.array(*[F.lit(n) for n in sorted(names)]), is_graduation_file)
+    bare = lambda name: F.nullif(F.regexp_replace(name, "學系|[系所]", ""), F.lit(""))
+    own = F.filter(grad, lambda n: F.coalesce(F.lower(n).contains(F.lower(bare(short))), F.lit(False)) | F.coalesce(F.lower(n).contains(F.lower(bare(full))), F.lit(False)))
+    return F.coalesce(F.get(own, F.lit(0)), F.get(grad, F.lit(0)))
+
+
+def repaired_json(text: Column) -> Column:
+    """A model's JSON object with the usual faults mended: fences and talk around it, commas before a closing bracket, and brackets left open at the end."""
+
+    def mended(said: str | None) -> str | None:
+        if said is None or "{" not in said:
+            return said
+        said = said[said.index("{") :]
+        out, open_, string, skip = [], [], False, False
+        for c in said:
+            if string:
+                out.append(c)
+                skip, string = c == "\\" and not skip, c != '"' or skip
+                continue
+            if c in "}]":
+                while out and out[-1] in ", \n\t":
+                    out.pop()
+                if open_:
+                    open_.pop()
+            elif c in "{[":
+                open_.append("}" if c == "{" else "]")
+            string = c == '"'
+            out.append(c)
+            if c in "}]" and not open_:
+                return "".join(out)
+        rest = "".join(out) + '"' * string
+        return rest.rstrip(", \n\t`") + "".join(reversed(open_))
+
+    @F.arrow_udf("string")
+    def run(column: pa.Array) -> pa.Array:
+        return pa.array([mended(x) for x in column.to_pylist()], pa.string())
+
+    return run(text)
+
+
 def calendar_file(spark: SparkSession, path: str) -> DataFrame:
     """title, start, end of a JSON array of events."""
     rows = spark.read.option("multiLine", True).schema("title string, start string, end string").json(path)
@@ -100,8 +185,8 @@ def calendar_file(spark: SparkSession, path: str) -> DataFrame:
 
 
 def json_records(texts: DataFrame, schema: str, column: str = "json") -> tuple[DataFrame, DataFrame]:
-    """Parsed rows and quarantined ones; an object under ``transcript`` or ``schedule`` is taken out of its envelope."""
-    parsed = texts.withColumn("__v", F.try_parse_json(column))
+    """Parsed rows, mended where needed, and quarantined ones; an object under ``transcript`` or ``schedule`` is taken out of its envelope."""
+    parsed = texts.withColumn("__v", F.coalesce(F.try_parse_json(column), F.try_parse_json(repaired_json(F.col(column)))))
     inner = F.coalesce(F.try_variant_get("__v", "$.transcript", "variant"), F.try_variant_get("__v", "$.schedule", "variant"), F.col("__v"))
     good = parsed.where("__v IS NOT NULL").select(*texts.columns, F.from_json(F.to_json(inner), schema).alias("record"))
     return good, parsed.where("__v IS NULL").drop("__v")
