@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
+from ..functions import lexicon
 from ..operators import events as E
 from ..operators import match as M
 from .mapping import events, table
@@ -194,18 +195,22 @@ def search_window_fallback(spark, sf_dir):
     return (wide if first.isEmpty() else first).select("event_id")
 
 
-@query("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN cast(c_custkey % 7 + 1 AS INT) WHEN 1 THEN 3 WHEN 2 THEN 7 ELSE 1 END AS weekday FROM customer")
+@query("""SELECT o_orderkey, CAST(CASE o_orderkey % 4 WHEN 0 THEN o_orderkey % 7 + 1 WHEN 1 THEN o_custkey % 7 + 1 ELSE isodow(o_orderdate) END AS INT) AS weekday FROM orders""")
 def weekday_argument(spark, sf_dir):
-    """The reference day is a Monday."""
-    c = table(spark, sf_dir, "customer")
-    text = F.when(F.col("c_custkey") % 4 == 0, (F.col("c_custkey") % 7 + 1).cast("string")).when(F.col("c_custkey") % 4 == 1, "星期三").when(F.col("c_custkey") % 4 == 2, "禮拜天").otherwise("")
-    return c.select("c_custkey", D.weekday_argument(text, F.lit("2024-01-01").cast("date")).alias("weekday"))
+    """A digit, a spoken weekday, or neither: then the order's own."""
+    key, day = F.col("o_orderkey"), F.get(F.array(*[F.lit(c) for c in lexicon.WEEKDAYS]), (F.col("o_custkey") % 7).cast("int"))
+    word = F.concat(F.get(F.array(F.lit("星期"), F.lit("禮拜"), F.lit("週")), (F.col("o_custkey") % 3).cast("int")), F.when((day == "日") & (key % 8 == 1), "天").otherwise(day))
+    text = F.when(key % 4 == 0, F.concat(F.lit(" "), (key % 7 + 1).cast("string"))).when(key % 4 == 1, word).when(key % 4 == 2, "8").otherwise("")
+    return table(spark, sf_dir, "orders").select("o_orderkey", D.weekday_argument(text, F.col("o_orderdate").cast("date")).alias("weekday"))
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN '2026/04/' || (20 + c_custkey % 9) ELSE NULL END AS starts FROM customer")
+@query("""WITH o AS (SELECT o_orderkey, o_orderdate::DATE AS d, o_orderkey % 3 AS k FROM orders)
+SELECT o_orderkey, CASE WHEN k < 2 THEN CAST(d + 7 AS VARCHAR) END AS midterm, CASE WHEN k > 0 THEN CAST(d + 20 AS VARCHAR) END AS final_end FROM o""")
 def progress_dates(spark, sf_dir):
-    """The week of a progress table whose row names the midterm."""
-    c = table(spark, sf_dir, "customer")
-    row = F.concat(F.lit("第8週課程 (2026/04/13─2026/04/19)：緒論\n第9週課程 (2026/04/"), (20 + F.col("c_custkey") % 9).cast("string"), F.lit("─2026/04/26)："), F.when(F.col("c_custkey") % 2 == 0, "期中考").otherwise("導論"))
-    found = F.regexp_extract(row, r"\((\d{4}/\d{2}/\d{2})─\d{4}/\d{2}/\d{2}\)：[^\n]*(?:期中|Midterm)", 1)
-    return c.select("c_custkey", F.nullif(found, F.lit("")).alias("starts"))
+    """Weeks of a progress table whose rows name the midterm and the final, if any does."""
+    key = F.col("o_orderkey")
+    day = lambda n: F.date_format(F.date_add(F.to_date("o_orderdate"), n), "yyyy/MM/dd")
+    week = lambda n, word: F.concat(F.lit(f"第{n + 7}週課程 ("), day(7 * n), F.lit("─"), day(7 * n + 6), F.lit(")："), word, F.lit("\n"))
+    text = F.concat(week(0, F.lit("緒論")), week(1, F.when(key % 3 == 0, "期中考").when(key % 3 == 1, "Midterm").otherwise("導論")), week(2, F.when(key % 3 == 0, "實作").otherwise("期末報告")))
+    iso = lambda kind, end: F.date_format(E.progress_week(text, kind)[end], "yyyy-MM-dd")
+    return table(spark, sf_dir, "orders").select("o_orderkey", iso("midterm", "start").alias("midterm"), iso("final", "end").alias("final_end"))

@@ -264,14 +264,14 @@ def tokenise_filter(spark, sf_dir):
 _LABELS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in lexicon.SECTION_LABELS.items())
 
 
-@query(f"WITH c AS ({CHUNKS_SQL}) SELECT node_id, CASE section {_LABELS} ELSE section END AS label, concat('[', course_name, '] ', teacher, ' ', schedule, chr(10), left(text, 40)) AS headed FROM c")
+@query(f"WITH c AS ({CHUNKS_SQL}) SELECT node_id, CASE section {_LABELS} ELSE section END AS label, md5(concat('[', course_name, '] ', teacher, ' ', schedule, chr(10), text)) AS headed FROM c")
 def section_labels(spark, sf_dir):
     """Display labels, and the header line that is put before a chunk's text."""
     from itertools import chain
 
     labels = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in lexicon.SECTION_LABELS.items()))
     c = chunks(spark, sf_dir)
-    return c.select("node_id", F.coalesce(F.try_element_at(labels, F.col("section")), F.col("section")).alias("label"), F.concat(F.lit("["), "course_name", F.lit("] "), "teacher", F.lit(" "), "schedule", F.lit("\n"), F.left("text", F.lit(40))).alias("headed"))
+    return c.select("node_id", F.coalesce(F.try_element_at(labels, F.col("section")), F.col("section")).alias("label"), F.md5(F.concat(F.lit("["), "course_name", F.lit("] "), "teacher", F.lit(" "), "schedule", F.lit("\n"), F.coalesce("text", F.lit("")))).alias("headed"))
 
 
 @query(f"""WITH c AS ({CHUNKS_SQL}), t AS (SELECT 'teacher' AS kind, teacher AS key, node_id FROM c WHERE section = 'basic_info' UNION ALL SELECT 'classroom', classroom, node_id FROM c WHERE section = 'basic_info' UNION ALL SELECT 'course', lower(course_name), node_id FROM c WHERE section = 'basic_info')

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import dates as D
 from ..functions import lexicon
 from ..functions import text as T
+from ..operators import events as E
 from ..sources import readers as S
 from . import route as R
 from .mapping import table
@@ -47,11 +48,13 @@ def coref_context(spark, sf_dir):
     return last.groupBy("conv_id").agg(F.md5(F.array_join(rows, "\n")).alias("context"))
 
 
-@query("SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN false WHEN 3 THEN true ELSE false END AS trivial FROM customer")
+@query("""WITH s AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN left(c_name, (c_custkey % 6)::INT) WHEN 1 THEN upper(CASE c_custkey % 2 WHEN 0 THEN 'thanks' ELSE c_mktsegment END) ELSE left('你好嗎', (c_custkey % 4)::INT) END AS said FROM customer)
+SELECT c_custkey, length(trim(said)) <= 2 OR lower(trim(said)) IN ('hello', 'hi there', 'thanks', 'good morning', '你好', '哈囉') AS trivial FROM s""")
 def trivial_gate(spark, sf_dir):
-    said = F.array(*[F.lit(x) for x in ("😀👍", "ok", "資工系有哪些課", "Hello", "what is due on friday?")])
-    c = table(spark, sf_dir, "customer")
-    return c.select("c_custkey", T.is_trivial(F.get(said, (F.col("c_custkey") % 5).cast("int"))).alias("trivial"))
+    """Parts of names, greetings and other words, all between emoji."""
+    key = F.col("c_custkey")
+    said = F.when(key % 3 == 0, F.left("c_name", (key % 6).cast("int"))).when(key % 3 == 1, F.upper(F.when(key % 2 == 0, "thanks").otherwise(F.col("c_mktsegment")))).otherwise(F.left(F.lit("你好嗎"), (key % 4).cast("int")))
+    return table(spark, sf_dir, "customer").select("c_custkey", T.is_trivial(F.concat(F.lit("😀"), said, F.lit(" 👍"))).alias("trivial"))
 
 
 @query("SELECT event_id, event_type IN ('click', 'view') AND value * 1000000 <= 10485760 AS accepted FROM events")
@@ -69,83 +72,102 @@ def md_to_html(spark, sf_dir):
     return p.select("p_partkey", T.markdown_to_html(text).alias("html"))
 
 
-@query("SELECT p_partkey, '看 [' || p_brand || '](<https://x.test/a>) 與 <https://y.test/' || p_partkey || '>' AS wrapped FROM part")
+@query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '看 ' ELSE '[' || p_brand || '](<https://x.test/' || p_size || '>) 與 ' END || CASE p_partkey % 2 WHEN 0 THEN '<https://y.test/' || p_partkey || '?a=' || p_size || '>' ELSE '<https://z.test/' || p_size || '>' END || CASE p_partkey % 5 WHEN 0 THEN '' ELSE ' <http://w.test> ' || p_type END AS wrapped FROM part""")
 def link_wrapping(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    return p.select("p_partkey", T.bare_links(F.concat(F.lit("看 ["), "p_brand", F.lit("](https://x.test/a) 與 https://y.test/"), F.col("p_partkey").cast("string"))).alias("wrapped"))
+    """Texts with and without named links, bare ones and ones that are wrapped already."""
+    p, key, size = table(spark, sf_dir, "part"), F.col("p_partkey"), F.col("p_size").cast("string")
+    named = F.when(key % 3 == 0, "看 ").otherwise(F.concat(F.lit("["), "p_brand", F.lit("](https://x.test/"), size, F.lit(") 與 ")))
+    bare = F.when(key % 2 == 0, F.concat(F.lit("https://y.test/"), key.cast("string"), F.lit("?a="), size)).otherwise(F.concat(F.lit("<https://z.test/"), size, F.lit(">")))
+    more = F.when(key % 5 == 0, "").otherwise(F.concat(F.lit(" http://w.test "), "p_type"))
+    return p.select("p_partkey", T.bare_links(F.concat(named, bare, more)).alias("wrapped"))
 
 
-@query("SELECT p_partkey, p_name || '＜b>' AS escaped, p_name AS bare FROM part")
+@query("""WITH s AS (SELECT p_partkey, p_name, p_type, repeat('<', (p_size % 4)::INT) AS lt, CASE p_partkey % 3 WHEN 0 THEN '（' || p_brand || '）' WHEN 1 THEN '(' || p_size || ')（' || p_brand || '）' ELSE '' END AS aside FROM part)
+SELECT p_partkey, p_name || translate(lt, '<', '＜') || 'b>' || translate(lt, '<', '＜') AS escaped, trim(p_name || ' ' || p_type) AS bare FROM s""")
 def escape_and_strip(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    return p.select("p_partkey", T.escape_markup(F.concat("p_name", F.lit("<b>"))).alias("escaped"), T.strip_parens(F.concat("p_name", F.lit("（甲班）(II)"))).alias("bare"))
+    p, key = table(spark, sf_dir, "part"), F.col("p_partkey")
+    less = F.repeat(F.lit("<"), (F.col("p_size") % 4).cast("int"))
+    aside = F.when(key % 3 == 0, F.concat(F.lit("（"), "p_brand", F.lit("）"))).when(key % 3 == 1, F.concat(F.lit("("), F.col("p_size").cast("string"), F.lit(")（"), "p_brand", F.lit("）"))).otherwise("")
+    return p.select("p_partkey", T.escape_markup(F.concat("p_name", less, F.lit("b>"), less)).alias("escaped"), T.strip_parens(F.concat("p_name", aside, F.lit(" "), "p_type", aside)).alias("bare"))
 
 
-#: Questions by customer, and what rules read in them.
-QUESTIONS = [
-    ("114學年度第1學期資工系大一星期三有什麼必修課", "114", "1", "星期三", "一", None, "必修", "course_info"),
-    ("電機系大二下禮拜五第二到四節在E321的選修", None, "2", "星期五", "二", "2-4", "選修", "course_info"),
-    ("資料結構是必修嗎", None, None, None, None, None, None, "course_info"),
-    ("我的畢業學分還差多少", None, None, None, None, None, None, "personal_transcript"),
-    ("我禮拜二有什麼課", None, None, "星期二", None, None, None, "personal_schedule"),
-    ("推薦幾門有趣的通識自然課程", None, None, None, None, None, "選修", "general"),
-    ("哪個實驗室收學生", None, None, None, None, None, None, "professor_info"),
-    ("把期中考加到行事曆", None, None, None, None, None, None, "calendar_action"),
-    ("什麼時候開學", None, None, None, None, None, None, "academic_calendar"),
-    ("請假規定", None, None, None, None, None, None, "policy_rules"),
-    ("113下土木系三年級甲班的課", "113", "2", None, "三", None, None, "general"),
-    ("你們學校好玩嗎", None, None, None, None, None, None, "general"),
-]
-_ROUTES = "VALUES " + ", ".join("(" + ", ".join([str(i), *("NULL" if v is None else f"'{v}'" for v in q[1:])]) + ")" for i, q in enumerate(QUESTIONS))
+_NAMES = [(key, aliases[0]) for key, _, aliases, _ in lexicon.DEPARTMENTS if key.endswith("系") and len(aliases[0]) == 2]
+_GRADES, _GROUPS = "一二三四", "甲乙丙丁"
+_NUMBERS = "一二三四五六七八九"
 
 
-def questions(spark, sf_dir):
-    said = F.array(*[F.lit(q[0]) for q in QUESTIONS])
-    return table(spark, sf_dir, "customer").select("c_custkey", F.get(said, (F.col("c_custkey") % len(QUESTIONS)).cast("int")).alias("question"))
+def _at(letters, n):
+    """One of some letters or words, by a number."""
+    return F.get(F.array(*[F.lit(x) for x in letters]), n.cast("int"))
 
 
-@query(f"SELECT c_custkey, y AS academic_year, s AS semester, d AS day_of_week, g AS grade, p AS time_period, r AS required_or_elective, t AS query_type FROM customer JOIN ({_ROUTES}) v(i, y, s, d, g, p, r, t) ON i = c_custkey % {len(QUESTIONS)}")
+@query(f"""WITH k AS (SELECT c_custkey, c_custkey % 2 AS a, c_custkey % 3 AS b, c_custkey % 4 AS c, c_custkey % 5 AS d, c_custkey % 6 AS e, c_custkey % 7 AS f FROM customer)
+SELECT c_custkey, CASE d WHEN 0 THEN NULL ELSE CAST(110 + d AS VARCHAR) END AS academic_year, CASE WHEN d = 0 THEN NULL ELSE CAST(a + 1 AS VARCHAR) END AS semester, '星期' || substr('{lexicon.WEEKDAYS}', f::INT + 1, 1) AS day_of_week,
+CASE c WHEN 0 THEN NULL ELSE substr('{_GRADES}', c::INT, 1) END AS grade, (e + 1) || '-' || (e + 4) AS time_period, CASE b WHEN 1 THEN '必修' WHEN 2 THEN '選修' END AS required_or_elective,
+CASE WHEN a = 1 AND b > 0 THEN 'personal_transcript' WHEN a = 1 THEN 'personal_schedule' WHEN b > 0 THEN 'course_info' ELSE 'general' END AS query_type FROM k""")
 def route_rules(spark, sf_dir):
-    q = F.col("question")
-    return questions(spark, sf_dir).select(
+    """Questions put together from parts that customers' keys pick; who says 我 asks about their own timetable or, of required or elective courses, transcript."""
+    key = F.col("c_custkey")
+    term = F.when(key % 5 == 0, "").otherwise(F.concat((110 + key % 5).cast("string"), F.lit("學年度第"), _at("一二", key % 2), F.lit("學期")))
+    year = F.when(key % 4 == 0, "").otherwise(F.concat(F.when(key % 8 < 4, F.concat(F.lit("大"), _at(_GRADES, key % 4 - 1))).otherwise(F.concat(_at(_GRADES, key % 4 - 1), F.lit("年級")))))
+    day = F.concat(_at(["星期", "禮拜", "週"], key % 3), _at(lexicon.WEEKDAYS, key % 7))
+    periods = F.concat(F.lit("第"), _at(_NUMBERS, key % 6), F.lit("到"), _at(_NUMBERS, key % 6 + 3), F.lit("節"))
+    q = F.concat(F.when(key % 2 == 1, "我").otherwise(""), term, _at([n for _, n in _NAMES], key % len(_NAMES)), F.lit("系"), year, day, periods, F.when(key % 3 == 1, "的必修").when(key % 3 == 2, "的選修").otherwise("有課"))
+    return table(spark, sf_dir, "customer").select(
         "c_custkey", R.academic_year(q).alias("academic_year"), R.semester(q).alias("semester"), R.weekday(q).alias("day_of_week"), R.grade(q).alias("grade"),
         R.period_range(q).alias("time_period"), R.required_or_elective(q).alias("required_or_elective"), R.question_type(q).alias("query_type"),
     )
 
 
-_DEPTS = "VALUES (0, '資工系'), (1, '電機系'), (5, '通識中心'), (10, '土木系')"
+_D = "(VALUES " + ", ".join(f"({i}, '{key}')" for i, (key, _) in enumerate(_NAMES)) + ") v(i, d)"
 
 
-@query(f"SELECT c_custkey, coalesce(d, '') AS departments, CASE c_custkey % {len(QUESTIONS)} WHEN 5 THEN '自然' END AS ge_domain, CASE c_custkey % {len(QUESTIONS)} WHEN 1 THEN 'E321' END AS classroom, CASE c_custkey % {len(QUESTIONS)} WHEN 10 THEN '甲' END AS class_group FROM customer LEFT JOIN ({_DEPTS}) v(i, d) ON i = c_custkey % {len(QUESTIONS)}")
+@query(f"""WITH k AS (SELECT c_custkey, c_custkey % {len(_NAMES)} AS a, c_custkey // 3 % {len(_NAMES)} AS b, c_custkey % 2 AS m FROM customer), n AS (SELECT * FROM {_D}),
+p AS (SELECT c_custkey, m, a AS i FROM k UNION SELECT c_custkey, m, b FROM k)
+SELECT c_custkey, string_agg(CASE m WHEN 1 THEN replace(d, '系', '碩') ELSE d END, ',' ORDER BY i) AS departments, substr('{_GRADES}', (c_custkey % 4)::INT + 1, 1) AS grade, substr('{_GROUPS}', (c_custkey // 4 % 4)::INT + 1, 1) AS class_group,
+       chr((65 + c_custkey % 26)::INT) || lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0') AS classroom, CASE c_custkey % 4 WHEN 0 THEN '人文' WHEN 1 THEN '社會' WHEN 2 THEN '自然' END AS ge_domain FROM p JOIN n USING (i) GROUP BY c_custkey""")
 def route_entities(spark, sf_dir):
-    q = F.col("question")
-    return questions(spark, sf_dir).select("c_custkey", F.array_join(R.departments(q), ",").alias("departments"), R.ge_domain(q).alias("ge_domain"), R.classroom(q).alias("classroom"), R.class_group(q).alias("class_group"))
+    """Two departments (or twice the same one), of their master's programmes if the question says so, with a year behind the short name, a class and a room."""
+    key, names = F.col("c_custkey"), [n for _, n in _NAMES]
+    room = F.concat(F.chr((65 + key % 26).cast("int")), F.lpad((key % 1000).cast("string"), 3, "0"))
+    q = F.concat(_at(names, key % len(names)), _at(_GRADES, key % 4), F.lit("跟"), _at(names, F.floor(key / 3) % len(names)), _at(_GRADES, key % 4), _at(_GROUPS, F.floor(key / 4) % 4), F.lit("在"), room, F.when(key % 2 == 1, "的研究所").otherwise("的課"))
+    domain = F.concat(F.lit("通識的"), _at(["人文", "社會", "自然", "語言"], key % 4))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(R.departments(q), ",").alias("departments"), R.grade(q).alias("grade"), R.class_group(q).alias("class_group"), R.classroom(q).alias("classroom"), R.ge_domain(domain).alias("ge_domain"))
 
 
-@query("SELECT c_custkey, c_name || '|' || c_mktsegment AS queries, c_name AS existing, false AS needs_history, 0.3::DOUBLE AS confidence FROM customer")
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_name || '|' || c_mktsegment ELSE c_name || '|' || c_mktsegment || '|' || c_nationkey END AS queries, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE '' END AS existing,
+       c_custkey % 3 > 0 AND c_custkey % 2 = 1 AS needs_history FROM customer""")
 def route_validate(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
-    rewritten = F.array("c_mktsegment", "c_name", "c_mktsegment")
-    letters = F.regexp_extract("c_name", r"^\D+", 0)
-    kept = R.existing(F.concat("c_name", F.lit("?")), F.array(letters, F.lit("other"), "c_name"))
-    name = F.concat(F.array_join(kept, ""), F.regexp_extract("c_name", r"\d+$", 0))
-    return c.select("c_custkey", F.array_join(R.search_queries(F.col("c_name"), rewritten), "|").alias("queries"), name.alias("existing"), R.needs_history(F.concat("c_name", F.lit("這門課 資工系"))).alias("needs_history"), F.lit(R.Route().confidence).alias("confidence"))
+    """Rewritten queries each once behind the question; entities that are in the question and hold no digit; pronouns without a department."""
+    c, key = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    rewritten = F.when(key % 3 == 0, F.array("c_mktsegment", "c_name", "c_mktsegment")).otherwise(F.array(F.col("c_mktsegment"), F.col("c_nationkey").cast("string"), F.col("c_name")))
+    said = F.concat("c_name", F.when(key % 2 == 0, F.concat(F.col("c_mktsegment"), F.lit("資工系"))).otherwise(""), _at(["", "這門課", "他"], key % 3))
+    kept = R.existing(said, F.array("c_mktsegment", "c_name", F.lit("other")))
+    return c.select("c_custkey", F.array_join(R.search_queries(F.col("c_name"), rewritten), "|").alias("queries"), F.array_join(kept, "|").alias("existing"), R.needs_history(said).alias("needs_history"))
+
+
+_SPOKEN = list(lexicon.SYNONYMS)
 
 
-@query("SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN '加退選|停修|選課' WHEN 1 THEN '端午|端午節' ELSE '開會' END AS words, CASE WHEN c_custkey % 2 = 0 THEN '王小明' ELSE '' END AS person FROM customer")
+@query("WITH s AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{k}', '{v}')" for i, (k, v) in enumerate(lexicon.SYNONYMS.items())) + f""") v(i, spoken, official)),
+w AS (SELECT c_custkey, spoken AS a FROM customer JOIN s ON i = c_custkey % {len(_SPOKEN)} UNION ALL SELECT c_custkey, c_mktsegment || spoken FROM customer JOIN s ON i = c_custkey * 7 % {len(_SPOKEN)}),
+x AS (SELECT c_custkey, a AS word FROM w UNION SELECT c_custkey, unnest(string_split(official, ' ')) FROM w JOIN s ON contains(a, spoken))
+SELECT c_custkey, string_agg(word, '|' ORDER BY encode(word)) AS words FROM x GROUP BY c_custkey""")
 def query_expand(spark, sf_dir):
-    """Spoken words with the calendar's; the name before a title."""
-    from itertools import chain
+    """Two spoken words of each customer with the calendar's words for them."""
+    c, key = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    words = F.array(_at(_SPOKEN, key % len(_SPOKEN)), F.concat("c_mktsegment", _at(_SPOKEN, key * 7 % len(_SPOKEN))))
+    return c.select("c_custkey", F.array_join(F.array_sort(E.expanded(words)), "|").alias("words"))
 
-    from ..operators.events import expand
 
-    c = table(spark, sf_dir, "customer")
-    spoken = ["加退選", "端午", "開會"]
-    official = {w: [x for x in expand([w]) if x not in ("退選",)] for w in spoken}
-    words = F.create_map(*chain.from_iterable((F.lit(k), F.lit("|".join(v))) for k, v in official.items()))
-    word = F.get(F.array(*[F.lit(w) for w in spoken]), (F.col("c_custkey") % 3).cast("int"))
-    said = F.when(F.col("c_custkey") % 2 == 0, "王小明教授").otherwise("天氣")
-    return c.select("c_custkey", F.element_at(words, word).alias("words"), F.regexp_extract(said, "^(.{2,4})(?:教授|老師)", 1).alias("person"))
+@query("""WITH s AS (SELECT * FROM (VALUES (0, '英文', '應英系 英文老師 大一英文 英文課 應用英語學系'), (1, '運動', '體育課 體育老師 體育室 推薦'), (2, 'ba', '企管系 企管老師 企業管理學系 企管')) v(i, name, words)),
+k AS (SELECT c_custkey, c_custkey % 5 AS i, left(c_mktsegment, 3 + (c_custkey % 4)::INT) AS other FROM customer)
+SELECT c_custkey, CASE i WHEN 3 THEN other || '系 ' || other || '機械老師 ' || other || '課' WHEN 4 THEN CASE WHEN length(other) <= 4 THEN other || ' 老師 評價 ' || other || ' 教授' ELSE other || ' 老師 ' || other || ' 課' END ELSE words END AS words FROM k LEFT JOIN s USING (i)""".replace("other || '系 ' || other || '機械老師 ' || other || '課'", "other || '機械系 ' || other || '機械老師 ' || other || '機械課'"))
+def opinion_queries(spark, sf_dir):
+    c, key = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    other = F.left("c_mktsegment", (3 + key % 4).cast("int"))
+    subject = F.when(key % 5 < 3, _at(["英文", "運動", "ba"], key % 5)).when(key % 5 == 3, F.concat(other, F.lit("機械系"))).otherwise(other)
+    return c.select("c_custkey", R.opinion_query(F.concat(subject, _at(["教授", "老師", "課"], key % 3))).alias("words"))
 
 
 _RECORD = "concat('課程名稱：', p_name, chr(10), '開課班級：資工', case when p_partkey % 2 = 0 then '二甲' else '三乙' end, chr(10), '授課教師：', p_brand, chr(10), '學分數：', cast(p_size % 4 as string), chr(10), '課程教學目標：認識 ', p_type, chr(10), '課程教學綱要：', p_name, chr(10), '教科書資料：無', chr(10))"
@@ -176,20 +198,22 @@ def record_split(spark, sf_dir):
     return pieces.select(F.col("path").alias("s_suppkey"), order.alias("n"), *S.contact(F.col("piece")))
 
 
-_FOLDERS = ["114-1_courses", "professors", "dept_info", "backup_113", "misc"]
-
-
-@query("SELECT n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN 'course' WHEN 1 THEN 'professor' WHEN 2 THEN 'dept_info' WHEN 3 THEN 'skip' ELSE 'unknown' END AS kind FROM nation")
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'skip' WHEN p_partkey % 5 = 0 THEN 'professor' WHEN p_partkey % 11 = 0 THEN 'dept_info' WHEN p_partkey % 3 > 0 OR p_partkey % 4 = 0 THEN 'course' ELSE 'unknown' END AS kind FROM part""")
 def dir_classifier(spark, sf_dir):
-    folder = F.get(F.array(*[F.lit(f) for f in _FOLDERS]), F.col("n_nationkey") % 5)
-    return table(spark, sf_dir, "nation").select("n_nationkey", S.folder_kind(folder).alias("kind"))
+    """Folder names of a number, a separator, a term and the words that keys pick."""
+    key = F.col("p_partkey")
+    term = F.concat((100 + key % 20).cast("string"), _at(["-", "_", ""], F.floor(key / 3) % 3), _at(["x", "1", "2"], key % 3))
+    words = F.concat(F.when(key % 4 == 0, "_Course課程").otherwise(""), F.when(key % 11 == 0, "系所").otherwise(""), F.when(key % 5 == 0, "_professor").otherwise(""), F.when(key % 7 == 0, "_BackUp").otherwise(""))
+    return table(spark, sf_dir, "part").select("p_partkey", S.folder_kind(F.concat(term, words)).alias("kind"))
 
 
-@query("SELECT '114' AS year, '2' AS semester")
+@query("""SELECT year, max(semester) AS semester FROM (SELECT CAST(year(o_orderdate) - 1811 AS VARCHAR) AS year, CAST(1 + o_custkey % 2 AS VARCHAR) AS semester FROM orders WHERE o_orderkey % 3 > 0 AND year(o_orderdate) % 4 > 0)
+WHERE year = (SELECT max(CAST(year(o_orderdate) - 1811 AS VARCHAR)) FROM orders WHERE o_orderkey % 3 > 0 AND year(o_orderdate) % 4 > 0) GROUP BY year""")
 def current_term(spark, sf_dir):
-    """Backups do not count; the latest named term wins."""
-    folder = F.get(F.array(*[F.lit(f) for f in ("113-2", "114-1", "114-2", "115-1_backup", "notes")]), F.col("n_nationkey") % 5)
-    return S.latest_term(table(spark, sf_dir, "nation").select(folder.alias("path")))
+    """Backups and folders without a term do not count; the latest term of three digits wins."""
+    key, year = F.col("o_orderkey"), F.year("o_orderdate")
+    name = F.concat((year - 1811).cast("string"), F.when(key % 2 == 0, "-").otherwise("_"), (1 + F.col("o_custkey") % 2).cast("string"), F.when(key % 3 == 0, "_backup").otherwise(""))
+    return S.latest_term(table(spark, sf_dir, "orders").select(F.when(year % 4 == 0, "notes").otherwise(name).alias("path")))
 
 
 @query("""WITH b AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<!--.*?-->', ' ', 'g'), '(?is)<script.*?</script>|<style.*?</style>', ' ', 'g') AS body FROM pages),
@@ -229,10 +253,12 @@ def normalise_dates(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", D.normalised(said, dt.date(2024, 1, 1)).alias("said"))
 
 
-@query("SELECT p_partkey, '用 ' || p_brand || ' 學 Python3 很好 `a中b`' AS spaced FROM part")
+@query(r"""WITH t AS (SELECT p_partkey, '用' || p_brand || '學' || p_size || '次' || p_type || '（' || p_name || '）很好' || p_size || '%的' AS x FROM part)
+SELECT p_partkey, regexp_replace(regexp_replace(x, '(\p{Han})([A-Za-z0-9])', '\1 \2', 'g'), '([A-Za-z0-9%])(\p{Han})', '\1 \2', 'g') || ' `a中b' || p_size || '` https://x.test/中' || p_partkey AS spaced FROM t JOIN part USING (p_partkey)""")
 def spacing(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    return p.select("p_partkey", T.spaced(F.concat(F.lit("用"), "p_brand", F.lit("學Python3很好 `a中b`"))).alias("spaced"))
+    p, size = table(spark, sf_dir, "part"), F.col("p_size").cast("string")
+    text = F.concat(F.lit("用"), "p_brand", F.lit("學"), size, F.lit("次"), "p_type", F.lit("（"), "p_name", F.lit("）很好"), size, F.lit("%的 `a中b"), size, F.lit("` https://x.test/中"), F.col("p_partkey").cast("string"))
+    return p.select("p_partkey", T.spaced(text).alias("spaced"))
 
 
 @query("WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS ws FROM documents), s AS (SELECT doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 16, 1), 112)) AS i FROM w WHERE len(ws) > 0) SELECT doc_id, i AS start, md5(array_to_string(ws[i : i + 127], ' ')) AS chunk FROM s")

@@ -116,3 +116,28 @@ def test_names_are_consumed_longest_first(spark):
     df = spark.createDataFrame([("資訊工程和工管系的碩士班",), ("通識課",), ("體育課在哪",), ("",), (None,)], "q string")
     got = [r[0] for r in df.select(route.departments(F.col("q"))).collect()]
     assert got[:4] == [["資工碩", "工管碩"], ["通識中心"], ["日大學體育"], []]
+
+
+#: Questions and what rules read in them: year, term, weekday, year of study, periods, required or elective, type.
+QUESTIONS = [
+    ("114學年度第1學期資工系大一星期三有什麼必修課", "114", "1", "星期三", "一", None, "必修", "course_info"),
+    ("電機系大二下禮拜五第二到四節在E321的選修", None, "2", "星期五", "二", "2-4", "選修", "course_info"),
+    ("資料結構是必修嗎", None, None, None, None, None, None, "course_info"),
+    ("我的畢業學分還差多少", None, None, None, None, None, None, "personal_transcript"),
+    ("我禮拜二有什麼課", None, None, "星期二", None, None, None, "personal_schedule"),
+    ("推薦幾門有趣的通識自然課程", None, None, None, None, None, "選修", "general"),
+    ("哪個實驗室收學生", None, None, None, None, None, None, "professor_info"),
+    ("把期中考加到行事曆", None, None, None, None, None, None, "calendar_action"),
+    ("什麼時候開學", None, None, None, None, None, None, "academic_calendar"),
+    ("請假規定", None, None, None, None, None, None, "policy_rules"),
+    ("113下土木系三年級甲班的課", "113", "2", None, "三", None, None, "general"),
+    ("你們學校好玩嗎", None, None, None, None, None, None, "general"),
+]
+
+
+def test_rules_read_questions(spark):
+    df = spark.createDataFrame([(i, x[0]) for i, x in enumerate(QUESTIONS)], "i int, q string")
+    q = F.col("q")
+    read = [route.academic_year(q), route.semester(q), route.weekday(q), route.grade(q), route.period_range(q), route.required_or_elective(q), route.question_type(q)]
+    got = df.select("i", *[c.alias(f"c{k}") for k, c in enumerate(read)]).orderBy("i").collect()
+    assert [tuple(r)[1:] for r in got] == [x[1:] for x in QUESTIONS]
