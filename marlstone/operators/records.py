@@ -23,14 +23,25 @@ def requirements(rules: DataFrame) -> DataFrame:
     return rules.agg(F.coalesce(F.nullif(parts, F.lit(0)), F.lit(COMPULSORY)).cast("long").alias("compulsory")).select("compulsory", F.lit(ELECTIVE).alias("elective"), F.lit(GENERAL).alias("general"), F.lit(TOTAL).alias("total"))
 
 
+def _pieces(name: Column, sizes: tuple[int, ...]) -> Column:
+    """The distinct pieces of a name that have one of some sizes."""
+    of = lambda k: F.when(F.length(name) >= k, F.transform(F.sequence(F.lit(1), F.length(name) - (k - 1)), lambda i: F.substring(name, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(*[of(k) for k in sizes]))
+
+
 def own_required(courses: DataFrame, rules: DataFrame) -> DataFrame:
     """courses with ``own``: a rule course of the student's department is in the name or the other way round.
 
-    A rule list is as long as a curriculum, so it is gathered per department and tested in the row.
+    Distinct names meet distinct rules of their department where the first three characters of one (all of a shorter one) are a
+    piece of the other; a name without rules is not of its own.
     """
-    lists = rules.groupBy("dept").agg(F.collect_set("rule_course").alias("__rules"))
-    hit = F.exists(F.coalesce("__rules", F.array().cast("array<string>")), lambda r: F.col("name").contains(r) | r.contains(F.col("name")))
-    return courses.join(lists, "dept", "left").withColumn("own", hit).drop("__rules")
+    names = courses.select("dept", "name").distinct()
+    known = rules.select("dept", "rule_course").distinct()
+    head = lambda c: F.left(c, F.lit(3))
+    held = names.withColumn("__g", F.explode(_pieces(F.col("name"), (1, 2, 3)))).join(known.withColumn("__g", head("rule_course")), ["dept", "__g"])
+    holds = names.withColumn("__g", head("name")).join(known.withColumn("__g", F.explode(_pieces(F.col("rule_course"), (1, 2, 3)))), ["dept", "__g"])
+    hits = held.unionByName(holds).where(F.col("name").contains(F.col("rule_course")) | F.col("rule_course").contains(F.col("name"))).select("dept", "name").distinct()
+    return courses.join(hits.withColumn("own", F.lit(True)), ["dept", "name"], "left").select(*courses.columns, F.coalesce("own", F.lit(False)).alias("own"))
 
 
 def audit(courses: DataFrame) -> DataFrame:
@@ -50,8 +61,10 @@ def ongoing(courses: DataFrame) -> DataFrame:
 def term_histogram(courses: DataFrame) -> DataFrame:
     """Courses by outcome, credits and the first six names of each term."""
     of = lambda *s: F.count_if(F.col("status").isin(*s))
-    names = F.slice(F.transform(F.array_sort(F.collect_list(F.struct("orderkey", "pos", "name"))), lambda x: x["name"]), 1, 6)
-    return courses.groupBy("student", "term").agg(of(*PASSED).alias("passed"), of("不及格").alias("failed"), of("停修").alias("withdrawn"), of("修課中").alias("ongoing"), F.sum("credits").cast("long").alias("credits"), F.array_join(names, "|").alias("names"))
+    first = F.when(F.col("__n") <= 6, F.struct("orderkey", "pos", "name"))
+    names = F.transform(F.array_sort(F.collect_list(first)), lambda x: x["name"])
+    place = F.row_number().over(Window.partitionBy("student", "term").orderBy("orderkey", "pos", "name"))
+    return courses.withColumn("__n", place).groupBy("student", "term").agg(of(*PASSED).alias("passed"), of("不及格").alias("failed"), of("停修").alias("withdrawn"), of("修課中").alias("ongoing"), F.sum("credits").cast("long").alias("credits"), F.array_join(names, "|").alias("names"))
 
 
 def last_write(slots: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources import sinks
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF = 60
@@ -33,7 +34,11 @@ def tokenised(chunks: DataFrame) -> DataFrame:
 
 def term_stats(words: DataFrame, n_docs: int) -> DataFrame:
     """term, df, idf; an idf below zero becomes EPSILON times the mean idf of all terms."""
-    df = words.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return weighted(words.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df")), n_docs)
+
+
+def weighted(df: DataFrame, n_docs: int) -> DataFrame:
+    """term, df with idf."""
     raw = df.withColumn("raw", F.log(F.lit(n_docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))
     # one row beside every term
@@ -90,6 +95,22 @@ def ranked(scored: DataFrame, by: str = "query_id") -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), "node_id")))
 
 
+def numbered(rows: DataFrame, *order: str, name: str = "n") -> DataFrame:
+    """rows with their place, from 1, in the order of some columns: rows are dealt by range, and each range starts where those before it end.
+
+    What reaches the driver is a count per range.
+    """
+    dealt = sinks.kept(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+    sizes = sorted(tuple(r) for r in dealt.groupBy("__range").count().collect())
+    before, starts = 0, []
+    for k, n in sizes:
+        starts.append((k, before))
+        before += n
+    first = F.broadcast(dealt.sparkSession.createDataFrame(starts, "__range int, __before long"))
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) + F.col("__before")
+    return dealt.join(first, "__range").withColumn(name, place).drop("__range", "__before")
+
+
 def top_k(scored: DataFrame, k: int, by: str = "query_id") -> DataFrame:
     return ranked(scored, by).where(F.col("rank") <= k)
 
@@ -119,7 +140,7 @@ def fuse(vector: DataFrame, keyword: DataFrame, metadata: DataFrame | None = Non
 
 def relative_threshold(scored: DataFrame, courses: int) -> DataFrame:
     """Keep scores near the best; if all are below -10, fall back to the metadata score (at most the top three)."""
-    scored = scored.persist()  # a request's short list; the maximum and the filter both read it
+    scored = sinks.kept(scored, "scored")  # the maximum and the filter both read it
     ratio = 0.15 if courses > 1 else 0.40 if courses == 1 else 0.25
     top, meta = scored.agg(F.max("final_score"), F.max("metadata_score")).first()
     if top is None or top >= -10:
@@ -162,7 +183,7 @@ def coverage(scored: DataFrame) -> DataFrame:
 
 def covered_top(scored: DataFrame, top_n: int) -> DataFrame:
     """Coverage rows, then the best others up to max(top_n, covered + 5) rows."""
-    scored = scored.persist()  # a request's short list; the count and the union both read it
+    scored = sinks.kept(scored, "scored")  # the count and the union both read it
     sure = coverage(scored).withColumn("guaranteed", F.lit(True))
     room = max(top_n, sure.count() + 5)
     rest = scored.join(sure.select("node_id"), "node_id", "left_anti").withColumn("guaranteed", F.lit(False))

@@ -6,6 +6,7 @@ cross-encoder as a Column, and the answerer defaults to the best chunk's text.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -42,23 +43,54 @@ def _folder(term: str | Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(TERM_FOLDERS)).cast("int")
 
 
+def build_keywords(chunks: DataFrame, folder: str) -> None:
+    """Write postings, term statistics and the mean length: texts are tokenised once, the rest comes from the postings as written."""
+    spark = chunks.sparkSession
+    rows = R.postings(R.tokenised(chunks)).withColumn("folder", _folder("term"))
+    # dealt and sorted by folder, term and node: a task has few files open, a frequent term spreads over several, and min/max statistics of terms prune row groups
+    rows.repartitionByRange("folder", "term", "node_id").sortWithinPartitions("folder", "term", "node_id").write.partitionBy("folder").parquet(f"{folder}/postings")
+    stored = spark.read.parquet(f"{folder}/postings") if rows.take(1) else rows
+    n, texts = chunks.agg(F.count("*"), F.count("text")).first()
+    length = (stored.agg(F.sum("tf")).first()[0] or 0) / max(texts, 1)
+    R.weighted(stored.groupBy("term").agg(F.count("*").alias("df")), n).write.parquet(f"{folder}/terms")
+    spark.range(1).select(F.lit(float(length or 1.0)).alias("avgdl")).coalesce(1).write.parquet(f"{folder}/stats")
+
+
 def build(chunks: DataFrame, vectors: DataFrame, folder: str) -> None:
-    """Publish chunks, vectors, postings, term statistics and the mean length; readers see a whole old or a whole new table each."""
-    k = R.keyword_index(chunks)
-    postings = k.postings.withColumn("folder", _folder("term"))
-    # sorted by folder: a task has few files open, and min/max statistics of terms prune row groups
-    for name, df in (("chunks", chunks), ("vectors", vectors), ("terms", k.terms)):
-        sinks.publish(df, f"{folder}/{name}")
-    sinks.publish(postings.repartitionByRange("folder", "term").sortWithinPartitions("folder", "term"), f"{folder}/postings", ("folder",))
-    sinks.publish(chunks.sparkSession.range(1).select(F.lit(k.avgdl).alias("avgdl")), f"{folder}/stats")
+    """Publish chunks, vectors, postings, term statistics and the mean length as one version: readers see all of the old or all of the new one."""
+
+    def write(at: str) -> None:
+        chunks.write.parquet(f"{at}/chunks")
+        vectors.write.parquet(f"{at}/vectors")
+        build_keywords(chunks, at)
+
+    sinks.publish_set(chunks.sparkSession, folder, write)
+
+
+def _keywords(spark: SparkSession, at: str) -> R.KeywordIndex:
+    read = lambda name: spark.read.parquet(f"{at}/{name}")
+    return R.KeywordIndex(read("postings"), read("terms"), read("stats").first().avgdl)
 
 
 def load(spark: SparkSession, folder: str) -> Index | None:
     """The published index; None if there is none."""
-    tables = {name: sinks.current(spark, f"{folder}/{name}") for name in ("chunks", "vectors", "terms", "postings", "stats")}
-    if any(t is None for t in tables.values()):
+    at = sinks.current_set(spark, folder)
+    if at is None:
         return None
-    return Index(tables["chunks"], R.KeywordIndex(tables["postings"], tables["terms"], tables["stats"].first().avgdl), tables["vectors"], split=True)
+    return Index(spark.read.parquet(f"{at}/chunks"), _keywords(spark, at), spark.read.parquet(f"{at}/vectors"), split=True)
+
+
+_built: dict[tuple[str, str], str] = {}
+
+
+def document_index(spark: SparkSession, sf_dir: str) -> R.KeywordIndex:
+    """The keyword index of a folder's documents, built in the working folder by the first query of an application and read by the others."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _built:
+        at = f"{sinks.working_folder(spark)}/keywords-{uuid.uuid4().hex}"
+        build_keywords(spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("node_id"), "text"), at)
+        _built[key] = at
+    return _keywords(spark, _built[key])
 
 
 def query_terms(spark: SparkSession, queries: list[str]) -> DataFrame:
@@ -69,23 +101,27 @@ def query_terms(spark: SparkSession, queries: list[str]) -> DataFrame:
 
 def keyword_scores(index: Index, terms: DataFrame) -> DataFrame:
     """query_id, node_id, score."""
-    k = index.keyword
-    if index.split:
-        wanted = [r[0] for r in terms.select(_folder("term")).distinct().collect()]  # as few as the questions' terms
-        words = [r[0] for r in terms.select("term").distinct().collect()]
-        k = R.KeywordIndex(k.postings.where(F.col("folder").isin(*wanted) & F.col("term").isin(*words)), k.terms.where(F.col("term").isin(*words)), k.avgdl)
-    return R.bm25(k, terms)
+    return scores_of(index.keyword, terms) if index.split else R.bm25(index.keyword, terms)
+
+
+def scores_of(k: R.KeywordIndex, terms: DataFrame) -> DataFrame:
+    """query_id, node_id, score by a stored index, of which the questions' terms are read only."""
+    asked = terms.select("term", _folder("term").alias("folder")).distinct().collect()  # as few as the questions' terms
+    folders, words = sorted({r.folder for r in asked}), [r.term for r in asked]
+    return R.bm25(R.KeywordIndex(k.postings.where(F.col("folder").isin(*folders) & F.col("term").isin(*words)), k.terms.where(F.col("term").isin(*words)), k.avgdl), terms)
 
 
 def search(index: Index, filters: M.Filters, terms: DataFrame, vectors: list[tuple[int, list[float]]], top_k: int = SEARCH_K) -> DataFrame:
     """The ``top_k`` best of both lists, of chunks injected by metadata, and their metadata scores: columns of ``fuse``."""
     one = lambda scored: R.best_per_node(R.top_k(scored, top_k)).withColumn("q", F.lit(0))
     near = R.cosine(index.vectors, vectors).where("score > 0").withColumn("score", F.round("score", 6))
-    near = one(near).persist()  # at most top_k rows a question
-    found = R.top_k(one(keyword_scores(index, terms)), top_k * max(1, len(vectors)), "q").persist()
+    near = sinks.kept(R.ranked(one(near), "q"), "near")  # at most top_k rows a question
+    found = sinks.kept(R.top_k(one(keyword_scores(index, terms)), top_k * max(1, len(vectors)), "q"), "found")
     seen = F.broadcast(near.select("node_id").union(found.select("node_id")).distinct())
     more = I.by_metadata(index.chunks, filters).join(seen, "node_id", "left_anti").select("node_id", F.lit(0.001).alias("score"), F.lit(0).alias("q"))
-    v = R.ranked(near.unionByName(more), "q")
+    # injected rows stand behind those that were found, by node
+    behind = R.numbered(more, "node_id").select("node_id", "score", "q", (F.col("n") + near.count()).alias("rank"))
+    v = near.unionByName(behind)
     listed = v.select("node_id").union(found.select("node_id")).distinct()
     meta = index.chunks.join(listed, "node_id", "left_semi").select("node_id", (M.normal_score(filters) + M.soft_score(filters)).alias("metadata_score"))
     return R.fuse(v, found, meta).orderBy(F.desc("final_score"), "node_id").limit(top_k)
@@ -104,7 +140,7 @@ def evidence(index: Index, route: Route, terms: DataFrame, vectors: list[tuple[i
     surrogate = cross or (lambda c: c / (1 + c))
     rows = index.chunks.join(merged.withColumn("meta", F.coalesce("metadata_score", F.lit(0.0))).drop("metadata_score"), "node_id")
     blended = R.rerank_blend(surrogate(F.col("bm25_score")), F.col("meta")) + R.contextual_boost(F.col("section"), F.col("info_type"), route.query_type, words or set())
-    scored = R.first_file(rows.withColumn("score", blended)).withColumn("final_score", F.col("score")).withColumn("metadata_score", F.col("meta")).persist()
+    scored = R.first_file(rows.withColumn("score", blended)).withColumn("final_score", F.col("score")).withColumn("metadata_score", F.col("meta"))
     kept = R.relative_threshold(scored, len(route.filters.wanted.get("course_name_keyword", [])))
     top_n = RERANK_N_PROFESSOR if route.query_type == "professor_info" else RERANK_N
     if route.is_career_planning:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon
 from ..operators import match as M
 from ..operators import records as R
+from ..operators.retrieve import numbered
 from .mapping import CHUNKS_SQL, SLOTS_SQL, TRANSCRIPT, chunks, slots, table, transcript
 
 QUERIES: dict = {}
@@ -208,7 +208,7 @@ def distinct_courses(spark, sf_dir):
 @query(f"WITH c AS ({CHUNKS_SQL}), d AS (SELECT DISTINCT course_name, teacher FROM c WHERE academic_year = '114' AND semester = '1' AND ge_domain <> '') SELECT row_number() OVER (ORDER BY course_name, teacher) AS n, course_name, teacher FROM d")
 def ge_roster(spark, sf_dir):
     c = chunks(spark, sf_dir).where("academic_year = '114' AND semester = '1' AND ge_domain <> ''").select("course_name", "teacher").distinct()
-    return c.select(F.row_number().over(Window.orderBy("course_name", "teacher")).alias("n"), "course_name", "teacher")
+    return numbered(c, "course_name", "teacher").select("n", "course_name", "teacher")
 
 
 @query(f"WITH c AS ({CHUNKS_SQL}), f AS (SELECT dept_short, course_name, min(node_id) AS first FROM c WHERE required_or_elective = '必修' AND dept_short <> 'es' GROUP BY ALL) SELECT dept_short, string_agg(course_name, '、' ORDER BY first) AS courses FROM f GROUP BY dept_short")

@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..operators import inject as I
 from ..operators import match as M
 from ..operators import retrieve as R
+from ..sources import sinks
 from . import engine
 from .mapping import CHUNKS_SQL, chunks, query_vectors, table, vectors
 from .route import Route
@@ -38,9 +39,7 @@ def _terms(spark, asked: dict):
 
 
 def _bm25(spark, sf_dir, asked: dict):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node_id"), "text")
-    index = R.keyword_index(docs, only=sorted({w for words in asked.values() for w in words}))
-    return R.bm25(index, _terms(spark, asked))
+    return engine.scores_of(engine.document_index(spark, sf_dir), _terms(spark, asked))
 
 
 def _values(asked: dict) -> str:
@@ -243,7 +242,7 @@ _HYBRID = M.Filters({"dept_short": ["en"]})
 def hybrid_plan(spark, sf_dir, top_k: int = 30):
     """Vector and keyword lists fused with metadata scores, best first."""
     v, b = _two_lists(spark, sf_dir)
-    v, b = v.persist(), b.persist()  # two lists of 30 rows; the filter on the metadata and the fusion both read them
+    v, b = sinks.kept(v, "near"), sinks.kept(b, "found")  # two lists of 30 rows; the filter on the metadata and the fusion both read them
     listed = F.broadcast(v.select("node_id").union(b.select("node_id")).distinct())
     meta = chunks(spark, sf_dir).select("node_id", (M.normal_score(_HYBRID) + M.soft_score(_HYBRID)).alias("metadata_score"))
     return R.fuse(v, b, meta.join(listed, "node_id", "left_semi")).orderBy(F.desc("final_score"), "node_id").limit(top_k)

@@ -1,7 +1,9 @@
-"""Sinks: versioned tables with a pointer to the current one, upserts and append-only audits."""
+"""Sinks: versioned tables and sets of tables with a pointer to the current one, working tables, upserts and append-only audits."""
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,14 +21,49 @@ def publish(df: DataFrame, folder: str, by: tuple[str, ...] = ()) -> str:
 
 def current(spark: SparkSession, folder: str) -> DataFrame | None:
     """The last published version; None if there is none."""
+    last = _newest(spark, folder)
+    return spark.read.parquet(f"{folder}/v-{last}") if last else None
+
+
+def _newest(spark: SparkSession, folder: str) -> str | None:
     try:
         log = spark.read.schema("version string, at timestamp").parquet(f"{folder}/_versions")
-        last = log.agg(F.max_by("version", "at")).first()[0]
+        return log.agg(F.max_by("version", F.struct("at", "version"))).first()[0]
     except Exception as e:
         if "PATH_NOT_FOUND" in str(e):
             return None
         raise
-    return spark.read.parquet(f"{folder}/v-{last}") if last else None
+
+
+def publish_set(spark: SparkSession, folder: str, write) -> str:
+    """Let ``write`` put several tables under the folder of a new version, then append that version to the log: readers see the tables of one version together."""
+    version = uuid.uuid4().hex
+    write(f"{folder}/v-{version}")
+    spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("at")).coalesce(1).write.mode("append").parquet(f"{folder}/_versions")
+    return version
+
+
+def current_set(spark: SparkSession, folder: str) -> str | None:
+    """The folder of the last published set of tables; None if there is none."""
+    last = _newest(spark, folder)
+    return f"{folder}/v-{last}" if last else None
+
+
+def working_folder(spark: SparkSession) -> str:
+    """Where this application's working tables are: in the folder of spark.checkpoint.dir; in a temporary one only where that is unset and Spark is local."""
+    folder = spark.conf.get("spark.checkpoint.dir", "")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = os.path.join(tempfile.gettempdir(), "checkpoints")
+    return f"{folder.rstrip('/')}/work-{spark.sparkContext.applicationId}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the working folder and read back, for what several plans read: nothing stays in executors' memory."""
+    path = f"{working_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
