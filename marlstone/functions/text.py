@@ -99,6 +99,22 @@ def split_message(text: str | None, limit: int, least: float = 1 / 3) -> list[st
     return [*parts, rest] if rest or not parts else parts
 
 
+def split_lines(text: str | None, limit: int = 4000) -> list[str]:
+    """Parts of at most ``limit`` characters, cut at the last line end that fits, or hard."""
+    rest, parts = text or "", []
+    while len(rest) > limit:
+        at = rest.rfind("\n", 0, limit)
+        at = at if at > 0 else limit
+        parts.append(rest[:at])
+        rest = rest[at:].lstrip("\n")
+    return [*parts, rest] if rest or not parts else parts
+
+
+def framed(role: str, text: Column) -> Column:
+    """A text between tags of its role, its own markup escaped so that it cannot close them."""
+    return F.concat(F.lit(f"<{role}>\n"), escape_markup(text), F.lit(f"\n</{role}>"))
+
+
 def char_overlap(a: str, b: str) -> float:
     """Share of positions of the shorter text that hold the same character."""
     n = min(len(a), len(b))
@@ -133,6 +149,10 @@ def message_parts(text: Column, limit: int) -> Column:
     return _batched(lambda x: split_message(x, limit), "array<string>", pa.list_(pa.string()))(text)
 
 
+def line_parts(text: Column, limit: int = 4000) -> Column:
+    return _batched(lambda x: split_lines(x, limit), "array<string>", pa.list_(pa.string()))(text)
+
+
 def without_repeats(text: Column) -> Column:
     return _batched(drop_repeated_block, "string", pa.string())(text)
 

@@ -40,6 +40,20 @@ def by_metadata(chunks: DataFrame, filters: M.Filters) -> DataFrame:
     return chunks.where((F.col("section") == "basic_info") & registered & strict).select("node_id")
 
 
+def headed() -> Column:
+    """A chunk's text under a line that says what it is of."""
+    return F.concat(F.lit("["), "course_name", F.lit("] "), "teacher", F.lit(" "), "schedule", F.lit("\n"), F.coalesce("text", F.lit("")))
+
+
+def registry(chunks: DataFrame) -> DataFrame:
+    """kind, key, node_id of the basic_info chunks: teachers (no titles) in lower case, classrooms, courses in lower case with and without their brackets."""
+    basic = chunks.where("section = 'basic_info'")
+    course = F.lower("course_name")
+    keys = [("teacher", F.regexp_replace(F.lower("teacher"), "(?:老師|教授)$", "")), ("classroom", F.col("classroom")), ("course", course), ("course", F.trim(F.regexp_replace(course, "[（(][^）)]*[）)]", "")))]
+    each = F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), key.alias("key")) for kind, key in keys]))
+    return basic.select(each.alias("k"), "node_id").select("k.kind", "k.key", "node_id").distinct()
+
+
 def _scored(rows: DataFrame, score: float, metadata: float, source: str) -> DataFrame:
     return rows.select("node_id", F.lit(score).alias("score"), F.lit(metadata).alias("metadata_score"), F.lit(source).alias("source"))
 

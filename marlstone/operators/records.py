@@ -154,3 +154,80 @@ def recommend(candidates: DataFrame, busy: DataFrame, passed: DataFrame) -> Data
     clash = open_.join(busy.select("student", "day", "period", F.lit(1).alias("__busy")).distinct(), ["student", "day", "period"], "left")
     rows = clash.groupBy("student", "course").agg(F.max(F.coalesce("__busy", F.lit(0))).alias("clash"), F.max("score").alias("score"))
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("student").orderBy("clash", F.desc("score"), "course")))
+
+
+#: Codes that a new group may get, in this order.
+CODES = 8
+
+
+def create_groups(wanted: DataFrame, groups: DataFrame) -> DataFrame:
+    """name, invite_code, created of each wanted name; groups (name, invite_code): an existing group keeps its code.
+
+    A new one gets the first of ``CODES`` codes of its name that no group has and no other new name comes before it for; null if all are taken.
+    """
+    names = wanted.select("name").distinct()
+    old = names.join(groups.select("name", "invite_code"), "name").select("name", "invite_code", F.lit(False).alias("created"))
+    new = names.join(groups.select("name"), "name", "left_anti")
+    salted = F.array(*[invite_code(F.concat("name", F.lit(f":{k}" if k else ""))) for k in range(CODES)])
+    offers = new.select("name", F.posexplode(salted).alias("k", "invite_code")).join(groups.select("invite_code"), "invite_code", "left_anti")
+    claimed = offers.groupBy("invite_code").agg(F.min(F.struct("k", "name")).alias("c")).groupBy("c.name").agg(F.min(F.struct("c.k", "invite_code")).alias("first"))
+    made = new.join(claimed, "name", "left").select("name", F.col("first.invite_code").alias("invite_code"), F.lit(True).alias("created"))
+    return old.unionByName(made)
+
+
+def find_group(groups: DataFrame, code: str) -> DataFrame:
+    """The group with an invite code, in whichever case it is typed."""
+    return groups.where(F.upper("invite_code") == code.strip().upper())
+
+
+def group_info(groups: DataFrame, name: str) -> DataFrame:
+    return groups.where(F.col("name") == name)
+
+
+def delete_group(groups: DataFrame, users: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """groups and users (with their array of groups) without one group."""
+    return groups.where(F.col("name") != name), users.withColumn("groups", leave_group(F.col("groups"), name))
+
+
+#: Kinds of picture that may be uploaded, and their largest size.
+UPLOAD_KINDS = ("image/png", "image/jpeg", "image/jpg", "image/webp")
+UPLOAD_BYTES = 10 * 1024 * 1024
+
+
+def accepted_upload(kind: Column, size: Column, kinds: tuple[str, ...] = UPLOAD_KINDS) -> Column:
+    return kind.isin(*kinds) & (size <= UPLOAD_BYTES)
+
+
+#: Domains of general education, and words of a course or its stated domain that tell them, in the order in which they are asked.
+GE_WORDS = {"人文藝術": ("人文", "藝術", "文學", "美學", "哲學", "歷史"), "社會科學": ("社會", "法政", "管理", "經濟", "公民"), "自然科學": ("自然", "科技", "生命", "科學", "資訊", "環境")}
+GE_DEFAULT = "人文藝術"
+
+
+def ge_domain(courses: DataFrame, known: DataFrame) -> DataFrame:
+    """courses (id, name, domain) with ``resolved`` and ``tier``: the domain of the known course (name, domain) of the same name, of the name before its brackets,
+    of one that holds the name or is held by it (the first by name), else what words tell, else the default."""
+    c = courses.withColumn("__name", F.replace("name", F.lit(" "), F.lit(""))).withColumn("__bare", F.regexp_replace("__name", "[（(].*$", ""))
+    k = known.where("name <> ''").groupBy(F.col("name").alias("__key")).agg(F.max("domain").alias("__domain"))
+    exact = c.join(k, F.col("__name") == F.col("__key"), "left").withColumnRenamed("__domain", "__exact").drop("__key")
+    bare = exact.join(k, F.col("__bare") == F.col("__key"), "left").withColumnRenamed("__domain", "__plain").drop("__key")
+    names, keys = bare.where("__exact IS NULL AND __plain IS NULL AND __name <> ''").select("__name").distinct(), k.select("__key")
+    head = lambda name: F.left(name, F.lit(3))
+    held = names.withColumn("__g", F.explode(_pieces(F.col("__name"), (1, 2, 3)))).join(keys.withColumn("__g", head("__key")), "__g")
+    holds = names.withColumn("__g", head("__name")).join(keys.withColumn("__g", F.explode(_pieces(F.col("__key"), (1, 2, 3)))), "__g")
+    near = held.unionByName(holds).where(F.col("__name").contains(F.col("__key")) | F.col("__key").contains(F.col("__name"))).groupBy("__name").agg(F.min("__key").alias("__key"))
+    fuzzy = bare.join(near.join(k, "__key").select("__name", F.col("__domain").alias("__fuzzy")), "__name", "left")
+    said = F.concat(F.coalesce("domain", F.lit("")), F.lit(" "), F.col("name"))
+    told = F.coalesce(*[F.when(F.exists(F.array(*[F.lit(w) for w in words]), lambda w: said.contains(w)), domain) for domain, words in GE_WORDS.items()])
+    tiers = [("exact", F.col("__exact")), ("bare", F.col("__plain")), ("fuzzy", F.col("__fuzzy")), ("words", told)]
+    tier = F.coalesce(*[F.when(value.isNotNull(), name) for name, value in tiers], F.lit("default"))
+    return fuzzy.select(*courses.columns, F.coalesce(*[value for _, value in tiers], F.lit(GE_DEFAULT)).alias("resolved"), tier.alias("tier"))
+
+
+def timetable_preview(slots: DataFrame) -> DataFrame:
+    """owner, day, line: the courses of a day with their periods, as text."""
+    from ..functions import lexicon
+
+    day = F.get(F.array(*[F.lit(f"星期{c}") for c in lexicon.WEEKDAYS]), F.col("day") - 1)
+    entries = F.array_sort(F.collect_list(F.struct("period", "course")))
+    line = F.array_join(F.transform(entries, lambda x: F.concat(F.lit("第"), x["period"].cast("string"), F.lit("節 "), x["course"])), "、")
+    return last_write(slots).groupBy("owner", "day").agg(line.alias("line")).select("owner", "day", F.concat(day, F.lit("："), "line").alias("line"))  # a day has PERIODS slots at most

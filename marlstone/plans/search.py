@@ -195,7 +195,7 @@ def coverage_topn(spark, sf_dir):
 def metadata_injection(spark, sf_dir):
     v, b = _two_lists(spark, sf_dir)
     found = v.select("node_id").union(b.select("node_id")).distinct()
-    c = chunks(spark, sf_dir).where((F.col("section") == "basic_info") & F.col("teacher").contains("src1") & M.PREDICATES["semester"](["1"]))
+    c = I.by_metadata(chunks(spark, sf_dir), M.Filters({"teacher": ["src1"], "semester": ["1"]}))
     return c.join(found, "node_id", "left_anti").select("node_id", F.lit(0.001).alias("vector_score"), F.lit("metadata_inject").alias("source"))
 
 
@@ -270,15 +270,13 @@ def section_labels(spark, sf_dir):
 
     labels = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in lexicon.SECTION_LABELS.items()))
     c = chunks(spark, sf_dir)
-    return c.select("node_id", F.coalesce(F.try_element_at(labels, F.col("section")), F.col("section")).alias("label"), F.md5(F.concat(F.lit("["), "course_name", F.lit("] "), "teacher", F.lit(" "), "schedule", F.lit("\n"), F.coalesce("text", F.lit("")))).alias("headed"))
+    return c.select("node_id", F.coalesce(F.try_element_at(labels, F.col("section")), F.col("section")).alias("label"), F.md5(I.headed()).alias("headed"))
 
 
 @query(f"""WITH c AS ({CHUNKS_SQL}), t AS (SELECT 'teacher' AS kind, teacher AS key, node_id FROM c WHERE section = 'basic_info' UNION ALL SELECT 'classroom', classroom, node_id FROM c WHERE section = 'basic_info' UNION ALL SELECT 'course', lower(course_name), node_id FROM c WHERE section = 'basic_info')
 SELECT kind, key, count(*) AS n_nodes, min(node_id) AS first_node FROM t GROUP BY ALL""")
 def metadata_registry(spark, sf_dir):
-    c = chunks(spark, sf_dir).where("section = 'basic_info'")
-    pairs = F.explode(F.map_entries(F.create_map(F.lit("teacher"), "teacher", F.lit("classroom"), "classroom", F.lit("course"), F.lower("course_name"))))
-    return c.select("node_id", pairs.alias("p")).groupBy(F.col("p.key").alias("kind"), F.col("p.value").alias("key")).agg(F.count("*").alias("n_nodes"), F.min("node_id").alias("first_node"))
+    return I.registry(chunks(spark, sf_dir)).groupBy("kind", "key").agg(F.count("*").alias("n_nodes"), F.min("node_id").alias("first_node"))
 
 
 @query("SELECT DISTINCT name FROM (SELECT trim(unnest(regexp_split_to_array(p_type, '[、,，/ ]'))) AS name FROM part UNION ALL SELECT trim(regexp_replace(p_name, '[（(][^）)]*[）)]', '', 'g')) FROM part UNION ALL SELECT p_name FROM part) WHERE length(name) >= 2")

@@ -11,6 +11,7 @@ from ..functions import dates as D
 from ..functions import lexicon
 from ..functions import text as T
 from ..operators import events as E
+from ..operators.records import accepted_upload
 from ..sources import readers as S
 from . import route as R
 from .mapping import table
@@ -59,7 +60,7 @@ def trivial_gate(spark, sf_dir):
 
 @query("SELECT event_id, event_type IN ('click', 'view') AND value * 1000000 <= 10485760 AS accepted FROM events")
 def upload_gate(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", (F.col("event_type").isin("click", "view") & (F.col("value") * 1000000 <= 10 * 1024 * 1024)).alias("accepted"))
+    return table(spark, sf_dir, "events").select("event_id", accepted_upload(F.col("event_type"), F.col("value") * 1000000, ("click", "view")).alias("accepted"))
 
 
 _MD = "'**' || p_name || '** & *' || p_brand || '* `' || p_type || '` [' || p_brand || '](https://x.test/' || p_partkey || ') < 5'"

@@ -47,9 +47,15 @@ def course_records(files: DataFrame) -> DataFrame:
     return rows.select("*", grade.alias("grade"), F.regexp_extract("grade_class", "[一二三四五]([甲乙丙丁])", 1).alias("class_group"), domain.alias("ge_domain"), F.col("department").contains("進修").alias("is_evening"), sections.alias("sections"))
 
 
-def record_pieces(files: DataFrame, least: int = 20) -> DataFrame:
-    """path, n, piece: a file cut at --- lines and before 【 headings; shorter pieces are dropped."""
-    pieces = F.flatten(F.transform(F.split("text", r"\n---+\n"), lambda x: F.split(x, "\n(?=【)")))
+def record_pieces(files: DataFrame, least: int = 20, numbered: bool = False) -> DataFrame:
+    """path, n, piece: a file cut at --- lines and before 【 headings; shorter pieces are dropped.
+
+    numbered: a file without 【 headings is cut before numbered ones (一、) instead.
+    """
+    ruled = F.split("text", r"\n---+\n")
+    pieces = F.flatten(F.transform(ruled, lambda x: F.split(x, "\n(?=【)")))
+    if numbered:
+        pieces = F.when(F.col("text").rlike("【.+?】"), pieces).otherwise(F.flatten(F.transform(ruled, lambda x: F.split(x, "\n(?=[一二三四五六七八九十]+、)"))))
     rows = files.select("path", F.posexplode(pieces).alias("n", "piece")).withColumn("piece", F.trim("piece"))
     return rows.where(F.length("piece") >= least)
 
@@ -178,12 +184,29 @@ def repaired_json(text: Column) -> Column:
     return run(text)
 
 
+def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of a JSON file or folder; none if it is missing."""
+    try:
+        return spark.read.option("multiLine", True).schema(schema).json(path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return spark.createDataFrame([], schema)
+        raise
+
+
 def calendar_file(spark: SparkSession, path: str) -> DataFrame:
-    """title, start, end of a JSON array of events."""
-    rows = spark.read.option("multiLine", True).schema("title string, start string, end string").json(path)
+    """title, start, end of a JSON array of events; no rows if the file is missing."""
+    rows = _json(spark, path, "title string, start string, end string")
     return rows.select("title", F.col("start").try_cast("timestamp_ntz").alias("start"), F.col("end").try_cast("timestamp_ntz").alias("end"))
 
 
+def user_file(spark: SparkSession, folder: str, telegram_folder: str, user_id: str, schema: str) -> DataFrame:
+    """The document of one user, whose platform is in the id; no rows if there is none."""
+    if "/" in user_id or user_id.startswith("."):
+        raise ValueError("an id names no folder")
+    return _json(spark, f"{telegram_folder if user_id.startswith('tg_') else folder}/{user_id}_token.json", schema)
+
+
 def json_records(texts: DataFrame, schema: str, column: str = "json") -> tuple[DataFrame, DataFrame]:
     """Parsed rows, mended where needed, and quarantined ones; an object under ``transcript`` or ``schedule`` is taken out of its envelope."""
     parsed = texts.withColumn("__v", F.coalesce(F.try_parse_json(column), F.try_parse_json(repaired_json(F.col(column)))))
