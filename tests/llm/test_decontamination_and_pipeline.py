@@ -107,3 +107,33 @@ def test_pipeline_stages(spark, sf_dir):
     assert {r.doc_id for r in last} == {r.doc_id for r in at.collect()} and all(r.round_trip for r in last)
     assert {r.doc_id for r in P.run(spark, sf_dir).collect()} == {r.doc_id for r in last}
     assert pieces.load().pieces
+
+
+def test_pipeline_of_awkward_rows(spark, tmp_path):
+    import corpus_pipeline as P
+
+    from marlstone.llm import common
+
+    def folder(name, rows):
+        at = f"{tmp_path}/{name}"
+        frame(spark, rows, extra=True).write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame([(4, 1, 0), (7, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+        bench(spark).write.parquet(f"{at}/benchmark.parquet")
+        return at
+
+    rows = [*corpus(), (500, "before " + ITEM + " after", None, None, 1), (501, "before " + ITEM + " after", None, None, 1)]
+    at = folder("rows", rows)
+    docs = common.read(spark, at, "documents")
+    stages = {}
+    for name, stage in P.STAGES:
+        docs = stages[name] = common.materialize(stage(spark, docs, at), name)
+    assert all(stages[name].columns == stages["toxicity"].columns for name in list(stages)[:-1])
+    seen = {name: sorted([(r.doc_id, r.text) for r in df.collect()], key=repr) for name, df in stages.items()}
+    assert len(seen["toxicity"]) == len(seen["line_dedup"]) == len(rows)
+    before = sorted(set(seen["line_dedup"]), key=repr)
+    assert len(set(seen["near_dedup"])) == len(set(similar_groups([t for _, t in before])))
+    assert [x for x in seen["near_dedup"] if x[0] == 500] and not [x for x in seen["near_dedup"] if x[0] == 501]
+    assert [x for x in seen["near_dedup"] if x[0] != 500] == seen["decontamination"] == seen["encoding"]
+    assert all(r.round_trip for r in stages["encoding"].collect())
+    assert sorted([(r.doc_id, r.text) for r in P.run(spark, at).collect()], key=repr) == seen["encoding"]
+    assert P.run(spark, folder("none", [])).count() == 0
