@@ -33,6 +33,8 @@ class Index:
     vectors: DataFrame
     #: True if the postings have the column ``folder`` that a question's terms select.
     split: bool = False
+    #: The folder of the version that it was loaded from.
+    version: str | None = None
 
 
 def in_memory(chunks: DataFrame, vectors: DataFrame, only: list[str] | None = None) -> Index:
@@ -77,7 +79,13 @@ def load(spark: SparkSession, folder: str) -> Index | None:
     at = sinks.current_set(spark, folder)
     if at is None:
         return None
-    return Index(spark.read.parquet(f"{at}/chunks"), _keywords(spark, at), spark.read.parquet(f"{at}/vectors"), split=True)
+    return Index(spark.read.parquet(f"{at}/chunks"), _keywords(spark, at), spark.read.parquet(f"{at}/vectors"), split=True, version=at)
+
+
+def reloaded(spark: SparkSession, folder: str, index: Index | None) -> Index | None:
+    """The index as it is, or the one that was published since it was loaded."""
+    at = sinks.current_set(spark, folder)
+    return index if index and at in (None, index.version) else load(spark, folder)
 
 
 _built: dict[tuple[str, str], str] = {}

@@ -253,6 +253,40 @@ def folder_department(name: Column) -> Column:
     return F.when(named != "", named).when(bare.rlike("(?:系|所|中心)$"), bare).otherwise(F.concat(bare, F.lit("系")))
 
 
+#: Words of a department file's name, and what it holds, in the order in which they are asked.
+DEPARTMENT_FILES = [
+    (("簡介",), "dept_intro", "系所簡介"), (("就業",), "career_info", "就業方向"), (("學會",), "student_union", "系學會"), (("新聞", "最新"), "dept_news", "系所新聞"),
+    (("師資",), "professor_info", "教授資訊"), (("設備", "教室", "實驗室"), "facility_info", "教學設備與教室"),
+]
+
+
+def department_texts(files: DataFrame) -> DataFrame:
+    """files (path, text) of folders of professors and departments to path, n, info_type, category, dept_short, professor_name and text under its header.
+
+    Professors' files are cut at ruled lines (a list of the staff before its 【 headings) and pieces under 20 characters dropped; others
+    before 【 or, without any, numbered headings, and pieces under 10 dropped.
+    """
+    part = lambda k: F.element_at(F.split("path", "/"), k)
+    name, folder = part(-1), F.when(F.size(F.split("path", "/")) > 1, part(-2)).otherwise("")
+    professors = F.col("path").rlike("(^|/)professors/")
+    ladder = [(F.exists(F.array(*[F.lit(w) for w in words]), lambda w: name.contains(w)), kind, label) for words, kind, label in DEPARTMENT_FILES]
+    kind = F.coalesce(F.when(professors, "professor_info"), *[F.when(hit, k) for hit, k, _ in ladder], F.lit("dept_general"))
+    label = F.coalesce(F.when(professors, "教授資訊"), *[F.when(hit, x) for hit, _, x in ladder], F.lit("系所資訊"))
+    named = sorted(((w, key) for key, full, aliases, keywords in lexicon.DEPARTMENTS for w in (key, full, *aliases, *keywords)), key=lambda x: -len(x[0]))
+    dept = F.coalesce(*[F.when(folder.contains(w), F.lit(key)) for w, key in named], folder_department(folder))
+    heads = F.split("text", "\n(?=【)")
+    staff = F.when(name == "師資陣容.txt", heads).otherwise(F.split("text", r"\n-{3,}\n"))
+    other = F.when(F.col("text").rlike("【.+?】"), heads).otherwise(F.split("text", "\n(?=[一二三四五六七八九十]+、)"))
+    rows = files.select("path", kind.alias("info_type"), label.alias("category"), dept.alias("dept_short"), F.posexplode(F.when(kind == "professor_info", staff).otherwise(other)).alias("n", "piece"))
+    piece = F.regexp_replace("piece", r"^\s+|\s+$", "")
+    person = F.coalesce(*[F.nullif(F.trim(F.regexp_extract(piece, p, 1)), F.lit("")) for p in (r"姓名[：:]\s*([^（(\n]+?)\s*[（(\n]", "【(.+?)】")], F.lit("未知教授"))
+    staffed = F.col("info_type") == "professor_info"
+    _, email, phone = contact(piece)
+    header = F.when(staffed, F.concat(F.lit("["), "dept_short", F.lit("教授資訊 | 教授："), person, F.lit(" | Email："), email, F.lit(" | 電話："), phone, F.lit("]\n"))).otherwise(F.concat(F.lit("["), "dept_short", "category", F.lit("]\n")))
+    kept = rows.where(F.length(piece) >= F.when(staffed, 20).otherwise(10))
+    return kept.select("path", "n", "info_type", "category", "dept_short", F.when(staffed, person).alias("professor_name"), F.concat(header, piece).alias("text"))
+
+
 #: Titles of navigation links.
 NAVIGATION = ("關於金大", "行政單位", "學術單位", "招生資訊", "教職員", "學生", "新生專區", "一般訪客", "校長遴選", "網站導覽", "校訊", "English", "首頁", "跳到主要")
 

@@ -72,3 +72,16 @@ def test_line_parts_and_frames(spark):
     assert T.split_lines("ab\ncd\n\nef", 6) == ["ab\ncd", "ef"] and T.split_lines("x" * 9, 4) == ["xxxx", "xxxx", "x"] and T.split_lines(None) == [""]
     assert spark.range(1).select(T.framed("user", F.lit("a </user> b")).alias("t")).first().t == "<user>\na ＜/user> b\n</user>"
     assert spark.range(1).select(T.line_parts(F.lit("a\nb"), 2).alias("t")).first().t == ["a", "b"]
+
+
+def test_department_texts(spark):
+    prof = "姓名：王小明（教授）\n電子郵件：wang@x.test\n聯絡電話：082-313300\n專長：資料庫"
+    files = [("d/professors/資工系教授資訊/a.txt", prof + "\n---\n短\n----\n沒有名字的教授但是文字夠長所以留下來了喔喔"), ("d/dept_info/電機系/師資陣容.txt", "前言很短\n【李大同】專長是電力電子與控制系統以及其他"), ("d/dept_info/烘焙/就業方向.txt", "一、到餐廳去工作的人很多\n二、短"), ("d/dept_info/護理系/其他.txt", "【甲】護理系的其他資訊在這裡")]
+    got = S.department_texts(spark.createDataFrame(files, "path string, text string")).orderBy("path", "n").collect()
+    assert [(r.info_type, r.dept_short, r.professor_name, r.text.split("\n")[0]) for r in got] == [
+        ("career_info", "烘焙系", None, "[烘焙系就業方向]"),
+        ("dept_general", "護理系", None, "[護理系系所資訊]"),
+        ("professor_info", "電機系", "李大同", "[電機系教授資訊 | 教授：李大同 | Email：未提供 | 電話：未提供]"),
+        ("professor_info", "資工系", "王小明", "[資工系教授資訊 | 教授：王小明 | Email：wang@x.test | 電話：082-313300]"),
+        ("professor_info", "資工系", "未知教授", "[資工系教授資訊 | 教授：未知教授 | Email：未提供 | 電話：未提供]"),
+    ]

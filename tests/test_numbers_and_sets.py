@@ -60,3 +60,16 @@ def test_an_index_of_few_texts(spark, tmp_path):
             rows = lambda df, *c: sorted(map(tuple, df.select(*c).collect()))
             assert rows(stored.postings, "term", "node_id", "tf", "dl") == rows(memory.postings, "term", "node_id", "tf", "dl")
             assert rows(stored.terms, "term", "df", F.round("idf", 9)) == rows(memory.terms, "term", "df", F.round("idf", 9)) and stored.avgdl == memory.avgdl
+
+
+def test_an_index_is_reloaded_when_it_is_published_anew(spark, tmp_path):
+    folder = str(tmp_path / "index")
+    chunks = spark.createDataFrame([(1, "a b"), (2, "c")], "node_id long, text string")
+    vectors = spark.createDataFrame([(1, [0.5])], "node_id long, embedding array<float>")
+    assert engine.reloaded(spark, folder, None) is None
+    engine.build(chunks, vectors, folder)
+    first = engine.reloaded(spark, folder, None)
+    assert engine.reloaded(spark, folder, first) is first
+    engine.build(chunks.limit(1), vectors, folder)
+    second = engine.reloaded(spark, folder, first)
+    assert second is not first and (first.chunks.count(), second.chunks.count()) == (2, 1)
