@@ -179,7 +179,9 @@ def _first_of(h: np.ndarray, more: np.ndarray, ids: np.ndarray) -> tuple[np.ndar
     return order, new
 
 
-_SENT = "h long, more int, id long, chunk int"
+#: tail: the 32 more bits of the hash, and the chunk above them.
+_SENT = "h long, tail long, id long"
+_LOW = 0xFFFFFFFF
 _ANSWER = pa.schema([("chunk", pa.int32()), ("payload", pa.binary())])
 
 
@@ -192,11 +194,13 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, h, more = (np.concatenate(c) for c in zip(*gathered, strict=True))
         order = np.argsort(chunk, kind="stable")
         at = np.append(np.flatnonzero(np.append(True, np.diff(chunk[order]) != 0)), len(order))
-        payload = [pack(h[own], more[own]) for own in (order[a:b] for a, b in zip(at[:-1], at[1:], strict=True))]
+        # rows come in order of the hash, and so they stay within a chunk
+        payload = [pack(np.diff(h[own].view(_U), prepend=_U(0)), more[own]) for own in (order[a:b] for a, b in zip(at[:-1], at[1:], strict=True))]
         return pa.RecordBatch.from_pydict({"chunk": chunk[order][at[:-1]], "payload": payload}, schema=_ANSWER)
 
     for batch in common.rows_of(batches):
-        h, more, ids, chunk = (batch.column(c).to_numpy() for c in ("h", "more", "id", "chunk"))
+        h, tail, ids = (batch.column(c).to_numpy() for c in ("h", "tail", "id"))
+        more, chunk = (tail & _LOW).astype(np.uint32), (tail >> 32).astype(np.int32)
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (more[1:] != more[:-1])
         new[0] = (h[0], more[0]) != (h0, more0)
@@ -226,15 +230,14 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         h, more, ids = (np.concatenate(c) for c in zip(*parts, strict=True))
         order, new = _first_of(h, more, ids)
         pick = order[new]
-        chunk = np.full(len(pick), table.column("__chunk")[0].as_py(), np.int32)
-        return pa.table({"h": h[pick].view(np.int64), "more": more[pick].view(np.int32), "id": ids[pick], "chunk": chunk})
+        return pa.table({"h": h[pick].view(np.int64), "tail": more[pick].astype(np.int64) | table.column("__chunk")[0].as_py() << 32, "id": ids[pick]})
 
     def removed(table: pa.Table, answers: pa.Table) -> pa.Table:
         n_words = np.zeros(table.num_rows, np.int64)
         n_removed = np.zeros(table.num_rows, np.int64)
         kept: list[bytes] = []
         if table.num_rows:
-            parts = [unpack(p, _U, np.uint32) for p in answers.column("payload").to_pylist()]
+            parts = [(np.cumsum(gaps, dtype=_U), more) for gaps, more in (unpack(p, _U, np.uint32) for p in answers.column("payload").to_pylist())]
             slices = list(_candidates(table, twice.value, window))
             h, more, ids = (np.concatenate(c) for c in zip(*(s[3:] for s in slices), strict=True))
             # what starts in a smaller id elsewhere counts as one more row of this chunk, before all others
@@ -259,7 +262,7 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")
     rows = docs.select("*", F.col("doc_id").cast("long").alias("__id"), chunk.alias("__chunk")).repartition("__chunk")
-    dealt = rows.groupBy("__chunk").applyInArrow(sent, _SENT).repartition("h").sortWithinPartitions("h", "more", "id")
+    dealt = rows.groupBy("__chunk").applyInArrow(sent, _SENT).repartition("h").sortWithinPartitions("h", F.col("tail").bitwiseAND(_LOW), "id")
     answers = dealt.mapInArrow(_answers, "chunk int, payload binary").withColumnRenamed("chunk", "__chunk")
     schema = T.StructType([*docs.select(*columns).schema.fields, T.StructField("__n_words", T.LongType()), T.StructField("__n_removed", T.LongType())])
     return rows.groupBy("__chunk").cogroup(answers.groupBy("__chunk")).applyInArrow(removed, schema)
