@@ -36,8 +36,10 @@ WINDOW = 13
 #: log2 of the cells of a sketch row: at most, and of the blocks that a row is merged in.
 MAX_BITS = 28
 BLOCK_BITS = 9
-#: Windows that a task gathers before it sends their cells or answers; bytes of text in a chunk.
-FLUSH = 2_000_000
+#: Windows that a task gathers before it sends their cells (the more, the closer the sorted cells, and the smaller what is sent), and before
+#: it sends answers; bytes of text in a chunk.
+FLUSH = 6_000_000
+ANSWER_FLUSH = 2_000_000
 CHUNK_BYTES = 6 << 20
 NULL_ID = np.iinfo(np.int64).max
 
@@ -211,7 +213,7 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gone = ids > least
         gathered.append((chunk[gone], h[gone], more[gone]))
         n += int(gone.sum())
-        if n >= FLUSH:
+        if n >= ANSWER_FLUSH:
             yield sent()
             gathered, n = [], 0
     if n:

@@ -52,6 +52,7 @@ def test_sketch_misses_no_repeat_at_any_width(spark, monkeypatch, tmp_path):
 def test_windows_of_many_chunks_on_few_partitions(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(substrings, "CHUNK_BYTES", 40)  # more than a thousand chunks on five partitions
     monkeypatch.setattr(substrings, "FLUSH", 50)
+    monkeypatch.setattr(substrings, "ANSWER_FLUSH", 50)
     rows = corpus() + [(1000 + i, corpus()[16][1], None, None, None) for i in range(40)]
     same(substrings.op9_substring_dedup(spark, write(spark, tmp_path, frame(spark, rows))), drop_windows(rows))
 
