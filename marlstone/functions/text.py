@@ -3,27 +3,35 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from . import lexicon
+from . import dictionary, lexicon
 
 
-def tokens(text: Column) -> Column:
-    """Lower-cased runs of letters and digits; runs of Han characters are cut into overlapping pairs."""
-    runs = lambda pattern: F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))
-    pairs = lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda at: r.substr(at, F.lit(2)))
-    cut = lambda r: F.when(r.rlike(r"^\p{IsHan}") & (F.length(r) > 2), pairs(r)).otherwise(F.array(r))
-    split = runs(r"[\p{L}\p{N}&&\p{IsHan}]+|[\p{L}\p{N}&&[^\p{IsHan}]]+")
-    return F.when(text.rlike(r"\p{IsHan}"), F.flatten(F.transform(split, cut))).otherwise(runs(r"[\p{L}\p{N}]+"))
+#: Stop words of several characters are words of the text, so that a question can drop them whole.
+STOP_DICTIONARY = dictionary.protected(lexicon.STOP_WORDS)
 
 
-def query_tokens(text: Column) -> Column:
+def tokens(text: Column, names: dictionary.Dictionary = STOP_DICTIONARY) -> Column:
+    """Lower-cased runs of letters and digits; of texts with Han characters the names of a dictionary whole, and the rest of Han runs as overlapping pairs."""
+    has_han = text.rlike(r"\p{IsHan}")
+    return F.when(has_han, dictionary.segmented(F.when(has_han, text), names)).otherwise(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+
+
+def tokenizer(names: Iterable[str] = ()) -> Callable[[Column], Column]:
+    """A tokenizer that also keeps some names whole, for the corpus and its questions alike."""
+    own = dictionary.protected([*lexicon.STOP_WORDS, *names])
+    return lambda text: tokens(text, own)
+
+
+def query_tokens(text: Column, tokenize: Callable[[Column], Column] = tokens) -> Column:
     """Tokens of a query: longer than one character and not a stop word (the corpus keeps all)."""
     stop = F.array(*[F.lit(w) for w in lexicon.STOP_WORDS])
-    return F.filter(tokens(text), lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t))
+    return F.filter(tokenize(text), lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t))
 
 
 def strip_parens(text: Column) -> Column:
@@ -155,12 +163,3 @@ def line_parts(text: Column, limit: int = 4000) -> Column:
 
 def without_repeats(text: Column) -> Column:
     return _batched(drop_repeated_block, "string", pa.string())(text)
-
-
-def chunk_rows(rows: DataFrame, size: int = 1536, overlap: int = 128, text: str = "text") -> DataFrame:
-    """rows with ``__chunks``: windows of white-space words, ``size`` long, each sharing ``overlap`` words with the one before."""
-    # the words are a column of their own: inside a lambda they would be split again for each window
-    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
-    split = rows.withColumn("__words", words).withColumn("__n", F.size("__words"))
-    starts = F.when(F.col("__n") == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.greatest(F.col("__n") - overlap, F.lit(1)), F.lit(size - overlap)))
-    return split.withColumn("__chunks", F.transform(starts, lambda s: F.array_join(F.slice("__words", s, F.lit(size)), " "))).drop("__words", "__n")

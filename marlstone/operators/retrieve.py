@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -27,9 +28,12 @@ class KeywordIndex:
     avgdl: float
 
 
-def tokenised(chunks: DataFrame) -> DataFrame:
+Tokenize = Callable[[Column], Column]
+
+
+def tokenised(chunks: DataFrame, tokenize: Tokenize = T.tokens) -> DataFrame:
     """node_id and tokens; on its own, so that a plan tokenises a text once however often it uses the tokens."""
-    return chunks.select("node_id", T.tokens(F.col("text")).alias("tokens"))
+    return chunks.select("node_id", tokenize(F.col("text")).alias("tokens"))
 
 
 def term_stats(words: DataFrame, n_docs: int) -> DataFrame:
@@ -52,9 +56,9 @@ def postings(words: DataFrame, only: list[str] | None = None) -> DataFrame:
     return rows.groupBy("term", "node_id", "dl").agg(F.count("*").alias("tf"))
 
 
-def keyword_index(chunks: DataFrame, only: list[str] | None = None) -> KeywordIndex:
-    """With ``only``, the statistics still cover all terms: scores are those of the full index."""
-    words = tokenised(chunks)
+def keyword_index(chunks: DataFrame, only: list[str] | None = None, tokenize: Tokenize = T.tokens) -> KeywordIndex:
+    """With ``only``, the statistics still cover all terms: scores are those of the full index.  Questions need the same ``tokenize``."""
+    words = tokenised(chunks, tokenize)
     n, avgdl = words.agg(F.count("*"), F.avg(F.size("tokens"))).first()
     return KeywordIndex(postings(words, only), term_stats(words, n), avgdl or 1.0)
 

