@@ -6,8 +6,6 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,25 +73,6 @@ def bm25(index: KeywordIndex, query_terms: DataFrame) -> DataFrame:
     return index.postings.join(known, "term").groupBy("query_id", "node_id").agg(F.round(F.sum(part), 9).alias("score")).where("score > 0")
 
 
-def cosine(vectors: DataFrame, queries: list[tuple[int, list[float]]]) -> DataFrame:
-    """query_id, node_id, score of each vector with each query; the few query vectors travel with the task."""
-    matrix = np.array([v for _, v in queries], float)
-    matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
-
-    @F.arrow_udf("array<double>")
-    def products(column: pa.Array) -> pa.Array:
-        flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
-        rows = flat.reshape(-1, matrix.shape[1])
-        out = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12) @ matrix.T
-        offsets = np.arange(len(out) + 1, dtype=np.int32) * len(matrix)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.ravel()))
-
-    ids = F.array(*[F.lit(i) for i, _ in queries])
-    pairs = F.explode(F.arrays_zip(ids.alias("query_id"), products("embedding").alias("score")))
-    sized = vectors.where(F.size("embedding") == matrix.shape[1])
-    return sized.select("node_id", pairs.alias("p")).select("p.query_id", "node_id", "p.score")
-
-
 def ranked(scored: DataFrame, by: str = "query_id") -> DataFrame:
     """rank within a query by score, ties by node_id."""
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), "node_id")))

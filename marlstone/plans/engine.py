@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import inject as I
 from ..operators import match as M
+from ..operators import nearest as N
 from ..operators import retrieve as R
 from ..sources import sinks
 from .route import Route, dispatch
@@ -122,7 +123,8 @@ def scores_of(k: R.KeywordIndex, terms: DataFrame) -> DataFrame:
 def search(index: Index, filters: M.Filters, terms: DataFrame, vectors: list[tuple[int, list[float]]], top_k: int = SEARCH_K) -> DataFrame:
     """The ``top_k`` best of both lists, of chunks injected by metadata, and their metadata scores: columns of ``fuse``."""
     one = lambda scored: R.best_per_node(R.top_k(scored, top_k)).withColumn("q", F.lit(0))
-    near = R.cosine(index.vectors, vectors).where("score > 0").withColumn("score", F.round("score", 6))
+    asked = index.chunks.sparkSession.createDataFrame([(i, [float(x) for x in v]) for i, v in vectors], "query_id long, embedding array<double>")
+    near = N.nearest(index.vectors, asked, top_k).where("score > 0")
     near = sinks.kept(R.ranked(one(near), "q"), "near")  # at most top_k rows a question
     found = sinks.kept(R.top_k(one(keyword_scores(index, terms)), top_k * max(1, len(vectors)), "q"), "found")
     seen = F.broadcast(near.select("node_id").union(found.select("node_id")).distinct())

@@ -9,6 +9,7 @@ from ..functions import lexicon
 from ..functions import text as T
 from ..operators import inject as I
 from ..operators import match as M
+from ..operators import nearest as N
 from ..operators import retrieve as R
 from ..sources import sinks
 from . import engine
@@ -60,8 +61,14 @@ bm AS (SELECT query_id, node_id, round(sum(times * idf * tf * 2.5::DOUBLE / (tf
 
 
 _COS = """
-qv AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IN (0, 1, 2)),
-cs AS (SELECT query_id, vec_id AS node_id, list_cosine_similarity(embedding::DOUBLE[], e) AS score FROM embeddings, qv)"""
+qv AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 100 = 0),
+cs AS (SELECT query_id, vec_id AS node_id, round(list_cosine_similarity(embedding::DOUBLE[], e), 6) + 0.0 AS score FROM embeddings, qv)"""
+
+
+def _nearest(spark, sf_dir, k: int = 30):
+    """The k nearest of all vectors of every hundredth one."""
+    rows = vectors(spark, sf_dir)
+    return N.nearest(rows, rows.where("node_id % 100 = 0").withColumnRenamed("node_id", "query_id"), k)
 
 
 @query(f"WITH {_bm25_sql(ASKED)}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM bm) SELECT query_id, node_id, rank, round(score, 5) AS score FROM r WHERE rank <= 30")
@@ -69,9 +76,9 @@ def bm25_topk(spark, sf_dir):
     return R.top_k(_bm25(spark, sf_dir, ASKED), 30).select("query_id", "node_id", "rank", F.round("score", 5).alias("score"))
 
 
-@query(f"WITH {_COS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM cs) SELECT query_id, node_id, rank, round(score, 6) AS score FROM r WHERE rank <= 30")
+@query(f"WITH {_COS}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM cs) SELECT query_id, node_id, rank, score FROM r WHERE rank <= 30")
 def vector_topk(spark, sf_dir):
-    return R.top_k(R.cosine(vectors(spark, sf_dir), query_vectors(spark, sf_dir)), 30).select("query_id", "node_id", "rank", F.round("score", 6).alias("score"))
+    return _nearest(spark, sf_dir).select("query_id", "node_id", "rank", "score")
 
 
 @query(f"WITH {_bm25_sql(MULTI)}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM bm), k AS (SELECT * FROM r WHERE rank <= 30) SELECT node_id, round(max(score), 5) AS score FROM k GROUP BY node_id")
@@ -80,14 +87,14 @@ def multi_query_topk(spark, sf_dir):
 
 
 def _two_lists(spark, sf_dir):
-    near = R.cosine(vectors(spark, sf_dir), query_vectors(spark, sf_dir)).where("score > 0")
-    v = R.best_per_node(near.withColumn("score", F.round("score", 6))).withColumn("q", F.lit(0))  # rounded: ties are ties on any hardware
+    # a node among the first 30 by its best score is among the first 30 of the query that gives it
+    v = R.best_per_node(_nearest(spark, sf_dir).where("score > 0")).withColumn("q", F.lit(0))
     b = R.best_per_node(_bm25(spark, sf_dir, MULTI)).withColumn("q", F.lit(0))
     return R.top_k(v, 30, "q"), R.top_k(b, 30, "q")
 
 
 _LISTS = f"""{_COS}, {_bm25_sql(MULTI)},
-v0 AS (SELECT node_id, max(round(score, 6)) AS score FROM cs WHERE score > 0 GROUP BY node_id),
+v0 AS (SELECT node_id, max(score) AS score FROM cs WHERE score > 0 GROUP BY node_id),
 v AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY score DESC, node_id) AS rank FROM v0) WHERE rank <= 30),
 b0 AS (SELECT node_id, max(score) AS score FROM bm GROUP BY node_id),
 b AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY score DESC, node_id) AS rank FROM b0) WHERE rank <= 30)"""
@@ -358,8 +365,10 @@ def curriculum_scan(spark, sf_dir):
     return I.curriculum(chunks(spark, sf_dir), "fr", "114", "2")
 
 
-_TOP_LISTS = f"""{_COS}, {_bm25_sql(MULTI)},
-v1 AS (SELECT query_id, node_id, round(score, 6) AS score FROM cs WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, node_id) <= 30),
+#: A question's vectors are those of its few rewritings.
+_OWN_COS = _COS.replace("vec_id % 100 = 0", "vec_id IN (0, 1, 2)")
+_TOP_LISTS = f"""{_OWN_COS}, {_bm25_sql(MULTI)},
+v1 AS (SELECT query_id, node_id, score FROM cs WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) <= 30),
 v2 AS (SELECT node_id, max(score) AS score FROM v1 GROUP BY node_id),
 b1 AS (SELECT query_id, node_id, score FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) <= 30),
 b2 AS (SELECT node_id, max(score) AS score FROM b1 GROUP BY node_id),
