@@ -36,7 +36,8 @@ def tokenised(chunks: DataFrame, tokenize: Tokenize = T.tokens) -> DataFrame:
 
 def term_stats(words: DataFrame, n_docs: int) -> DataFrame:
     """term, df, idf; an idf below zero becomes EPSILON times the mean idf of all terms."""
-    return weighted(words.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df")), n_docs)
+    each = words.select(F.explode_outer(F.array_distinct("tokens")).alias("term")).where("term IS NOT NULL")
+    return weighted(each.groupBy("term").agg(F.count("*").alias("df")), n_docs)
 
 
 def weighted(df: DataFrame, n_docs: int) -> DataFrame:
@@ -47,11 +48,18 @@ def weighted(df: DataFrame, n_docs: int) -> DataFrame:
     return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
+def each_token(words: DataFrame) -> DataFrame:
+    """node_id, dl, term of each token.
+
+    Outer, as a plain explode is given a filter on the array's size below it, for which every text is tokenised once more."""
+    return words.select("node_id", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term")).where("term IS NOT NULL")
+
+
 def postings(words: DataFrame, only: list[str] | None = None) -> DataFrame:
     """term, node_id, tf, dl of each term of a chunk, or only of some terms (those of the queries at hand)."""
-    kept = F.col("tokens") if only is None else F.filter("tokens", lambda t: t.isin(*only))
-    rows = words.select("node_id", F.size("tokens").alias("dl"), F.explode(kept).alias("term"))
-    return rows.groupBy("term", "node_id", "dl").agg(F.count("*").alias("tf"))
+    rows = each_token(words)
+    kept = rows if only is None else rows.where(F.col("term").isin(*only))
+    return kept.groupBy("term", "node_id", "dl").agg(F.count("*").alias("tf"))
 
 
 def keyword_index(chunks: DataFrame, only: list[str] | None = None, tokenize: Tokenize = T.tokens) -> KeywordIndex:
@@ -66,8 +74,8 @@ def bm25(index: KeywordIndex, query_terms: DataFrame) -> DataFrame:
 
     Scores are rounded: sums in another order are equal, so ties go by node_id however the rows are dealt.
     """
-    wanted = F.broadcast(query_terms.groupBy("query_id", "term").agg(F.count("*").alias("times")))  # as small as the queries
-    known = F.broadcast(index.terms.join(wanted, "term").select("query_id", "term", "times", "idf"))
+    wanted = sinks.few(query_terms.groupBy("query_id", "term").agg(F.count("*").alias("times")))
+    known = sinks.few(sinks.kept(index.terms.join(wanted, "term").select("query_id", "term", "times", "idf"), "terms"))
     tf = F.col("tf").cast("double")
     part = F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / index.avgdl))
     return index.postings.join(known, "term").groupBy("query_id", "node_id").agg(F.round(F.sum(part), 9).alias("score")).where("score > 0")

@@ -6,9 +6,7 @@ cross-encoder as a Column, and the answerer defaults to the best chunk's text.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,92 +18,19 @@ from ..operators import nearest as N
 from ..operators import retrieve as R
 from ..sources import sinks
 from .route import Route, dispatch
+from .storage import Index, build, build_keywords, compact, document_index, folder_of, load, read_keywords, refresh, reloaded  # noqa: F401
 
-#: Folders that the postings are split into by term, so that a question reads those of its terms only.
-TERM_FOLDERS = 64
 SEARCH_K, RERANK_N, RERANK_N_PROFESSOR = 30, 10, 25
 
 
-@dataclass(frozen=True)
-class Index:
-    chunks: DataFrame
-    keyword: R.KeywordIndex
-    #: node_id, embedding.
-    vectors: DataFrame
-    #: True if the postings have the column ``folder`` that a question's terms select.
-    split: bool = False
-    #: The folder of the version that it was loaded from.
-    version: str | None = None
+def in_memory(chunks: DataFrame, vectors: DataFrame, only: list[str] | None = None, tokenize: R.Tokenize = T.tokens) -> Index:
+    return Index(chunks, R.keyword_index(chunks, only, tokenize), vectors)
 
 
-def in_memory(chunks: DataFrame, vectors: DataFrame, only: list[str] | None = None) -> Index:
-    return Index(chunks, R.keyword_index(chunks, only), vectors)
-
-
-def _folder(term: str | Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(TERM_FOLDERS)).cast("int")
-
-
-def build_keywords(chunks: DataFrame, folder: str) -> None:
-    """Write postings, term statistics and the mean length: texts are tokenised once, the rest comes from the postings as written."""
-    spark = chunks.sparkSession
-    rows = R.postings(R.tokenised(chunks)).withColumn("folder", _folder("term"))
-    # dealt and sorted by folder, term and node: a task has few files open, a frequent term spreads over several, and min/max statistics of terms prune row groups
-    rows.repartitionByRange("folder", "term", "node_id").sortWithinPartitions("folder", "term", "node_id").write.partitionBy("folder").parquet(f"{folder}/postings")
-    stored = spark.read.parquet(f"{folder}/postings") if rows.take(1) else rows
-    n, texts = chunks.agg(F.count("*"), F.count("text")).first()
-    length = (stored.agg(F.sum("tf")).first()[0] or 0) / max(texts, 1)
-    R.weighted(stored.groupBy("term").agg(F.count("*").alias("df")), n).write.parquet(f"{folder}/terms")
-    spark.range(1).select(F.lit(float(length or 1.0)).alias("avgdl")).coalesce(1).write.parquet(f"{folder}/stats")
-
-
-def build(chunks: DataFrame, vectors: DataFrame, folder: str) -> None:
-    """Publish chunks, vectors, postings, term statistics and the mean length as one version: readers see all of the old or all of the new one."""
-
-    def write(at: str) -> None:
-        chunks.write.parquet(f"{at}/chunks")
-        vectors.write.parquet(f"{at}/vectors")
-        build_keywords(chunks, at)
-
-    sinks.publish_set(chunks.sparkSession, folder, write)
-
-
-def _keywords(spark: SparkSession, at: str) -> R.KeywordIndex:
-    read = lambda name: spark.read.parquet(f"{at}/{name}")
-    return R.KeywordIndex(read("postings"), read("terms"), read("stats").first().avgdl)
-
-
-def load(spark: SparkSession, folder: str) -> Index | None:
-    """The published index; None if there is none."""
-    at = sinks.current_set(spark, folder)
-    if at is None:
-        return None
-    return Index(spark.read.parquet(f"{at}/chunks"), _keywords(spark, at), spark.read.parquet(f"{at}/vectors"), split=True, version=at)
-
-
-def reloaded(spark: SparkSession, folder: str, index: Index | None) -> Index | None:
-    """The index as it is, or the one that was published since it was loaded."""
-    at = sinks.current_set(spark, folder)
-    return index if index and at in (None, index.version) else load(spark, folder)
-
-
-_built: dict[tuple[str, str], str] = {}
-
-
-def document_index(spark: SparkSession, sf_dir: str) -> R.KeywordIndex:
-    """The keyword index of a folder's documents, built in the working folder by the first query of an application and read by the others."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _built:
-        at = f"{sinks.working_folder(spark)}/keywords-{uuid.uuid4().hex}"
-        build_keywords(spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("node_id"), "text"), at)
-        _built[key] = at
-    return _keywords(spark, _built[key])
-
-
-def query_terms(spark: SparkSession, queries: list[str]) -> DataFrame:
-    """query_id, term of each question: stop words and single characters dropped."""
+def query_terms(spark: SparkSession, queries: list[str], tokenize: R.Tokenize = T.tokens) -> DataFrame:
+    """query_id, term of each question: stop words and single characters dropped.  The tokenizer is the index's."""
     rows = spark.createDataFrame(list(enumerate(queries)), "query_id int, q string")
-    return rows.select("query_id", F.explode(T.query_tokens(F.col("q"))).alias("term"))
+    return rows.select("query_id", F.explode(T.query_tokens(F.col("q"), tokenize)).alias("term"))
 
 
 def keyword_scores(index: Index, terms: DataFrame) -> DataFrame:
@@ -113,9 +38,15 @@ def keyword_scores(index: Index, terms: DataFrame) -> DataFrame:
     return scores_of(index.keyword, terms) if index.split else R.bm25(index.keyword, terms)
 
 
+#: Distinct terms of questions that are named in the plan, so that files and row groups without them are left out; more are joined.
+MOST_TERMS = 1_000
+
+
 def scores_of(k: R.KeywordIndex, terms: DataFrame) -> DataFrame:
     """query_id, node_id, score by a stored index, of which the questions' terms are read only."""
-    asked = terms.select("term", _folder("term").alias("folder")).distinct().collect()  # as few as the questions' terms
+    asked = terms.select("term", folder_of("term").alias("folder")).distinct().limit(MOST_TERMS + 1).collect()  # bounded
+    if len(asked) > MOST_TERMS:
+        return R.bm25(k, terms)
     folders, words = sorted({r.folder for r in asked}), [r.term for r in asked]
     return R.bm25(R.KeywordIndex(k.postings.where(F.col("folder").isin(*folders) & F.col("term").isin(*words)), k.terms.where(F.col("term").isin(*words)), k.avgdl), terms)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -86,6 +88,26 @@ def multi_query_topk(spark, sf_dir):
     return R.best_per_node(R.top_k(_bm25(spark, sf_dir, MULTI), 30)).select("node_id", F.round("score", 5).alias("score"))
 
 
+#: Of every 40 documents one file is deleted, one changed and one copied to a new file.
+_CHANGED = """docs AS (SELECT doc_id, CASE WHEN doc_id % 40 = 1 THEN text || ' the there' ELSE text END AS text FROM documents WHERE doc_id % 40 <> 0
+UNION ALL SELECT doc_id + 1000000000, text FROM documents WHERE doc_id % 40 = 2),"""
+
+
+@query(f"WITH {_CHANGED} {_bm25_sql(ASKED).replace('FROM documents', 'FROM docs')}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM bm) SELECT query_id, node_id, rank, round(score, 5) AS score FROM r WHERE rank <= 30")
+def upkept_index(spark, sf_dir):
+    """An index of all documents that is brought up to date after some files changed."""
+    folder = f"{sinks.working_folder(spark)}/upkept-{uuid.uuid4().hex}"
+    key = F.col("node_id") % 40
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node_id"), "text")
+    before = d.withColumn("source_file", F.concat(F.lit("f"), key.cast("string")))
+    own = vectors(spark, sf_dir).select("node_id", "embedding")
+    engine.build(before, own, folder)
+    longer = before.where(key != 0).withColumn("text", F.when(key == 1, F.concat("text", F.lit(" the there"))).otherwise(F.col("text")))
+    copies = d.where(key == 2).select((F.col("node_id") + 1000000000).alias("node_id"), "text", F.lit("new").alias("source_file"))
+    engine.refresh(longer.unionByName(copies), own, folder)
+    return R.top_k(engine.scores_of(engine.load(spark, folder).keyword, _terms(spark, ASKED)), 30).select("query_id", "node_id", "rank", F.round("score", 5).alias("score"))
+
+
 def _two_lists(spark, sf_dir):
     # a node among the first 30 by its best score is among the first 30 of the query that gives it
     v = R.best_per_node(_nearest(spark, sf_dir).where("score > 0")).withColumn("q", F.lit(0))

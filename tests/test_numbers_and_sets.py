@@ -55,11 +55,10 @@ def test_an_index_of_few_texts(spark, tmp_path):
         chunks = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "node_id long, text string")
         at = str(tmp_path / str(k))
         engine.build_keywords(chunks, at)
-        stored, memory = engine._keywords(spark, at) if len(texts) > 2 else None, R.keyword_index(chunks)
-        if stored:
-            rows = lambda df, *c: sorted(map(tuple, df.select(*c).collect()))
-            assert rows(stored.postings, "term", "node_id", "tf", "dl") == rows(memory.postings, "term", "node_id", "tf", "dl")
-            assert rows(stored.terms, "term", "df", F.round("idf", 9)) == rows(memory.terms, "term", "df", F.round("idf", 9)) and stored.avgdl == memory.avgdl
+        stored, memory = engine.read_keywords(spark, at), R.keyword_index(chunks)
+        rows = lambda df, *c: sorted(map(tuple, df.select(*c).collect()))
+        assert rows(stored.postings, "term", "node_id", "tf", "dl") == rows(memory.postings, "term", "node_id", "tf", "dl")
+        assert rows(stored.terms, "term", "df", F.round("idf", 9)) == rows(memory.terms, "term", "df", F.round("idf", 9)) and stored.avgdl == memory.avgdl
 
 
 def test_an_index_is_reloaded_when_it_is_published_anew(spark, tmp_path):
