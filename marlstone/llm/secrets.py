@@ -18,7 +18,7 @@ import re
 from dataclasses import dataclass
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -145,40 +145,44 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return met.groupBy("key").agg(F.bit_or(F.expr("shiftleft(1L, rule)")).alias("rules"))
 
 
-def _spans(rule: Rule, at: int) -> Column:
-    """(start, order, end) of a rule's matches in ``__text``, from the lengths of the parts around them."""
+def _matches(rule: Rule, at: int) -> Column:
+    """(kind, place, gap, whole, value) of a rule's matches in ``__text``: their place in order, and the lengths of what stands before them, of all and of the part that counts."""
     pattern = F.lit(rule.pattern)
     parts = F.transform(F.split("__text", rule.pattern, -1), lambda x: F.length(x))
     whole = F.transform(F.regexp_extract_all("__text", pattern, 0), lambda x: F.length(x))
     value = F.transform(F.regexp_extract_all("__text", pattern, rule.group), lambda x: F.length(x)) if rule.group else whole
     rows = F.arrays_zip(F.slice(parts, F.lit(1), F.size(whole)).alias("gap"), whole.alias("whole"), value.alias("value"))
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
-
-    def step(acc, row):
-        begin, end = acc["at"] + row["gap"], acc["at"] + row["gap"] + row["whole"]
-        span = F.struct(begin.alias("start"), F.lit(at).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(row["value"] >= rule.min_length, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
-
-    return F.aggregate(rows, start, step, lambda acc: acc["spans"])
+    return F.transform(rows, lambda r, n: F.struct(F.lit(at).alias("kind"), n.alias("place"), r["gap"].alias("gap"), r["whole"].alias("whole"), r["value"].alias("value")))
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id and spans, an array of (start, kind, end) with kind the rule's place in rules, sorted."""
-    key = F.xxhash64("doc_id", "text")  # equal keys share candidates, which the patterns verify
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("__text"), key.alias("__key"))
+    """doc_id and spans, an array of (start, kind, end) with kind the rule's place in rules, sorted.
+
+    Matches are rows, and where they start is a running sum over those of a text: time follows their number.  Texts are not shuffled, only matches are.
+    """
+    key = F.xxhash64("doc_id", "text")  # equal keys share candidates and matches
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("__text"), key.alias("__key"))
     # few documents are candidates: their keys are sent to the texts, not the texts to a join
     found = common.narrow_side(common.materialize(candidates(docs.select(key.alias("key"), "text"), rules).withColumnRenamed("key", "__of"), "candidates"))
     joined = rows.join(found, rows["__key"] == F.col("__of"), "left")
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    none = F.array().cast("array<struct<kind:int,place:int,gap:int,whole:int,value:int>>")
     each = []
     for at, rule in enumerate(rules):
         if trigram_query(rule.pattern) == ANY:
             gate = F.col("__text").rlike(rule.pattern)  # full scan
         else:
             gate = F.coalesce(F.col("rules").bitwiseAND(1 << at) != 0, F.lit(False))
-        each.append(F.when(gate, _spans(rule, at)).otherwise(none))
-    return joined.select("doc_id", F.array_sort(F.concat(*each)).alias("spans"))
+        each.append(F.when(gate, _matches(rule, at)).otherwise(none))
+    # outer: a plain explode puts a filter on the array's size below it, which matches every pattern twice
+    matches = joined.select("__key", F.explode_outer(F.concat(*each)).alias("m")).where("m IS NOT NULL").select("__key", "m.*")
+    once = matches.groupBy("__key", "kind", "place").agg(*[F.first(c).alias(c) for c in ("gap", "whole", "value")])  # many rows may be one text
+    end = F.sum(F.col("gap") + F.col("whole")).over(Window.partitionBy("__key", "kind").orderBy("place")).cast("int")
+    least = F.element_at(F.array(*[F.lit(r.min_length) for r in rules]), F.col("kind") + 1)
+    kept = once.withColumn("end", end).where(F.col("value") >= least)
+    spans = kept.groupBy("__key").agg(F.sort_array(F.collect_list(F.struct((F.col("end") - F.col("whole")).alias("start"), "kind", "end"))).alias("spans"))
+    spans = common.materialize(spans, "spans")
+    empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    return docs.select("doc_id", key.alias("__key")).join(spans, "__key", "left").select("doc_id", F.coalesce("spans", empty).alias("spans"))
 
 
 def written(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:

@@ -95,3 +95,16 @@ def test_clashing_columns(spark):
     df = frame(spark, extra=True).selectExpr("*", "'h' AS host", "1 AS n_words", "2 AS kinds", "3 AS spans")
     assert rules.judge(df).count() == df.count()
     assert secrets.scan(df).count() == df.count()
+
+
+def test_spans_of_very_many_matches(spark):
+    import time
+
+    took = []
+    for n in (20_000, 200_000):
+        text = " ".join(f"{i:032x}" for i in range(n))
+        began = time.time()
+        row = secrets.scan(spark.createDataFrame([(1, text), (1, text), (2, "none")], "doc_id long, text string")).where("doc_id = 1").selectExpr("size(spans) AS n", "spans[size(spans) - 1].end AS last").collect()
+        took.append(time.time() - began)
+        assert [(r.n, r.last) for r in row] == [(n, len(text))] * 2
+    assert took[1] < 10 * took[0] + 10
