@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -82,18 +82,18 @@ class Templates:
         self.kind = kind
         self.word, self.token = h, np.where(kind == LITERAL, h, _SLOT[kind])
 
-    def telling(self, at: np.ndarray, size: int) -> np.ndarray:
-        """Whether the words from at on have text enough to be searched for alone."""
+    def telling(self, at: np.ndarray, size: int, least: tuple[int, int]) -> np.ndarray:
+        """Whether the words from at on have text enough to be searched for alone; least: words and characters."""
         points = np.concatenate(([0], np.cumsum((self.words.buf & 0xC0) != 0x80)))
         chars = np.concatenate(([0], np.cumsum(points[self.end] - points[self.start])))
-        return chars[at + size] - chars[at] >= LONE_CHARS * (1 if size >= LONE_WORDS else 2)
+        return chars[at + size] - chars[at] >= least[1] * (1 if size >= least[0] else 2)
 
-    def windows(self, size: int, lone: bool = False, item: bool = False, rare: bool = True) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    def windows(self, size: int, lone: bool = False, item: bool = False, rare: bool = True, least: tuple[int, int] = (LONE_WORDS, LONE_CHARS)) -> list[tuple[int, np.ndarray, np.ndarray]]:
         """Way, first words and hashes of the windows found that way; lone: only of texts of just that many words; rare: some window of the items is not literal enough."""
         at = self.words.windows(size)
         if lone:
             at = at[self.words.count[self.words.doc[at]] == size]
-            at = at[self.telling(at, size)]
+            at = at[self.telling(at, size, least)]
         literal = np.concatenate(([0], np.cumsum(self.kind == LITERAL)))
         enough = 2 * (literal[at + size] - literal[at]) >= size
         words = {DOC_WORDS: at if item else at[~enough], ITEM_WORDS: at[~enough] if item else at if rare else at[:0]}
@@ -122,7 +122,7 @@ def _unit_hashes() -> np.ndarray:
 _HIT = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("hash", pa.int64()), ("way", pa.int32()), ("pos", pa.int32()), ("size", pa.int32()), ("slots", pa.list_(pa.string()))])
 
 
-def _found(sizes: list[int], probe, lone: int, item: bool = False, rare: bool = True):
+def _found(sizes: list[int], probe, lone: int, item: bool = False, rare: bool = True, least: tuple[int, int] = (LONE_WORDS, LONE_CHARS)):
     """Windows of rows (doc_id, key, text) whose hash is in probe (None: all); lone: shorter texts give one window of all their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +136,7 @@ def _found(sizes: list[int], probe, lone: int, item: bool = False, rare: bool =
                 t = Templates(texts)
                 out: dict[str, list] = {name: [] for name in _HIT.names}
                 for size in sizes:
-                    for way, at, h in t.windows(size, size < lone, item, rare):
+                    for way, at, h in t.windows(size, size < lone, item, rare, least):
                         if known is not None:
                             ok = door[h >> _U(44)]
                             at, h = at[ok], h[ok]
@@ -159,17 +159,17 @@ def _found(sizes: list[int], probe, lone: int, item: bool = False, rare: bool =
 _HIT_DDL = "doc_id long, key long, hash long, way int, pos int, size int, slots array<string>"
 
 
-def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def item_windows(benchmark: DataFrame, window: int = WINDOW, lone_words: int = LONE_WORDS, lone_chars: int = LONE_CHARS) -> DataFrame:
     """item_id, hash, way, item_pos, item_slots of each benchmark window; n_windows literal enough and n_all of the item."""
     items = benchmark.groupBy("text").agg(F.min(F.col("item_id").cast("long")).alias("doc_id")).select("doc_id", F.lit(0).cast("long").alias("key"), "text")
-    rows = items.mapInArrow(_found(list(range(1, window + 1)), None, window, item=True), _HIT_DDL)
+    rows = items.mapInArrow(_found(list(range(1, window + 1)), None, window, item=True, least=(lone_words, lone_chars)), _HIT_DDL)
     counted = rows.groupBy("doc_id").agg(F.count_if(F.col("way") == TEMPLATE).alias("n_windows"), F.count_distinct("pos").alias("n_all"))
     return rows.join(counted, "doc_id").select(F.col("doc_id").alias("item_id"), "hash", "way", F.col("pos").alias("item_pos"), "size", F.col("slots").alias("item_slots"), "n_windows", "n_all")
 
 
-def too_short(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def too_short(benchmark: DataFrame, window: int = WINDOW, lone_words: int = LONE_WORDS, lone_chars: int = LONE_CHARS) -> DataFrame:
     """item_id and text of the items that are not searched for: null, without words, or of too little text."""
-    searched = item_windows(benchmark, window).select("item_id").distinct().join(benchmark.select(F.col("item_id").cast("long"), "text"), "item_id").select("text")
+    searched = item_windows(benchmark, window, lone_words, lone_chars).select("item_id").distinct().join(benchmark.select(F.col("item_id").cast("long"), "text"), "item_id").select("text")
     return benchmark.select("item_id", "text").join(searched, "text", "left_anti").select("item_id", "text")
 
 
@@ -199,9 +199,26 @@ def _steady_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({k: batch.column(k) for k in _KEYS} | columns, schema=_RUN)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_share: float = MIN_SHARE) -> DataFrame:
-    """doc_id, key (hash of the text), item_id, n_windows matched, share of the item's windows, verbatim (all slots filled alike)."""
-    items = common.materialize(item_windows(benchmark, window), "items")
+def telling_windows(items: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
+    """item_id and hash of the windows of which a document that leaks the item holds one at least: its rarest.
+
+    Of n windows it must hold ceil(share * n), so it holds one of any n - ceil(share * n) + 1 of them.  Those are taken that the fewest items hold, of the
+    windows found by templates, and of the places that windows found either way stand at.
+    """
+    held = items.join(items.groupBy("hash").agg(F.count_distinct("item_id").alias("held")), "hash")
+    by_place = Window.partitionBy("item_id", "item_pos")
+    placed = held.withColumn("at_place", F.max("held").over(by_place))
+    ways = placed.withColumn("template", F.when(F.col("way") == TEMPLATE, F.struct("held", "item_pos"))).withColumn("place", F.struct("at_place", "item_pos"))
+    own = Window.partitionBy("item_id")
+    enough = lambda n: n - F.ceil(min_share * n) + 1
+    ranked = ways.withColumn("t", F.dense_rank().over(own.orderBy(F.col("template").asc_nulls_last()))).withColumn("p", F.dense_rank().over(own.orderBy("place")))
+    rare = ranked.where(F.col("template").isNotNull() & (F.col("t") <= enough(F.col("n_windows"))) | (F.col("p") <= enough(F.col("n_all"))))
+    return rare.select("item_id", "hash").distinct()
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_share: float = MIN_SHARE, lone_words: int = LONE_WORDS, lone_chars: int = LONE_CHARS) -> DataFrame:
+    """With ``lone_chars=0`` every item that has a word is searched for.  doc_id, key (hash of the text), item_id, n_windows matched, share of the item's windows, verbatim (all slots filled alike)."""
+    items = common.materialize(item_windows(benchmark, window, lone_words, lone_chars), "items")
     n, sizes, rare = items.agg(F.count_distinct("hash").alias("n"), F.collect_set("size").alias("sizes"), F.coalesce(F.max(F.col("way") == ITEM_WORDS), F.lit(False)).alias("rare")).first()
     if not n:
         sizes, n = [window], 0
@@ -212,7 +229,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_share
     # any document may hold a short item, so every size is searched everywhere
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), "text")
     hits = rows.mapInArrow(_found(sorted(sizes), probe, 0, rare=rare), _HIT_DDL).drop("size", "way")
-    joined = hits.join(items.drop("size"), "hash").withColumn("offset", F.col("pos") - F.col("item_pos"))
+    hits = common.materialize(hits, "hits")
+    pairs = common.materialize(hits.select("doc_id", "key", "hash").distinct().join(telling_windows(items, min_share), "hash").select("doc_id", "key", "item_id").distinct(), "pairs")
+    # a window that many items hold meets only the pairs that a rarer one has shown
+    of_pairs = hits.join(pairs, hits["doc_id"].eqNullSafe(pairs["doc_id"]) & (hits["key"] == pairs["key"])).select(hits["doc_id"], hits["key"], "hash", "pos", "slots", "item_id")
+    joined = of_pairs.join(items.drop("size"), ["item_id", "hash"]).withColumn("offset", F.col("pos") - F.col("item_pos"))
     windows = joined.groupBy(*_KEYS, "offset").agg(F.collect_set(F.struct("way", "item_pos", "item_slots", "slots")).alias("windows"))
     ddl = ", ".join(f"{k} long" for k in _KEYS) + ", at array<int>, words_at array<int>, alike boolean"
     runs = windows.select(*_KEYS, "windows").mapInArrow(_steady_runs, ddl).where(F.size("at") + F.size("words_at") > 0)
@@ -226,9 +247,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_share
     return found.where(F.col("share") >= min_share)
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_share: float = MIN_SHARE) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_share: float = MIN_SHARE, lone_words: int = LONE_WORDS, lone_chars: int = LONE_CHARS) -> DataFrame:
     """The rows of docs, all columns, that leak no item."""
-    found = leaks(docs.select("doc_id", "text"), benchmark, window, min_share).select(F.col("doc_id").alias("__doc_id"), F.col("key").alias("__key")).distinct()
+    found = leaks(docs.select("doc_id", "text"), benchmark, window, min_share, lone_words, lone_chars).select(F.col("doc_id").alias("__doc_id"), F.col("key").alias("__key")).distinct()
     found = common.narrow_side(common.materialize(found, "leaks"))
     return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["__doc_id"]) & (F.xxhash64(docs["text"]) == found["__key"]), "left_anti")
 

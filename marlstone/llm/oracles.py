@@ -95,19 +95,27 @@ bare AS (SELECT *, regexp_replace(regexp_replace(w, '^{_EDGE}', ''), '{_EDGE}$',
 core AS (SELECT side, id, p, CASE WHEN c = '' THEN w ELSE c END AS c FROM bare),
 kind0 AS (SELECT side, id, p, translate(c, {_LOWER}) AS c, CASE WHEN regexp_matches(c, '^[0-9]') THEN 1 WHEN regexp_matches(c, '^[A-Z\\x{{C0}}-\\x{{DE}}]') THEN 3 ELSE 0 END AS k FROM core),
 kinds AS (SELECT side, id, p, c, CASE WHEN k = 0 AND lag(k) OVER (PARTITION BY side, id ORDER BY p) = 1 AND c IN ({_UNITS}) THEN 2 ELSE k END AS k FROM kind0),
-lists AS (SELECT side, id, list(CASE WHEN k = 0 THEN c ELSE chr(1) || k END ORDER BY p) AS toks, list(k ORDER BY p) AS ks, list(CASE WHEN k > 0 THEN k || c END ORDER BY p) AS slots FROM kinds GROUP BY side, id),
-sized AS (SELECT *, least(len(toks), {decontaminate.WINDOW}) AS size FROM lists WHERE side = 'item' UNION ALL
-          SELECT * FROM lists, (SELECT DISTINCT least(len(toks), {decontaminate.WINDOW}) AS size FROM lists WHERE side = 'item') WHERE side = 'doc'),
+lists AS (SELECT side, id, list(CASE WHEN k = 0 THEN c ELSE chr(1) || k END ORDER BY p) AS toks, list(c ORDER BY p) AS cs, list(k ORDER BY p) AS ks, list(CASE WHEN k > 0 THEN k || c END ORDER BY p) AS slots FROM kinds GROUP BY side, id),
+items AS (SELECT *, least(len(toks), {decontaminate.WINDOW}) AS size FROM lists WHERE side = 'item'
+          AND (len(toks) >= {decontaminate.WINDOW} OR length(array_to_string(cs, '')) >= {decontaminate.LONE_CHARS} * CASE WHEN len(toks) >= {decontaminate.LONE_WORDS} THEN 1 ELSE 2 END)),
+sized AS (SELECT * FROM items UNION ALL SELECT * FROM lists, (SELECT DISTINCT size FROM items) WHERE side = 'doc'),
 places AS (SELECT *, unnest(generate_series(1, len(toks) - size + 1)) AS p FROM sized),
-win AS (SELECT side, id, p, size, array_to_string(toks[p : p + size - 1], ' ') AS h, list_filter(slots[p : p + size - 1], lambda x: x IS NOT NULL) AS slots
-        FROM places WHERE 2 * len(list_filter(ks[p : p + size - 1], lambda x: x = 0)) >= size),
-total AS (SELECT id, count(*) AS n FROM win WHERE side = 'item' GROUP BY id),
-hit AS (SELECT d.id AS doc_id, i.id AS item_id, d.p - i.p AS off, i.p, i.slots AS a, d.slots AS b FROM win d JOIN win i ON d.side = 'doc' AND i.side = 'item' AND d.size = i.size AND d.h = i.h),
-pair AS (SELECT DISTINCT doc_id, item_id, off, unnest(a) AS a, unnest(b) AS b FROM hit),
-fill AS (SELECT doc_id, item_id, off, count(*) = count(DISTINCT a) AND count(*) = count(DISTINCT b) AS steady, bool_and(a = b) AS alike FROM pair GROUP BY ALL),
-run AS (SELECT hit.*, coalesce(alike, true) AS alike FROM hit LEFT JOIN fill USING (doc_id, item_id, off) WHERE coalesce(steady, true)),
-found AS (SELECT doc_id, item_id, count(DISTINCT p) AS n_windows, bool_and(alike) AS verbatim FROM run GROUP BY doc_id, item_id)
-SELECT doc_id, item_id, n_windows, round(n_windows / total.n, 6) AS share, verbatim FROM found JOIN total ON total.id = item_id WHERE n_windows / total.n >= {decontaminate.MIN_SHARE}
+win AS (SELECT side, id, p, size, array_to_string(toks[p : p + size - 1], ' ') AS h, array_to_string(cs[p : p + size - 1], ' ') AS c, list_filter(slots[p : p + size - 1], lambda x: x IS NOT NULL) AS slots,
+        2 * len(list_filter(ks[p : p + size - 1], lambda x: x = 0)) >= size AS literal FROM places),
+d AS (SELECT * FROM win WHERE side = 'doc'), i AS (SELECT * FROM win WHERE side = 'item'),
+total AS (SELECT id, count(*) FILTER (literal) AS n_windows, count(*) AS n_all FROM i GROUP BY id),
+hit AS (SELECT d.id AS doc_id, i.id AS item_id, d.p - i.p AS off, i.p, true AS template, i.slots AS a, d.slots AS b FROM d JOIN i ON d.size = i.size AND d.h = i.h WHERE d.literal AND i.literal UNION ALL
+        SELECT d.id, i.id, d.p - i.p, i.p, false, [], [] FROM d JOIN i ON d.size = i.size AND d.c = i.c WHERE NOT d.literal OR NOT i.literal),
+pair AS (SELECT DISTINCT * FROM (SELECT doc_id, item_id, off, p, unnest(a) AS a, unnest(b) AS b FROM hit WHERE template)),
+filling AS (SELECT doc_id, item_id, off, a, b, true AS own FROM (SELECT doc_id, item_id, off, a, b, count(*) AS n FROM pair GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY doc_id, item_id, off, a ORDER BY n DESC, b) = 1),
+named AS (SELECT doc_id, item_id, off, b, count(*) AS names FROM filling WHERE a LIKE '3%' GROUP BY ALL),
+astray AS (SELECT DISTINCT doc_id, item_id, off, p, true AS astray FROM pair LEFT JOIN filling USING (doc_id, item_id, off, a, b) LEFT JOIN named USING (doc_id, item_id, off, b) WHERE own IS NULL OR a LIKE '3%' AND names > 1),
+alike AS (SELECT doc_id, item_id, off, bool_and(a = b) AS alike FROM hit GROUP BY ALL),
+kept AS (SELECT hit.*, alike FROM hit JOIN alike USING (doc_id, item_id, off) LEFT JOIN astray USING (doc_id, item_id, off, p) WHERE NOT template OR astray IS NULL),
+found AS (SELECT doc_id, item_id, count(DISTINCT p) FILTER (template) AS by_template, count(DISTINCT p) AS by_any, bool_and(alike) FILTER (template) AS alike_t, bool_and(alike) AS alike_any FROM kept GROUP BY doc_id, item_id),
+s AS (SELECT *, coalesce(by_template / nullif(n_windows, 0), 0) >= {decontaminate.MIN_SHARE} AS enough FROM found JOIN total ON total.id = item_id)
+SELECT doc_id, item_id, CASE WHEN enough THEN by_template ELSE by_any END AS n_windows, round(CASE WHEN enough THEN by_template / n_windows ELSE by_any / n_all END, 6) AS share, CASE WHEN enough THEN alike_t ELSE alike_any END AS verbatim
+FROM s WHERE enough OR by_any / n_all >= {decontaminate.MIN_SHARE}
 """
 
 EXACT_DEDUP = f"""

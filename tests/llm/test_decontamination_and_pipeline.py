@@ -57,6 +57,26 @@ def test_an_answer_of_a_word_is_no_leak(spark):
     assert sorted(r.item_id for r in D.too_short(bench(spark, items)).collect()) == [1, 2, 4, 5, 7]
 
 
+def test_every_item_is_searched_for_if_asked(spark):
+    items = [(1, "yes"), (2, "in 1990"), (4, None), (5, "")]
+    found = D.leaks(docs(spark, ["well yes it was", "in 1990 a b"]), bench(spark, items), lone_chars=0).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(0, 1), (1, 2)]
+    assert [r.item_id for r in D.too_short(bench(spark, items), lone_chars=0).orderBy("item_id").collect()] == [4, 5]
+
+
+def test_a_preamble_that_all_items_share_pairs_nothing(spark, monkeypatch):
+    preamble = "read the following question with care and then write down the answer that you think is right"
+    own = lambda k: " ".join(f"w{k}x{j}" for j in range(26))
+    items = [(k, f"{preamble} {own(k)}") for k in range(40)]
+    texts = [f"{preamble} and nothing else {k}" for k in range(30)] + [f"so {preamble} {own(7)} yes", own(9)]
+    joined = []
+    real = D.common.materialize
+    monkeypatch.setattr(D.common, "materialize", lambda df, name: (lambda out: joined.append(out.count()) or out if name == "pairs" else out)(real(df, name)))
+    rows = D.leaks(docs(spark, texts), bench(spark, items)).collect()
+    assert sorted((r.doc_id, r.item_id, r.verbatim) for r in rows) == [(30, 7, True), (31, 9, True)]
+    assert joined == [2]  # not 31 documents with 40 items
+
+
 def test_clashing_columns_and_long_texts(spark):
     long = "word " * 200_000 + ITEM
     d = docs(spark, [long, None, ""]).selectExpr("*", "1 AS __doc_id", "2 AS __key", "3 AS hash", "4 AS item_id")
