@@ -130,12 +130,20 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """prints (doc_id, fingerprint, ...) with root, the component's smallest fingerprint, and component_id, the smallest doc_id reachable over links."""
-    distinct = common.materialize(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc")), "fingerprints")
+    """prints (doc_id, fingerprint, ...) with root, the component's smallest fingerprint, and component_id, the smallest doc_id reachable over links.
+
+    Only fingerprints that several rows or links have are sent back to the rows: by broadcast up to common.BROADCAST_ROWS, else by a join of two plain
+    exchanges, whose hot keys adaptive execution splits.
+    """
+    distinct = common.materialize(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc"), F.count("*").alias("n")), "fingerprints")
     roots = components(links(distinct, radius))
-    rooted = distinct.join(roots, distinct.fingerprint == roots.node, "left").select("fingerprint", "doc", F.coalesce("root", "fingerprint").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("doc").alias("component_id"))
-    return prints.join(rooted.join(ids, "root").select("fingerprint", "root", "component_id"), "fingerprint")
+    rooted = distinct.join(roots, distinct.fingerprint == roots.node, "left").select("fingerprint", "doc", "n", F.coalesce("root", "fingerprint").alias("root"), F.col("root").isNotNull().alias("linked"))
+    shared = rooted.where("linked OR n > 1")
+    ids = shared.groupBy("root").agg(F.min("doc").alias("component_id"))
+    found = common.materialize(shared.join(ids, "root").select("fingerprint", "root", "component_id"), "roots")
+    joined = prints.join(common.narrow_side(found), "fingerprint", "left")
+    alone = F.col("root").isNull()
+    return joined.withColumn("component_id", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))).withColumn("root", F.coalesce("root", "fingerprint"))
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, distinct: bool = False) -> DataFrame:
@@ -226,26 +234,28 @@ def sets(docs: DataFrame) -> DataFrame:
     return docs.select("node", "text").mapInArrow(run, "node long, shingles array<int>")
 
 
-def meeting_pairs(value: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of the prints at each value (values sorted): all of them, or of a crowd each with the REPS that come first by lot."""
+def meeting_pairs(value: np.ndarray, prints: np.ndarray, all_pairs: int | None = ALL_PAIRS, reps: int | None = REPS) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of the prints at each value (values sorted): all of them, or of more than all_pairs each with the reps that come first by lot."""
+    if all_pairs is None or reps is None:
+        all_pairs, reps = len(value), 1
     start = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
     size = np.diff(np.append(start, len(value)))
     lot = common.mix(prints.view(_U) ^ common.mix(value.view(_U)))
     order = np.lexsort((lot, value))
     place = np.arange(len(value)) - np.repeat(start, size)
-    most = np.where(size <= ALL_PAIRS, size, REPS)
+    most = np.where(size <= all_pairs, size, reps)
     pairs = []
     for k in range(1, int(most.max(initial=1))):  # each print with the k-th before it, or with the k-th of the crowd
-        few = np.flatnonzero((place >= k) & np.repeat(size <= ALL_PAIRS, size))
+        few = np.flatnonzero((place >= k) & np.repeat(size <= all_pairs, size))
         pairs.append((order[few], order[few - k]))
-    for k in range(REPS):
-        crowd = np.flatnonzero((place > k) & np.repeat(size > ALL_PAIRS, size))
+    for k in range(reps):
+        crowd = np.flatnonzero((place > k) & np.repeat(size > all_pairs, size))
         pairs.append((order[crowd], order[np.repeat(start, size)[crowd] + k]))
     u, v = (prints[np.concatenate(x)] for x in zip(*pairs, strict=True))
     return np.minimum(u, v), np.maximum(u, v)
 
 
-def collisions(prints: DataFrame) -> DataFrame:
+def collisions(prints: DataFrame, all_pairs: int | None = ALL_PAIRS, most_reps: int | None = REPS) -> DataFrame:
     """(p, q), p < q: pairs of distinct prints (seed above BITS bits) that have a value within a bit of either in common."""
     masks = [0, *(1 << b for b in range(BITS))]
     ball = F.explode(F.array(*[F.shiftleft(F.col("print").bitwiseXOR(F.lit(m)), 6).bitwiseOR(F.lit(k)) for k, m in enumerate(masks)]))
@@ -259,7 +269,7 @@ def collisions(prints: DataFrame) -> DataFrame:
         same = np.append(False, value[1:] == value[:-1])
         held = same | np.append(same[1:], False)
         value = value[held]
-        u, v = meeting_pairs(value, value ^ flip[rows[held] & 63])
+        u, v = meeting_pairs(value, value ^ flip[rows[held] & 63], all_pairs, most_reps)
         return pa.RecordBatch.from_pydict({"p": u, "q": v})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,25 +284,35 @@ def collisions(prints: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "p long, q long").distinct()
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """(u, v), u < v: pairs of nodes (node, size, prints) with a fingerprint, or two within the radius, under some seed, whose sizes allow for the similarity."""
+def candidates(nodes: DataFrame, all_pairs: int | None = ALL_PAIRS, most_reps: int | None = REPS) -> DataFrame:
+    """(u, v), u < v: pairs of nodes (node, size, prints) with a fingerprint, or two within the radius, under some seed, whose sizes allow for the similarity.
+
+    most_reps None: every node is compared with all that it meets.
+    """
     own = F.struct("node", "size")
     prints = nodes.select(own.alias("a"), F.explode("prints").alias("print"))
-    numbered = prints.select("print", "a", F.xxhash64("print", "a.node").alias("lot"))
-    first = Window.partitionBy("print").orderBy("lot", "a.node")
-    reps = common.materialize(numbered.withColumn("k", F.row_number().over(first)).where(F.col("k") <= REPS).groupBy("print").agg(F.collect_list("a").alias("reps")), "reps")
-    near = collisions(reps.select("print"))
-    side = lambda name: reps.select(F.col("print").alias(name), F.col("reps").alias(f"{name}_reps"))
-    across = near.join(side("p"), "p").join(side("q"), "q").select(F.explode("p_reps").alias("a"), "q_reps").select("a", F.explode("q_reps").alias("b"))
-    within = prints.join(reps.where(F.size("reps") > 1), "print").select("a", F.explode("reps").alias("b"))
+    side = lambda rows, name, columns: rows.select(F.col("print").alias(name), *columns)
+    if most_reps is None:
+        prints = common.materialize(prints, "node-prints")
+        near = collisions(prints.select("print").distinct(), all_pairs, most_reps)
+        across = near.join(side(prints, "p", ["a"]), "p").join(side(prints, "q", [F.col("a").alias("b")]), "q").select("a", "b")
+        within = prints.join(prints.select("print", F.col("a").alias("b")), "print").select("a", "b")
+    else:
+        numbered = prints.select("print", "a", F.xxhash64("print", "a.node").alias("lot"))
+        first = Window.partitionBy("print").orderBy("lot", "a.node")
+        reps = common.materialize(numbered.withColumn("k", F.row_number().over(first)).where(F.col("k") <= most_reps).groupBy("print").agg(F.collect_list("a").alias("reps")), "reps")
+        near = collisions(reps.select("print"), all_pairs, most_reps)
+        held = lambda name: side(reps, name, [F.col("reps").alias(f"{name}_reps")])
+        across = near.join(held("p"), "p").join(held("q"), "q").select(F.explode("p_reps").alias("a"), "q_reps").select("a", F.explode("q_reps").alias("b"))
+        within = prints.join(reps.where(F.size("reps") > 1), "print").select("a", F.explode("reps").alias("b"))
     fit = F.least("a.size", "b.size") >= SIMILARITY * F.greatest("a.size", "b.size")
     met = across.unionByName(within).where(fit & (F.col("a.node") != F.col("b.node")))
     return met.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
 
 
-def similar_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def similar_links(docs: DataFrame, nodes: DataFrame, all_pairs: int | None = ALL_PAIRS, most_reps: int | None = REPS) -> DataFrame:
     """(u, v): candidates that share enough of their shingles, from nodes (node, size, prints, first) and docs (doc_id, key, text); 32 bits of each shingle's hash are compared."""
-    pairs = common.materialize(candidates(nodes), "pairs")
+    pairs = common.materialize(candidates(nodes, all_pairs, most_reps), "pairs")
     ends = pairs.select(F.col("u").alias("node")).distinct().union(pairs.select("v").distinct()).distinct()
     firsts = common.materialize(nodes.join(ends, "node").select("node", F.col("first.doc_id").alias("__doc_id"), F.col("first.key").alias("__key")), "ends")
     few = common.narrow_side(firsts)
@@ -309,13 +329,19 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["__doc_id"]) & (F.xxhash64(docs["text"]) == gone["__key"]), "left_anti")
 
 
-def keep_one_similar(docs: DataFrame) -> DataFrame:
-    """docs, all columns, less all rows but one of each group of texts that are linked by similarity; which one is as in keep_one."""
+def keep_one_similar(docs: DataFrame, all_pairs: int | None = ALL_PAIRS, most_reps: int | None = REPS) -> DataFrame:
+    """docs, all columns, less all rows but one of each group of texts that are linked by similarity; which one is as in keep_one.
+
+    all_pairs: fingerprints at a value up to which all are compared with each other; most_reps: fingerprints, and nodes of one fingerprint, that stand for
+    larger crowds.  None for either compares all that meet: no link is missed for a crowd's sake, and the work grows with the square of a crowd.
+    """
+    if all_pairs is None or most_reps is None:
+        all_pairs = most_reps = None
     plain = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), "text")
     rows = common.materialize(sketches(plain), "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "key")).alias("first")
     nodes = common.materialize(rows.groupBy("node").agg(F.first("size").alias("size"), F.first("prints").alias("prints"), first), "nodes")
-    roots = components(similar_links(plain, nodes))
+    roots = components(similar_links(plain, nodes, all_pairs, most_reps))
     rooted = nodes.select(F.col("node").alias("own"), "first").join(roots, F.col("own") == F.col("node"), "left").select("own", "first", F.coalesce("root", "own").alias("root"))
     kept = rooted.groupBy("root").agg(F.min("first").alias("first"))
     found = rows.join(rooted.select("own", "root").join(kept, "root"), F.col("node") == F.col("own"))
