@@ -157,14 +157,15 @@ def kept_text(text: Column, keep: Column) -> Column:
 
 
 def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """docs, all columns, with the text's kept lines; ``__n_lines`` before and ``__n_dropped`` besides."""
+    """docs, all columns, with the text's kept lines, and two more at the end: ``__n_lines`` before and ``__n_dropped`` (more underscores where docs has these)."""
+    n_lines_name, n_dropped_name = common.free_names(docs, "__n_lines", "__n_dropped")
     maps = keep_bitmaps(docs, min_chars, min_docs).select(F.col("doc").alias("__doc"), F.col("key").alias("__key"), F.col("n_dropped").alias("__n_dropped"), F.col("keep").alias("__keep"))
     match = (F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)) == maps["__doc"]) & (F.xxhash64(docs["text"]) == maps["__key"])
     text = F.coalesce(docs["text"], F.lit(""))
     joined = docs.join(maps, match, "left")
     n_lines = (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
     columns = [kept_text(docs["text"], maps["__keep"]).alias("text") if c == "text" else docs[c] for c in docs.columns]
-    return joined.select(*columns, n_lines.alias("__n_lines"), F.coalesce(maps["__n_dropped"], F.lit(0).cast("long")).alias("__n_dropped"))
+    return joined.select(*columns, n_lines.alias(n_lines_name), F.coalesce(maps["__n_dropped"], F.lit(0).cast("long")).alias(n_dropped_name))
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:

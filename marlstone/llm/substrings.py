@@ -161,9 +161,9 @@ def _ids(column: pa.ChunkedArray) -> np.ndarray:
     return column.fill_null(NULL_ID).to_numpy()
 
 
-def _candidates(table: pa.Table, twice: np.ndarray, window: int):
+def _candidates(table: pa.Table, id_name: str, twice: np.ndarray, window: int):
     """Of each slice of a chunk: its words, the slice's first row, and of its suspicious windows the first word, hashes and doc_id."""
-    ids = _ids(table.column("__id"))
+    ids = _ids(table.column(id_name))
     texts = table.column("text").combine_chunks()
     for row, run in common.text_slices(texts):
         words = common.PackedWords(run)
@@ -221,18 +221,20 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs, all columns, with the text's kept words joined by one space; ``__n_words`` before and ``__n_removed`` besides."""
+    """docs, all columns, with the text's kept words joined by one space, and two more at the end: ``__n_words`` before and ``__n_removed``
+    (more underscores where docs has these)."""
+    id_name, chunk_name, n_words_name, n_removed_name = common.free_names(docs, "__id", "__chunk", "__n_words", "__n_removed")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(docs.sparkSession.sparkContext.defaultParallelism, int(size // CHUNK_BYTES) + 1)
     twice = docs.sparkSession.sparkContext.broadcast(sketch(docs, window))
     columns = docs.columns
 
     def sent(table: pa.Table) -> pa.Table:
-        parts = [x[3:] for x in _candidates(table, twice.value, window)]
+        parts = [x[3:] for x in _candidates(table, id_name, twice.value, window)]
         h, more, ids = (np.concatenate(c) for c in zip(*parts, strict=True))
         order, new = _first_of(h, more, ids)
         pick = order[new]
-        return pa.table({"h": h[pick].view(np.int64), "tail": more[pick].astype(np.int64) | table.column("__chunk")[0].as_py() << 32, "id": ids[pick]})
+        return pa.table({"h": h[pick].view(np.int64), "tail": more[pick].astype(np.int64) | table.column(chunk_name)[0].as_py() << 32, "id": ids[pick]})
 
     def removed(table: pa.Table, answers: pa.Table) -> pa.Table:
         n_words = np.zeros(table.num_rows, np.int64)
@@ -240,7 +242,7 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         kept: list[bytes] = []
         if table.num_rows:
             parts = [(np.cumsum(gaps, dtype=_U), more) for gaps, more in (unpack(p, _U, np.uint32) for p in answers.column("payload").to_pylist())]
-            slices = list(_candidates(table, twice.value, window))
+            slices = list(_candidates(table, id_name, twice.value, window))
             h, more, ids = (np.concatenate(c) for c in zip(*(s[3:] for s in slices), strict=True))
             # what starts in a smaller id elsewhere counts as one more row of this chunk, before all others
             told = [np.concatenate([x, *c]) for x, c in zip((h, more), zip(*parts, strict=True) if parts else ((), ()))]
@@ -260,14 +262,14 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 n_removed[row : row + len(words.count)] = np.bincount(words.doc[~keep], minlength=len(words.count))
                 kept += words.joined(keep)
         out = {c: table.column(c) for c in columns} | {"text": pa.array(kept, pa.binary()).cast(pa.string())}
-        return pa.table(out | {"__n_words": n_words, "__n_removed": n_removed})
+        return pa.table(out | {n_words_name: n_words, n_removed_name: n_removed})
 
     chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")
-    rows = docs.select("*", F.col("doc_id").cast("long").alias("__id"), chunk.alias("__chunk")).repartition("__chunk")
-    dealt = rows.groupBy("__chunk").applyInArrow(sent, _SENT).repartition("h").sortWithinPartitions("h", F.col("tail").bitwiseAND(_LOW), "id")
-    answers = dealt.mapInArrow(_answers, "chunk int, payload binary").withColumnRenamed("chunk", "__chunk")
-    schema = T.StructType([*docs.select(*columns).schema.fields, T.StructField("__n_words", T.LongType()), T.StructField("__n_removed", T.LongType())])
-    return rows.groupBy("__chunk").cogroup(answers.groupBy("__chunk")).applyInArrow(removed, schema)
+    rows = docs.select("*", F.col("doc_id").cast("long").alias(id_name), chunk.alias(chunk_name)).repartition(chunk_name)
+    dealt = rows.groupBy(chunk_name).applyInArrow(sent, _SENT).repartition("h").sortWithinPartitions("h", F.col("tail").bitwiseAND(_LOW), "id")
+    answers = dealt.mapInArrow(_answers, "chunk int, payload binary").withColumnRenamed("chunk", chunk_name)
+    schema = T.StructType([*docs.select(*columns).schema.fields, T.StructField(n_words_name, T.LongType()), T.StructField(n_removed_name, T.LongType())])
+    return rows.groupBy(chunk_name).cogroup(answers.groupBy(chunk_name)).applyInArrow(removed, schema)
 
 
 def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:

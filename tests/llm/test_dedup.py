@@ -64,6 +64,16 @@ def test_windows_keep_other_columns(spark):
     assert sorted((r.doc_id, r.id, r.many) for r in out.collect() if r.doc_id) == sorted((r.doc_id, r.id, r.many) for r in df.collect() if r.doc_id)
 
 
+@pytest.mark.parametrize("op,own", [(lines.dedup, ("__n_lines", "__n_dropped")), (substrings.dedup, ("__n_words", "__n_removed"))])
+def test_columns_named_like_internal_ones(spark, op, own):
+    names = ["__id", "__chunk", "__n_words", "__N_removed", "__n_lines", "__n_dropped", "__doc", "__key", "__keep", "chunk", "payload"]
+    df = frame(spark).selectExpr("*", *[f"{k} AS {n}" for k, n in enumerate(names)])
+    out = op(df)
+    assert out.columns == [*df.columns, *[f"_{n}" for n in own]]
+    assert {tuple(r[n] for n in names) for r in out.collect()} == {tuple(range(len(names)))}
+    assert out.count() == df.count()
+
+
 def test_packing():
     import numpy as np
 
@@ -126,11 +136,10 @@ def edits(rng, words, n):
     return " ".join(out)
 
 
-@pytest.mark.parametrize("crowd", [1, simhash.ALL_PAIRS])
-def test_similar_groups_against_brute_force(spark, monkeypatch, crowd):
+@pytest.mark.parametrize("crowd", [1, simhash.ALL_PAIRS, None])
+def test_similar_groups_against_brute_force(spark, crowd):
     import random
 
-    monkeypatch.setattr(simhash, "ALL_PAIRS", crowd)
     rng = random.Random(11)
     words = [f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{i}" for i in range(3000)]
     hot = rng.sample(words, 150)
@@ -141,7 +150,7 @@ def test_similar_groups_against_brute_force(spark, monkeypatch, crowd):
     texts += [None, "", " ", "one", "one two", "ONE two", texts[0].upper(), " ".join(rng.choices(words, k=90_000))]
     texts.append(texts[-1] + " end")
     df = frame(spark, [(i, t, None, None, None) for i, t in enumerate(texts)], extra=True)
-    out = simhash.keep_one_similar(df.selectExpr("*", "1 AS node", "2 AS __key", "3 AS __row_key"))
+    out = simhash.keep_one_similar(df.selectExpr("*", "1 AS node", "2 AS __key", "3 AS __row_key"), all_pairs=crowd)
     kept, expected = {r.doc_id for r in out.collect()}, set(similar_groups(texts))
     assert out.columns == [*df.columns, "node", "__key", "__row_key"]
     assert kept >= expected and len(kept - expected) <= 0.05 * (len(texts) - len(expected))
@@ -155,6 +164,15 @@ def test_meeting_pairs():
     assert {(10, 11), (10, 12), (11, 12), (13, 14)} == {x for x in got if x[0] < 20} and len(got) == 4 + 19 + 18
     assert {x for p in got for x in p} == set(prints.tolist())
     assert len(simhash.meeting_pairs(value[:0], prints[:0])[0]) == 0
+    assert len(simhash.meeting_pairs(value, prints, None, None)[0]) == 3 + 1 + 20 * 19 // 2
+
+
+def test_many_rows_of_one_fingerprint(spark, monkeypatch):
+    monkeypatch.setattr(simhash.common, "BROADCAST_ROWS", 0)
+    rows = [(i, None if i % 2 else " ", None, None, None) for i in range(5000)] + [(5000 + i, f"own words {i} stand here", None, None, None) for i in range(50)]
+    found = simhash.near_duplicates(simhash.fingerprints(frame(spark, rows)))
+    assert found.where("fingerprint = 0").agg(F.count("*"), F.min("component_id"), F.max("component_id"), F.max("root")).first() == (5000, 0, 0, 0)
+    assert found.where("fingerprint <> 0 AND component_id <= doc_id").count() == 50
 
 
 def test_word_prints_of_long_texts():
