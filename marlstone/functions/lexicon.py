@@ -39,14 +39,15 @@ PERIODS = [
 ]
 
 #: Words dropped from queries (not from the corpus).
-STOP_WORDS = (
-    "的 了 在 是 我 有 和 就 不 人 都 一 一個 上 也 很 到 說 要 去 你 會 著 沒有 看 好 自己 這 他 她 們 那 個 與 及 或 但 而 將 已 "
-    "為 從 以 可 能 之 於 等 被 其 把 所 對 讓 這個 那個 什麼 怎麼 哪 ： ， 。 、 （ ） 請問 查詢 想知道 課表 教授 課程 老師 有沒有 "
-    "開課 在哪裡 什麼時候 怎麼去 哪個 誰有 有人 知道 你好 哈囉 嗨 請問一下 想問 幫我 找 哪裡 何時 是誰 誰 如何 哪一個 哪一門 "
-    "我想 我想要 能不能 可以嗎 可以 請 謝謝 感謝 一下 一些 一些些 還有 或者是 或是 以及 以及說 等等 之類的 的話 有些 因此 所以 如果 假如 "
-    "那麼 這時候 那時候 這款 那款 這些 那些 這兒 那兒 這樣子 這樣 那樣 那樣子 有些時候 有時候 通常 一般而言 總之 大致上 主要 各位 大家 喔 "
-    "啦 吧 呢 啊 咩 耶 囉 唷 哈 喔的"
-).split() + ["\r", "\n", "\t", " "]
+STOP_WORDS = [
+    "的", "了", "在", "是", "我", "有", "和", "就", "不", "人", "都", "一", "一個", "上", "也", "很", "到", "說", "要", "去", "你", "會", "著", "沒有", "看", "好", "自己", "這",
+    "他", "她", "們", "那", "個", "與", "及", "或", "但", "而", "將", "已", "為", "從", "以", "可", "能", "之", "於", "等", "被", "其", "把", "所", "對", "讓", "這個", "那個",
+    "什麼", "怎麼", "哪", "：", "，", "。", "、", "（", "）", "請問", "查詢", "想知道", "課表", "教授", "課程", "老師", "有沒有", "開課", "在哪裡", "什麼時候", "怎麼去", "哪個", "誰有", "有人",
+    "知道", "你好", "哈囉", "嗨", "請問一下", "想問", "幫我", "找", "哪裡", "何時", "是誰", "誰", "如何", "哪一個", "哪一門", "我想", "我想要", "能不能", "可以嗎", "可以", "請", "謝謝", "感謝", "一下",
+    "一些", "一些些", "還有", "或者是", "或是", "以及", "以及說", "等等", "之類的", "的話", "有些", "因此", "所以", "如果", "假如", "那麼", "這時候", "那時候", "這款", "那款", "這些", "那些", "這兒",
+    "那兒", "這樣子", "這樣", "那樣", "那樣子", "有些時候", "有時候", "通常", "一般而言", "總之", "大致上", "主要", "各位", "大家", "喔", "啦", "吧", "呢", "啊", "咩", "耶", "囉", "唷", "哈",
+    "喔的", "\r", "\n", "\t", " ",
+]
 
 #: Spoken word to the calendar's words.
 SYNONYMS = {
@@ -67,15 +68,30 @@ SECTION_LABELS = {"basic_info": "基本資訊", "objectives": "教學目標", "s
 #: Keywords of the question ladder, in the order in which it asks.
 PERSONAL_WORDS = ["我自己的", "自己的", "我的", "幫我查", "我有", "我要", "我禮拜", "我星期", "我今天", "我明天", "我上學期", "我下學期"]
 FOR_ME_WORDS = ["給我", "為我", "幫我", "替我", "讓我"]
-TRANSCRIPT_WORDS = "學分 畢業 還差 修了 修過 沒修 必修 選修 通識 GPA 平均 成績 不及格 沒過 停修 擋修 體育 國文 英文 修課 進度".split()
-SCHEDULE_WORDS = "課表 有什麼課 有課 沒課 空堂 幾節課 上什麼 禮拜 星期 週 周 今天 明天 下午 上午".split()
-RECOMMEND_WORDS = "推薦 建議 有什麼可以上 選什麼 修什麼 可以上什麼".split()
-PROFESSOR_WORDS = "實驗室 研究方向 研究 專長 gmail email 信箱 聯絡方式 指導 收學生 找老師".split()
-CALENDAR_WORDS = "行事曆 日曆 提醒 加到 排進 排到 記到 加進 新增到 刪掉 取消 移除 行程 有什麼事 有什麼安排 改到 改成 更改 改時間 改日期 搬到 移到 延後 延期 提前 推遲 調到 調整時間 換到 換成 變更 挪到".split()
-ACADEMIC_WORDS = "停修 開學 校慶 春假 寒假 暑假 放假 補假 連假 加退選 選課 退選 選填 畢業 宿舍 註冊 繳費 掃墓 清明 兒童節 和平紀念 端午 中秋 國慶 元旦 跨年".split()
-POLICY_WORDS = "畢業門檻 畢業規定 修課規定 請假 缺課 系規 規章".split()
-COURSE_WORDS = (
-    "教科書 課本 參考書 教材 用書 成績 考試 評分 配分 佔比 期中考 期末考 小考 進度 第幾週 哪一週 每週 課程安排 "
-    "教學目標 教學綱要 學什麼 教什麼 課程內容 大綱 誰教 老師 教授 學分 上課時間 教室 必修 選修 人數 "
-    "可以修 能修 能不能修 要修 想修 衝堂 擋修 先修"
-).split()
+TRANSCRIPT_WORDS = [
+    "學分", "畢業", "還差", "修了", "修過", "沒修", "必修", "選修", "通識", "GPA", "平均", "成績", "不及格", "沒過", "停修", "擋修", "體育", "國文", "英文", "修課", "進度",
+]
+SCHEDULE_WORDS = [
+    "課表", "有什麼課", "有課", "沒課", "空堂", "幾節課", "上什麼", "禮拜", "星期", "週", "周", "今天", "明天", "下午", "上午",
+]
+RECOMMEND_WORDS = [
+    "推薦", "建議", "有什麼可以上", "選什麼", "修什麼", "可以上什麼",
+]
+PROFESSOR_WORDS = [
+    "實驗室", "研究方向", "研究", "專長", "gmail", "email", "信箱", "聯絡方式", "指導", "收學生", "找老師",
+]
+CALENDAR_WORDS = [
+    "行事曆", "日曆", "提醒", "加到", "排進", "排到", "記到", "加進", "新增到", "刪掉", "取消", "移除", "行程", "有什麼事", "有什麼安排", "改到", "改成", "更改", "改時間", "改日期", "搬到", "移到", "延後",
+    "延期", "提前", "推遲", "調到", "調整時間", "換到", "換成", "變更", "挪到",
+]
+ACADEMIC_WORDS = [
+    "停修", "開學", "校慶", "春假", "寒假", "暑假", "放假", "補假", "連假", "加退選", "選課", "退選", "選填", "畢業", "宿舍", "註冊", "繳費", "掃墓", "清明", "兒童節", "和平紀念", "端午", "中秋",
+    "國慶", "元旦", "跨年",
+]
+POLICY_WORDS = [
+    "畢業門檻", "畢業規定", "修課規定", "請假", "缺課", "系規", "規章",
+]
+COURSE_WORDS = [
+    "教科書", "課本", "參考書", "教材", "用書", "成績", "考試", "評分", "配分", "佔比", "期中考", "期末考", "小考", "進度", "第幾週", "哪一週", "每週", "課程安排", "教學目標", "教學綱要", "學什麼", "教什麼",
+    "課程內容", "大綱", "誰教", "老師", "教授", "學分", "上課時間", "教室", "必修", "選修", "人數", "可以修", "能修", "能不能修", "要修", "想修", "衝堂", "擋修", "先修",
+]

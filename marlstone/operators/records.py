@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import sinks
+
 PASSED = ("及格", "抵免")
 FAILED = ("不及格", "停修", "未完成")
 #: Credits required in total, of compulsory, elective and general courses, unless rules say otherwise.
@@ -29,18 +31,33 @@ def _pieces(name: Column, sizes: tuple[int, ...]) -> Column:
     return F.array_distinct(F.concat(*[of(k) for k in sizes]))
 
 
-def own_required(courses: DataFrame, rules: DataFrame) -> DataFrame:
-    """courses with ``own``: a rule course of the student's department is in the name or the other way round.
+def contained(inner: DataFrame, outer: DataFrame, *scope: str) -> DataFrame:
+    """The columns ``scope``, inner and outer of the distinct pairs where the text ``inner`` (null and empty: none) stands within ``outer`` of the same scope.
 
-    Distinct names meet distinct rules of their department where the first three characters of one (all of a shorter one) are a
-    piece of the other; a name without rules is not of its own.
+    Whatever stands within a text has all its three-character pieces there (a shorter one is a piece itself).  Each inner text meets the outer ones
+    by that of its pieces which the fewest of these hold, so a piece that nearly all share, like a common opening, pairs nothing.
     """
-    names = courses.select("dept", "name").distinct()
-    known = rules.select("dept", "rule_course").distinct()
-    head = lambda c: F.left(c, F.lit(3))
-    held = names.withColumn("__g", F.explode(_pieces(F.col("name"), (1, 2, 3)))).join(known.withColumn("__g", head("rule_course")), ["dept", "__g"])
-    holds = names.withColumn("__g", head("name")).join(known.withColumn("__g", F.explode(_pieces(F.col("rule_course"), (1, 2, 3)))), ["dept", "__g"])
-    hits = held.unionByName(holds).where(F.col("name").contains(F.col("rule_course")) | F.col("rule_course").contains(F.col("name"))).select("dept", "name").distinct()
+    within = outer.where("outer IS NOT NULL").select(*scope, "outer").distinct()
+    held = sinks.kept(within.withColumn("gram", F.explode(_pieces(F.col("outer"), (1, 2, 3)))), "grams")
+    often = held.groupBy(*scope, "gram").agg(F.count("*").alias("n"))
+    own = F.when(F.length("inner") >= 3, _pieces(F.col("inner"), (3,))).otherwise(F.array("inner"))
+    asked = inner.where("inner <> ''").select(*scope, "inner").distinct().withColumn("gram", F.explode(own))
+    rarest = asked.join(often, [*scope, "gram"], "left").groupBy(*scope, "inner").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("rarest"))
+    met = rarest.where("rarest.n > 0").select(*scope, "inner", F.col("rarest.gram").alias("gram")).join(held, [*scope, "gram"])
+    return met.where(F.col("outer").contains(F.col("inner"))).select(*scope, "inner", "outer")
+
+
+def either_way(left: DataFrame, right: DataFrame, name: str, other: str, *scope: str) -> DataFrame:
+    """The distinct pairs of texts left.name and right.other of which one stands within the other."""
+    side = lambda rows, column, role: rows.select(*scope, F.col(column).alias(role))
+    holds = contained(side(right, other, "inner"), side(left, name, "outer"), *scope).select(*scope, F.col("outer").alias(name), F.col("inner").alias(other))
+    held = contained(side(left, name, "inner"), side(right, other, "outer"), *scope).select(*scope, F.col("inner").alias(name), F.col("outer").alias(other))
+    return holds.union(held).distinct()
+
+
+def own_required(courses: DataFrame, rules: DataFrame) -> DataFrame:
+    """courses with ``own``: a rule course of the student's department is in the name or the other way round; a name without rules is not of its own."""
+    hits = either_way(courses, rules, "name", "rule_course", "dept").select("dept", "name").distinct()
     return courses.join(hits.withColumn("own", F.lit(True)), ["dept", "name"], "left").select(*courses.columns, F.coalesce("own", F.lit(False)).alias("own"))
 
 
@@ -92,22 +109,19 @@ def enrich(records: DataFrame, catalogue: DataFrame) -> DataFrame:
     """records (id, name, teacher) with the best catalogue row (name, teacher, credits, type): equal names, else a name that holds
     the other or shares the part before a bracket (both at least three characters); the teacher breaks ties.
 
-    Exact names join on equality.  Only the rest meets the catalogue by content, prefiltered on the first three characters
-    of one being a three-character piece of the other, so that join is on equality too.
+    Exact names join on equality.  The distinct names that are left meet the catalogue's by their rarest pieces, or by equal parts before a bracket.
     """
-    r = records.withColumn("__base", F.trim(F.regexp_replace("name", "[（(].*$", "")))
-    c = catalogue.select(F.col("name").alias("c_name"), F.col("teacher").alias("c_teacher"), "credits", "type").withColumn("__c_base", F.trim(F.regexp_replace("c_name", "[（(].*$", "")))
-    exact = r.join(c, F.col("name") == F.col("c_name")).withColumn("tier", F.lit(1))
-    rest = r.join(c.select("c_name").distinct(), F.col("name") == F.col("c_name"), "left_anti").where(F.length("name") >= 3)
-    grams = lambda n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(n) - 2), lambda i: F.substring(n, i, F.lit(3))))
-    long = c.where(F.length("c_name") >= 3)
-    held = rest.withColumn("__g", F.explode(grams(F.col("name")))).join(long.withColumn("__h", F.left("c_name", F.lit(3))), F.col("__g") == F.col("__h"))
-    holds = rest.withColumn("__g", F.left("name", F.lit(3))).join(long.withColumn("__h", F.explode(grams(F.col("c_name")))), F.col("__g") == F.col("__h"))
-    either = F.col("name").contains(F.col("c_name")) | F.col("c_name").contains(F.col("name")) | ((F.length("__base") >= 3) & (F.col("__base") == F.col("__c_base")))
-    fuzzy = held.unionByName(holds).where(either).drop("__g", "__h").distinct().withColumn("tier", F.lit(2))
+    base = lambda c: F.trim(F.regexp_replace(c, "[（(].*$", ""))
+    c = catalogue.select(F.col("name").alias("c_name"), F.col("teacher").alias("c_teacher"), "credits", "type").distinct()
+    exact = records.join(c, F.col("name") == F.col("c_name")).withColumn("tier", F.lit(1))
+    rest = records.join(c.select("c_name").distinct(), F.col("name") == F.col("c_name"), "left_anti")
+    names, known = rest.where(F.length("name") >= 3).select("name").distinct(), c.where(F.length("c_name") >= 3).select("c_name").distinct()
+    by_base = names.withColumn("base", base("name")).where(F.length("base") >= 3).join(known.withColumn("base", base("c_name")), "base").select("name", "c_name")
+    pairs = sinks.kept(either_way(names, known, "name", "c_name").union(by_base).distinct(), "pairs")
+    fuzzy = rest.join(pairs, "name").join(c, "c_name").withColumn("tier", F.lit(2))
     teacher = F.col("teacher").contains(F.col("c_teacher")) | F.col("c_teacher").contains(F.col("teacher"))
     w = Window.partitionBy("id").orderBy("tier", teacher.desc(), "c_name", "c_teacher", "credits", "type")
-    best = exact.unionByName(fuzzy).withColumn("n", F.row_number().over(w)).where("n = 1")
+    best = exact.unionByName(fuzzy.select(exact.columns)).withColumn("n", F.row_number().over(w)).where("n = 1")
     return records.join(best.select("id", "tier", "c_name", F.when(F.col("credits") > 0, F.col("credits")).alias("credits"), F.nullif("type", F.lit("")).alias("type")), "id", "left")
 
 
@@ -199,7 +213,7 @@ def accepted_upload(kind: Column, size: Column, kinds: tuple[str, ...] = UPLOAD_
 
 
 #: Domains of general education, and words of a course or its stated domain that tell them, in the order in which they are asked.
-GE_WORDS = {"人文藝術": ("人文", "藝術", "文學", "美學", "哲學", "歷史"), "社會科學": ("社會", "法政", "管理", "經濟", "公民"), "自然科學": ("自然", "科技", "生命", "科學", "資訊", "環境")}
+GE_WORDS = {"人文藝術": ("人文", "藝術", "文學", "美學", "哲學", "歷史"), "社會科學": ("社會", "法政", "管理", "經濟", "公民"), "自然科學": ("自然", "科技", "生命", "科學", "資訊", "數學", "環境")}
 GE_DEFAULT = "人文藝術"
 
 
@@ -211,10 +225,7 @@ def ge_domain(courses: DataFrame, known: DataFrame) -> DataFrame:
     exact = c.join(k, F.col("__name") == F.col("__key"), "left").withColumnRenamed("__domain", "__exact").drop("__key")
     bare = exact.join(k, F.col("__bare") == F.col("__key"), "left").withColumnRenamed("__domain", "__plain").drop("__key")
     names, keys = bare.where("__exact IS NULL AND __plain IS NULL AND __name <> ''").select("__name").distinct(), k.select("__key")
-    head = lambda name: F.left(name, F.lit(3))
-    held = names.withColumn("__g", F.explode(_pieces(F.col("__name"), (1, 2, 3)))).join(keys.withColumn("__g", head("__key")), "__g")
-    holds = names.withColumn("__g", head("__name")).join(keys.withColumn("__g", F.explode(_pieces(F.col("__key"), (1, 2, 3)))), "__g")
-    near = held.unionByName(holds).where(F.col("__name").contains(F.col("__key")) | F.col("__key").contains(F.col("__name"))).groupBy("__name").agg(F.min("__key").alias("__key"))
+    near = either_way(names, keys, "__name", "__key").groupBy("__name").agg(F.min("__key").alias("__key"))
     fuzzy = bare.join(near.join(k, "__key").select("__name", F.col("__domain").alias("__fuzzy")), "__name", "left")
     said = F.concat(F.coalesce("domain", F.lit("")), F.lit(" "), F.col("name"))
     told = F.coalesce(*[F.when(F.exists(F.array(*[F.lit(w) for w in words]), lambda w: said.contains(w)), domain) for domain, words in GE_WORDS.items()])

@@ -219,24 +219,23 @@ def required_roster(spark, sf_dir):
     return first.groupBy("dept_short").agg(F.array_join(names, "、").alias("courses"))
 
 
-_GE = "CASE WHEN contains(n, 'almond') THEN '社會' WHEN contains(n, '1') THEN '自然' ELSE '人文藝術' END"
+_GE = " ".join(f"WHEN regexp_matches(said || ' ' || n, '{'|'.join(words)}') THEN '{domain}'" for domain, words in R.GE_WORDS.items())
 
 
-@query(f"""WITH d AS (SELECT p_name AS name, CASE p_size % 3 WHEN 0 THEN '人文' WHEN 1 THEN '社會' ELSE '自然' END AS domain, p_partkey FROM part WHERE p_size <= 12),
-e AS (SELECT name, arg_max(domain, p_partkey) AS domain FROM d GROUP BY name), r AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_name || '（甲）' ELSE p_name END AS n FROM part)
-SELECT p_partkey, coalesce(a.domain, b.domain, {_GE}) AS domain FROM r LEFT JOIN e a ON a.name = n LEFT JOIN e b ON b.name = trim(regexp_replace(n, '[（(][^）)]*[）)]', '', 'g'))""")
+@query(f"""WITH d AS (SELECT replace(p_name, ' ', '') AS name, max(CASE p_size % 3 WHEN 0 THEN '人文' WHEN 1 THEN '社會' ELSE '自然' END) AS domain FROM part WHERE p_size <= 12 AND p_partkey % 4 <> 0 GROUP BY 1),
+r AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name || '（甲）' WHEN 1 THEN p_name || ' ' || p_type WHEN 2 THEN p_name ELSE p_brand END AS n, CASE p_size % 5 WHEN 0 THEN '數學' WHEN 1 THEN '經濟' ELSE '' END AS said FROM part),
+x AS (SELECT *, replace(n, ' ', '') AS whole, regexp_replace(replace(n, ' ', ''), '[（(].*$', '') AS bare FROM r),
+f AS (SELECT whole, min(name) AS near FROM (SELECT DISTINCT whole FROM x) JOIN d ON contains(whole, name) OR contains(name, whole) GROUP BY whole)
+SELECT p_partkey, coalesce(a.domain, b.domain, c.domain, CASE {_GE} END, '{R.GE_DEFAULT}') AS domain
+FROM x LEFT JOIN d a ON a.name = whole LEFT JOIN d b ON b.name = bare LEFT JOIN f USING (whole) LEFT JOIN d c ON c.name = near""")
 def ge_domain_chain(spark, sf_dir):
-    """Exact name, then the name without brackets, then a keyword ladder, then a default."""
-    from ..functions.text import strip_parens
-
-    p = table(spark, sf_dir, "part")
+    """Exact name, then the name without brackets, then one that holds the other, then words, then a default."""
+    p, key = table(spark, sf_dir, "part"), F.col("p_partkey")
     domain = F.when(F.col("p_size") % 3 == 0, "人文").when(F.col("p_size") % 3 == 1, "社會").otherwise("自然")
-    known = p.where("p_size <= 12").groupBy(F.col("p_name").alias("name")).agg(F.max_by(domain, "p_partkey").alias("domain"))
-    r = p.select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, F.concat("p_name", F.lit("（甲）"))).otherwise(F.col("p_name")).alias("n"))
-    r = r.join(known.select(F.col("name").alias("n"), F.col("domain").alias("a")), "n", "left").withColumn("bare", strip_parens(F.col("n")))
-    r = r.join(known.select(F.col("name").alias("bare"), F.col("domain").alias("b")), "bare", "left")
-    ladder = F.when(F.col("n").contains("almond"), "社會").when(F.col("n").contains("1"), "自然").otherwise("人文藝術")
-    return r.select("p_partkey", F.coalesce("a", "b", ladder).alias("domain"))
+    known = p.where("p_size <= 12 AND p_partkey % 4 <> 0").select(F.replace("p_name", F.lit(" "), F.lit("")).alias("name"), domain.alias("domain"))
+    name = F.when(key % 4 == 0, F.concat("p_name", F.lit("（甲）"))).when(key % 4 == 1, F.concat_ws(" ", "p_name", "p_type")).when(key % 4 == 2, F.col("p_name")).otherwise(F.col("p_brand"))
+    said = F.when(F.col("p_size") % 5 == 0, "數學").when(F.col("p_size") % 5 == 1, "經濟").otherwise("")
+    return R.ge_domain(p.select(key.alias("id"), name.alias("name"), said.alias("domain")), known).select(F.col("id").alias("p_partkey"), F.col("resolved").alias("domain"))
 
 
 @query("""WITH cand AS (SELECT s_suppkey AS student, l_partkey AS course, l_linenumber % 7 + 1 AS day, l_partkey % 13 + 1 AS period, l_quantity AS score FROM supplier JOIN lineitem ON l_suppkey = s_suppkey WHERE l_returnflag = 'R'),

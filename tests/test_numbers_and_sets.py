@@ -72,3 +72,29 @@ def test_an_index_is_reloaded_when_it_is_published_anew(spark, tmp_path):
     engine.build(chunks.limit(1), vectors, folder)
     second = engine.reloaded(spark, folder, first)
     assert second is not first and (first.chunks.count(), second.chunks.count()) == (2, 1)
+
+
+def test_texts_within_texts_against_every_pair(spark):
+    import random
+
+    from marlstone.operators import records as C
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("ab資料") for _ in range(rng.randint(0, 7)))
+    inner, outer = [(rng.randrange(2), word()) for _ in range(150)], [(rng.randrange(2), word() + word()) for _ in range(150)]
+    a, b = (spark.createDataFrame([*rows, (0, None)], f"dept int, {name} string") for rows, name in ((inner, "inner"), (outer, "outer")))
+    expected = sorted({(d, i, o) for d, i in inner for e, o in outer if d == e and i and i in o})
+    assert sorted(map(tuple, C.contained(a, b, "dept").collect())) == expected
+
+
+def test_a_common_opening_pairs_nothing(spark):
+    from marlstone.operators import records as C
+
+    names = spark.range(400).selectExpr("concat('a common opening ', id + 1000, 'x') AS inner")
+    texts = spark.range(400).selectExpr("concat('a common opening ', id + 1000, 'x and more') AS outer")
+    met = C.contained(names, texts)
+    assert met.count() == 400
+    grams = texts.selectExpr("outer", "explode(transform(sequence(1, length(outer) - 2), i -> substring(outer, i, 3))) AS g").distinct()
+    often = dict(grams.groupBy("g").count().collect())
+    candidates = sum(min(often[n.inner[i : i + 3]] for i in range(len(n.inner) - 2)) for n in names.collect())
+    assert candidates <= 400 * 60  # by the opening alone: 400 * 400
