@@ -335,3 +335,37 @@ def repeated_block(spark, sf_dir):
     return d.select("doc_id", F.length(T.without_repeats(F.concat("text", F.lit("\n\n"), "text"))).alias("kept"), F.length("text").alias("size"))
 
 
+
+
+@query("SELECT c_custkey, c_name AS name, c_mktsegment AS segment, c_nationkey AS nation FROM customer WHERE c_custkey % 4 < 3")
+def json_repair(spark, sf_dir):
+    """Answers of a model: as they should be, of another language's quotes with talk around, bare and cut off, and without an object."""
+    key, name, segment, nation = F.col("c_custkey"), F.col("c_name"), F.col("c_mktsegment"), F.col("c_nationkey").cast("string")
+    put = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    said = (
+        F.when(key % 4 == 0, put('{"name": "', name, '", "segment": "', segment, '", "nation": ', nation, "}"))
+        .when(key % 4 == 1, put("說明：{'name': '", name, "', 'segment': '", segment, "' 'nation': ", nation, ",} 如上"))
+        .when(key % 4 == 2, put("```json\n{schedule: {name: ", name, ", segment: ", segment, " nation: ", nation))
+        .otherwise(put("{", name))
+    )
+    good, _ = S.json_records(table(spark, sf_dir, "customer").select("c_custkey", said.alias("json")), "name string, segment string, nation int")
+    return good.select("c_custkey", "record.name", "record.segment", "record.nation")
+
+
+_NOTICE = "(?is)<a\\s[^>]*?href=\"([^\"]*)\"[^>]*>(.*?)</a>"
+
+
+@query(f"""WITH b AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<!--.*?-->', ' ', 'g'), '(?is)<script.*?</script>|<style.*?</style>', ' ', 'g') AS body FROM pages WHERE page_id % 3 = 2),
+l AS (SELECT page_id, unnest(range(len(regexp_extract_all(body, '{_NOTICE}')))) AS n, unnest(regexp_extract_all(body, '{_NOTICE}', 1)) AS url, trim(unnest(regexp_extract_all(body, '{_NOTICE}', 2))) AS title FROM b),
+o AS (SELECT page_id, n, title, url FROM l WHERE length(title) >= 8 AND NOT starts_with(url, '#') AND NOT starts_with(url, 'javascript:') QUALIFY row_number() OVER (PARTITION BY page_id, title ORDER BY n) = 1)
+SELECT page_id, title, CASE WHEN starts_with(url, 'http') THEN url ELSE 'http://site' || url END AS url, '' AS unit, '' AS date FROM o QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY n) <= 15
+UNION ALL SELECT page_id, 'Announcement ' || page_id, CASE WHEN starts_with(url, 'http') THEN url ELSE 'http://site' || url END, '', '' FROM pages WHERE page_id % 3 = 0
+UNION ALL SELECT page_id, 'Notice & ' || page_id, 'http://site/p/' || page_id, 'Unit ' || page_id % 7 || 'x', '2026-03-0' || (page_id % 9 + 1) FROM pages WHERE page_id % 3 = 1""")
+def page_announcements(spark, sf_dir):
+    """Whole pages as they are, behind a content area, and behind a table of announcements with a table in a cell and cells left open."""
+    key, n = F.col("page_id"), F.col("page_id").cast("string")
+    put = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    area = put("<a href='/menu'>an entry of the menu</a><div class='wide mpgdetail'><p><a href='", F.col("url"), "'>Announcement ", n, "</a></div>", F.col("html"))
+    listed = put("<table class=\"table x\"><tr><td>2026-03-0", (key % 9 + 1).cast("string"), "<td><a href='/p/", n, "'>Notice &amp; <b>", n, "</b></a><td>Unit ", (key % 7).cast("string"), "<table><tr><td>x</table><tr><td>no</td><td>link</td></table>", F.col("html"))
+    pages = table(spark, sf_dir, "pages").withColumn("html", F.when(key % 3 == 0, area).when(key % 3 == 1, listed).otherwise(F.col("html")))
+    return S.announcements(pages, "http://site").drop("n")

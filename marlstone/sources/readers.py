@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import lexicon
+from ..functions import lexicon, loose
+from . import outline
 
 UNKNOWN = "未知"
 #: Label of a course record to its column.
@@ -151,35 +152,11 @@ def rule_file(short: Column, full: Column, names: list[str]) -> Column:
 
 
 def repaired_json(text: Column) -> Column:
-    """A model's JSON object with the usual faults mended: fences and talk around it, commas before a closing bracket, and brackets left open at the end."""
-
-    def mended(said: str | None) -> str | None:
-        if said is None or "{" not in said:
-            return said
-        said = said[said.index("{") :]
-        out, open_, string, skip = [], [], False, False
-        for c in said:
-            if string:
-                out.append(c)
-                skip, string = c == "\\" and not skip, c != '"' or skip
-                continue
-            if c in "}]":
-                while out and out[-1] in ", \n\t":
-                    out.pop()
-                if open_:
-                    open_.pop()
-            elif c in "{[":
-                open_.append("}" if c == "{" else "]")
-            string = c == '"'
-            out.append(c)
-            if c in "}]" and not open_:
-                return "".join(out)
-        rest = "".join(out) + '"' * string
-        return rest.rstrip(", \n\t`") + "".join(reversed(open_))
+    """A model's JSON object with its faults mended (``functions/loose.py``); a text without one is left as it is."""
 
     @F.arrow_udf("string")
     def run(column: pa.Array) -> pa.Array:
-        return pa.array([mended(x) for x in column.to_pylist()], pa.string())
+        return pa.array([loose.mended(x) for x in column.to_pylist()], pa.string())
 
     return run(text)
 
@@ -222,13 +199,16 @@ def user_files(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return rows.select(user.alias("user_id"), F.when(user.startswith("tg_"), "telegram").otherwise("discord").alias("platform"), F.struct(*rows.columns).alias("document"))
 
 
-def page_links(pages: DataFrame, least: int = 1, skip: tuple[str, ...] = ("script", "style")) -> DataFrame:
-    """page_id, n, url, title: links of a page outside comments and the elements to skip."""
-    body = F.regexp_replace(F.regexp_replace("html", r"(?is)<!--.*?-->", " "), rf"(?is)<({'|'.join(skip)})\b.*?</\1>", " ")
-    link = r'(?is)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>'
-    found = F.arrays_zip(F.regexp_extract_all(body, F.lit(link), F.lit(1)).alias("url"), F.regexp_extract_all(body, F.lit(link), F.lit(2)).alias("title"))
-    rows = pages.select("page_id", F.posexplode(found).alias("n", "a")).select("page_id", "n", F.col("a.url").alias("url"), F.trim(F.regexp_replace(F.regexp_replace("a.title", "<[^>]*>", " "), r"\s+", " ")).alias("title"))
-    return rows.where(F.length("title") >= least)
+def page_links(pages: DataFrame, least: int = 1) -> DataFrame:
+    """page_id, n, url, title: links of a page outside comments, scripts and styles; n counts those with an address."""
+
+    @F.arrow_udf("array<struct<url:string,title:string>>")
+    def found(column: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("url", pa.string()), ("title", pa.string())]))
+        return pa.array([outline.links(x) for x in column.to_pylist()], kind)
+
+    rows = pages.select("page_id", F.posexplode(found("html")).alias("n", "a"))
+    return rows.select("page_id", "n", "a.url", "a.title").where(F.length("title") >= least)
 
 
 def matching_news(rows: DataFrame, words: list[str], order: list[str]) -> DataFrame:
@@ -292,22 +272,13 @@ NAVIGATION = ("關於金大", "行政單位", "學術單位", "招生資訊", "
 
 
 def announcements(pages: DataFrame, site: str, most: int = 15) -> DataFrame:
-    """page_id, n, title, url, unit, date of a page's announcements, ``most`` a page.
+    """page_id, n, title, url, unit, date of a page's announcements, ``most`` a page (``outline.announcements`` says which); addresses within the site are made whole."""
 
-    A page with a table of that class gives a row per table row (date, linked title, unit); any other page its links of
-    eight characters or more that are no navigation, each title once.
-    """
-    text = lambda html: F.trim(F.regexp_replace(F.regexp_replace(html, "<[^>]*>", ""), r"\s+", " "))
-    absolute = lambda url: F.when(url.startswith("http"), url).otherwise(F.concat(F.lit(site), url))
-    table = F.regexp_extract("html", r'(?is)<table[^>]*class="[^"]*\btable\b[^"]*"[^>]*>(.*?)</table>', 1)
-    rows = pages.select("page_id", F.posexplode(F.slice(F.regexp_extract_all(table, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1)), 1, most)).alias("n", "row"))
-    cells = rows.select("page_id", "n", F.regexp_extract_all("row", F.lit(r"(?is)<td[^>]*>(.*?)</td>"), F.lit(1)).alias("c")).where(F.size("c") >= 2)
-    link = r'(?is)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>'
-    cell = F.when(F.regexp_extract(F.col("c")[1], link, 2) != "", F.col("c")[1]).otherwise(F.col("c")[0])
-    wide = F.size("c") > 2
-    listed = cells.select("page_id", "n", text(F.regexp_extract(cell, link, 2)).alias("title"), F.regexp_extract(cell, link, 1).alias("url"), F.when(wide, text(F.get("c", F.lit(2)))).otherwise("").alias("unit"), F.when(wide, text(F.get("c", F.lit(0)))).otherwise("").alias("date"))
-    plain = page_links(pages.where(table == ""), least=8).where(~F.col("url").rlike("^(javascript:|#|$)") & ~F.exists(F.array(*[F.lit(w) for w in NAVIGATION]), lambda w: F.col("title").contains(w)))
-    first = plain.groupBy("page_id", "title").agg(F.min(F.struct("n", "url")).alias("f"))
-    rank = F.row_number().over(Window.partitionBy("page_id").orderBy("f.n"))
-    links = first.withColumn("r", rank).where(F.col("r") <= most).select("page_id", F.col("f.n").alias("n"), "title", F.col("f.url").alias("url"), F.lit("").alias("unit"), F.lit("").alias("date"))
-    return listed.where("title <> ''").unionByName(links).withColumn("url", absolute(F.col("url")))
+    @F.arrow_udf("array<struct<title:string,url:string,unit:string,date:string>>")
+    def found(column: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([(c, pa.string()) for c in ("title", "url", "unit", "date")]))
+        return pa.array([outline.announcements(x, NAVIGATION, most) for x in column.to_pylist()], kind)
+
+    rows = pages.select("page_id", F.posexplode(found("html")).alias("n", "a"))
+    whole = F.when(F.col("a.url").startswith("http") | (F.col("a.url") == ""), F.col("a.url")).otherwise(F.concat(F.lit(site), F.col("a.url")))
+    return rows.select("page_id", "n", "a.title", whole.alias("url"), "a.unit", "a.date")
