@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -94,17 +95,114 @@ def space_text(text: str | None) -> str | None:
     return "".join(out)
 
 
+_MARKS = re.compile(r"```(?:\w{1,16}\n)?|`|\*\*|\*|~~|\|\||__|\n[ \t]*\n")
+#: Below this limit the marks of a message would leave no room for its text.
+LEAST_MARKED = 64
+
+
+class _Span(NamedTuple):
+    """Marked text: where its marks begin and end, and what has to be written to open and to close it anew."""
+
+    start: int
+    opened: int
+    closing: int
+    end: int
+    mark: str
+    unmark: str
+
+
+def _spans(text: str) -> list[_Span]:
+    """The marked stretches of a text in order: code fences, code within a line, and emphasis within a paragraph; nested, never crossing.
+
+    A mark without its partner is text. A fence that is never closed runs to the end.
+    """
+    spans: list[_Span] = []
+    open_: list[re.Match] = []
+    ticks = {m.start(): m for m in _MARKS.finditer(text)}
+    starts, at = sorted(ticks), 0
+    fences = [s for s in starts if ticks[s].group().startswith("```")]
+    at_fence = 0
+    for start in starts:
+        m = ticks[start]
+        mark = m.group()
+        if start < at:
+            continue
+        if mark.startswith("```"):
+            while at_fence < len(fences) and fences[at_fence] <= start:
+                at_fence += 1
+            closing = fences[at_fence] if at_fence < len(fences) else len(text)
+            at = min(closing + 3, len(text))
+            spans.append(_Span(start, m.end(), closing, at, mark if mark.endswith("\n") else mark + "\n", "\n```"))
+            open_.clear()
+        elif mark == "`":
+            line_end = text.find("\n", start)
+            closing = text.find("`", m.end(), line_end if line_end >= 0 else len(text))
+            if closing > m.end():
+                at = closing + 1
+                spans.append(_Span(start, m.end(), closing, at, "`", "`"))
+        elif mark.startswith("\n"):
+            open_.clear()
+        elif (depth := next((i for i in range(len(open_) - 1, -1, -1) if open_[i].group() == mark), None)) is not None and not text[start - 1].isspace():
+            first = open_[depth]
+            if first.end() < start:
+                spans.append(_Span(first.start(), first.end(), start, m.end(), mark, mark))
+            del open_[depth:]
+        elif not text[m.end() : m.end() + 1].isspace() and mark not in {o.group() for o in open_}:
+            open_.append(m)
+    return sorted(spans)
+
+
+def message_cuts(text: str, limit: int, least: float = 1 / 3) -> list[tuple[str, int, int, str]]:
+    """Parts of a message as (marks opened anew, start, end, marks closed): each part with its marks has at most ``limit`` characters.
+
+    A part ends at a blank line, a line end, a space, or hard, in the later two thirds of its room; what lies between two parts is white space.
+    """
+    spans = _spans(text) if limit >= LEAST_MARKED else []
+    cuts, start, reopened, first = [], 0, [], 0
+    while len(text) - start > limit - sum(len(s.mark) for s in reopened):
+        before = "".join(s.mark for s in reopened)
+        room = max(1, limit - 8 - len(before))  # for the marks to be closed
+        while True:
+            cut = next((at for edge in ("\n\n", "\n", " ") if (at := text.rfind(edge, start, start + room)) >= start + max(1, room * least)), start + room)
+            while first < len(spans) and spans[first].end <= start:
+                first += 1
+            over: list[_Span] = []
+            for s in spans[first:]:
+                if s.start >= cut:
+                    break
+                if s.end > cut:
+                    over.append(s)
+            inner = next((s for s in over if cut <= s.opened), None)  # nothing of it would be in this part: it goes to the next
+            if inner is not None and inner.start > start:
+                cut = inner.start
+                over = [s for s in over if s.start < cut]
+            skip = "\n" if any(s.unmark == "\n```" for s in over) else "\n "  # the indentation of code is kept
+            after = cut
+            while after < len(text) and text[after] in skip and (skip == "\n " or after == cut):
+                after += 1
+            done = [s for s in over if s.closing <= after and s.unmark != "\n```"]  # all of it is in this part
+            if done:
+                cut = after = max(s.end for s in done)
+                over = [s for s in over if s.end > cut]
+            behind = "".join(s.unmark for s in reversed(over))
+            excess = cut - start + len(before) + len(behind) - limit
+            if excess <= 0 or room <= excess + 1:
+                break
+            room -= excess
+        cuts.append((before, start, cut, behind))
+        start, reopened = after, over
+    if start < len(text) or not cuts:
+        cuts.append(("".join(s.mark for s in reopened), start, len(text), ""))
+    return cuts
+
+
 def split_message(text: str | None, limit: int, least: float = 1 / 3) -> list[str]:
-    """Parts of at most ``limit`` characters, cut at a blank line, a line end, a space, or hard; open code fences are closed and reopened."""
-    rest, parts = text or "", []
-    while len(rest) > limit:
-        room = limit - 8  # for the fences
-        cut = next((at for mark in ("\n\n", "\n", " ") if (at := rest.rfind(mark, 0, room)) >= room * least), room)
-        head, rest = rest[:cut], rest[cut:].lstrip("\n ")
-        if head.count("```") % 2:
-            head, rest = head + "\n```", "```\n" + rest
-        parts.append(head)
-    return [*parts, rest] if rest or not parts else parts
+    """Parts of at most ``limit`` characters (``message_cuts``); fences, code and emphasis that a cut divides are closed and opened anew.
+
+    An empty or null text is one empty part; limits under 64 leave marks alone.
+    """
+    text = text or ""
+    return [before + text[start:end] + behind for before, start, end, behind in message_cuts(text, limit, least)]
 
 
 def split_lines(text: str | None, limit: int = 4000) -> list[str]:
