@@ -144,6 +144,15 @@ def cooldown_gap(spark, sf_dir):
     return events(spark, sf_dir).select("event_id", (((F.unix_micros("start") - F.unix_micros(before)) / 1e6) < 10).alias("cooling"))
 
 
+@query(f"""WITH RECURSIVE {_E}, o AS (SELECT user_id, epoch_us(start) AS at, event_id, row_number() OVER (PARTITION BY user_id ORDER BY start, event_id) AS n FROM e),
+s AS (SELECT a.user_id, a.n, min(b.n) AS following FROM o a JOIN o b ON a.user_id = b.user_id AND b.n > a.n AND b.at - a.at >= 43200000000 GROUP BY ALL),
+c AS (SELECT user_id, 1::BIGINT AS n FROM o WHERE n = 1 UNION ALL SELECT c.user_id, s.following FROM c JOIN s USING (user_id, n))
+SELECT event_id, user_id, c.n IS NOT NULL AS accepted FROM o LEFT JOIN c USING (user_id, n)""")
+def cooldown_accepts(spark, sf_dir):
+    """Half a day must lie between a user's accepted requests; those refused do not count."""
+    return E.cooled(events(spark, sf_dir), 43_200_000_000).select("event_id", "user_id", "accepted")
+
+
 @query(f"""WITH {_E}, g AS (SELECT *, CASE WHEN epoch_us(start) - epoch_us(lag(start) OVER (PARTITION BY user_id ORDER BY start)) < 43200000000 THEN 0 ELSE 1 END AS new FROM e), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY start ROWS UNBOUNDED PRECEDING) AS sid FROM g)
 SELECT user_id, epoch_us(min(start)) AS started, epoch_us(max(start)) + 43200000000 AS ended, count(*) AS n FROM s GROUP BY user_id, sid""")
 def session_ttl(spark, sf_dir):
