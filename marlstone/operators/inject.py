@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from . import match as M
 from . import retrieve as R
 
@@ -92,3 +93,43 @@ def curriculum(chunks: DataFrame, department: str | None, year: str, semester: s
     sampled = others.join(F.broadcast(picked.select("course_name", "dept_short")), ["course_name", "dept_short"], "left_semi")  # at most ``most`` rows
     intro = chunks.where(own & F.col("info_type").isin("career_info", "dept_intro") & ~F.coalesce(term, F.lit(False)))
     return scan(courses.where(own), 10.0).unionByName(scan(intro, 15.0)).unionByName(scan(sampled, 10.0)).drop("score")
+
+
+UNNAMED = "未知教授"
+
+
+def backfill(chunks: DataFrame, found: DataFrame, teacher: str | None = None) -> DataFrame:
+    """node_id, score, metadata_score, source of what a question about professors lacks in its evidence (found: node_id): all chunks of the professor
+    named, by a part of the name; without one those of every professor who has a name, with the descriptions of rooms and equipment."""
+    kind, name = F.col("info_type"), F.coalesce("teacher", F.lit(""))
+    lacking = chunks.join(found.select("node_id").distinct(), "node_id", "left_anti")
+    if teacher:
+        return _scored(lacking.where((kind == "professor_info") & name.contains(teacher)), 1.0, 10.0, "context_backfill")
+    professors = _scored(lacking.where((kind == "professor_info") & ~name.isin("", UNNAMED)), 1.0, 5.0, "general_prof_backfill")
+    return professors.unionByName(_scored(lacking.where(kind == "facility_info"), 1.0, 5.0, "general_facility_backfill"))
+
+
+def chunks_of(chunks: DataFrame, found: DataFrame, teachers: list[str]) -> DataFrame:
+    """Chunks of teachers of these very names that the evidence lacks."""
+    return chunks.where(F.col("teacher").isin(*teachers)).join(found.select("node_id").distinct(), "node_id", "left_anti")
+
+
+def profiles(chunks: DataFrame) -> DataFrame:
+    """course_name, teacher, profile: each course's teacher with the first chunk of their profile."""
+    taught = chunks.where("section = 'basic_info'").select("course_name", "teacher").distinct()
+    first = chunks.where("info_type = 'professor_info'").groupBy("teacher").agg(F.min("node_id").alias("profile"))
+    return taught.join(first, "teacher").select("course_name", "teacher", "profile")
+
+
+def courses_of(chunks: DataFrame, most: int = 25) -> DataFrame:
+    """teacher, course_name: the first ``most`` courses by name of each teacher; a course with several teachers counts for each."""
+    pairs = chunks.select(F.explode(F.split("teacher", "[、,，/]")).alias("teacher"), "course_name").distinct()
+    n = F.row_number().over(Window.partitionBy("teacher").orderBy("course_name"))
+    return pairs.withColumn("__n", n).where(F.col("__n") <= most).drop("__n")
+
+
+def known_names(rows: DataFrame, teachers: str, course: str, least: int = 2) -> DataFrame:
+    """name: every teacher of a joined list, and every course with and without what stands in brackets; shorter names are left out."""
+    people = rows.select(F.explode(F.split(teachers, "[、,，/ ]")).alias("name")).select(F.trim("name").alias("name"))
+    titles = rows.select(F.explode(F.array(T.strip_parens(F.col(course)), F.col(course))).alias("name"))
+    return people.union(titles).where(F.length("name") >= least).distinct()

@@ -190,18 +190,31 @@ def interval_repair(spark, sf_dir):
     hour = F.make_interval(hours=F.lit(1))
     end = F.when(F.col("event_id") % 3 == 1, F.col("start") - hour).when(F.col("event_id") % 3 == 2, F.col("start") + F.make_interval(mins=F.lit(30)))
     e = events(spark, sf_dir).withColumn("fixed", D.repaired_end(F.col("start"), end, F.col("event_id") % 4 == 0))
-    moved = F.unix_micros(F.col("start") + F.make_interval(days=F.lit(3))) + F.unix_micros("fixed") - F.unix_micros("start")
-    return e.select("event_id", F.unix_micros("fixed").alias("end"), moved.alias("moved"))
+    moved = E.moved_end(F.col("start"), F.col("fixed"), F.col("start") + F.make_interval(days=F.lit(3)), F.lit(None))
+    return e.select("event_id", F.unix_micros("fixed").alias("end"), F.unix_micros(moved).alias("moved"))
 
 
 @query(f"""WITH {_E}, first AS (SELECT event_id FROM e WHERE start BETWEEN TIMESTAMP '2025-06-01' AND TIMESTAMP '2025-06-02'), wide AS (SELECT event_id FROM e WHERE contains(title, 'click') AND start BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2024-06-28')
 SELECT event_id FROM first UNION ALL SELECT event_id FROM wide WHERE (SELECT count(*) FROM first) = 0""")
 def search_window_fallback(spark, sf_dir):
-    """The wide window counts only if the narrow one is empty."""
-    e = events(spark, sf_dir)
-    first = e.where("start BETWEEN timestamp'2025-06-01' AND timestamp'2025-06-02'")
-    wide = e.where("contains(title, 'click') AND start BETWEEN timestamp'2024-01-01' AND timestamp'2024-06-28'")
-    return (wide if first.isEmpty() else first).select("event_id")
+    """The wide window, half a year either way of the day of the request, counts only if the narrow one is empty."""
+    request = "1 AS request_id, 'click' AS keyword, date'2025-06-01' AS target_day, cast(NULL AS timestamp) AS target_time, date'2024-06-29' AS today, false AS include_past"
+    e = events(spark, sf_dir).select("event_id", "start", F.when(F.col("title").contains("click"), F.array(F.lit("click"))).alias("words"))
+    return E.found_in_window(e, spark.sql(f"SELECT {request}")).select("event_id")
+
+
+@query(f"""WITH {_E}, r AS (SELECT event_id AS request_id, event_id % 3 AS k, start::DATE AS d, start, title FROM e WHERE event_id % 100 = 0),
+h AS (SELECT request_id, event_id, CASE k WHEN 0 THEN e.start::DATE = d WHEN 1 THEN e.start >= r.start - INTERVAL 1 HOUR AND e.start < r.start + INTERVAL 1 HOUR ELSE e.start >= d END AS exact, k
+      FROM r JOIN e ON k = 0 OR e.title = r.title)
+SELECT request_id, event_id FROM h QUALIFY exact OR (k = 1 AND NOT bool_or(exact) OVER (PARTITION BY request_id))""")
+def events_in_windows(spark, sf_dir):
+    """Every hundredth event asks for all events of its day, for its own title around its time, or from its day on."""
+    e, key = events(spark, sf_dir), F.col("event_id")
+    kind, day = key % 3, F.to_date("start")
+    requests = e.where(key % 100 == 0).select(
+        key.alias("request_id"), F.when(kind == 0, "*").otherwise(F.col("title")).alias("keyword"), F.when(kind == 0, day).alias("target_day"), F.when(kind == 1, F.col("start")).alias("target_time"), day.alias("today"), F.lit(False).alias("include_past")
+    )
+    return E.found_in_window(e.select("event_id", "start", F.array("title").alias("words")), requests)
 
 
 @query("""SELECT o_orderkey, CAST(CASE o_orderkey % 4 WHEN 0 THEN o_orderkey % 7 + 1 WHEN 1 THEN o_custkey % 7 + 1 ELSE isodow(o_orderdate) END AS INT) AS weekday FROM orders""")

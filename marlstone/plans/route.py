@@ -191,15 +191,30 @@ SUBJECT_DEPARTMENTS = (
 )
 
 
-def opinion_query(question: Column) -> Column:
-    """Search words for a question that ends in teacher, professor or course: those of its subject, else of the department, person or course before it."""
+#: Departments that are asked for without teacher, professor or course, and their search words.
+BARE_SUBJECTS = {
+    ("英文", "英文系", "應英", "應英系", "應用英語學系"): "應英系 應用英語學系 英文課 英文老師",
+    ("資工", "資工系", "資訊工程學系", "csie"): "資工系 資工老師 資訊工程學系 資工",
+    ("電機", "電機系", "電機工程學系", "ee"): "電機系 電機老師 電機工程學系 電機",
+}
+
+
+def opinion_query(question: Column, nicknames: dict[str, str] | None = None) -> Column:
+    """Search words for a question that ends in teacher, professor or course: those of its subject, else of the department, person or course before it.
+
+    Without such an ending a department gives its words and anything else stays. nicknames (in lower case, to names) are
+    looked up for the whole question first, with or without teacher or professor behind them; a null question gives null.
+    """
     said = F.trim(question)
+    if nicknames:
+        said = F.coalesce(_map(F.lower(said), {nick + ending: name for nick, name in nicknames.items() for ending in ("", "老師", "教授")}), said)
     subject = F.trim(F.regexp_extract(said, "^(.+?)(?:教授|老師|課)$", 1))
     known = _map(subject, {name: words for names, words in SUBJECTS.items() for name in names})
     bare = F.replace(subject, F.lit("系"), F.lit(""))
     words = lambda name, *ends: F.concat_ws(" ", *[F.concat(name, F.lit(e)) for e in ends])
     other = F.when(any_word(subject, SUBJECT_DEPARTMENTS), words(bare, "系", "老師", "課")).when(F.length(subject) <= 4, words(subject, " 老師 評價", " 教授")).otherwise(words(subject, " 老師", " 課"))
-    return F.when(subject == "", said).otherwise(F.coalesce(known, other))
+    alone = F.coalesce(_map(F.lower(said), {name: found for names, found in BARE_SUBJECTS.items() for name in names}), said)
+    return F.when(said.isNotNull(), F.when(subject == "", alone).otherwise(F.coalesce(known, other)))
 
 
 def search_queries(question: Column, rewritten: Column, most: int = 4) -> Column:

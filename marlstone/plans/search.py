@@ -310,33 +310,35 @@ def metadata_registry(spark, sf_dir):
 
 @query("SELECT DISTINCT name FROM (SELECT trim(unnest(regexp_split_to_array(p_type, '[、,，/ ]'))) AS name FROM part UNION ALL SELECT trim(regexp_replace(p_name, '[（(][^）)]*[）)]', '', 'g')) FROM part UNION ALL SELECT p_name FROM part) WHERE length(name) >= 2")
 def known_entities(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    teachers = p.select(F.explode(F.split("p_type", "[、,，/ ]")).alias("name")).select(F.trim("name").alias("name"))
-    courses = p.select(F.explode(F.array(T.strip_parens(F.col("p_name")), "p_name")).alias("name"))
-    return teachers.union(courses).where(F.length("name") >= 2).distinct()
+    return I.known_names(table(spark, sf_dir, "part"), "p_type", "p_name")
 
 
 @query(f"WITH c AS ({CHUNKS_SQL}), t AS (SELECT DISTINCT course_name, teacher FROM c WHERE section = 'basic_info'), p AS (SELECT teacher, min(node_id) AS profile FROM c WHERE info_type = 'professor_info' GROUP BY teacher) SELECT course_name, teacher, profile FROM t JOIN p USING (teacher)")
 def course_to_professor(spark, sf_dir):
-    c = chunks(spark, sf_dir)
-    taught = c.where("section = 'basic_info'").select("course_name", "teacher").distinct()
-    profile = c.where("info_type = 'professor_info'").groupBy("teacher").agg(F.min("node_id").alias("profile"))
-    return taught.join(profile, "teacher").select("course_name", "teacher", "profile")
+    return I.profiles(chunks(spark, sf_dir))
 
 
 @query(f"WITH {_LISTS}, c AS ({CHUNKS_SQL}) SELECT node_id, teacher FROM c WHERE teacher IN ('src1', 'src2') AND node_id NOT IN (SELECT node_id FROM v UNION SELECT node_id FROM b)")
 def professor_backfill(spark, sf_dir):
     v, b = _two_lists(spark, sf_dir)
-    named = spark.createDataFrame([("src1",), ("src2",)], "teacher string")
     seen = v.select("node_id").union(b.select("node_id"))
-    return chunks(spark, sf_dir).join(F.broadcast(named), "teacher", "left_semi").join(seen, "node_id", "left_anti").select("node_id", "teacher")
+    return I.chunks_of(chunks(spark, sf_dir), seen, ["src1", "src2"]).select("node_id", "teacher")
+
+
+@query(f"""WITH {_LISTS}, c AS ({CHUNKS_SQL}), x AS (SELECT * FROM c WHERE info_type = 'professor_info' AND node_id NOT IN (SELECT node_id FROM v UNION SELECT node_id FROM b))
+SELECT 'named' AS asked, node_id, 10.0::DOUBLE AS metadata_score, 'context_backfill' AS source FROM x WHERE contains(teacher, 'src1') UNION ALL SELECT 'all', node_id, 5.0, 'general_prof_backfill' FROM x WHERE teacher <> ''""")
+def evidence_backfill(spark, sf_dir):
+    """What the lists lack of one professor, and of all."""
+    v, b = _two_lists(spark, sf_dir)
+    seen = sinks.kept(v.select("node_id").union(b.select("node_id")), "seen")
+    c = chunks(spark, sf_dir)
+    parts = [I.backfill(c, seen, name).withColumn("asked", F.lit(asked)) for asked, name in (("named", "src1"), ("all", None))]
+    return parts[0].unionByName(parts[1]).drop("score")
 
 
 @query(f"WITH c AS ({CHUNKS_SQL}), d AS (SELECT DISTINCT teacher, course_name FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY teacher ORDER BY course_name) AS n FROM d) SELECT teacher, course_name FROM r WHERE n <= 25")
 def teacher_courses(spark, sf_dir):
-    pairs = chunks(spark, sf_dir).select(F.explode(F.split("teacher", "[、,，/]")).alias("teacher"), "course_name").distinct()
-    n = F.row_number().over(Window.partitionBy("teacher").orderBy("course_name"))
-    return pairs.withColumn("n", n).where("n <= 25").drop("n")
+    return I.courses_of(chunks(spark, sf_dir))
 
 
 @query("""WITH c AS (SELECT source, doc_id, text FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 100),

@@ -369,3 +369,37 @@ def page_announcements(spark, sf_dir):
     listed = put("<table class=\"table x\"><tr><td>2026-03-0", (key % 9 + 1).cast("string"), "<td><a href='/p/", n, "'>Notice &amp; <b>", n, "</b></a><td>Unit ", (key % 7).cast("string"), "<table><tr><td>x</table><tr><td>no</td><td>link</td></table>", F.col("html"))
     pages = table(spark, sf_dir, "pages").withColumn("html", F.when(key % 3 == 0, area).when(key % 3 == 1, listed).otherwise(F.col("html")))
     return S.announcements(pages, "http://site").drop("n")
+
+
+_FOLDERS = [(key, full) for key, full, _, _ in lexicon.DEPARTMENTS if key.endswith("系")]
+
+
+@query("WITH n AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{key}')" for i, (key, _) in enumerate(_FOLDERS)) + f""") v(i, d))
+SELECT p_partkey, CASE WHEN p_partkey % 7 = 6 THEN CASE p_partkey % 3 WHEN 1 THEN '未知系' ELSE '未知碩' END WHEN p_partkey % 3 = 1 THEN d ELSE replace(d, '系', '碩') END AS department FROM part JOIN n ON i = p_partkey % {len(_FOLDERS)}""")
+def path_departments(spark, sf_dir):
+    """Folders named after departments, or after none, of two divisions."""
+    key = F.col("p_partkey")
+    path = F.concat(F.lit("114-1/"), F.when(key % 7 == 6, F.lit("other")).otherwise(_at([full for _, full in _FOLDERS], key % len(_FOLDERS))), F.lit("/"), "p_name", F.lit(".txt"))
+    return table(spark, sf_dir, "part").select("p_partkey", S.path_department(path, _at(["碩士班", "日間部", "進修研究所"], key % 3)).alias("department"))
+
+
+@query("""WITH k AS (SELECT c_custkey, c_mktsegment || CASE c_custkey % 5 WHEN 0 THEN '早上' WHEN 1 THEN '上午' WHEN 2 THEN '下午' WHEN 3 THEN '晚上' ELSE '中午' END || CASE c_custkey % 7 WHEN 0 THEN '有空嗎' WHEN 1 THEN '星期三' WHEN 2 THEN '的學分' ELSE '' END AS q FROM customer)
+SELECT c_custkey, q || CASE c_custkey % 5 WHEN 0 THEN ' (第1節 第2節 第3節 第4節 上午)' WHEN 1 THEN ' (第1節 第2節 第3節 第4節)' WHEN 2 THEN ' (第5節 第6節 第7節 第8節 第9節)' WHEN 3 THEN ' (第10節 第11節 第12節 夜間)' ELSE '' END AS question,
+CASE c_custkey % 7 WHEN 0 THEN 'free' WHEN 1 THEN 'day' WHEN 2 THEN 'credits' ELSE CASE c_custkey % 2 WHEN 0 THEN 'course' ELSE 'full' END END AS topic FROM k""")
+def period_questions(spark, sf_dir):
+    """Questions with times of day, and which part of a timetable they are about."""
+    c, key = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    q = F.concat("c_mktsegment", _at(["早上", "上午", "下午", "晚上", "中午"], key % 5), F.when(key % 7 == 0, "有空嗎").when(key % 7 == 1, "星期三").when(key % 7 == 2, "的學分").otherwise(""))
+    courses = F.array(F.lit(""), F.when(key % 2 == 0, F.col("c_mktsegment")).otherwise("none"))
+    return c.select("c_custkey", R.with_periods(q).alias("question"), R.schedule_topic(q, courses).alias("topic"))
+
+
+@query("""WITH x AS (SELECT o_orderkey, o_orderdate - INTERVAL 1 DAY AS now, CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate END AS s, CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate + INTERVAL 5 DAY END AS e,
+  CASE WHEN o_orderkey % 5 < 3 THEN o_orderdate + to_days(CAST(o_orderkey % 4 - 2 AS INT)) END AS t FROM orders)
+SELECT o_orderkey, epoch_us(coalesce(s, t, now)) AS low, epoch_us(CASE WHEN s IS NOT NULL THEN CASE WHEN e IS NOT NULL THEN e WHEN t + INTERVAL 1 DAY > s THEN t + INTERVAL 1 DAY ELSE s + INTERVAL 30 DAY END WHEN t IS NOT NULL THEN t + INTERVAL 1 DAY ELSE now + INTERVAL 7 DAY END) AS high FROM x""")
+def list_windows(spark, sf_dir):
+    """What a calendar listing searches, with and without a start, an end and a target."""
+    key, day = F.col("o_orderkey"), F.col("o_orderdate").cast("timestamp")
+    later = lambda n: day + F.make_interval(days=n if not isinstance(n, int) else F.lit(n))
+    low, high = D.list_range(F.when(key % 2 == 0, day), F.when(key % 3 == 0, later(5)), F.when(key % 5 < 3, later((key % 4 - 2).cast("int"))), later(-1))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.unix_micros(low).alias("low"), F.unix_micros(high).alias("high"))

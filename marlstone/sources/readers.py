@@ -221,7 +221,8 @@ def matching_news(rows: DataFrame, words: list[str], order: list[str]) -> DataFr
 def path_department(path: Column, division: Column) -> Column:
     """Short name of the department whose longest keyword is in a path; that of its master's programme if the division says so."""
     words = sorted(((w, key) for key, _, _, keywords in lexicon.DEPARTMENTS for w in keywords), key=lambda x: -len(x[0]))
-    found = F.coalesce(*[F.when(path.contains(w), F.lit(key)) for w, key in words], F.lit("未知系"))
+    listed = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(key).alias("key")) for w, key in words])
+    found = F.coalesce(F.get(F.filter(listed, lambda x: path.contains(x["word"])), F.lit(0))["key"], F.lit("未知系"))
     masters = F.when(found.contains("系"), F.replace(found, F.lit("系"), F.lit("碩"))).otherwise(F.concat(found, F.lit("碩")))
     return F.when(division.contains("研究所") | division.contains("碩士"), masters).otherwise(found)
 
