@@ -43,3 +43,26 @@ def test_requests_for_everything_meet_by_day(spark):
         got.setdefault(r.request_id, set()).add(r.event_id)
     assert got == {1: {5}, 2: {38, 39}, 4: set(range(40)), 5: set(range(40))}
     assert E.found_in_window(events.limit(0), requests).count() == 0
+
+
+def test_requests_of_all_kinds_find_what_a_plain_loop_finds(spark):
+    day = dt.datetime(2026, 3, 1, tzinfo=dt.timezone.utc)
+    events = [(n, day + dt.timedelta(hours=7 * n), [["t"], ["t", "u"], ["u", "*"], None][n % 4]) for n in range(60)] + [(99, None, ["t"])]
+    today, none = day.date(), None
+    asked = [(k, word, today + dt.timedelta(days=k) if k % 3 == 0 else none, day + dt.timedelta(days=k) if k % 3 == 1 else none, today + dt.timedelta(days=k % 5), k % 2 == 0) for k in range(24) for word in (["t", "u", "*", "none"][k % 4],)]
+    asked += [(50, "t", dt.date(2026, 9, 1), none, dt.date(2026, 8, 28), False), (51, "u", none, day - dt.timedelta(days=3), today, False), (52, "t", none, none, none, False)]
+    expected = []
+    for key, word, on, at, now, past in asked:
+        midnight = lambda d: dt.datetime(d.year, d.month, d.day, tzinfo=dt.timezone.utc)
+        low = midnight(on) if on else at - dt.timedelta(hours=1) if at else midnight(now) - dt.timedelta(days=180 * past) if now else None
+        high = midnight(on) + dt.timedelta(days=1) if on else at + dt.timedelta(hours=1) if at else None
+        held = [(n, s) for n, s, words in events if s and (word == "*" or word in (words or []))]
+        hits = [n for n, s in held if low and s >= low and (high is None or s < high)]
+        if not hits and (on or at) and word != "*":
+            hits = [n for n, s in held if abs(s - midnight(now)) <= dt.timedelta(days=180)]
+        expected += [(key, n) for n in hits]
+    requests = spark.createDataFrame(asked, "request_id int, keyword string, target_day date, target_time timestamp, today date, include_past boolean")
+    found = E.found_in_window(spark.createDataFrame([(n, "x", s, w) for n, s, w in events], "event_id long, title string, start timestamp, words array<string>"), requests)
+    assert sorted(tuple(r) for r in found.collect()) == sorted(expected) and expected
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan  # hits are as many as requests times events: they must not be shuffled
