@@ -110,19 +110,22 @@ def enrich(records: DataFrame, catalogue: DataFrame) -> DataFrame:
     the other or shares the part before a bracket (both at least three characters); the teacher breaks ties.
 
     Exact names join on equality.  The distinct names that are left meet the catalogue's by their rarest pieces, or by equal parts before a bracket.
+    What is best depends on name and teacher only, so it is chosen once for each pair of them and then joined to the records.
     """
     base = lambda c: F.trim(F.regexp_replace(c, "[（(].*$", ""))
-    c = catalogue.select(F.col("name").alias("c_name"), F.col("teacher").alias("c_teacher"), "credits", "type").distinct()
-    exact = records.join(c, F.col("name") == F.col("c_name")).withColumn("tier", F.lit(1))
-    rest = records.join(c.select("c_name").distinct(), F.col("name") == F.col("c_name"), "left_anti")
+    c = sinks.kept(catalogue.select(F.col("name").alias("c_name"), F.col("teacher").alias("c_teacher"), "credits", "type").distinct(), "catalogue")
+    asked = sinks.kept(records.where("name IS NOT NULL").select("name", "teacher").distinct(), "asked")
+    exact = asked.join(c, F.col("name") == F.col("c_name")).withColumn("tier", F.lit(1))
+    rest = asked.join(c.select("c_name").distinct(), F.col("name") == F.col("c_name"), "left_anti")
     names, known = rest.where(F.length("name") >= 3).select("name").distinct(), c.where(F.length("c_name") >= 3).select("c_name").distinct()
     by_base = names.withColumn("base", base("name")).where(F.length("base") >= 3).join(known.withColumn("base", base("c_name")), "base").select("name", "c_name")
     pairs = sinks.kept(either_way(names, known, "name", "c_name").union(by_base).distinct(), "pairs")
     fuzzy = rest.join(pairs, "name").join(c, "c_name").withColumn("tier", F.lit(2))
     teacher = F.col("teacher").contains(F.col("c_teacher")) | F.col("c_teacher").contains(F.col("teacher"))
-    w = Window.partitionBy("id").orderBy("tier", teacher.desc(), "c_name", "c_teacher", "credits", "type")
+    w = Window.partitionBy("name", "teacher").orderBy("tier", teacher.desc(), "c_name", "c_teacher", "credits", "type")
     best = exact.unionByName(fuzzy.select(exact.columns)).withColumn("n", F.row_number().over(w)).where("n = 1")
-    return records.join(best.select("id", "tier", "c_name", F.when(F.col("credits") > 0, F.col("credits")).alias("credits"), F.nullif("type", F.lit("")).alias("type")), "id", "left")
+    found = best.select(F.col("name").alias("__name"), F.col("teacher").alias("__teacher"), "tier", "c_name", F.when(F.col("credits") > 0, F.col("credits")).alias("credits"), F.nullif("type", F.lit("")).alias("type"))
+    return records.join(found, (F.col("name") == F.col("__name")) & F.col("teacher").eqNullSafe(F.col("__teacher")), "left").drop("__name", "__teacher")
 
 
 def manifest_diff(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -85,3 +85,12 @@ def test_department_texts(spark):
         ("professor_info", "資工系", "王小明", "[資工系教授資訊 | 教授：王小明 | Email：wang@x.test | 電話：082-313300]"),
         ("professor_info", "資工系", "未知教授", "[資工系教授資訊 | 教授：未知教授 | Email：未提供 | 電話：未提供]"),
     ]
+
+
+def test_the_best_course_is_chosen_once_for_each_name_and_teacher(spark):
+    known = spark.createDataFrame([("abc", "t", 3, ""), ("abc", "u", 0, "x"), ("abcd", "t", 1, "y")], "name string, teacher string, credits int, type string")
+    records = [(1, "abc", "u"), (1, "xabcx", "t"), (2, "abc", "u"), (3, "abcd", None), (4, None, "t"), (5, "zzz", "t"), (6, "abc (B)", "q")]
+    got = C.enrich(spark.createDataFrame(records, "id int, name string, teacher string"), known).collect()
+    assert sorted((r.id, r.name or "", r.tier, r.c_name, r.credits, r.type) for r in got) == sorted([
+        (1, "abc", 1, "abc", None, "x"), (1, "xabcx", 2, "abc", 3, None), (2, "abc", 1, "abc", None, "x"), (3, "abcd", 1, "abcd", 1, "y"), (4, "", None, None, None, None), (5, "zzz", None, None, None, None), (6, "abc (B)", 2, "abc", 3, None),
+    ])
