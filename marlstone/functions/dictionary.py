@@ -1,7 +1,8 @@
 """Many names looked for at once: an Aho-Corasick automaton, longest-first consuming, and the best path of names through a text.
 
 A ``Dictionary`` travels to tasks as its plain names; the automaton is built from them once in each task that uses it, so time per
-text depends on the text's length and on what is found in it, not on the number of names.
+text depends on the text's length and on what is found in it, not on the number of names.  Names of a table of any size are not sent: ``with_names``
+joins them to the texts by their rarest pieces, and each text gets a dictionary of what it holds.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import sinks
+
 #: The code points of the Han script.
 HAN = "⺀-⺙⺛-⻳⼀-⿕々〇〡-〩〸-〻㐀-䶿一-鿿豈-舘並-龎\U00020000-\U0002FA1F\U00030000-\U000323AF"
 _HAN_CHAR = re.compile(f"[{HAN}]")
@@ -77,18 +80,21 @@ class Dictionary:
 
     def consumed(self, text: str) -> list[str]:
         """Values of the names found in a text, longest name first, each once; a found name is taken out, and what stood around it closes up."""
+        return list(dict.fromkeys(self.names[name] for name, _ in self.taken(text)))
+
+    def taken(self, text: str) -> Iterator[tuple[str, str]]:
+        """The names that are taken out of a text, in order, each with what is then left of it."""
         if not hasattr(self, "_order"):
             self._order = {n: (-len(n), k) for k, n in enumerate(self.names)}
-        order, found, last = self._order, [], (-float("inf"), -1)
+        order, last = self._order, (-float("inf"), -1)
         while True:
             # as if every name were tried in turn: the next one in order that what is left of the text holds
             ahead = min((order[n] for _, n in self.matches(text) if order[n] > last), default=None)
             if ahead is None:
-                return found
+                return
             name = self._names_in_order()[ahead[1]]
-            if self.names[name] not in found:
-                found.append(self.names[name])
             text, last = text.replace(name, ""), ahead
+            yield name, text
 
     def _names_in_order(self) -> list[str]:
         if not hasattr(self, "_listed"):
@@ -179,3 +185,75 @@ def consumed_names(text: Column, names: Dictionary) -> Column:
 
 def segmented(text: Column, names: Dictionary) -> Column:
     return _function(names.segments, "array<string>", pa.list_(pa.string()))(text)
+
+
+#: Characters of the longest pieces by which names of a table meet texts, and of the parts that long texts are cut into for it.
+PIECE, PART = 16, 256
+
+
+def _size() -> Column:
+    """The piece size of a name: the largest power of two that it has room for, up to PIECE."""
+    out = F.lit(1)
+    for k in (2**n for n in range(1, PIECE.bit_length())):
+        out = F.when(F.length("name") >= k, k).otherwise(out)
+    return out
+
+
+def _pieces(text: Column, size: Column) -> Column:
+    places = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - size + 1))
+    return F.explode(F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.substring(text, i, size)))))
+
+
+def with_names(rows: DataFrame, text: Column, names: DataFrame, column: str) -> DataFrame:
+    """rows with ``column``, the names (of a table with a column ``name``, of any size) that a text holds: longest first, consuming, as by ``consumed_names``.
+
+    A name stands for itself; those of one length come in order.  Each name meets the texts by that of its pieces which the fewest names have.  What closes
+    up around a name that is taken out may hold further names, so the texts left behind are looked at again until nothing new is found.
+    """
+    own = sinks.kept(names.select("name").where("name <> ''").distinct().withColumn("size", _size()), "names")
+    sizes = [r[0] for r in own.select("size").distinct().collect()]  # powers of two up to PIECE
+    pieces = own.select("name", _pieces(F.col("name"), F.col("size")).alias("piece"))
+    often = pieces.groupBy("piece").agg(F.count("*").alias("n"))
+    rarest = sinks.kept(pieces.join(often, "piece").groupBy("name").agg(F.min(F.struct("n", "piece")).alias("r")).select("name", "r.piece"), "pieces")
+    part = F.explode(F.transform(F.sequence(F.lit(0), (F.length("left") - 1), F.lit(PART)), lambda i: F.substring("left", i + 1, F.lit(PART + PIECE - 1))))
+
+    def holding(texts: DataFrame) -> DataFrame:
+        """(said, name) of texts (said, left) with a name within ``left``."""
+        parts = texts.where("left <> ''").select(F.xxhash64("left").alias("key"), part.alias("part"))
+        spread = parts.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)  # few small files may hold them all
+        sized = spread.select("key", "part", F.explode(F.array(*[F.lit(k) for k in sizes])).alias("size"))
+        grams = sized.select("key", _pieces(F.col("part"), F.col("size")).alias("piece"))
+        met = grams.join(rarest, "piece").select("key", "name").distinct()
+        return met.join(texts.withColumn("key", F.xxhash64("left")), "key").where(F.col("left").contains(F.col("name"))).select("said", "name").distinct()
+
+    asked = sinks.kept(rows.select(text.alias("said")).where("said <> ''").distinct(), "said")
+    held, texts = None, asked.withColumn("left", F.col("said"))
+    while sizes:
+        found = holding(texts)
+        found = sinks.kept(found if held is None else found.join(held, ["said", "name"], "left_anti"), "held")
+        if held is not None and found.isEmpty():
+            break
+        held = found if held is None else held.union(found)
+        known = held.join(found.select("said").distinct(), "said", "left_semi").groupBy("said").agg(F.collect_list("name").alias("names"))
+        texts = sinks.kept(known.select("said", F.explode(_left_behind("said", "names")).alias("left")), "left")
+    if held is None:
+        return rows.withColumn(column, F.array().cast("array<string>"))
+    known = held.groupBy("said").agg(F.collect_list("name").alias("names")).select(F.col("said").alias("__said"), _taken("said", "names").alias(column))
+    joined = rows.withColumn("__text", text).join(known, F.col("__text") == F.col("__said"), "left").drop("__text", "__said")
+    return joined.withColumn(column, F.coalesce(column, F.array().cast("array<string>")))
+
+
+def _each(run):
+    @F.arrow_udf("array<string>")
+    def batch(text: pa.Array, names: pa.Array) -> pa.Array:
+        return pa.array([run(Dictionary(sorted(n.as_py())), t.as_py()) for t, n in zip(text, names, strict=True)], pa.list_(pa.string()))
+
+    return batch
+
+
+def _taken(text: str, names: str) -> Column:
+    return _each(lambda d, t: d.consumed(t))(text, names)
+
+
+def _left_behind(text: str, names: str) -> Column:
+    return _each(lambda d, t: [left for _, left in d.taken(t)])(text, names)

@@ -6,11 +6,11 @@ import re
 from dataclasses import dataclass, field
 from itertools import chain
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon
-from ..functions.dictionary import Dictionary, consumed_names
+from ..functions.dictionary import Dictionary, consumed_names, with_names
 from ..operators.match import Filters
 
 YEAR_TERM = r"(\d{3})\s*(?:年|學年度|級|級的)?\s*(?:第([一二12])學期|([上下])學期?|-([12])|的?([上下]))"
@@ -162,6 +162,15 @@ def courses(question: Column, names: Dictionary) -> Column:
     return entities(question, names)
 
 
+def with_teachers(rows: DataFrame, question: Column, names: DataFrame) -> DataFrame:
+    """rows with ``teachers`` of a registry of any size (name), as by ``teachers``."""
+    return with_names(rows, F.regexp_replace(question, "老師|教授", ""), names, "teachers")
+
+
+def with_courses(rows: DataFrame, question: Column, names: DataFrame) -> DataFrame:
+    return with_names(rows, question, names, "courses")
+
+
 def _sports(question: Column) -> Column:
     """Physical education for all, not the department of it."""
     return question.contains("體育") & ~any_word(question, ["運休", "運動與休閒", "體育系", "體育學系"])

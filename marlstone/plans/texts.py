@@ -14,6 +14,7 @@ from ..functions import text as T
 from ..operators import events as E
 from ..operators.records import accepted_upload
 from ..sources import readers as S
+from ..sources import sinks
 from . import route as R
 from .mapping import table
 
@@ -313,13 +314,14 @@ def route_names(spark, sf_dir):
     """Teachers and courses that questions name, out of all suppliers and parts."""
     s, key = table(spark, sf_dir, "supplier"), F.col("c_custkey")
     p = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", F.lit(" "), F.lpad(F.col("p_partkey").cast("string"), 6, "0")).alias("title"))
-    people, titles = dictionary.Dictionary(dictionary.names_of(s, "s_name")), dictionary.Dictionary(dictionary.names_of(p, "title"))
     n, m = s.count(), p.count()
     part = lambda side: p.select(F.col("p_partkey").alias(side), F.col("title").alias(f"{side}_title"))
     asked = table(spark, sf_dir, "customer").select("c_custkey", (key % n).alias("s_suppkey"), (key % m).alias("a"), (key * 7 % m).alias("b"))
     named = asked.join(s.select("s_suppkey", "s_name"), "s_suppkey").join(part("a"), "a").join(part("b"), "b")
     said = F.concat(F.lit("請問"), "s_name", F.lit("老師的"), "a_title", F.lit("跟"), "b_title")
-    return named.select("c_custkey", F.array_join(R.teachers(said, people), ",").alias("teachers"), F.array_join(R.courses(said, titles), ",").alias("courses"))
+    asked = sinks.kept(named.select("c_custkey", said.alias("said")), "asked")
+    found = R.with_courses(R.with_teachers(asked, F.col("said"), s.select(F.col("s_name").alias("name"))), F.col("said"), p.select(F.col("title").alias("name")))
+    return found.select("c_custkey", F.array_join("teachers", ",").alias("teachers"), F.array_join("courses", ",").alias("courses"))
 
 
 @query()

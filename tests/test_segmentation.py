@@ -178,3 +178,27 @@ def test_chunk_rows_keep_columns(spark, monkeypatch):
     assert out.columns == ["id", "text", "_chunk", "chunk", "first_token", "n_tokens", "first_char"]
     assert sorted(map(tuple, out.collect()), key=repr) == [(1, "一二三。", "x", 0, 0, 4, 0), (1, "四五。", "x", 1, 4, 3, 4), (3, "a b c.", None, 0, 0, 3, 0), (3, "d e", None, 1, 3, 2, 7)]
     assert C.chunk_rows(df.limit(0)).count() == 0
+
+
+def test_names_of_a_table_are_found_as_by_a_dictionary(spark):
+    from marlstone.functions import dictionary as D
+
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("ab資") for _ in range(n))
+    names = sorted({word(rng.choice([1, 2, 3, 5, 9, 17, 20])) for _ in range(40)} - {"a"})
+    texts = [None, "", "zzz", names[-1] * 40] + [word(rng.choice([0, 3, 30])) + rng.choice(names) + word(4) for _ in range(40)] + ["x" * 300 + n + "y" * 300 for n in names if len(n) > 16]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    plain = D.Dictionary(names)
+    for held in (names, ["ab", "cd", "bd"], []):
+        plain, table = D.Dictionary(sorted(held)), spark.createDataFrame([(n,) for n in [*held, None, ""]], "name string")
+        some = rows.union(spark.createDataFrame([(900, "acdbcdd"), (901, "abcd")], rows.schema))
+        got = {r.id: r.found for r in D.with_names(some, F.col("text"), table, "found").collect()}
+        assert got == {r.id: plain.consumed(r.text or "") for r in some.collect()}
+
+
+def test_route_names_collects_no_registry(spark, sf_dir, monkeypatch):
+    from marlstone.functions import dictionary as D
+    from marlstone.plans import catalogue
+
+    monkeypatch.setattr(D, "names_of", lambda *a, **k: (_ for _ in ()).throw(ValueError("too many names")))
+    assert catalogue.QUERIES["route_names"](spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/customer.parquet").count()
