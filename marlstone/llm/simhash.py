@@ -15,8 +15,9 @@ shingles.  Texts with the same set of shingles are one node.  Each node gets ``S
 over its distinct words (an edit changes few of those); ball hashing brings nodes that are within the radius
 under any seed to a common value, and every link is verified on the sets of shingles.  Fingerprints that share a value
 are compared in pairs up to ``ALL_PAIRS`` of them, else each with ``REPS`` of them, others for each value; of a
-fingerprint that many nodes have ``REPS`` nodes stand for it.  So the work is linear in the nodes
-however many copies there are, and a connection within a crowd is missed only if no value of any seed shows it.
+fingerprint that many nodes have ``REPS`` nodes stand for it.  Copies in a crowd are mostly connected by that. What is
+left is then compared exactly (``unmet_pairs``): in every crowd whose nodes are not all connected, those outside its largest component
+with all that they are not connected to.  So the groups are those that comparing all that meet gives, and pairs within a component cost nothing.
 
 Defined results: null or empty texts have fingerprint zero and one (empty) set of shingles; a text of fewer words than a
 shingle is one shingle; rows with equal doc_id are separate rows, but rows equal in doc_id and text stay or go
@@ -256,7 +257,9 @@ def meeting_pairs(value: np.ndarray, prints: np.ndarray, all_pairs: int | None =
 
 
 def collisions(prints: DataFrame, all_pairs: int | None = ALL_PAIRS, most_reps: int | None = REPS) -> DataFrame:
-    """(p, q), p < q: pairs of distinct prints (seed above BITS bits) that have a value within a bit of either in common."""
+    """(p, q, crowd), p < q: pairs of distinct prints (seed above BITS bits) that have a value within a bit of either in common; crowd is null.
+
+    Of a value that more than all_pairs share, not all pairs are given, but each print p with the value as its crowd; q is null."""
     masks = [0, *(1 << b for b in range(BITS))]
     ball = F.explode(F.array(*[F.shiftleft(F.col("print").bitwiseXOR(F.lit(m)), 6).bitwiseOR(F.lit(k)) for k, m in enumerate(masks)]))
     # as they come, few small files may hold all of them
@@ -269,8 +272,12 @@ def collisions(prints: DataFrame, all_pairs: int | None = ALL_PAIRS, most_reps:
         same = np.append(False, value[1:] == value[:-1])
         held = same | np.append(same[1:], False)
         value = value[held]
-        u, v = meeting_pairs(value, value ^ flip[rows[held] & 63], all_pairs, most_reps)
-        return pa.RecordBatch.from_pydict({"p": u, "q": v})
+        own = value ^ flip[rows[held] & 63]
+        u, v = meeting_pairs(value, own, all_pairs, most_reps)
+        _, place, size = np.unique(value, return_inverse=True, return_counts=True)
+        many = size[place] > (len(value) if all_pairs is None or most_reps is None else all_pairs)
+        p, q = np.concatenate([u, own[many]]), pa.array(np.concatenate([v, own[many]]), mask=np.arange(len(u) + many.sum()) >= len(u))
+        return pa.RecordBatch.from_pydict({"p": p, "q": q, "crowd": pa.array(np.concatenate([v, value[many]]), mask=np.arange(len(p)) < len(u))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = np.empty(0, np.int64)  # rows of the open value: at most one per mask
@@ -281,15 +288,15 @@ def collisions(prints: DataFrame, all_pairs: int | None = ALL_PAIRS, most_reps:
             yield met(rows[:last])
         yield met(rest)
 
-    return dealt.mapInArrow(run, "p long, q long").distinct()
+    return dealt.mapInArrow(run, "p long, q long, crowd long").distinct()
 
 
-def candidates(nodes: DataFrame, all_pairs: int | None = ALL_PAIRS, most_reps: int | None = REPS) -> DataFrame:
-    """(u, v), u < v: pairs of nodes (node, size, prints) with a fingerprint, or two within the radius, under some seed, whose sizes allow for the similarity.
+def candidates(nodes: DataFrame, all_pairs: int | None = ALL_PAIRS, most_reps: int | None = REPS) -> tuple[DataFrame, DataFrame | None]:
+    """(u, v), u < v, and ``crowds`` (crowd, print) of which not all pairs are given (None: there are none): pairs of nodes (node, size, prints) with a fingerprint, or two within the radius, under some seed, whose sizes allow for the similarity.
 
     most_reps None: every node is compared with all that it meets.
     """
-    own = F.struct("node", "size")
+    crowds, own = None, F.struct("node", "size")
     prints = nodes.select(own.alias("a"), F.explode("prints").alias("print"))
     side = lambda rows, name, columns: rows.select(F.col("print").alias(name), *columns)
     if most_reps is None:
@@ -301,18 +308,47 @@ def candidates(nodes: DataFrame, all_pairs: int | None = ALL_PAIRS, most_reps: i
         numbered = prints.select("print", "a", F.xxhash64("print", "a.node").alias("lot"))
         first = Window.partitionBy("print").orderBy("lot", "a.node")
         reps = common.materialize(numbered.withColumn("k", F.row_number().over(first)).where(F.col("k") <= most_reps).groupBy("print").agg(F.collect_list("a").alias("reps")), "reps")
-        near = collisions(reps.select("print"), all_pairs, most_reps)
+        met = common.materialize(collisions(reps.select("print"), all_pairs, most_reps), "near")
+        near = met.where("crowd IS NULL").select("p", "q")
+        # neither are all nodes of a print that stand behind its reps compared, with each other or across
+        heavy = common.materialize(prints.groupBy("print").agg(F.count("*").alias("n")).where(F.col("n") > most_reps).select("print"), "heavy")
+        beside = near.join(heavy.withColumnRenamed("print", "p"), "p", "left_semi").unionByName(near.join(heavy.withColumnRenamed("print", "q"), "q", "left_semi"))
+        pairs = beside.select(F.xxhash64("p", "q").alias("crowd"), F.explode(F.array("p", "q")).alias("print"))
+        alone = heavy.select(F.xxhash64("print").alias("crowd"), "print")
+        crowds = common.materialize(met.where("crowd IS NOT NULL").select("crowd", F.col("p").alias("print")).unionByName(pairs).unionByName(alone).distinct(), "crowds")
         held = lambda name: side(reps, name, [F.col("reps").alias(f"{name}_reps")])
         across = near.join(held("p"), "p").join(held("q"), "q").select(F.explode("p_reps").alias("a"), "q_reps").select("a", F.explode("q_reps").alias("b"))
         within = prints.join(reps.where(F.size("reps") > 1), "print").select("a", F.explode("reps").alias("b"))
+    return _fitting(across.unionByName(within)), crowds
+
+
+def _fitting(met: DataFrame) -> DataFrame:
+    """(u, v) of pairs a, b of different nodes whose sizes allow for the similarity."""
     fit = F.least("a.size", "b.size") >= SIMILARITY * F.greatest("a.size", "b.size")
-    met = across.unionByName(within).where(fit & (F.col("a.node") != F.col("b.node")))
-    return met.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
+    apart = met.where(fit & (F.col("a.node") != F.col("b.node")))
+    return apart.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
+
+
+#: Deals of a crowd's nodes that are compared with the rest of it, so that a large crowd is the work of several tasks.
+DEALS = 8
+
+
+def unmet_pairs(nodes: DataFrame, crowds: DataFrame, roots: DataFrame) -> DataFrame:
+    """(u, v): all pairs of nodes (node, size, prints) of a crowd (crowd, print) that roots (node, root) do not connect yet, and whose sizes allow for the similarity."""
+    rooted = nodes.select("node", "size", "prints").join(roots, "node", "left")
+    members = common.materialize(rooted.select(F.struct("node", "size").alias("a"), F.coalesce("root", "node").alias("root"), F.explode("prints").alias("print")), "members")
+    ends = members.groupBy("print").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    split = crowds.join(ends, "print").groupBy("crowd").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low != high").select("crowd")
+    held = common.materialize(crowds.join(split, "crowd").join(members, "print").select("crowd", "a", "root").distinct(), "crowded")
+    main = held.groupBy("crowd", "root").agg(F.count("*").alias("n")).groupBy("crowd").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
+    few = held.join(main, "crowd").where("root != main").select("crowd", F.col("root").alias("few_root"), F.col("a").alias("b"), F.pmod(F.xxhash64("a.node"), F.lit(DEALS)).cast("int").alias("deal"))
+    dealt = held.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))
+    return _fitting(dealt.join(few, ["crowd", "deal"]).where("root != few_root").select("a", "b"))
 
 
-def similar_links(docs: DataFrame, nodes: DataFrame, all_pairs: int | None = ALL_PAIRS, most_reps: int | None = REPS) -> DataFrame:
-    """(u, v): candidates that share enough of their shingles, from nodes (node, size, prints, first) and docs (doc_id, key, text); 32 bits of each shingle's hash are compared."""
-    pairs = common.materialize(candidates(nodes, all_pairs, most_reps), "pairs")
+def similar_links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(u, v): pairs that share enough of their shingles, from nodes (node, first) and docs (doc_id, key, text); 32 bits of each shingle's hash are compared."""
+    pairs = common.materialize(pairs, "pairs")
     ends = pairs.select(F.col("u").alias("node")).distinct().union(pairs.select("v").distinct()).distinct()
     firsts = common.materialize(nodes.join(ends, "node").select("node", F.col("first.doc_id").alias("__doc_id"), F.col("first.key").alias("__key")), "ends")
     few = common.narrow_side(firsts)
@@ -333,7 +369,8 @@ def keep_one_similar(docs: DataFrame, all_pairs: int | None = ALL_PAIRS, most_re
     """docs, all columns, less all rows but one of each group of texts that are linked by similarity; which one is as in keep_one.
 
     all_pairs: fingerprints at a value up to which all are compared with each other; most_reps: fingerprints, and nodes of one fingerprint, that stand for
-    larger crowds.  None for either compares all that meet: no link is missed for a crowd's sake, and the work grows with the square of a crowd.
+    larger crowds at first; the pairs that this leaves unconnected are compared afterwards.  None for either compares all that meet at once, and the work
+    grows with the square of a crowd; the rows that stay are the same.
     """
     if all_pairs is None or most_reps is None:
         all_pairs = most_reps = None
@@ -341,7 +378,13 @@ def keep_one_similar(docs: DataFrame, all_pairs: int | None = ALL_PAIRS, most_re
     rows = common.materialize(sketches(plain), "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "key")).alias("first")
     nodes = common.materialize(rows.groupBy("node").agg(F.first("size").alias("size"), F.first("prints").alias("prints"), first), "nodes")
-    roots = components(similar_links(plain, nodes, all_pairs, most_reps))
+    met, crowds = candidates(nodes, all_pairs, most_reps)
+    links_ = common.materialize(similar_links(plain, nodes, met), "similar")
+    roots = components(links_)
+    if crowds is not None:
+        unmet = common.materialize(unmet_pairs(nodes, crowds, roots), "unmet")
+        if not unmet.isEmpty():
+            roots = components(links_.unionByName(similar_links(plain, nodes, unmet)))
     rooted = nodes.select(F.col("node").alias("own"), "first").join(roots, F.col("own") == F.col("node"), "left").select("own", "first", F.coalesce("root", "own").alias("root"))
     kept = rooted.groupBy("root").agg(F.min("first").alias("first"))
     found = rows.join(rooted.select("own", "root").join(kept, "root"), F.col("node") == F.col("own"))

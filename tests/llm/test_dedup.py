@@ -225,3 +225,20 @@ def test_keep_one(spark):
 @pytest.mark.parametrize("op", [lambda d: lines.dedup(d), lambda d: substrings.dedup(d), lambda d: simhash.near_duplicates(simhash.fingerprints(d)), lambda d: simhash.keep_one(d)])
 def test_empty_tables(spark, op):
     assert op(frame(spark, [])).count() == 0
+
+
+def test_crowds_lose_no_link(spark):
+    import random
+
+    rng = random.Random(5)
+    words = [f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{i}" for i in range(900)]
+    texts = []
+    for _ in range(2):
+        hot = rng.sample(words, 60)
+        for _ in range(12):  # the same words in another order: one fingerprint, nothing in common
+            base = rng.sample(hot, 60)
+            texts += [" ".join(base), " ".join(base[:-1]), " ".join([*base[1:], base[1]])]
+    df = frame(spark, [(i, t, None, None, None) for i, t in enumerate(rng.sample(texts, len(texts)))], extra=True)
+    kept = lambda **crowd: {r.doc_id for r in simhash.keep_one_similar(df, **crowd).collect()}
+    expected = kept(all_pairs=None)
+    assert kept() == kept(all_pairs=1, most_reps=1) == expected and len(expected) <= 30
