@@ -239,10 +239,19 @@ def drop_repeated_block(text: str | None, least: int = 50, same: float = 0.4) ->
     return text
 
 
+#: Texts of a batch that are Python objects at a time.
+SLICE = 16
+
+
+def _in_slices(function, arrow: pa.DataType, column: pa.Array) -> pa.Array:
+    done = [pa.array([function(x) for x in column.slice(at, SLICE).to_pylist()], arrow) for at in range(0, len(column), SLICE)]
+    return pa.concat_arrays(done) if done else pa.array([], arrow)
+
+
 def _batched(function, kind: str, arrow):
     @F.arrow_udf(kind)
     def run(column: pa.Array) -> pa.Array:
-        return pa.array([function(x) for x in column.to_pylist()], arrow)
+        return _in_slices(function, arrow, column)
 
     return run
 

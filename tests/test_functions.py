@@ -141,3 +141,26 @@ def test_rules_read_questions(spark):
     read = [route.academic_year(q), route.semester(q), route.weekday(q), route.grade(q), route.period_range(q), route.required_or_elective(q), route.question_type(q)]
     got = df.select("i", *[c.alias(f"c{k}") for k, c in enumerate(read)]).orderBy("i").collect()
     assert [tuple(r)[1:] for r in got] == [x[1:] for x in QUESTIONS]
+
+
+def test_batches_of_texts_become_python_objects_in_slices():
+    import pyarrow as pa
+
+    sizes, texts = [], [f"t{n}" for n in range(2 * T.SLICE + 3)] + [None]
+
+    class Column:
+        def __init__(self, held):
+            self.held = held
+
+        def __len__(self):
+            return len(self.held)
+
+        def slice(self, at, n):
+            return Column(self.held[at : at + n])
+
+        def to_pylist(self):
+            sizes.append(len(self.held))
+            return self.held
+
+    assert T._in_slices(lambda x: x, pa.string(), Column(texts)).to_pylist() == texts and max(sizes) == T.SLICE
+    assert len(T._in_slices(lambda x: x, pa.string(), Column([]))) == 0
