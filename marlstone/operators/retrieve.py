@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,6 +57,27 @@ def each_token(words: DataFrame) -> DataFrame:
     return words.select("node_id", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term")).where("term IS NOT NULL")
 
 
+#: Texts whose tokens are counted together.
+COUNTED = 1_000
+
+
+def counted(words: DataFrame) -> DataFrame:
+    """term, node_id, dl, tf of each term of a row of words: each row is counted by itself, so nothing is shuffled or held for it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, COUNTED):
+                part = batch.slice(at, COUNTED)
+                tokens = part.column("tokens")
+                each = pa.table({"row": pc.list_parent_indices(tokens), "term": pc.list_flatten(tokens)}).drop_null()
+                n = each.group_by(["row", "term"], use_threads=False).aggregate([([], "count_all")])
+                row = n.column("row")
+                columns = [n.column("term"), pc.take(part.column("node_id"), row), pc.take(pc.list_value_length(tokens), row), n.column("count_all")]
+                yield from pa.table(columns, ["term", "node_id", "dl", "tf"]).to_batches()
+
+    return words.mapInArrow(run, f"term string, node_id {words.schema['node_id'].dataType.simpleString()}, dl int, tf long")
+
+
 def postings(words: DataFrame, only: list[str] | None = None) -> DataFrame:
     """term, node_id, tf, dl of each term of a chunk, or only of some terms (those of the queries at hand)."""
     rows = each_token(words)

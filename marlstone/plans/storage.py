@@ -24,6 +24,8 @@ from ..sources import sinks
 
 #: Folders that the postings are split into by term, so that a question reads those of its terms only.
 TERM_FOLDERS = 64
+#: Bytes of text, and postings, that a task of the shuffle by term has to sort: there are more tasks for more texts, so none needs more memory.
+PART_BYTES, PART_ROWS = 4 << 20, 400_000
 #: Segments of a version at most, and the share of nodes that may be gone, before all is written as one segment.
 MOST_SEGMENTS, MOST_GONE = 8, 0.25
 
@@ -44,12 +46,17 @@ def folder_of(term: str | Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(TERM_FOLDERS)).cast("int")
 
 
-def _write_by_folder(rows: DataFrame, at: str, count: bool) -> None:
-    """Rows of terms (counted per node if asked for) in folders: one shuffle, in which nodes' hashes split every folder and so every frequent term."""
-    salts = max(1, 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")) // TERM_FOLDERS)
-    dealt = rows.withColumn("folder", folder_of("term")).withColumn("__salt", F.pmod(F.xxhash64("node_id"), F.lit(salts))).repartition("folder", "__salt")
-    if count:  # the dealing serves the grouping too
-        dealt = dealt.groupBy("folder", "__salt", "term", "node_id", "dl").agg(F.count("*").alias("tf"))
+def _parts(spark: SparkSession, size: int, most: int) -> int:
+    """Tasks that hold ``most`` of a size each, and at least one a core where there is enough to do."""
+    return max(size // most, min(spark.sparkContext.defaultParallelism, 16 * size // most)) + 1
+
+
+def _write_by_folder(postings: DataFrame, at: str, parts: int) -> None:
+    """Postings in folders: one shuffle, in which nodes' hashes split every folder and so every frequent term; ``parts`` tasks have evenly many of these."""
+    salts = -(-4 * parts // TERM_FOLDERS)
+    dealt = postings.withColumn("folder", folder_of("term"))
+    key = F.col("folder") * salts + F.pmod(F.xxhash64("node_id"), F.lit(salts)).cast("int")
+    dealt = dealt.repartitionById(parts, F.pmod(key, F.lit(parts)))
     dealt.select("term", "node_id", "dl", "tf", "folder").sortWithinPartitions("folder", "term", "node_id").write.partitionBy("folder").parquet(at)
 
 
@@ -85,7 +92,11 @@ def build_keywords(chunks: DataFrame, folder: str, tokenize: R.Tokenize = T.toke
 
 
 def _write_postings(chunks: DataFrame, at: str, tokenize: R.Tokenize) -> None:
-    _write_by_folder(R.each_token(R.tokenised(chunks, tokenize)), at, count=True)
+    size = chunks.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    rows = R.counted(R.tokenised(chunks, tokenize))
+    if not chunks.groupBy("node_id").count().where("count > 1").isEmpty():  # rows of one node and length are one
+        rows = rows.groupBy("term", "node_id", "dl").agg(F.sum("tf").alias("tf"))
+    _write_by_folder(rows, at, _parts(chunks.sparkSession, size, PART_BYTES))
 
 
 def read_keywords(spark: SparkSession, folder: str) -> R.KeywordIndex:
@@ -217,7 +228,8 @@ def _compact(spark: SparkSession, folder: str) -> None:
     at = f"{folder}/segments/{name}"
     old.chunks.drop("__segment").write.parquet(f"{at}/chunks")
     old.vectors.drop("__segment").write.parquet(f"{at}/vectors")
-    _write_by_folder(old.postings.drop("folder", "__segment"), f"{at}/postings", count=False)
+    kept = old.postings.drop("folder", "__segment")
+    _write_by_folder(kept, f"{at}/postings", _parts(spark, kept.count(), PART_ROWS))
     _publish(spark, folder, [name], old.gone.limit(0), old.terms.select("term", "df"), old.stats.first(), old.manifest)
 
 
