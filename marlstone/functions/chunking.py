@@ -9,8 +9,9 @@ fit into the overlap and leave room for the next sentence.  A chunk is a slice o
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -22,25 +23,50 @@ SIZE, OVERLAP = 1536, 128
 #: Characters of chunks that are sent on together.
 FLUSH = 4 << 20
 
-_TOKEN = re.compile(rf"[{SINGLE}]|[^\x20\x09-\x0D{SINGLE}]+")
+#: (start, end) of tokens, in order: pairs, or an array of two columns.
+Spans = Sequence[tuple[int, int]] | np.ndarray
 
-Spans = list[tuple[int, int]]
 
+_KINDS = np.zeros(0x110000, np.uint8)  # 1: white space, 2: a token of its own, 0: others
+_KINDS[[0x20, *range(9, 14)]] = 1
+for _range in re.findall("(.)(?:-(.))?", SINGLE):
+    _KINDS[ord(_range[0]) : ord(_range[1] or _range[0]) + 1] = 2
+_ENDERS, _SOFT_ENDERS = ([ord(c) for c in x] for x in ("。！？；", ".!?;"))
+_CLOSER = np.zeros(0x110000, bool)
+_CLOSER[[ord(c) for c in CLOSERS]] = True
 
-def token_spans(text: str) -> Spans:
-    return [m.span() for m in _TOKEN.finditer(text)]
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def token_spans(text: str) -> np.ndarray:
+    """A row (start, end) for each token."""
+    kind = np.concatenate(([1], _KINDS[_codes(text)], [1]))
+    here, before, after = kind[1:-1], kind[:-2], kind[2:]
+    first = (here == 2) | (here == 0) & (before != 0)
+    last = (here == 2) | (here == 0) & (after != 0)
+    return np.column_stack([np.flatnonzero(first), np.flatnonzero(last) + 1])
 
 
 def sentence_ends(text: str, spans: Spans, size: int) -> list[int]:
     """Behind which tokens sentences end, as numbers of tokens, increasing; no sentence has more tokens than ``size``."""
-    ends, begin = [], 0
-    for n, (start, end) in enumerate(spans, 1):
-        behind = spans[n][0] if n < len(spans) else len(text)
-        word = text[start:end].rstrip(CLOSERS) or text[start:end]
-        if word[-1] in "。！？；" or word[-1] in ".!?;" and behind > end or "\n" in text[end:behind] or n - begin == size or n == len(spans):
-            ends.append(n)
-            begin = n
-    return ends
+    if not len(spans):
+        return []
+    code = _codes(text)
+    start, end = np.asarray(spans, np.int64).T
+    behind = np.append(start[1:], len(code))
+    # the last character that closes nothing; a token of closers only counts with its last one
+    open_at = np.maximum.accumulate(np.where(_CLOSER[code], -1, np.arange(len(code))))[end - 1]
+    last = code[np.where(open_at >= start, open_at, end - 1)]
+    lines = np.append(0, np.cumsum(code == 10))
+    ends = np.isin(last, _ENDERS) | np.isin(last, _SOFT_ENDERS) & (behind > end) | (lines[np.maximum(behind, end)] > lines[end])
+    ends[-1] = True
+    out, begin = [], 0
+    for n in (np.flatnonzero(ends) + 1).tolist():
+        out += [*range(begin + size, n, size), n]
+        begin = n
+    return out
 
 
 def pack(ends: list[int], size: int, overlap: int) -> Iterator[tuple[int, int]]:
@@ -66,7 +92,8 @@ def chunks_of(text: str | None, size: int = SIZE, overlap: int = OVERLAP, spans:
         raise ValueError("the overlap must be smaller than the size")
     found = spans(text or "")
     for a, b in pack(sentence_ends(text or "", found, size), size, overlap):
-        yield a, b - a, found[a][0], text[found[a][0] : found[b - 1][1]]
+        first, end = int(found[a][0]), int(found[b - 1][1])
+        yield a, b - a, first, text[first:end]
 
 
 def chunk_rows(rows: DataFrame, size: int = SIZE, overlap: int = OVERLAP, text: str = "text", spans: Callable[[str], Spans] = token_spans) -> DataFrame:
