@@ -17,7 +17,7 @@ under any seed to a common value, and every link is verified on the sets of shin
 are compared in pairs up to ``ALL_PAIRS`` of them, else each with ``REPS`` of them, others for each value; of a
 fingerprint that many nodes have ``REPS`` nodes stand for it.  Copies in a crowd are mostly connected by that. What is
 left is then compared exactly (``unmet_pairs``): in every crowd whose nodes are not all connected, those outside its largest component
-with all that they are not connected to.  So the groups are those that comparing all that meet gives, and pairs within a component cost nothing.
+with all that they are not connected to, by sizes and parities first, so that few dissimilar pairs become rows.  So the groups are those that comparing all that meet gives, and pairs within a component cost nothing.
 
 Defined results: null or empty texts have fingerprint zero and one (empty) set of shingles; a text of fewer words than a
 shingle is one shingle; rows with equal doc_id are separate rows, but rows equal in doc_id and text stay or go
@@ -322,38 +322,86 @@ def candidates(nodes: DataFrame, all_pairs: int | None = ALL_PAIRS, most_reps: i
     return _fitting(across.unionByName(within)), crowds
 
 
+def _fit() -> F.Column:
+    """Whether the sizes of a and b allow for the similarity."""
+    return F.least("a.size", "b.size") >= SIMILARITY * F.greatest("a.size", "b.size")
+
+
 def _fitting(met: DataFrame) -> DataFrame:
     """(u, v) of pairs a, b of different nodes whose sizes allow for the similarity."""
-    fit = F.least("a.size", "b.size") >= SIMILARITY * F.greatest("a.size", "b.size")
-    apart = met.where(fit & (F.col("a.node") != F.col("b.node")))
-    return apart.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
+    return _pairs(met.where(_fit() & (F.col("a.node") != F.col("b.node"))))
+
 
+def _pairs(met: DataFrame) -> DataFrame:
+    return met.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
 
-#: Deals of a crowd's nodes that are compared with the rest of it, so that a large crowd is the work of several tasks.
-DEALS = 8
 
+#: Deals of a large crowd's nodes that are compared with the rest of it, so that it is the work of several tasks; nodes of a crowd for each deal.
+DEALS, DEAL_NODES = 8, 256
 
-def unmet_pairs(nodes: DataFrame, crowds: DataFrame, roots: DataFrame) -> DataFrame:
-    """(u, v): all pairs of nodes (node, size, prints) of a crowd (crowd, print) that roots (node, root) do not connect yet, and whose sizes allow for the similarity."""
+
+def parities(docs: DataFrame) -> DataFrame:
+    """node and parity of rows (node, text): a bit for each slot that an odd number of the text's shingles (32 bits of each hash) falls into.
+
+    There are at least two slots a shingle, and 512.  Texts whose parities differ in more bits than similar texts have shingles apart are not similar.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.rows_of(batches):
+            for row, part in common.text_slices(batch.column("text")):
+                h, doc = shingle_sets(common.PackedWords([raw.lower() for raw in part]), SIMILAR_SHINGLE)
+                words = np.array([8 << max(0, int(2 * n - 1).bit_length() - 9) for n in np.bincount(doc, minlength=len(part)).tolist()], np.int64)
+                ends = np.append(0, np.cumsum(words))
+                h, doc = set_of(h >> _U(32), doc)
+                slot = (h & (words[doc] * 64 - 1).astype(_U)).astype(np.int64)
+                held = np.zeros(ends[-1], _U)
+                np.bitwise_xor.at(held, ends[doc] + (slot >> 6), _U(1) << (slot & 63).astype(_U))
+                yield pa.RecordBatch.from_pydict({"node": batch.column("node").slice(row, len(part)), "parity": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(held.view(np.int64)))})
+
+    return docs.select("node", "text").mapInArrow(run, "node long, parity array<long>")
+
+
+def _may_be_similar(a: str, b: str) -> F.Column:
+    """False only where the parities show that the nodes (structs with size and parity, of sizes that fit) are not similar."""
+    n = F.least(F.size(f"{a}.parity"), F.size(f"{b}.parity"))
+    xor = lambda x, y: x.bitwiseXOR(y)
+    folded = lambda p: F.when(F.size(p) > n, F.zip_with(F.slice(p, 1, n), F.slice(p, n + 1, n), xor)).otherwise(F.col(p))  # noqa: E731  of sizes that fit one has twice the slots at most
+    apart = F.aggregate(F.zip_with(folded(f"{a}.parity"), folded(f"{b}.parity"), lambda x, y: F.bit_count(xor(x, y))), F.lit(0), lambda x, y: x + y)
+    most = (1 - SIMILARITY) / (1 + SIMILARITY) * (F.col(f"{a}.size") + F.col(f"{b}.size"))
+    return apart <= most + 1e-6
+
+
+def unmet_pairs(docs: DataFrame, nodes: DataFrame, crowds: DataFrame, roots: DataFrame) -> DataFrame:
+    """(u, v): pairs of nodes (node, size, prints, first) of a crowd (crowd, print) that roots (node, root) do not connect yet, and that may be similar.
+
+    All are compared, by sizes and parities, inside the join: only those that these do not rule out, which few dissimilar ones are, become rows."""
     rooted = nodes.select("node", "size", "prints").join(roots, "node", "left")
     members = common.materialize(rooted.select(F.struct("node", "size").alias("a"), F.coalesce("root", "node").alias("root"), F.explode("prints").alias("print")), "members")
     ends = members.groupBy("print").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     split = crowds.join(ends, "print").groupBy("crowd").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low != high").select("crowd")
     held = common.materialize(crowds.join(split, "crowd").join(members, "print").select("crowd", "a", "root").distinct(), "crowded")
-    main = held.groupBy("crowd", "root").agg(F.count("*").alias("n")).groupBy("crowd").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
-    few = held.join(main, "crowd").where("root != main").select("crowd", F.col("root").alias("few_root"), F.col("a").alias("b"), F.pmod(F.xxhash64("a.node"), F.lit(DEALS)).cast("int").alias("deal"))
-    dealt = held.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))
-    return _fitting(dealt.join(few, ["crowd", "deal"]).where("root != few_root").select("a", "b"))
+    found = common.materialize(parities(_first_texts(docs, nodes, held.select("a.node").distinct())).dropDuplicates(["node"]), "parities")
+    held = held.join(found, F.col("a.node") == found["node"]).select("crowd", "root", F.struct("a.node", "a.size", "parity").alias("a"))
+    main = held.groupBy("crowd", "root").agg(F.count("*").alias("n")).groupBy("crowd").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.least(F.sum("n") / DEAL_NODES + 1, F.lit(DEALS)).cast("int").alias("deals"))
+    held = common.materialize(held.join(main, "crowd"), "dealt")
+    few = held.where("root != main").select("crowd", F.col("root").alias("few_root"), F.col("a").alias("b"), F.pmod(F.xxhash64("a.node"), F.col("deals")).cast("int").alias("deal"))
+    dealt = held.select("crowd", "main", "root", "a", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"))
+    once = (F.col("root") == F.col("main")) | (F.col("a.node") < F.col("b.node"))  # two outside the largest component meet from either side
+    return _pairs(dealt.join(few, ["crowd", "deal"]).where((F.col("root") != F.col("few_root")) & once & _fit() & _may_be_similar("a", "b")))
+
+
+def _first_texts(docs: DataFrame, nodes: DataFrame, ends: DataFrame) -> DataFrame:
+    """Rows of docs (doc_id, key, text) that stand for the nodes of ends, with their node."""
+    firsts = common.materialize(nodes.join(ends, "node").select("node", F.col("first.doc_id").alias("__doc_id"), F.col("first.key").alias("__key")), "ends")
+    few = common.narrow_side(firsts)
+    return docs.join(few, docs["doc_id"].eqNullSafe(few["__doc_id"]) & (docs["key"] == few["__key"]))
 
 
 def similar_links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(u, v): pairs that share enough of their shingles, from nodes (node, first) and docs (doc_id, key, text); 32 bits of each shingle's hash are compared."""
     pairs = common.materialize(pairs, "pairs")
     ends = pairs.select(F.col("u").alias("node")).distinct().union(pairs.select("v").distinct()).distinct()
-    firsts = common.materialize(nodes.join(ends, "node").select("node", F.col("first.doc_id").alias("__doc_id"), F.col("first.key").alias("__key")), "ends")
-    few = common.narrow_side(firsts)
-    texts = docs.join(few, docs["doc_id"].eqNullSafe(few["__doc_id"]) & (docs["key"] == few["__key"]))
-    shingles = common.materialize(sets(texts).dropDuplicates(["node"]), "shingles")
+    shingles = common.materialize(sets(_first_texts(docs, nodes, ends)).dropDuplicates(["node"]), "shingles")
     side = lambda name: shingles.select(F.col("node").alias(name), F.col("shingles").alias(f"{name}_set"))
     both = F.size(F.array_intersect("u_set", "v_set"))
     return pairs.join(side("u"), "u").join(side("v"), "v").where(both >= SIMILARITY * (F.size("u_set") + F.size("v_set") - both)).select("u", "v")
@@ -382,7 +430,7 @@ def keep_one_similar(docs: DataFrame, all_pairs: int | None = ALL_PAIRS, most_re
     links_ = common.materialize(similar_links(plain, nodes, met), "similar")
     roots = components(links_)
     if crowds is not None:
-        unmet = common.materialize(unmet_pairs(nodes, crowds, roots), "unmet")
+        unmet = common.materialize(unmet_pairs(plain, nodes, crowds, roots), "unmet")
         if not unmet.isEmpty():
             roots = components(links_.unionByName(similar_links(plain, nodes, unmet)))
     rooted = nodes.select(F.col("node").alias("own"), "first").join(roots, F.col("own") == F.col("node"), "left").select("own", "first", F.coalesce("root", "own").alias("root"))
