@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -57,27 +58,84 @@ def each_token(words: DataFrame) -> DataFrame:
     return words.select("node_id", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term")).where("term IS NOT NULL")
 
 
-#: Texts whose tokens are counted together.
-COUNTED = 1_000
+#: Tokens that are counted together (or those of one text), and postings of a term that are at most one row of ``blocks``.
+COUNTED, BLOCK = 2_000_000, 256
+
+
+def _counts(words: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, pa.RecordBatch]:
+    """Distinct terms of some rows of words; of each posting, by term and row, the number of its term, and node_id, dl, tf."""
+    tokens = words.column("tokens")
+    each = pa.table({"row": pc.list_parent_indices(tokens), "term": pc.list_flatten(tokens)}).drop_null()
+    term = each.column("term").combine_chunks().dictionary_encode()
+    key, tf = np.unique(term.indices.to_numpy().astype(np.int64) * words.num_rows + each.column("row").to_numpy(), return_counts=True)
+    row = pa.array(key % words.num_rows)
+    columns = [words.column("node_id").take(row), pc.list_value_length(tokens).take(row), pa.array(tf, pa.int64())]
+    return term.dictionary, key // words.num_rows, pa.RecordBatch.from_arrays(columns, ["node_id", "dl", "tf"])
+
+
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of words in parts of about COUNTED tokens."""
+    for batch in batches:
+        ends = np.cumsum(pc.list_value_length(batch.column("tokens")).fill_null(0).to_numpy(), dtype=np.int64)
+        cuts = [*np.flatnonzero(np.diff(ends // COUNTED, prepend=-1)).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield batch.slice(a, b - a)
 
 
 def counted(words: DataFrame) -> DataFrame:
     """term, node_id, dl, tf of each term of a row of words: each row is counted by itself, so nothing is shuffled or held for it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, COUNTED):
-                part = batch.slice(at, COUNTED)
-                tokens = part.column("tokens")
-                each = pa.table({"row": pc.list_parent_indices(tokens), "term": pc.list_flatten(tokens)}).drop_null()
-                n = each.group_by(["row", "term"], use_threads=False).aggregate([([], "count_all")])
-                row = n.column("row")
-                columns = [n.column("term"), pc.take(part.column("node_id"), row), pc.take(pc.list_value_length(tokens), row), n.column("count_all")]
-                yield from pa.table(columns, ["term", "node_id", "dl", "tf"]).to_batches()
+        for part in _sliced(batches):
+            terms, number, rows = _counts(part)
+            yield pa.RecordBatch.from_arrays([terms.take(pa.array(number)), *rows.columns], ["term", "node_id", "dl", "tf"])
 
     return words.mapInArrow(run, f"term string, node_id {words.schema['node_id'].dataType.simpleString()}, dl int, tf long")
 
 
+def _blocks(terms: pa.Array, number: np.ndarray, rows: pa.RecordBatch) -> pa.RecordBatch:
+    """Postings in the order of their terms' numbers, at most BLOCK of a term in a row."""
+    first = np.flatnonzero(np.diff(number, prepend=-1))
+    place = np.arange(len(number)) - np.repeat(first, np.diff(first, append=len(number)))
+    cut = np.flatnonzero(place % BLOCK == 0)
+    ends = pa.array(np.append(cut, len(number)), pa.int32())
+    lists = [pa.ListArray.from_arrays(ends, column) for column in rows.columns]
+    return pa.RecordBatch.from_arrays([terms.take(pa.array(number[cut])), *lists], ["term", "nodes", "dls", "tfs"])
+
+
+def _block_type(rows: DataFrame) -> str:
+    return f"term string, nodes array<{rows.schema['node_id'].dataType.simpleString()}>, dls array<int>, tfs array<long>"
+
+
+def blocks(words: DataFrame) -> DataFrame:
+    """term, nodes, dls, tfs: what ``counted`` gives, with postings of a term side by side, so that few and short rows are shuffled and sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _sliced(batches):
+            yield _blocks(*_counts(part))
+
+    return words.mapInArrow(run, _block_type(words))
+
+
+def in_blocks(postings: DataFrame) -> DataFrame:
+    """``blocks`` of postings (term, node_id, dl, tf) that are counted already."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            term = batch.column("term").dictionary_encode()
+            number = term.indices.to_numpy()
+            order = np.argsort(number, kind="stable")
+            yield _blocks(term.dictionary, number[order], batch.select(["node_id", "dl", "tf"]).take(pa.array(order)))
+
+    return postings.select("term", "node_id", "dl", "tf").mapInArrow(run, _block_type(postings))
+
+
+def out_of_blocks(rows: DataFrame, *more: str) -> DataFrame:
+    """term, node_id, dl, tf (and more columns) of ``blocks``, in their order."""
+    each = rows.select("term", "dls", "tfs", *more, F.posexplode("nodes").alias("__at", "node_id"))
+    return each.select("term", "node_id", F.col("dls")[F.col("__at")].alias("dl"), F.col("tfs")[F.col("__at")].alias("tf"), *more)
+
+
 def postings(words: DataFrame, only: list[str] | None = None) -> DataFrame:
     """term, node_id, tf, dl of each term of a chunk, or only of some terms (those of the queries at hand)."""
     rows = each_token(words)

@@ -26,6 +26,8 @@ from ..sources import sinks
 TERM_FOLDERS = 64
 #: Bytes of text, and postings, that a task of the shuffle by term has to sort: there are more tasks for more texts, so none needs more memory.
 PART_BYTES, PART_ROWS = 4 << 20, 400_000
+#: Bytes of text that a task tokenises: what it sends by term waits in its memory, which must not follow the files' sizes.
+TEXT_BYTES = 16 << 20
 #: Segments of a version at most, and the share of nodes that may be gone, before all is written as one segment.
 MOST_SEGMENTS, MOST_GONE = 8, 0.25
 
@@ -51,13 +53,13 @@ def _parts(spark: SparkSession, size: int, most: int) -> int:
     return max(size // most, min(spark.sparkContext.defaultParallelism, 16 * size // most)) + 1
 
 
-def _write_by_folder(postings: DataFrame, at: str, parts: int) -> None:
-    """Postings in folders: one shuffle, in which nodes' hashes split every folder and so every frequent term; ``parts`` tasks have evenly many of these."""
+def _write_by_folder(blocks: DataFrame, at: str, parts: int) -> None:
+    """Postings in folders, of ``R.blocks``: one shuffle, in which blocks' hashes split every folder and so every frequent term; ``parts`` tasks have evenly many of these."""
     salts = -(-4 * parts // TERM_FOLDERS)
-    dealt = postings.withColumn("folder", folder_of("term"))
-    key = F.col("folder") * salts + F.pmod(F.xxhash64("node_id"), F.lit(salts)).cast("int")
-    dealt = dealt.repartitionById(parts, F.pmod(key, F.lit(parts)))
-    dealt.select("term", "node_id", "dl", "tf", "folder").sortWithinPartitions("folder", "term", "node_id").write.partitionBy("folder").parquet(at)
+    dealt = blocks.withColumn("folder", folder_of("term"))
+    key = F.col("folder") * salts + F.pmod(F.xxhash64(F.col("nodes")[0]), F.lit(salts)).cast("int")
+    dealt = dealt.repartitionById(parts, F.pmod(key, F.lit(parts))).sortWithinPartitions("folder", "term")
+    R.out_of_blocks(dealt, "folder").write.partitionBy("folder").parquet(at)
 
 
 def _read_postings(spark: SparkSession, at: str, node_type: str) -> DataFrame:
@@ -74,8 +76,8 @@ def _write_statistics(spark: SparkSession, df: DataFrame, totals, at: str) -> No
     """terms (with idf) and stats of a version from term frequencies (term, df) and the row of totals."""
     R.weighted(df, totals.n).write.parquet(f"{at}/terms")
     average = float(totals.length) / max(totals.texts, 1)
-    rows = [(int(totals.n), int(totals.texts), int(totals.length), average or 1.0)]
-    spark.createDataFrame(rows, "n long, texts long, length long, avgdl double").coalesce(1).write.parquet(f"{at}/stats")
+    row = {"n": int(totals.n), "texts": int(totals.texts), "length": int(totals.length)}
+    spark.range(1).select(*[F.lit(v).cast("long").alias(c) for c, v in row.items()], F.lit(average or 1.0).alias("avgdl")).coalesce(1).write.parquet(f"{at}/stats")
 
 
 def _frequencies(postings: DataFrame) -> DataFrame:
@@ -92,11 +94,13 @@ def build_keywords(chunks: DataFrame, folder: str, tokenize: R.Tokenize = T.toke
 
 
 def _write_postings(chunks: DataFrame, at: str, tokenize: R.Tokenize) -> None:
-    size = chunks.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    rows = R.counted(R.tokenised(chunks, tokenize))
-    if not chunks.groupBy("node_id").count().where("count > 1").isEmpty():  # rows of one node and length are one
-        rows = rows.groupBy("term", "node_id", "dl").agg(F.sum("tf").alias("tf"))
-    _write_by_folder(rows, at, _parts(chunks.sparkSession, size, PART_BYTES))
+    spark, size = chunks.sparkSession, chunks.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    words = R.tokenised(chunks.select("node_id", "text").repartition(_parts(spark, size, TEXT_BYTES), "node_id"), tokenize)
+    if chunks.groupBy("node_id").count().where("count > 1").isEmpty():
+        blocks = R.blocks(words)
+    else:  # rows of one node and length are one
+        blocks = R.in_blocks(R.counted(words).groupBy("term", "node_id", "dl").agg(F.sum("tf").alias("tf")))
+    _write_by_folder(blocks, at, _parts(spark, size, PART_BYTES))
 
 
 def read_keywords(spark: SparkSession, folder: str) -> R.KeywordIndex:
@@ -151,7 +155,7 @@ class _Version:
 
 def _publish(spark: SparkSession, folder: str, segments: list[str], gone: DataFrame, df: DataFrame, totals, files: DataFrame) -> None:
     def write(at: str) -> None:
-        spark.createDataFrame([(s,) for s in segments], "segment string").coalesce(1).write.parquet(f"{at}/segments")
+        spark.range(1).select(F.explode(F.array(*map(F.lit, segments))).alias("segment")).coalesce(1).write.parquet(f"{at}/segments")
         gone.write.parquet(f"{at}/gone")
         files.write.parquet(f"{at}/manifest")
         _write_statistics(spark, df, totals, at)
@@ -229,7 +233,7 @@ def _compact(spark: SparkSession, folder: str) -> None:
     old.chunks.drop("__segment").write.parquet(f"{at}/chunks")
     old.vectors.drop("__segment").write.parquet(f"{at}/vectors")
     kept = old.postings.drop("folder", "__segment")
-    _write_by_folder(kept, f"{at}/postings", _parts(spark, kept.count(), PART_ROWS))
+    _write_by_folder(R.in_blocks(kept), f"{at}/postings", _parts(spark, kept.count(), PART_ROWS))
     _publish(spark, folder, [name], old.gone.limit(0), old.terms.select("term", "df"), old.stats.first(), old.manifest)
 
 
