@@ -19,7 +19,7 @@ STOP_DICTIONARY = dictionary.protected(lexicon.STOP_WORDS)
 
 def tokens(text: Column, names: dictionary.Dictionary = STOP_DICTIONARY) -> Column:
     """Lower-cased runs of letters and digits; of texts with Han characters the names of a dictionary whole, and the rest of Han runs as overlapping pairs."""
-    has_han = text.rlike(r"\p{IsHan}")
+    has_han = (F.octet_length(text) > F.char_length(text)) & text.rlike(r"\p{IsHan}")  # most texts are ASCII, which a look at their sizes tells
     return F.when(has_han, dictionary.segmented(F.when(has_han, text), names)).otherwise(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
 
 
