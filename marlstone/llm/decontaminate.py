@@ -227,7 +227,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_share
         known = items.select("hash").distinct().toPandas()["hash"].to_numpy(np.int64).view(_U)
         probe = docs.sparkSession.sparkContext.broadcast(np.sort(known) if len(known) else np.zeros(1, _U))
     # any document may hold a short item, so every size is searched everywhere
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), "text")
+    rows = common.small_batches(docs).select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), "text")
     hits = rows.mapInArrow(_found(sorted(sizes), probe, 0, rare=rare), _HIT_DDL).drop("size", "way")
     hits = common.materialize(hits, "hits")
     pairs = common.materialize(hits.select("doc_id", "key", "hash").distinct().join(telling_windows(items, min_share), "hash").select("doc_id", "key", "item_id").distinct(), "pairs")

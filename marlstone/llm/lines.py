@@ -108,7 +108,7 @@ def _streamed(min_docs: int):
 
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc (doc_id, null as the smallest), key (hash of the text) and pos of each line that goes."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64("text").alias("key"), "text")
+    rows = common.small_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64("text").alias("key"), "text")
     # written once: dealing by range reads them twice
     hashes = common.materialize(rows.mapInArrow(_line_hashes(min_chars), _ROWS), "hashes")
     # no count given: the session's number of shuffle partitions, which adaptive execution may merge

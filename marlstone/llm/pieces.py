@@ -259,7 +259,7 @@ def _kept(docs: DataFrame, keep: list[str] | None, *made: tuple[str, T.DataType]
 def encode(docs: DataFrame, model_file: str = MODEL_FILE, keep_ids: bool = True, keep: list[str] | None = None) -> DataFrame:
     """docs (all columns, or those in keep) with n_tokens, token_ids (unless keep_ids is false), ids_sha256 (little-endian int32), round_trip: decoding gives the text back."""
     ids = [("token_ids", T.ArrayType(T.IntegerType()))] if keep_ids else []
-    rows, stay, schema = _kept(docs, keep, ("n_tokens", T.LongType()), *ids, ("ids_sha256", T.StringType()), ("round_trip", T.BooleanType()))
+    rows, stay, schema = _kept(common.small_batches(docs), keep, ("n_tokens", T.LongType()), *ids, ("ids_sha256", T.StringType()), ("round_trip", T.BooleanType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = load(model_file)
@@ -302,7 +302,7 @@ def decode(ids: Column, model_file: str = MODEL_FILE) -> Column:
 
 def count(docs: DataFrame, model_file: str = MODEL_FILE, keep: list[str] | None = None) -> DataFrame:
     """docs (all columns, or those in keep) with n_pretokens and n_tokens: the number of ids that ``encode`` gives."""
-    rows, stay, schema = _kept(docs, keep, ("n_pretokens", T.LongType()), ("n_tokens", T.LongType()))
+    rows, stay, schema = _kept(common.small_batches(docs), keep, ("n_pretokens", T.LongType()), ("n_tokens", T.LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = load(model_file)

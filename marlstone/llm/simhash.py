@@ -218,7 +218,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 prints += (word_prints(words) | seeds).astype(np.int64).tolist()
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "key": batch.column("key"), "node": nodes, "size": sizes, "prints": prints}, schema=_SKETCH)
 
-    return docs.mapInArrow(run, "doc_id long, key long, node long, size long, prints array<long>")
+    return common.small_batches(docs).mapInArrow(run, "doc_id long, key long, node long, size long, prints array<long>")
 
 
 def sets(docs: DataFrame) -> DataFrame:
@@ -232,7 +232,7 @@ def sets(docs: DataFrame) -> DataFrame:
                 held = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array((h >> _U(32)).astype(np.uint32).view(np.int32)))
                 yield pa.RecordBatch.from_pydict({"node": batch.column("node").slice(row, len(part)), "shingles": held})
 
-    return docs.select("node", "text").mapInArrow(run, "node long, shingles array<int>")
+    return common.small_batches(docs).select("node", "text").mapInArrow(run, "node long, shingles array<int>")
 
 
 def meeting_pairs(value: np.ndarray, prints: np.ndarray, all_pairs: int | None = ALL_PAIRS, reps: int | None = REPS) -> tuple[np.ndarray, np.ndarray]:
@@ -358,7 +358,7 @@ def parities(docs: DataFrame) -> DataFrame:
                 np.bitwise_xor.at(held, ends[doc] + (slot >> 6), _U(1) << (slot & 63).astype(_U))
                 yield pa.RecordBatch.from_pydict({"node": batch.column("node").slice(row, len(part)), "parity": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(held.view(np.int64)))})
 
-    return docs.select("node", "text").mapInArrow(run, "node long, parity array<long>")
+    return common.small_batches(docs).select("node", "text").mapInArrow(run, "node long, parity array<long>")
 
 
 def _may_be_similar(a: str, b: str) -> F.Column:

@@ -152,6 +152,7 @@ def _sample(docs: DataFrame, known: DataFrame, slot: np.ndarray, most: int) -> D
 
 def fit(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER_CLASS) -> Model:
     """Learn from the labelled rows that are not held out; only model parameters reach the driver."""
+    docs = common.small_batches(docs)
     known = labels.select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("__y")).where(F.col("__y").isin(0, 1))
     train = docs.select("doc_id", "text").where(~common.is_held_out("doc_id")).join(common.narrow_side(known), F.col("doc_id") == F.col("__id")).select("text", F.col("__y").alias("toxic"))
     sums = common.materialize(train.mapInArrow(_class_counts, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "buckets")
