@@ -66,3 +66,28 @@ def test_requests_of_all_kinds_find_what_a_plain_loop_finds(spark):
     assert sorted(tuple(r) for r in found.collect()) == sorted(expected) and expected
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan  # hits are as many as requests times events: they must not be shuffled
+
+
+def shuffled(spark):
+    """Rows shuffled by the session so far."""
+    jvm = spark._jvm
+    spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = spark._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(n).shuffleWriteRecords() for n in range(stages.size()))
+
+
+def test_requests_of_many_days_are_shuffled_once_a_deal(spark):
+    events = spark.range(2000).selectExpr("id AS event_id", "'x' AS title", "timestamp'2020-01-01 12:00:00' + make_dt_interval(cast(id AS int)) AS start", "array('t') AS words")
+    requests = spark.range(200).selectExpr("id AS request_id", "'t' AS keyword", "cast(NULL AS date) AS target_day", "cast(NULL AS timestamp) AS target_time", "date'2020-01-01' AS today", "false AS include_past")
+    before = shuffled(spark)
+    assert E.found_in_window(events, requests).count() == 2000 * 200
+    assert shuffled(spark) - before < 50_000
+
+
+def test_hits_take_little_room_in_a_file(spark, tmp_path):
+    events = spark.range(256).selectExpr("id AS event_id", "'x' AS title", "timestamp'2026-01-05 00:00:00' + make_dt_interval(0, 0, cast(id AS int)) AS start", "array('t') AS words")
+    requests = spark.range(25_000).selectExpr("id AS request_id", "'t' AS keyword", "cast(NULL AS date) AS target_day", "cast(NULL AS timestamp) AS target_time", "date'2026-01-04' AS today", "false AS include_past")
+    E.found_in_window(events, requests).write.parquet(str(tmp_path / "hits"))
+    found = spark.read.parquet(str(tmp_path / "hits")).groupBy("event_id").agg(F.count("*").alias("n"), F.min("request_id").alias("least"), F.max("request_id").alias("most"))
+    assert [tuple(r)[1:] for r in found.collect()] == [(25_000, 0, 24_999)] * 256
+    assert sum(f.stat().st_size for f in (tmp_path / "hits").glob("*.parquet")) < 256 * 25_000 / 2
